@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import binary, mixing, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": token_counts.op2_token_counts,
         "op3_simhash_vptree": simhash.op3_simhash_vptree,
+        "op8_binary_ids": binary.op8_binary_ids,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
     }
 
