@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary, mixing, simhash, token_counts
+from . import binary, decontaminate, langid, mixing, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_simhash_vptree": simhash.op3_simhash_vptree,
+        "op5_language_id": langid.op5_language_id,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_binary_ids": binary.op8_binary_ids,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
     }
