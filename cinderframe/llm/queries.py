@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, langid, mixing, simhash, token_counts
+from . import binary, decontaminate, html_text, langid, mixing, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op3_simhash_vptree": simhash.op3_simhash_vptree,
         "op5_language_id": langid.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_binary_ids": binary.op8_binary_ids,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
