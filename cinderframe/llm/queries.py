@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, html_text, langid, mixing, secrets, simhash, token_counts
+from . import ann, binary, decontaminate, html_text, langid, mixing, quality, secrets, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_quality_kneser_ney": quality.op1_quality_kneser_ney,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_simhash_vptree": simhash.op3_simhash_vptree,
+        "op4_multi_index_hashing": ann.op4_multi_index_hashing,
         "op5_language_id": langid.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_secret_scan": secrets.op7_secret_scan,
