@@ -19,6 +19,8 @@ jumping, each round written to the shared folder.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,36 +38,46 @@ SHARD = 2_048
 LEAF = 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text; 0 without words. Memory is bounded by the words of one text."""
+def simhash(text: str | None, shingle: int = SHINGLE, width: int = 1) -> tuple[np.ndarray, int]:
+    """(SimHash of a text as ``width`` 64-bit words, its number of shingles); zeros without words.
+
+    Word i takes XXH64 with seed 42 + i. Memory is bounded by the words of one text.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(width, np.uint64), 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+        pieces = [b" ".join(words)]
     else:
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65536):
-        bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+        pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+    out, digest = np.zeros(width, np.uint64), xxhash.xxh64_intdigest
+    for w in range(width):
+        h = np.array([digest(x, 42 + w) for x in pieces], dtype="<u8")
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 65536):
+            bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out, len(pieces)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text; 0 without words."""
+    return int(simhash(text, shingle)[0][0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) per row of docs; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """(doc_id, code array<long>, n shingles) per row of docs; null and wordless texts have code 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            found = [simhash(t, shingle, width) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "code": [c.view(np.int64) for c, _ in found], "n": [n for _, n in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, code array<long>, n long")
 
 
 def build_tree(points: np.ndarray, leaf: int) -> tuple[list, int]:
@@ -195,32 +207,99 @@ def components(links: DataFrame) -> DataFrame:
     return up.union(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def radius_of(similarity: float, width: int) -> int:
+    """Differing bits that pairs of that Jaccard similarity stay within, but for one in fifteen."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * width
+    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_pairs(points: DataFrame, similarity: float, width: int, sample: int = SAMPLE, shard: int = 4 * SHARD) -> DataFrame:
+    """Spanning links (a, b) of points (fp long, code, n; written) at least about that similar.
+
+    Within the bits that a similarity of 0.8 needs nearly every pair of points is within the
+    triangle bounds of any vantage point, so a tree can't prune. What does is the other bound that
+    similar sets keep: the smaller has at least ``similarity`` times the shingles of the larger.
+    Shards are ranges of (n, fp); a point visits the lower shards that its bound reaches.
+    """
+    spark = points.sparkSession
+    count = points.count()
+    picked = points.select("n", "fp")
+    picked = picked.orderBy(F.xxhash64("fp")).limit(sample) if count > sample else picked
+    order = sorted((r["n"], r["fp"]) for r in picked.collect())
+    step = max(1, int(shard * len(order) / max(count, 1)))
+    cuts = order[step::step]  # each opens a shard
+    shared, radius = spark.sparkContext.broadcast(cuts), radius_of(similarity, width)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = np.array([bisect.bisect_right(shared.value, x) for x in zip(b["n"].tolist(), b["fp"].tolist())], np.int64)
+            low = np.array([bisect.bisect_right(shared.value, (math.ceil(similarity * n - 1e-9), -(2**63))) for n in b["n"].tolist()], np.int64)
+            times = own - low + 1
+            at = np.repeat(np.arange(len(b)), times)
+            leaf = np.repeat(low, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            out = b.iloc[at].reset_index(drop=True)
+            yield out.assign(leaf=leaf, member=leaf == own[at])[["leaf", "fp", "code", "n", "member"]]
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        code = np.array(g["code"].tolist(), np.int64).view(np.uint64).reshape(len(g), width)
+        n, fp, label = g["n"].to_numpy(float), g["fp"].to_numpy(np.int64), np.arange(len(g))
+        links = []
+        for i in np.flatnonzero(g["member"].to_numpy(bool)).tolist():
+            at = np.flatnonzero(label != label[i])
+            d = np.bitwise_count(code[at, 0] ^ code[i, 0])
+            for w in range(1, width):
+                near = d <= radius
+                at, d = at[near], d[near].astype(np.int64)
+                d += np.bitwise_count(code[at, w] ^ code[i, w])
+            at = at[(d <= radius) & (np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]))]
+            for j in at.tolist():
+                if label[j] != label[i]:
+                    links.append((fp[i], fp[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    routed = points.mapInPandas(spread, "leaf int, fp long, code array<long>, n long, member boolean")
+    return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (doc_id, text; other columns are not read).
 
-    component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits.
-    Null, empty and wordless texts share fingerprint 0 and are linked like any other; repeated rows
-    and exact copies share a fingerprint. A row with a null doc_id takes part and gets its
-    component's smallest non-null doc_id (null if there is none). Empty tables give no rows.
+    component_id is the smallest doc_id reachable over links. Without ``similarity`` texts link if
+    their 64-bit fingerprints differ in at most ``radius`` bits; with it, if their fingerprints of
+    ``width`` words say that their shingle sets have that Jaccard similarity (fp is then a key of
+    the fingerprint). Null, empty and wordless texts share fingerprint 0 and are linked like any
+    other; repeated rows and exact copies share a fingerprint. A row with a null doc_id takes part
+    and gets its component's smallest non-null doc_id (null if there is none). Empty tables give no
+    rows.
     """
-    rows = written(fingerprints(docs, shingle), "simhash")
-    points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-points")
-    roots = components(near_pairs(points.select("fp"), radius))
+    if similarity is None:
+        fp = F.element_at("code", 1)
+        rows = written(fingerprints(docs, shingle).select("doc_id", fp.alias("fp")), "simhash")
+        points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-points")
+        links = near_pairs(points.select("fp"), radius)
+    else:
+        rows = written(fingerprints(docs, shingle, width).withColumn("fp", F.xxhash64("n", "code")), "simhash")
+        points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("code").alias("code"), F.min("n").alias("n"))
+        points = written(points, "simhash-points")
+        links = similar_pairs(points.select("fp", "code", "n"), similarity, width)
+    roots = components(links)
     labelled = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = written(labelled.join(least, "root").select("fp", "component_id"), "simhash-ids")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of near-duplicates; same columns.
 
     Rows that share the surviving doc_id (repeated rows) count as one; rows with a null doc_id
     can't be told apart and stay.
     """
-    rows = written(near_duplicates(docs, shingle, radius), "simhash-rows")
+    rows = written(near_duplicates(docs, shingle, similarity=similarity), "simhash-rows")
     gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept
