@@ -1,11 +1,15 @@
-"""All queries of the wildfire-record library, with their DuckDB oracles."""
+"""All queries of the wildfire-record library, each with the SQL another engine checks it by."""
 
 from __future__ import annotations
 
+from cinderframe.jobs import fire_queries, ground_queries, trail_queries
+
+_MODULES = (fire_queries, ground_queries, trail_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
