@@ -145,9 +145,11 @@ def jn3(t):
     return spatial.in_boxes(t("fx_points"), geom.envelopes(t.edges())).select("pt", "id")
 
 
-@query("jn14_value_at_points", f"{COUNTS}, pts as ({{points}}) select p.pt, cast(c.n as int) as n from pts p left join counts c on c.row = cast(floor(p.y/90e0) as bigint) and c.col = cast(floor(p.x/90e0) as bigint)")
+@query("jn14_value_at_points", f"{COUNTS}, pts as ({{points}}) select p.pt, cast(coalesce(c.n, -1) as int) as n from pts p left join counts c on c.row = cast(floor(p.y/90e0) as bigint) and c.col = cast(floor(p.x/90e0) as bigint)")
 def jn14(t):
-    return spatial.at_points(t("fx_points"), raster.sweep(t.runs()), raster.CELL).select("pt", "n")
+    """The burn count at points, -1 outside the raster."""
+    found = spatial.at_points(t("fx_points"), raster.sweep(t.runs()), raster.CELL)
+    return found.select("pt", F.coalesce("n", F.lit(-1)).alias("n"))
 
 
 @query("jn5_count_or_one", f"{COUNTS}, pts as ({{points}}) select p.pt, cast(coalesce(c.n, 1) as int) as n from pts p left join (select * from counts where n >= 2) c on c.row = cast(floor(p.y/90e0) as bigint) and c.col = cast(floor(p.x/90e0) as bigint)")

@@ -45,9 +45,10 @@ def win6(t):
     return trail.distance_along(t("fx_way_points"), ["section", "way"]).select("section", "way", "pt", F.round("along", 6).alias("along"))
 
 
-@query("agg15_section_totals", f"{fx('fx_way_points')}, {WAYS}, m as (select *, {MILES} as miles from s) select section, count(*) as points, round(coalesce(sum(miles), 0e0), 3) as miles from m group by rollup(section)")
+@query("agg15_section_totals", f"{fx('fx_way_points')}, {WAYS}, m as (select *, {MILES} as miles from s) select coalesce(cast(section as varchar), 'TOTAL') as section, count(*) as points, round(coalesce(sum(miles), 0e0), 3) as miles from m group by rollup(section)")
 def agg15(t):
-    return trail.section_totals(t("fx_way_points"), ["section", "way"])
+    rows = trail.section_totals(t("fx_way_points"), ["section", "way"])
+    return rows.withColumn("section", F.coalesce(F.col("section").cast("string"), F.lit("TOTAL")))
 
 
 @query("fn3_section_names", f"{fx('fx_sections')} select section, replace(replace(replace(lower(name), 'pct - ', ''), ' section ', '-'), ' ', '-') as slug, replace(replace(name, 'PCT - ', 'PCT — '), ' Section ', ' ') as short from fx_sections")

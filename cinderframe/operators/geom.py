@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: An array of points; a type, not a string, so that tasks can import this module.
+POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 #: Albers equal-area conic of the contiguous states (EPSG:5070): fixed parameters.
 ALBERS = {"lat1": 29.5, "lat2": 45.5, "lat0": 23.0, "lon0": -96.0, "a": 6378137.0, "f": 1 / 298.257222101}
 
@@ -108,7 +111,7 @@ def albers_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 def albers_inverse(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     """Degrees of projected metres: a fixed number of steps of the latitude iteration."""
     e, n, c, rho0 = _albers_constants()
@@ -155,7 +158,7 @@ def thin(points: np.ndarray, eps: float) -> np.ndarray:
 
 def simplified(lines: DataFrame, eps: float, points: str = "pts") -> DataFrame:
     """Lines (a column array<struct<x, y>>) thinned by eps; one row a line, long lines dealt out."""
-    @F.pandas_udf("array<struct<x:double,y:double>>")
+    @F.pandas_udf(POINTS)
     def run(rows: pd.Series) -> pd.Series:
         out = []
         for r in rows:

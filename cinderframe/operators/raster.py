@@ -80,12 +80,12 @@ def overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: int = 64
     """
     def cut(d: DataFrame, s: str) -> DataFrame:
         d = d.withColumnsRenamed({"c0": f"c0{s}", "c1": f"c1{s}"})
-        return d.withColumn("b", F.explode(F.sequence(F.floor(F.col(f"c0{s}") / bucket), F.floor((F.col(f"c1{s}") - 1) / bucket))))
+        return d.withColumn("__b", F.explode(F.sequence(F.floor(F.col(f"c0{s}") / bucket), F.floor((F.col(f"c1{s}") - 1) / bucket))))
 
-    both = cut(left, "_l").join(cut(right, "_r"), [*keys, "b"])
+    both = cut(left, "_l").join(cut(right, "_r"), [*keys, "__b"])
     c0, c1 = F.greatest("c0_l", "c0_r"), F.least("c1_l", "c1_r")
-    both = both.where((c0 < c1) & (F.col("b") == F.floor(c0 / bucket)))
-    return both.select("*", c0.alias("c0"), c1.alias("c1")).drop("b", "c0_l", "c1_l", "c0_r", "c1_r")
+    both = both.where((c0 < c1) & (F.col("__b") == F.floor(c0 / bucket)))
+    return both.select("*", c0.alias("c0"), c1.alias("c1")).drop("__b", "c0_l", "c1_l", "c0_r", "c1_r")
 
 
 def zonal_histogram(fire_runs: DataFrame, mosaic: DataFrame) -> DataFrame:

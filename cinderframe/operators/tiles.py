@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinderframe.operators.geom import thin
+from cinderframe.operators.geom import POINTS, thin
 
 
 def tile_x(lon: Column, z: Column) -> Column:
@@ -46,7 +46,7 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
     return ring
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(POINTS)
 def clipped(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Open rings cut to their tiles' boxes."""
     out = []
@@ -56,7 +56,7 @@ def clipped(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(POINTS)
 def thinned(ring: pd.Series, eps: pd.Series) -> pd.Series:
     """Rings thinned by the size of their zoom's pixel."""
     out = []
