@@ -14,14 +14,13 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
 from itertools import accumulate, chain
 
 import numpy as np
 import regex
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 400_000
+CHUNKS, PIECES_KEPT = 250_000, 500_000
 #: The published pre-tokenization pattern of byte-level BPE, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -35,22 +34,43 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """A dict of bounded size: at ``most`` entries they become the old half, the rest is dropped."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class ChunkEncoder:
     """ids and character spans of texts; ``dtype`` is the smallest unsigned type that holds an id."""
 
-    def __init__(self, path: str, spans: bool = False, cache: int = CACHE):
+    def __init__(self, path: str, spans: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.spans, self.cache, self.known, self.pieces = spans, cache, {}, {}
+        self.spans, self.known, self.pieces = spans, Recent(CHUNKS), Recent(PIECES_KEPT)
         self.model = self.tokenizer.model
         pre = json.loads(self.tokenizer.to_str())
         pre = {**(pre["pre_tokenizer"] or {}), "normalizer": pre["normalizer"]}
         self.byte_level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), pre["normalizer"]) == ("ByteLevel", False, True, None)
-        self.pattern, self.alphabet = regex.compile(PIECES), byte_alphabet()
+        self.pattern, self.alphabet, self.code = regex.compile(PIECES), byte_alphabet(), "H" if self.dtype.itemsize == 2 else "I"
+        self.space = chr(self.alphabet[32])
 
     def _raw(self, texts: list[str]) -> list:
         """Packed ids, or packed spans, of each text by itself."""
@@ -60,74 +80,63 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _piece(self, piece: str):
+        """A pre-tokenized piece by the library's model: packed ids, or the tokens' lengths."""
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", self.space)
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+        found = self.model.tokenize(mapped)
+        value = [len(t.value) for t in found] if self.spans else array(self.code, [t.id for t in found]).tobytes()
+        self.pieces.keep(piece, value)
+        return value
+
     def _chunk(self, chunk: str) -> bytes:
         """As _raw() for one chunk: by the library's model, piece by piece, where that is the same."""
         if not self.byte_level or (self.spans and not chunk.isascii()):
             return self._raw([chunk])[0]
-        parts, ends = [], []
-        for piece in self.pattern.findall(chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= self.cache:
-                    self.pieces.clear()
-                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-                if self.spans:
-                    ids = [len(t.value) for t in found]
-                else:
-                    ids = np.array([t.id for t in found], self.dtype).tobytes()
-                self.pieces[piece] = ids
-            if self.spans:
-                ends += ids
-            else:
-                parts.append(ids)
+        pieces, known = self.pattern.findall(chunk), self.pieces
         if not self.spans:
-            return b"".join(parts)
-        at = [0, *accumulate(ends)]
+            return b"".join([known[p] or self._piece(p) for p in pieces])
+        at = [0, *accumulate(chain.from_iterable([known[p] or self._piece(p) for p in pieces]))]
         return array("I", chain.from_iterable(zip(at, at[1:]))).tobytes()
 
     def whole(self, text: str) -> bool:
         """True if the text has to be encoded in one piece."""
         return _UNSAFE.search(text) is not None or any(s in text for s in self.special)
 
-    def chunks(self, text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def encode(self, texts: Iterable[str]) -> list[tuple[list[str] | None, list[bytes]]]:
-        """Per text its chunks (None: one piece) and each chunk's packed ids, or packed spans."""
-        out: list = []
-        for text in texts:
-            if self.whole(text):
-                out.append((None, self._raw([text])))
-                continue
-            cut = self.chunks(text)
-            try:
-                out.append((cut, [self.known[c] for c in cut]))
-                continue
-            except KeyError:
-                pass
-            fresh = [c for c in dict.fromkeys(cut) if c not in self.known]
-            if len(self.known) + len(fresh) > self.cache:
-                self.known.clear()
-                fresh = list(dict.fromkeys(cut))
-            known = self.known
-            for c in fresh:
-                known[c] = self._chunk(c)
-            out.append((cut, [known[c] for c in cut]))
-        return out
+    def encode(self, text: str) -> tuple[list[str] | None, list[bytes]]:
+        """A text's words between single spaces (None: one piece) and each one's packed ids or spans.
+
+        All but the first are encoded, and span, with the space before them.
+        """
+        if self.whole(text):
+            return None, self._raw([text])
+        words, known = text.split(" "), self.known
+        packed = list(map(known.__getitem__, words))
+        packed[0] = self._chunk(words[0])
+        if None in packed:
+            for i, w in enumerate(words):
+                if packed[i] is None:
+                    packed[i] = known[w]
+                    if packed[i] is None:
+                        packed[i] = self._chunk(" " + w)
+                        known.keep(w, packed[i])
+        return words, packed
 
     def ids(self, text: str) -> bytes:
         """Packed ids of one text."""
-        return b"".join(self.encode([text])[0][1])
+        return b"".join(self.encode(text)[1])
 
     def offsets(self, text: str) -> np.ndarray:
         """Character spans (n, 2) of one text's tokens."""
-        cut, packed = self.encode([text])[0]
+        words, packed = self.encode(text)
         spans = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2).astype(np.int64)
-        if cut is not None:
-            size = np.fromiter(map(len, cut), np.int64, len(cut))
+        if words is not None:
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
             count = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
-            spans = spans + np.repeat(np.cumsum(size) - size, count)[:, None]
+            begin = np.maximum(np.cumsum(size) - size - 1, 0)
+            spans = spans + np.repeat(begin, count)[:, None]
         return spans
 
 
