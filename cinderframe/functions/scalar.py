@@ -31,7 +31,7 @@ def haversine_miles(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> C
     """Great-circle miles; the root is clamped at 1 so that antipodes don't leave arcsine's domain."""
     dlat, dlon = F.radians(lat1 - lat0) / 2, F.radians(lon1 - lon0) / 2
     h = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat0)) * F.cos(F.radians(lat1)) * F.pow(F.sin(dlon), 2)
-    return 2 * EARTH_MILES * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_MILES * F.asin(F.least(F.lit(1.0), F.sqrt(h))))  # least() skips nulls
 
 
 def degrees_to_metres(d: Column, lat: Column) -> Column:

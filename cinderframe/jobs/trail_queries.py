@@ -13,7 +13,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 query = register(QUERIES, ORACLES)
 
-MILES = """2 * 3958.7613e0 * asin(least(1e0, sqrt(power(sin(radians(lat1-lat)/2), 2) + cos(radians(lat))*cos(radians(lat1))*power(sin(radians(lon1-lon)/2), 2))))"""
+MILES = """case when lon1 is not null then 2 * 3958.7613e0 * asin(least(1e0, sqrt(power(sin(radians(lat1-lat)/2), 2) + cos(radians(lat))*cos(radians(lat1))*power(sin(radians(lon1-lon)/2), 2)))) end"""
 WAYS = "s as (select *, lead(lon) over w as lon1, lead(lat) over w as lat1 from fx_way_points window w as (partition by section, way order by pt))"
 BOXES = """b as (select id, -120e0 + min(least(x0,x1))*0.00001e0 as lon0, 40e0 + min(least(y0,y1))*0.00001e0 as lat0, -120e0 + max(greatest(x0,x1))*0.00001e0 as lon1, 40e0 + max(greatest(y0,y1))*0.00001e0 as lat1, count(*) as nv from rec_edges group by id)"""
 TILED = f"""{fx('fx_edges')}, {RECORD}, {REC_EDGES}, {BOXES}, z as (select b.*, unnest(range(2, 14)) as z from b),

@@ -163,7 +163,9 @@ def patches(runs: DataFrame, cell: int = CELL) -> DataFrame:
     lab = written(label_components(runs), "patch-labels")
     up = lab.select("comp", (F.col("row") + 1).alias("row"), "c0", "c1")
     shared = overlap(up, lab.select("comp", "row", "c0", "c1"), ["comp", "row"]).groupBy("comp").agg(F.sum(F.col("c1") - F.col("c0")).alias("shared"))
+    ends = lab.select("comp", "row", F.col("c1").alias("c")).join(lab.select("comp", "row", F.col("c0").alias("c")), ["comp", "row", "c"])
+    ends = ends.groupBy("comp").agg(F.count("*").alias("met"))
     by = lab.groupBy("comp", "n").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"), F.count("*").alias("runs"))
-    out = by.join(shared, "comp", "left")
-    per = 2 * F.col("cells") + 2 * F.col("runs") - 2 * F.coalesce("shared", F.lit(0))
+    out = by.join(shared, "comp", "left").join(ends, "comp", "left")
+    per = 2 * (F.col("cells") + F.col("runs") - F.coalesce("shared", F.lit(0)) - F.coalesce("met", F.lit(0)))
     return out.select("comp", "n", "cells", F.round(acres(F.col("cells") * (cell * cell))).cast("long").alias("acres"), per.alias("perimeter"))
