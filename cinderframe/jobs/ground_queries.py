@@ -113,14 +113,14 @@ def agg19(t):
     return held.groupBy("row", "col", "n").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-@query("agg2_class_histogram", f"{CELLS}, mosaic as ({{mosaic}}) select c.id, m.class, count(*) as px from cells c join rec r using (id) join mosaic m on m.year = r.year and m.row = c.row and m.c0 <= c.col and c.col < m.c1 where m.class between 1 and 6 group by 1, 2")
+@query("agg2_class_histogram", f"{CELLS}, mosaic as ({{mosaic}}) select c.id, m.class, count(*) as px from cells c join rec r using (id) join mosaic m on m.year = r.year and m.row = c.row and m.c0 = c.col - c.col % 4 where m.class between 1 and 6 group by 1, 2")
 def agg2(t):
     """Cells of each severity class inside each fire, by overlapping runs (JN4)."""
     runs = t.runs().join(t.record().select("id", "year"), "id")
     return raster.zonal_histogram(runs, t("fx_mosaic"))
 
 
-@query("agg18_unburned_share", f"{CELLS}, mosaic as ({{mosaic}}) select r.year, count(*) as px, round(count(*) filter (class = 1) / count(*), 6) as share from cells c join rec r using (id) join mosaic m on m.year = r.year and m.row = c.row and m.c0 <= c.col and c.col < m.c1 where m.class between 1 and 6 group by 1")
+@query("agg18_unburned_share", f"{CELLS}, mosaic as ({{mosaic}}) select r.year, count(*) as px, round(count(*) filter (class = 1) / count(*), 6) as share from cells c join rec r using (id) join mosaic m on m.year = r.year and m.row = c.row and m.c0 = c.col - c.col % 4 where m.class between 1 and 6 group by 1")
 def agg18(t):
     """Share of in-perimeter cells classed unburned to low, by year."""
     year = t.record().select("id", "year")

@@ -1 +1 @@
-
+"""Tables and files that jobs read, and the scratch folder."""

@@ -1 +1 @@
-
+"""The record's work is batch only; nothing here streams."""
