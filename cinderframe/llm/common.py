@@ -1,38 +1,27 @@
-"""Shared pieces of the training-data operators: shared-folder tables and ASCII text rules."""
+"""Shared pieces of the training-data operators: tables in the shared folder, and bounded broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_cinderframe_shared", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark._cinderframe_shared = path
-    return path.rstrip("/")
+from cinderframe.sources.scratch import scratch_dir, written  # noqa: F401
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send texts to Python in batches that bound a worker's memory, unless the session says how."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

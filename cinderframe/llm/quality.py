@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, small, written
+from .common import join_small, read_table, short_batches, small, written
 
 ORDER, BITS = 4, 12
 HELD_OUT = 5
@@ -154,11 +154,12 @@ def log_probabilities(types: DataFrame) -> DataFrame:
 
 def score_by_broadcast(rows: DataFrame, chars: dict[str, list[int]], scores: DataFrame) -> DataFrame:
     """(doc_id, lang, trust, n, logp) with the types at the tasks; call only if they are few."""
-    table = scores.toPandas()
     models = {}
-    for lang, part in table.groupby("lang"):
-        at = np.argsort(part["g"].to_numpy())
-        models[lang] = (part["g"].to_numpy()[at], part["logp"].to_numpy()[at])
+    for lang in chars:  # numbers only, and one language at a time, to keep the driver small
+        part = scores.where(F.col("lang") == lang).select("g", "logp").toArrow()
+        keys, logp = part["g"].to_numpy(), part["logp"].to_numpy()
+        at = np.argsort(keys)
+        models[lang] = (keys[at], logp[at])
     shared = rows.sparkSession.sparkContext.broadcast((chars, models))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +168,7 @@ def score_by_broadcast(rows: DataFrame, chars: dict[str, list[int]], scores: Dat
         for b in batches:
             for lang, part in groups(b):
                 n, total = part["text"].str.len().to_numpy(np.int64), np.full(len(part), np.nan)
-                if lang in model:
+                if lang in model and n.sum():
                     keys, logp = model[lang]
                     g, _ = grams(list(part["text"]), tables[lang])
                     end = np.cumsum(n)
@@ -199,6 +200,7 @@ def score_by_join(rows: DataFrame, chars: dict[str, list[int]], scores: DataFram
 
 def perplexities(docs: DataFrame, labels: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> DataFrame:
     """(doc_id, lang, trust, n, perplexity) per row of docs, written."""
+    short_batches(docs.sparkSession)
     rows = with_trust(docs, labels)
     chars = alphabets(rows)
     types = written(count_types(rows, chars), "types")
