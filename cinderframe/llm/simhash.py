@@ -29,7 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from cinderframe.operators.graph import components
+
+from .common import read_table, short_batches, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -77,6 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> Dat
             found = [simhash(t, shingle, width) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "code": [c.view(np.int64) for c, _ in found], "n": [n for _, n in found]})
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, code array<long>, n long")
 
 
@@ -182,31 +185,6 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sh
     return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(fp, root): for each end of a link the smallest end reachable, as signed longs.
-
-    Hash-to-min with star contraction: each round links every vertex's larger neighbours, and the
-    vertex itself, to its smallest neighbour; the rounds are logarithmic in a component's size.
-    """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    while True:
-        # large star: larger neighbours go to the smallest of the neighbourhood
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: the vertex and its smaller neighbours go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not moved:
-            break
-    up = edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    return up.union(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-
-
 def radius_of(similarity: float, width: int) -> int:
     """Differing bits that pairs of that Jaccard similarity stay within, but for one in fifteen."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -284,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("code").alias("code"), F.min("n").alias("n"))
         points = written(points, "simhash-points")
         links = similar_pairs(points.select("fp", "code", "n"), similarity, width)
-    roots = components(links)
+    roots = components(links).withColumnRenamed("node", "fp")
     labelled = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = written(labelled.join(least, "root").select("fp", "component_id"), "simhash-ids")

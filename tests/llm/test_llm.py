@@ -181,7 +181,7 @@ def test_vantage_point_shards_lose_no_pair(spark):
     near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 4), replace=False))) for b in base.repeat(5)]
     fp = np.unique(np.concatenate((base, np.array(near, np.uint64))))
     points = written(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), "t")
-    roots = {r["fp"]: r["root"] for r in simhash.components(simhash.near_pairs(points, 2, sample=500, shard=64)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.near_pairs(points, 2, sample=500, shard=64)).collect()}
     want = components_of(len(fp), lambda a, b: int(fp[a] ^ fp[b]).bit_count() <= 2)
     got = [roots.get(int(x), int(x)) for x in fp.view(np.int64)]
     assert len({*zip(want, got)}) == len(set(want)) == len(set(got))
