@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, written
+from .common import fresh_path, read_table, short_batches, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = 0x58444952, 1
@@ -150,6 +150,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
     Order: ascending doc_id (null first), then text hash. Null and empty texts give only the end id.
     Manifest: shard, n_records, n_ids, low, high (keys). No rows: no shards, an empty manifest.
     """
+    short_batches(docs.sparkSession)
     n = max(1, -(-docs.count() // shard_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, written
+from .common import join_small, read_table, short_batches, written
 
 WIDTH = 10
 SHINGLE = 3
@@ -68,6 +68,7 @@ def scan(docs: DataFrame, wanted: dict[int, frozenset], reach: int, count: bool)
     count: (shingle, n) summed by batch; else (rid, doc_id, n_words, pos, shingle, before, after) with up
     to ``reach`` words to either side, for exact comparison.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, short_batches
 
 SAMPLE = 2_000
 TAG, TINY = 4.0, 0.001
@@ -163,6 +163,7 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     Null and empty html give an empty text, html without tags its words; repeated rows and null keys
     keep rows of their own; a column named text is replaced.
     """
+    short_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

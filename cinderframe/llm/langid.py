@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, short_batches
 
-LETTERS = 65_536
+LETTERS = 40_960
 TOTAL_LETTERS = 1_048_576
-OWN_SYMBOLS, SHARED_SYMBOLS = 63, 32
+OWN_SYMBOLS, SHARED_SYMBOLS = 48, 16
 SEGMENT = 2_048
-LANES = 16_384
-CHARS = 8_000_000
+LANES = 8_192
+CHARS = 4_000_000
 UND = "und"
 
 
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
     score 0. Ties go to the first language in order. Columns of docs named lang_pred or score are
     replaced.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(texts)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

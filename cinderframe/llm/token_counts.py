@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, short_batches
 from .tokens import encoder, tokenizer_path
 
 RULES = ("largest", "start", "end")
@@ -57,6 +57,7 @@ def attribute_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    short_batches(docs.sparkSession)
     path, kind = tokenizer_path(), docs.schema[key].dataType.simpleString()
     own = F.col(sections).alias("s") if sections else F.lit(None).cast("array<struct<start:long,end:long>>").alias("s")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), own).where("length(t) > 0")
