@@ -6,7 +6,7 @@ and turned into ``BLOCKS`` blocks of sign bits, each after a rotation learned fr
 problem). Codes are split into 8-bit substrings, each with a table of its own.
 
 Search. Within radius R of a code, by the pigeonhole principle, some of the m substrings differs in
-at most floor(R / m) bits, so probing every substring's table with all values that near retrieves
+at most its share of R, so probing every substring's table with all values that near retrieves
 every code within R; a count of the differing bits keeps those, and their original vectors give the
 exact score. R is set on the sample so that nearly all true neighbours there are within it; where a
 shard holds fewer than k codes within R for a query, R grows until it has k or all.
@@ -75,26 +75,39 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return POP[codes ^ code].sum(axis=1, dtype=np.int64)
 
 
+def words_of(codes: np.ndarray) -> np.ndarray:
+    """Codes padded to 64-bit words, to count bits by."""
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    padded[:, : codes.shape[1]] = codes
+    return padded.view(np.uint64)
+
+
 class MultiIndex:
     """One table per 8-bit substring over the distinct codes of a shard."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.owner = np.unique(codes, axis=0, return_inverse=True)
         self.owner = self.owner.reshape(-1)
-        self.m = codes.shape[1]
+        self.m, self.words = codes.shape[1], words_of(self.codes)
         self.order = [np.argsort(self.codes[:, j], kind="stable") for j in range(self.m)]
         self.start = [np.searchsorted(self.codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, distances) of all distinct codes within radius, by pigeonhole probing."""
-        near = int(UPTO[min(8, radius // self.m)])
+        """(numbers, distances) of all distinct codes within radius, by pigeonhole probing.
+
+        The substrings' limits plus one add up to radius + 1, so a code within it can't be beyond all
+        of them: ``extra`` substrings have the limit ``base``, the others one less.
+        """
+        base, extra = divmod(radius + 1, self.m)
         hit = np.zeros(len(self.codes), bool)
         for j in range(self.m):
-            values = BY_DISTANCE[code[j]][:near]
-            for v in values.tolist():
-                hit[self.order[j][self.start[j][v] : self.start[j][v + 1]]] = True
+            limit = min(8, base if j < extra else base - 1)
+            if limit >= 0:
+                order, start = self.order[j], self.start[j]
+                values = BY_DISTANCE[code[j]][: UPTO[limit]]
+                hit[np.concatenate([order[a:b] for a, b in zip(start[values].tolist(), start[values + 1].tolist())])] = True
         at = np.flatnonzero(hit)
-        d = distances(self.codes[at], code)
+        d = np.bitwise_count(self.words[at] ^ words_of(code[None, :])).sum(axis=1, dtype=np.int64)
         keep = d <= radius
         return at[keep], d[keep]
 
