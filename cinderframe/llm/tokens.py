@@ -20,7 +20,9 @@ import numpy as np
 import regex
 
 TOKENIZER = "byte_bpe_50k.json"
-CHUNKS, PIECES_KEPT = 250_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 250_000, 60_000
+#: Marks that are a piece of their own after letters, and where letters of plain Latin scripts end.
+MARKS, LATIN_END = (".", ",", "!", "?", ";", ":"), "\u0250"
 #: The published pre-tokenization pattern of byte-level BPE, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,24 +36,25 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Recent(dict):
-    """A dict of bounded size: at ``most`` entries they become the old half, the rest is dropped."""
+class Recent:
+    """Values by key, bounded: at ``most`` new ones the new become the old, and the old are dropped."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self.keep(key, value)
+        self.most, self.new, self.old = most, {}, {}
+
+    def find(self, key):
+        """The value, or None; an old one that is asked for counts as new."""
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class ChunkEncoder:
@@ -64,7 +67,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.spans, self.known, self.pieces = spans, Recent(CHUNKS), Recent(PIECES_KEPT)
+        self.spans, self.known, self.pieces = spans, Recent(WORDS_KEPT), Recent(PIECES_KEPT)
         self.model = self.tokenizer.model
         pre = json.loads(self.tokenizer.to_str())
         pre = {**(pre["pre_tokenizer"] or {}), "normalizer": pre["normalizer"]}
@@ -91,14 +94,43 @@ class ChunkEncoder:
         self.pieces.keep(piece, value)
         return value
 
+    def _plain(self, word: str) -> bool:
+        """True if a word of Latin letters alone is one piece with the space before it."""
+        return word.isalpha() and (word.isascii() or max(word) < LATIN_END)
+
+    def _spaced(self, word: str) -> bytes:
+        """As _chunk() for a word with the space before it, kept among the known words.
+
+        Letters alone are one piece, so they need no pattern; letters and one mark are two.
+        """
+        if not self.spans and self.byte_level:
+            if self._plain(word):
+                value = self._letters(word)
+            elif word[-1:] in MARKS and self._plain(word[:-1]):
+                value = self.known.find(word[:-1])
+                if value is None:
+                    value = self._letters(word[:-1])
+                    self.known.keep(word[:-1], value)
+                value += self.pieces.find(word[-1]) or self._piece(word[-1])
+            else:
+                value = self._chunk(" " + word)
+        else:
+            value = self._chunk(" " + word)
+        self.known.keep(word, value)
+        return value
+
+    def _letters(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(self.space + mapped)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         """As _raw() for one chunk: by the library's model, piece by piece, where that is the same."""
         if not self.byte_level or (self.spans and not chunk.isascii()):
             return self._raw([chunk])[0]
-        pieces, known = self.pattern.findall(chunk), self.pieces
+        pieces, find = self.pattern.findall(chunk), self.pieces.find
         if not self.spans:
-            return b"".join([known[p] or self._piece(p) for p in pieces])
-        at = [0, *accumulate(chain.from_iterable([known[p] or self._piece(p) for p in pieces]))]
+            return b"".join([find(p) or self._piece(p) for p in pieces])
+        at = [0, *accumulate(chain.from_iterable([find(p) or self._piece(p) for p in pieces]))]
         return array("I", chain.from_iterable(zip(at, at[1:]))).tobytes()
 
     def whole(self, text: str) -> bool:
@@ -112,16 +144,11 @@ class ChunkEncoder:
         """
         if self.whole(text):
             return None, self._raw([text])
-        words, known = text.split(" "), self.known
-        packed = list(map(known.__getitem__, words))
+        words, find = text.split(" "), self.known.find
+        packed = list(map(self.known.new.get, words))
         packed[0] = self._chunk(words[0])
-        if None in packed:
-            for i, w in enumerate(words):
-                if packed[i] is None:
-                    packed[i] = known[w]
-                    if packed[i] is None:
-                        packed[i] = self._chunk(" " + w)
-                        known.keep(w, packed[i])
+        for at in [i for i, value in enumerate(packed) if value is None]:
+            packed[at] = find(words[at]) or self._spaced(words[at])
         return words, packed
 
     def ids(self, text: str) -> bytes:
