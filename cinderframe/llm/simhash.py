@@ -13,13 +13,15 @@ and visitors with a tree of its own, and emits a spanning forest of what it link
 stay linear in the points however dense a cluster is. The sample only shapes the tree: no pair is
 lost, whatever it held.
 
+The pipeline links texts by the exact Jaccard similarity of their distinct shingles instead
+(``similar_pairs``), by a prefix join.
+
 Components. Links of distinct fingerprints (few) go through min-label propagation with pointer
 jumping, each round written to the shared folder.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.operators.graph import components
 
-from .common import read_table, short_batches, written
+from .common import join_small, read_table, short_batches, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -40,14 +42,11 @@ SHARD = 2_048
 LEAF = 256
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, width: int = 1) -> tuple[np.ndarray, int]:
-    """(SimHash of a text as ``width`` 64-bit words, its number of shingles); zeros without words.
-
-    Word i takes XXH64 with seed 42 + i. Memory is bounded by the words of one text.
-    """
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text; 0 without words. Memory is bounded by the words of one text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(width, np.uint64), 0
+        return 0
     if len(words) <= shingle:
         pieces = [b" ".join(words)]
     else:
@@ -55,32 +54,25 @@ def simhash(text: str | None, shingle: int = SHINGLE, width: int = 1) -> tuple[n
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    out, digest = np.zeros(width, np.uint64), xxhash.xxh64_intdigest
-    for w in range(width):
-        h = np.array([digest(x, 42 + w) for x in pieces], dtype="<u8")
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 65536):
-            bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out[w] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
-    return out, len(pieces)
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(x, 42) for x in pieces], dtype="<u8")
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text; 0 without words."""
-    return int(simhash(text, shingle)[0][0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
-    """(doc_id, code array<long>, n shingles) per row of docs; null and wordless texts have code 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) per row of docs; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [simhash(t, shingle, width) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "code": [c.view(np.int64) for c, _ in found], "n": [n for _, n in found]})
+            found = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": found.view(np.int64)})
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, code array<long>, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
 def build_tree(points: np.ndarray, leaf: int) -> tuple[list, int]:
@@ -185,83 +177,189 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sh
     return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
-def radius_of(similarity: float, width: int) -> int:
-    """Differing bits that pairs of that Jaccard similarity stay within, but for one in fifteen."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * width
-    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+def shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct word shingles of a text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+
 
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    found = shingles(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
 
-def similar_pairs(points: DataFrame, similarity: float, width: int, sample: int = SAMPLE, shard: int = 4 * SHARD) -> DataFrame:
-    """Spanning links (a, b) of points (fp long, code, n; written) at least about that similar.
 
-    Within the bits that a similarity of 0.8 needs nearly every pair of points is within the
-    triangle bounds of any vantage point, so a tree can't prune. What does is the other bound that
-    similar sets keep: the smaller has at least ``similarity`` times the shingles of the larger.
-    Shards are ranges of (n, fp); a point visits the lower shards that its bound reaches.
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, least: int = 4, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, their places from rare to common) of shingles common in a sample of distinct texts.
+
+    They only shape the order of shingles: any choice finds the same pairs.
     """
-    spark = points.sparkSession
-    count = points.count()
-    picked = points.select("n", "fp")
-    picked = picked.orderBy(F.xxhash64("fp")).limit(sample) if count > sample else picked
-    order = sorted((r["n"], r["fp"]) for r in picked.collect())
-    step = max(1, int(shard * len(order) / max(count, 1)))
-    cuts = order[step::step]  # each opens a shard
-    shared, radius = spark.sparkContext.broadcast(cuts), radius_of(similarity, width)
+    texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    if (n := docs.count()) > sample:
+        texts = texts.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * sample / n)))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = np.array([bisect.bisect_right(shared.value, x) for x in zip(b["n"].tolist(), b["fp"].tolist())], np.int64)
-            low = np.array([bisect.bisect_right(shared.value, (math.ceil(similarity * n - 1e-9), -(2**63))) for n in b["n"].tolist()], np.int64)
-            times = own - low + 1
-            at = np.repeat(np.arange(len(b)), times)
-            leaf = np.repeat(low, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            out = b.iloc[at].reset_index(drop=True)
-            yield out.assign(leaf=leaf, member=leaf == own[at])[["leaf", "fp", "code", "n", "member"]]
+            yield pd.DataFrame({"tok": np.concatenate([np.zeros(0, np.uint64), *(hashes(t, shingle) for t in b["text"])]).view(np.int64)})
+
+    counts = texts.dropDuplicates(["h"]).select("text").mapInPandas(run, "tok long").groupBy("tok").count().where(F.col("count") >= least)
+    top = counts.orderBy(F.desc("count"), "tok").limit(most).collect()
+    tok = np.array([r["tok"] for r in reversed(top)], np.int64).view(np.uint64)
+    order = np.argsort(tok)
+    return tok[order], order
+
+
+def shared_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc_id, h, fp, n, toks) per row of docs: keys of its text and its shingle set, the set's size and prefix.
+
+    Two sets of that Jaccard similarity share one of the first ``n - ceil(similarity * n) + 1``
+    shingles of each, whatever the order; rare ones first keeps those that share one few.
+    """
+    common, place = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle)), np.searchsorted
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, rank = common.value
+        for b in batches:
+            fp, size, toks = [], [], []
+            for t in b["text"]:
+                h = hashes(t, shingle)
+                n = len(h)
+                at = np.minimum(place(known, h), max(len(known) - 1, 0))
+                often = known[at] == h if len(known) else np.zeros(n, bool)
+                ordered = np.concatenate((h[~often], h[often][np.argsort(rank[at[often]])])) if often.any() else h
+                fp.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
+                size.append(n)
+                toks.append(ordered[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].view(np.int64))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp, "n": size, "toks": toks})
+
+    short_batches(docs.sparkSession)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return read.mapInPandas(run, "doc_id long, h long, fp long, n long, toks array<long>")
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        code = np.array(g["code"].tolist(), np.int64).view(np.uint64).reshape(len(g), width)
-        n, fp, label = g["n"].to_numpy(float), g["fp"].to_numpy(np.int64), np.arange(len(g))
-        links = []
-        for i in np.flatnonzero(g["member"].to_numpy(bool)).tolist():
-            at = np.flatnonzero(label != label[i])
-            d = np.bitwise_count(code[at, 0] ^ code[i, 0])
-            for w in range(1, width):
-                near = d <= radius
-                at, d = at[near], d[near].astype(np.int64)
-                d += np.bitwise_count(code[at, w] ^ code[i, w])
-            at = at[(d <= radius) & (np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]))]
-            for j in at.tolist():
-                if label[j] != label[i]:
-                    links.append((fp[i], fp[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    routed = points.mapInPandas(spread, "leaf int, fp long, code array<long>, n long, member boolean")
-    return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
+def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, j) of pairs (a, b): the Jaccard similarity of the shingle sets of their texts (fp, text)."""
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, width: int = 4) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, set()
+        for g in batches:
+            out = []
+            for a, x, y in zip(g["a"], g["x"], g["y"]):
+                if a != last:
+                    last, held = a, shingles(x, shingle)
+                other = shingles(y, shingle)
+                both = len(held & other)
+                out.append(both / max(1, len(held) + len(other) - both))
+            yield pd.DataFrame({"a": g["a"], "b": g["b"], "j": out})
+
+    left = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    both = left.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, j double")
+
+
+def most_similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, most) of pairs (a, b, na, nb): a bound of their similarity, from sizes and then prefixes.
+
+    The prefix that ends first in the order holds all shingles of its set up to there, and so does
+    the other's, so what they don't share in it is in one set only; either may be that prefix.
+    """
+    ratio = F.least("na", "nb") / F.greatest("na", "nb")
+    pairs = written(pairs.withColumn("ratio", ratio), "pair-sizes")
+    toks = rows.where("n > 0").select("fp", "toks").dropDuplicates(["fp"])
+    near = pairs.where(F.col("ratio") >= similarity - 1e-9)
+    near = near.join(toks.select(F.col("fp").alias("a"), F.col("toks").alias("x")), "a").join(toks.select(F.col("fp").alias("b"), F.col("toks").alias("y")), "b")
+    near = near.withColumn("both", F.size(F.array_intersect("x", "y")))
+
+    def bound(n: str, toks: str, other: str):
+        shared = F.least(F.col(n) - F.size(toks) + F.col("both"), F.col(other))
+        return shared / (F.col(n) + F.col(other) - shared)
+
+    most = F.least("ratio", F.greatest(bound("na", "x", "nb"), bound("nb", "y", "na")))
+    return near.select("a", "b", most.alias("most")).unionByName(pairs.where(F.col("ratio") < similarity - 1e-9).select("a", "b", F.col("ratio").alias("most")))
+
+
+def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b, least, most) of pairs (a, b, na, nb): their similarity, or its bounds where it can't reach ``similarity``."""
+    bounds = written(most_similar(pairs, rows, similarity), "pair-bounds")
+    may = bounds.where(F.col("most") >= similarity - 1e-9).select("a", "b")
+    met = may.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    one = written(rows.select("fp", "h").join(met, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")), "set-keys")
+    texts = join_small(docs.select(F.xxhash64("text").alias("h"), "text"), one, "h", "inner", 200_000)
+    texts = written(texts.dropDuplicates(["fp"]).select("fp", "text"), "set-texts")
+    exact = exact_jaccard(may, texts, shingle).select("a", "b", F.col("j").alias("least"), F.col("j").alias("most"))
+    rest = bounds.where(F.col("most") < similarity - 1e-9).select("a", "b", F.lit(0.0).alias("least"), "most")
+    return written(exact.unionByName(rest), "pair-similarities")
+
+
+def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity.
+
+    Every pair of that similarity is linked or has both ends in one component of the links, and
+    every link is checked on the texts. Sets that share a prefix shingle are a group. First each
+    member meets the group's least and greatest fp. Similarity makes a metric, so two members can only
+    be similar if their similarities to either differ by at most ``1 - similarity``; pairs that may be
+    and are not in one component yet are checked next. A group of near copies falls to its first
+    links, so the pairs made follow the links across components, not the square of a group.
+    """
+    far = 1 - similarity + 1e-9
+    deal = written(rows.where("n > 0").dropDuplicates(["fp"]).select("fp", "n", F.explode("toks").alias("tok")), "prefixes")
+    shared = written(deal.groupBy("tok").count().where("count > 1"), "shared-shingles")
+    groups = written(deal.join(shared, "tok"), "prefix-groups")
+    me = F.struct("fp", "n")
+    ends = written(groups.groupBy("tok").agg(F.min(me).alias("lo"), F.max(me).alias("hi")), "group-ends")
+    first = groups.join(ends, "tok").select(me.alias("c"), F.explode(F.array("lo", "hi")).alias("d")).where("c.fp <> d.fp")
+    first = first.select(F.least("c", "d").alias("p"), F.greatest("c", "d").alias("q")).distinct()
+    first = first.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+    sims = checked(first, rows, docs, similarity, shingle)
+    links = sims.where(F.col("least") >= similarity).select("a", "b")
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    # Of three members, each pair has met.
+    large = groups.where("count > 3").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = large.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("tok")
+    large = large.join(mixed, "tok", "left_semi").join(ends.select("tok", F.col("lo.fp").alias("lo"), F.col("hi.fp").alias("hi")), "tok")
+    for end in ("lo", "hi"):
+        to = sims.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("least").alias(f"{end}_0"), F.col("most").alias(f"{end}_1"))
+        met = (F.least("fp", end) == F.col("p")) & (F.greatest("fp", end) == F.col("q"))
+        large = large.join(to, met, "left").drop("p", "q")
+        large = large.withColumns({c: F.when(F.col("fp") == F.col(end), 1.0).otherwise(F.col(c)) for c in (f"{end}_0", f"{end}_1")})
+    large = written(large, "mixed-groups")
+    # Members in the component of the least one matter only to others that are close enough to meet them.
+    heads = large.where("fp = lo").select("tok", F.col("root").alias("head"))
+    near = large.join(heads, "tok")
+    reach = near.where("root <> head").groupBy("tok").agg(F.max("lo_1").alias("reach"))
+    near = near.join(reach, "tok").where((F.col("root") != F.col("head")) | (F.col("lo_0") - F.col("reach") <= far))
+    near = near.select("tok", "fp", "n", "root", "lo_0", "lo_1", "hi_0", "hi_1")
+    x, y = near.alias("x"), near.alias("y")
+    may = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+    may &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    for end in ("lo", "hi"):
+        may &= (F.col(f"x.{end}_0") - F.col(f"y.{end}_1") <= far) & (F.col(f"y.{end}_0") - F.col(f"x.{end}_1") <= far)
+    more = x.join(y, may).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    found = checked(more.join(sims, ["a", "b"], "left_anti"), rows, docs, similarity, shingle)
+    return written(links.unionByName(found.where(F.col("least") >= similarity).select("a", "b")), "similar-pairs")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (doc_id, text; other columns are not read).
 
     component_id is the smallest doc_id reachable over links. Without ``similarity`` texts link if
-    their 64-bit fingerprints differ in at most ``radius`` bits; with it, if their fingerprints of
-    ``width`` words say that their shingle sets have that Jaccard similarity (fp is then a key of
-    the fingerprint). Null, empty and wordless texts share fingerprint 0 and are linked like any
-    other; repeated rows and exact copies share a fingerprint. A row with a null doc_id takes part
+    their 64-bit fingerprints differ in at most ``radius`` bits; with it, if their sets of distinct
+    shingles have that Jaccard similarity, exactly (fp is then a key of the set). Null, empty and
+    wordless texts share one fp and are linked like any other; repeated rows and exact copies share
+    one. A row with a null doc_id takes part
     and gets its component's smallest non-null doc_id (null if there is none). Empty tables give no
     rows.
     """
     if similarity is None:
-        fp = F.element_at("code", 1)
-        rows = written(fingerprints(docs, shingle).select("doc_id", fp.alias("fp")), "simhash")
+        rows = written(fingerprints(docs, shingle), "simhash")
         points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-points")
         links = near_pairs(points.select("fp"), radius)
     else:
-        rows = written(fingerprints(docs, shingle, width).withColumn("fp", F.xxhash64("n", "code")), "simhash")
-        points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("code").alias("code"), F.min("n").alias("n"))
-        points = written(points, "simhash-points")
-        links = similar_pairs(points.select("fp", "code", "n"), similarity, width)
+        rows = written(shared_prefixes(docs, similarity, shingle), "shingle-sets")
+        points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "shingle-points")
+        links = similar_pairs(rows, docs, similarity, shingle)
     roots = components(links).withColumnRenamed("node", "fp")
     labelled = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -199,6 +199,24 @@ def test_similar_texts_go_and_repeated_rows_count_once(spark, docs, rows):
     assert ids.count(7) == 1 and None in ids and [102 in ids, 103 in ids, 104 in ids].count(True) == 1
 
 
+def test_similar_texts_are_exactly_those_of_the_jaccard_limit(spark):
+    rng = random.Random(11)
+    texts, common = [], prose(rng, 40)
+    for i in range(24):
+        words = prose(rng, rng.randint(12, 160)).split()
+        for _ in range(8):  # around the limit, on either side
+            other = words[:]
+            for at in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 25))):
+                other[at] = prose(rng, 1)
+            texts.append(" ".join(other[: rng.randint(len(words) * 4 // 5, len(words))]))
+        texts.append(f"{common} {' '.join(words)}")
+    sets = [simhash.shingles(t, 5) for t in texts]
+    want = components_of(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, 5, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 24 < len(set(want)) < len(texts)
+
+
 # -- 4 nearest neighbours --------------------------------------------------------
 
 
