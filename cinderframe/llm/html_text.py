@@ -111,8 +111,8 @@ def score(feature: str, weights: dict[str, float]) -> float:
     return -TAG * (1 - share) - TINY if feature[:1] == "<" else 2 * share - 1
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text: blocks of the best region, joined by line feeds; empty if there is none."""
+def extract(page: str | None, weights: dict[str, float], joint: str = "\n") -> str:
+    """The main text: blocks of the best region, with ``joint`` between them; empty if there is none."""
     items = list(events(page or ""))
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, feature, value, _) in enumerate(items):
@@ -135,7 +135,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))
-    return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+    return joint.join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
@@ -157,8 +157,8 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     return {r["feature"]: (r["a"] + 0.05) / (r["n"] + 0.1) for r in by.collect()}  # features of the sample
 
 
-def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """pages' columns (but html) with ``text``: the article of each page.
+def main_text(pages: DataFrame, weights: dict[str, float], joint: str = "\n") -> DataFrame:
+    """pages' columns (but html) with ``text``: the article of each page, with ``joint`` between blocks.
 
     Null and empty html give an empty text, html without tags its words; repeated rows and null keys
     keep rows of their own; a column named text is replaced.
@@ -169,14 +169,14 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([extract(p, shared.value) for p in b], dtype=object)
+            yield pd.Series([extract(p, shared.value, joint) for p in b], dtype=object)
 
     keep = [c for c in pages.columns if c not in ("html", "text")]
     return pages.select(*keep, run("html").alias("text"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text (blocks with two line feeds between them), n_chars of every page."""
     pages = read_table(spark, sf_dir, "pages")
-    out = main_text(pages.select("page_id", "url", "html"), fit_weights(pages))
+    out = main_text(pages.select("page_id", "url", "html"), fit_weights(pages), "\n\n")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -473,6 +473,14 @@ def test_article_text(spark):
     assert html_text.main_text(pages.limit(0), {}).count() == 0
 
 
+def test_html_query_puts_two_line_feeds_between_blocks(spark, tmp_path):
+    page = "<body><article><h1>Head line</h1><p>First words here.<br>more</p><p>Second one.</p></article></body>"
+    spark.createDataFrame([(1, "u", page), (2, "u", "plain words")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op10_html_text(spark, str(tmp_path)).collect()}
+    want = "Head line\n\nFirst words here. more\n\nSecond one."
+    assert got == {1: (want, len(want)), 2: ("plain words", 11)}
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
