@@ -65,10 +65,9 @@ def geo10(t):
 
 
 def steps(t):
-    """Track points at most 40 m apart, numbered by track, segment, point and step."""
+    """Track points at most 40 m apart, keyed by track, segment, point and step."""
     s = geom.densified(trail.track_segments(t("fx_track_points")), 40.0)
-    number = F.col("track") * 100000000 + F.col("seg") * 1000000 + F.col("pt") * 10000 + F.col("i")
-    return s.select("track", number.alias("pt"), "x", "y")
+    return s.select("track", F.struct("track", "seg", "pt", "i").alias("pt"), "x", "y")
 
 
 @query("geo13_track_steps", f"{fx('fx_track_points')}, {STEPS} select track, count(*) as steps, round(sum(x), 1) as sx, round(sum(y), 1) as sy from steps group by track")

@@ -232,3 +232,19 @@ def test_years_rebuild_and_resume(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, px int")
     new = spark.createDataFrame([("b", 2)], "id string, px int")
     assert {tuple(r) for r in sinks.merged(old, new).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_steps_of_long_tracks_have_keys_of_their_own(spark):
+    from cinderframe.jobs import trail_queries
+
+    points = [(track, seg, pt, 100.0 * pt, 50.0 * track) for track, seg in ((1, 100), (2, 0), (1, 0)) for pt in range(3)]
+    points += [(3, 0, pt, 5.0 * pt, 0.0) for pt in range(99, 102)] + [(3, 1, pt, 5.0 * pt, 9.0) for pt in range(3)]
+    table = spark.createDataFrame(points, "track long, seg long, pt long, x double, y double")
+    s = trail_queries.steps(lambda name: table).cache()
+    assert s.count() == 3 * 2 * 3 + 2 + 2 == s.select("pt").distinct().count()
+    square = [(0, 0, 0, 0, "f", 20.0, 40.0, 20.0, 60.0), (0, 0, 0, 1, "f", 120.0, 60.0, 120.0, 40.0)]
+    edges = spark.createDataFrame(square, "part int, ring int, k int, seq int, id string, x0 double, y0 double, x1 double, y1 double")
+    hits = trail_queries.spatial.in_perimeters(s, edges)
+    fires = spark.createDataFrame([("f", 1)], "id string, ig_date int")
+    got = {r["track"]: (r["steps"], r["burned"], r["fires"]) for r in trail_queries.trail.track_report(s.select("track", "pt"), hits, fires).collect()}
+    assert got == {1: (12, 6, "f"), 2: (6, 0, ""), 3: (4, 0, "")}
