@@ -155,7 +155,7 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sh
     """Spanning links (a, b) of all pairs of distinct fingerprints (fp long, written) within radius."""
     spark = points.sparkSession
     n = points.count()
-    picked = points.orderBy(F.xxhash64("fp")).limit(sample) if n > sample else points
+    picked = points.orderBy(F.xxhash64("fp")).limit(min(sample, max(1, n // 8)))  # an eighth of the points at most
     seed = np.sort(np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64))
     rng = np.random.default_rng(7)
     rng.shuffle(seed)

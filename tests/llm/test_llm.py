@@ -217,6 +217,24 @@ def test_similar_texts_are_exactly_those_of_the_jaccard_limit(spark):
     assert [got[i] for i in range(len(texts))] == want and 24 < len(set(want)) < len(texts)
 
 
+def test_near_copies_make_pairs_in_proportion_and_few_points_reach_the_driver(spark, monkeypatch):
+    rng, seen, tree = random.Random(4), [], []
+    words = prose(rng, 60).split()
+    texts = [" ".join([*words[:i], "x" * (1 + k), *words[i + 1 :]]) for k in range(4) for i in (*range(2), *range(57, 60))]
+    texts += [" ".join([*words, f"end{k}"]) for k in range(180)] + [prose(rng, 60) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = simhash.exact_jaccard
+    monkeypatch.setattr(simhash, "exact_jaccard", lambda pairs, *a: seen.append(pairs.count()) or exact(pairs, *a))
+    got = simhash.near_duplicates(d, 5, similarity=0.8).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 200} == {0} and len({r["component_id"] for r in got}) == 201
+    assert sum(seen) < 20 * len(texts)
+    build = simhash.build_tree
+    monkeypatch.setattr(simhash, "build_tree", lambda points, leaf: tree.append(len(points)) or build(points, leaf))
+    points = written(spark.range(2000).selectExpr("xxhash64(id) as fp"), "t")
+    simhash.near_pairs(points, 2)
+    assert tree and tree[0] <= 250
+
+
 # -- 4 nearest neighbours --------------------------------------------------------
 
 
