@@ -235,6 +235,13 @@ def test_near_copies_make_pairs_in_proportion_and_few_points_reach_the_driver(sp
     assert tree and tree[0] <= 250
 
 
+def test_a_text_and_its_doubled_text_are_near_duplicates(spark):
+    rng = random.Random(5)
+    text, other = prose(rng, 120), prose(rng, 120)
+    d = spark.createDataFrame([(1, text), (2, f"{text} {text}"), (3, f"{text} {text} {text}"), (4, other)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()) == [1, 4]
+
+
 # -- 4 nearest neighbours --------------------------------------------------------
 
 
