@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderframe.llm import ann, binary, decontaminate, html_text, langid, mixing, quality, secrets, simhash, token_counts
+from cinderframe.llm import ann, binary, decontaminate, langid, mixing, quality, secrets, simhash, token_counts
 from cinderframe.llm.common import written
 from cinderframe.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -483,29 +483,6 @@ def test_word_count_cuts_at_ascii_blanks_only(spark):
     assert {r["i"]: r["n"] for r in d.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
 
 
-# -- 10 HTML ------------------------------------------------------------------------------
-
-
-def test_article_text(spark):
-    page = ("<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Menu one</a></li><li><a>Menu two</a></li></ul></nav>"
-            "<div class='ad'>buy this now</div><article><h1>Head  &amp; line</h1><p>First <b>bold</b>\n words here.<br>more<p>Second &eacute;.</p><div class='comments'><p>me too</p></div></article><footer>&copy; site all rights</footer></body></html>")
-    pages = spark.createDataFrame([(i, page, "u") for i in range(20)] + [(50, None, "u"), (51, "", "u"), (52, "plain words", "u"), (53, page.replace("</article>", ""), "u")], "page_id long, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages, html_text.fit_weights(pages)).collect()}
-    want = "Head & line\nFirst bold words here. more\nSecond é."
-    assert got[0] == want and got[50] == got[51] == "" and got[52] == "plain words" and got[53] == want
-    bare = {r["page_id"]: r["text"] for r in html_text.main_text(pages, {}).collect()}
-    assert bare[0] == want and html_text.fit_weights(pages.where("page_id > 49 and page_id < 53")) == {}
-    assert html_text.main_text(pages.limit(0), {}).count() == 0
-
-
-def test_html_query_puts_two_line_feeds_between_blocks(spark, tmp_path):
-    page = "<body><article><h1>Head line</h1><p>First words here.<br>more</p><p>Second one.</p></article></body>"
-    spark.createDataFrame([(1, "u", page), (2, "u", "plain words")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op10_html_text(spark, str(tmp_path)).collect()}
-    want = "Head line\n\nFirst words here. more\n\nSecond one."
-    assert got == {1: (want, len(want)), 2: ("plain words", 11)}
-
-
 # -- pipeline -------------------------------------------------------------------------------
 
 
