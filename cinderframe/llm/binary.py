@@ -6,7 +6,8 @@ behind a header of eight 64-bit numbers (magic, version, bytes of an id, records
 ids, 0): displacements (one int32 a bucket), fingerprints (one uint32 a slot), slot -> record
 (one uint32 a slot), keys (one int64 a record), key is null (one byte a record), and offsets (one
 uint64 a record, and the end). A key's slot comes from its bucket's displacement with no search, its
-stored fingerprint tells foreign keys apart, and the slot names the first record of that key.
+stored fingerprint tells foreign keys apart, and the slot names the first record of that key. Reading
+back goes through it: every key is looked up, and its rows are those of the record its slot names.
 
 Shards are ranges of (doc_id, text hash), so a repeated or null key spreads over shards too. Files
 are written under an attempt's own name and renamed: a task that runs again replaces like by like.
@@ -31,7 +32,11 @@ from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = 0x58444952, 1
 END_ID = 2
-SHARD_ROWS = 8_192
+#: A shard holds about a fourth of a core's share of the texts, between these bytes, and at most so many rows.
+SHARD_BYTES = (16 << 20, 256 << 20)
+SHARD_ROWS = 1_000_000
+#: Shard bounds that are sent to the tasks at once; more go in blocks.
+BOUNDS = 1_000_000
 M64 = (1 << 64) - 1
 
 
@@ -129,29 +134,59 @@ class Shard:
             f.seek(int(start) * self.width)
             return np.frombuffer(f.read((int(end) - int(start)) * self.width), f"<u{self.width}")
 
-    def get(self, key: int) -> list[np.ndarray]:
-        """The ids of every record of a key, in constant time; none for a key that isn't here."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The first record of each key by slot and fingerprint, in constant time; -1 for keys that aren't here."""
         if not self.n_keys:
+            return np.full(len(keys), -1)
+        slot = find_slots(keys, self.shift, self.n_keys)
+        known = self.prints[slot] == (mix64(keys.view(np.uint64), 9) >> np.uint64(32)).astype(np.uint32)
+        return np.where(known, self.first[slot].astype(np.int64), -1)
+
+    def located(self) -> np.ndarray:
+        """The record that the index gives for each record's key; a repeated key's follow its first."""
+        begins = key_begins(self.keys, self.null)
+        found = self.find(np.ascontiguousarray(self.keys[begins]))
+        if (found < 0).any() or len(begins) != self.n_keys:
+            raise ValueError(f"{self.base}.idx doesn't hold all its keys")
+        number = np.searchsorted(begins, np.arange(self.records), "right") - 1
+        own = np.flatnonzero(self.null == 0)
+        out = np.arange(self.records)
+        out[own] = found[number[own]] + own - begins[number[own]]
+        return out
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every record of a key; none for a key that isn't here."""
+        r = int(self.find(np.array([key], np.int64))[0])
+        if r < 0:
             return []
-        k = np.array([key], np.int64)
-        slot = find_slots(k, self.shift, self.n_keys)[0]
-        if self.prints[slot] != np.uint32(mix64(k.view(np.uint64), 9)[0] >> np.uint64(32)):
-            return []
-        out, r = [], int(self.first[slot])
+        out = []
         while r < self.records and self.keys[r] == key and not self.null[r]:
             out.append(self.ids(self.offsets[r], self.offsets[r + 1]))
             r += 1
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def key_begins(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Records that begin a key's run; null keys have none."""
+    return np.flatnonzero((null == 0) & ((np.arange(len(keys)) == 0) | (keys != np.roll(keys, 1)) | (np.roll(null, 1) == 1)))
+
+
+def shards_for(docs: DataFrame, shard_rows: int | None) -> int:
+    """How many shards the texts need, by their bytes and rows."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = size // (4 * docs.sparkSession.sparkContext.defaultParallelism)
+    most = max(SHARD_BYTES[0], min(SHARD_BYTES[1], share))
+    return max(1, -(-size // most), -(-rows // (shard_rows or SHARD_ROWS)))
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, shard_rows: int | None = None) -> DataFrame:
     """Write docs (doc_id, text; other columns are not read) as shards; the manifest, one row each.
 
     Order: ascending doc_id (null first), then text hash. Null and empty texts give only the end id.
     Manifest: shard, n_records, n_ids, low, high (keys). No rows: no shards, an empty manifest.
     """
     short_batches(docs.sparkSession)
-    n = max(1, -(-docs.count() // shard_rows))
+    n = shards_for(docs, shard_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     schema = "shard int, n_records long, n_ids long, low long, high long"
@@ -177,7 +212,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
             return
         out.close()
         keys, null = np.concatenate(keys), np.concatenate(null)
-        begins = np.flatnonzero((null == 0) & ((np.arange(len(keys)) == 0) | (keys != np.roll(keys, 1)) | (np.roll(null, 1) == 1)))
+        begins = key_begins(keys, null)
         shift, slot, prints = build_index(keys[begins])
         first = np.zeros(len(begins), "<u4")
         first[slot] = begins
@@ -196,7 +231,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
 
 
 def read_shards(manifest: DataFrame, folder: str, block: int = 1 << 21) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, read back from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every record, looked up by key and read from the files.
+
+    Rows with a null doc_id have no key; they come first and are read in order.
+    """
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
     bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     n = max(1, manifest.count())
@@ -205,37 +243,62 @@ def read_shards(manifest: DataFrame, folder: str, block: int = 1 << 21) -> DataF
         for b in batches:
             for number, base in zip(b["shard"].tolist(), b["base"].tolist()):
                 s = Shard(folder, number)
-                off = s.offsets.astype(np.int64)
+                at, off = s.located(), s.offsets.astype(np.int64)
+                low, high = off[at], off[at + 1]
+                size = np.cumsum(high - low)
                 r = 0
                 while r < s.records:
-                    to = max(r + 1, int(np.searchsorted(off, off[r] + block, "right")) - 1)
-                    ids = s.ids(off[r], off[to]).astype("<u4")
-                    crc = [zlib.crc32(ids[x:y]) for x, y in zip((off[r:to] - off[r]).tolist(), (off[r + 1 : to + 1] - off[r]).tolist())]
+                    to = max(r + 1, int(np.searchsorted(size, (size[r - 1] if r else 0) + block, "right")))
+                    begin, end = int(low[r:to].min()), int(high[r:to].max())
+                    ids = s.ids(begin, end).astype("<u4")
+                    crc = [zlib.crc32(ids[x:y]) for x, y in zip((low[r:to] - begin).tolist(), (high[r:to] - begin).tolist())]
                     doc = pd.array(s.keys[r:to].copy(), "Int64")
                     doc[s.null[r:to] == 1] = pd.NA
-                    yield pd.DataFrame({"doc_id": doc, "start": off[r:to] + base, "n_tokens": np.diff(off[r : to + 1]), "ids_crc32": crc})
+                    yield pd.DataFrame({"doc_id": doc, "start": low[r:to] + base, "n_tokens": high[r:to] - low[r:to], "ids_crc32": crc})
                     r = to
 
     return bases.repartitionByRange(n, "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
+def lookup(manifest: DataFrame, folder: str, keys: DataFrame, bounds: int = BOUNDS) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>) for a DataFrame of keys (doc_id), by the hash index.
 
-    Each key goes to the shards whose key range holds it (one, unless the key repeats).
+    Shards are ranges of keys: each distinct key goes to those whose range holds it (one, unless the
+    key repeats), found by binary search in their bounds, ``bounds`` shards at a time. A shard is
+    asked for at most as many keys as it has.
     """
+    spark = manifest.sparkSession
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    hit = wanted.join(manifest.select("shard", "low", "high"), F.col("doc_id").between(F.col("low"), F.col("high")))
+    last = manifest.agg(F.max("shard")).first()[0]
+    hit = None
+    for begin in range(0, (-1 if last is None else last) + 1, bounds):
+        part = manifest.where((F.col("shard") >= begin) & (F.col("shard") < begin + bounds) & F.col("low").isNotNull()).orderBy("shard")
+        table = np.array([(r["shard"], r["low"], r["high"]) for r in part.select("shard", "low", "high").toLocalIterator()], np.int64).reshape(-1, 3)
+        shared = spark.sparkContext.broadcast(table)
+
+        def route(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            shard, low, high = shared.value.T
+            for b in batches:
+                k = b["doc_id"].to_numpy(np.int64)
+                first, end = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
+                times = np.maximum(end - first, 0)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"shard": shard[np.repeat(first, times) + nth], "doc_id": np.repeat(k, times)})
+
+        found = wanted.mapInPandas(route, "shard long, doc_id long")
+        hit = found if hit is None else hit.unionByName(found)
+    if hit is None:
+        hit = wanted.select(F.lit(0).cast("long").alias("shard"), "doc_id").limit(0)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         s = Shard(folder, int(g["shard"].iloc[0]))
         found = [(k, len(ids), ids.astype(np.int64)) for k in g["doc_id"] for ids in s.get(int(k))]
         return pd.DataFrame(found, columns=["doc_id", "n_tokens", "ids"])
 
-    return hit.select("shard", "doc_id").groupBy("shard").applyInPandas(run, "doc_id long, n_tokens long, ids array<long>")
+    return hit.groupBy("shard").applyInPandas(run, "doc_id long, n_tokens long, ids array<long>")
 
 
-def token_output(docs: DataFrame, end_id: int | None = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def token_output(docs: DataFrame, end_id: int | None = END_ID, shard_rows: int | None = None) -> DataFrame:
     """Write ``docs`` as id shards in the shared folder and return what reading them back gives.
 
     One row per row of docs, repeated and null doc_ids included.

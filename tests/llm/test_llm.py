@@ -12,40 +12,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderframe.llm import ann, binary, decontaminate, langid, mixing, quality, secrets, simhash, token_counts
+from cinderframe.llm import ann, decontaminate, langid, mixing, quality, secrets, simhash, token_counts
 from cinderframe.llm.common import written
 from cinderframe.llm.tokens import ChunkEncoder, tokenizer_path
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, base string, row string, window string, k int"
-SYL = {"en": "th he in er an re on at nd st".split(), "fr": "le ou ai eu qu eau ion ment é ç".split()}
-
-
-def prose(rng, n, lang="en"):
-    return " ".join("".join(rng.choices(SYL[lang], k=rng.randint(1, 4))) for _ in range(n))
-
-
-@pytest.fixture(scope="module")
-def rows():
-    rng = random.Random(3)
-    out = []
-    for i in range(60):
-        lang = "fr" if i % 3 == 0 else "en"
-        out.append((i, prose(rng, rng.randint(1, 120), lang), lang, f"s{i % 4}" if i % 7 else None))
-    out += [(100, out[5][1], "en", "s1"), (101, out[5][1] + " x", "en", "s1"), (7, out[7][1], out[7][2], out[7][3])]
-    out += [(102, None, "en", "s0"), (103, "", None, "s0"), (104, " \n\t ", "en", None), (105, "é" * 30, "fr", "s2"), (None, "the and of", "en", "s9")]
-    out += [(106, prose(rng, 4000), "en", "s0"), (107, "123 456 !!", "en", "s0")]
-    return [(*r, len(r[1] or ""), "b", "r", "w", 1) for r in out]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, rows):
-    return spark.createDataFrame(rows, DOC)
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], DOC)
-
+from .conftest import DOC, SYL, prose
 
 def components_of(n, linked):
     root = list(range(n))
@@ -397,41 +368,6 @@ def test_battery_passes_random_and_fails_text():
     assert max(secrets.randomness(prose(rng, 40).replace(" ", "")[:60] + "A1", "base62") for _ in range(50)) < 0.01
 
 
-# -- 8 binary output -------------------------------------------------------------------
-
-
-def test_shards_round_trip_and_keyed_access(spark, docs, rows, none):
-    from tokenizers import Tokenizer
-
-    tk = Tokenizer.from_file(tokenizer_path())
-    from cinderframe.llm.common import fresh_path
-
-    folder = fresh_path(spark, "ids")
-    manifest = binary.write_shards(docs, folder, tokenizer_path(), shard_rows=13)
-    got = binary.read_shards(manifest, folder, block=500).orderBy("start").collect()
-    ids = {}
-    for r in rows:
-        ids.setdefault(r[0], []).append([*tk.encode(r[1] or "", add_special_tokens=False).ids, 2])
-    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0)) and manifest.count() > 2
-    at = 0
-    for r in got:
-        assert r["start"] == at and r["ids_crc32"] in {zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids[r["doc_id"]]}
-        at += r["n_tokens"]
-    keys = spark.createDataFrame([(i,) for i in (0, 7, 59, 106, 5000, -4)] + [(None,)], "doc_id long")
-    found = sorted((r["doc_id"], tuple(r["ids"])) for r in binary.lookup(manifest, folder, keys).collect())
-    assert found == sorted((i, tuple(x)) for i in (0, 7, 59, 106) for x in ids[i])
-    assert binary.token_output(none).count() == 0
-
-
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 3000])
-def test_hash_index_is_minimal_and_perfect(n):
-    keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
-    shift, slot, prints = binary.build_index(keys)
-    assert sorted(slot.tolist()) == list(range(len(keys))) and len(prints) == len(keys)
-    if n:
-        assert (binary.find_slots(keys, shift, len(keys)) == slot).all()
-
-
 # -- 9 mixing ---------------------------------------------------------------------------
 
 
