@@ -8,8 +8,11 @@ entropy ``c * log2(N) / n``, and the language that needs least wins.
 The labelled text is a bounded sample: of each language the documents with the smallest hash of
 doc_id until ``letters`` symbols, ``letters`` being at most ``TOTAL_LETTERS`` over the number of
 languages. It is small enough to ship to the tasks, which build the automata once per worker.
-Texts are parsed whole; a long text is parsed in segments of ``SEGMENT`` symbols side by side (a
-piece never crosses a segment's end), so one long text doesn't run alone.
+
+Texts are parsed whole. So that one long text doesn't run alone, its segments of ``SEGMENT`` symbols
+are parsed side by side, each as if a piece began with it; then each is parsed again from where the
+one before really ends, up to the first place where both parses begin a piece, from which on they
+are the same. The pieces are those of one parse from the text's first letter, whatever ``SEGMENT`` is.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read_table, short_batches
@@ -94,6 +98,66 @@ class Automaton:
         self.table[at] = np.fromiter((t for e in edges for t in e.values()), np.int32) if len(at) else 0
         self.width, self.size = width, max(2, len(symbols))
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a piece begins with the symbol): state 1 is between two pieces."""
+        begins = state == 1
+        nxt = self.table[state * self.width + c]
+        dead = np.flatnonzero(nxt == 0)
+        if len(dead):  # the piece ended before this symbol, which begins the next, or is one if it never occurs
+            begins[dead] = True
+            again = self.table[self.width + c[dead]]
+            nxt[dead] = np.where(again == 0, 1, again)
+        return nxt, begins
+
+    def pieces(self, grid: np.ndarray, size: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Pieces that begin in each lane (a column of grid, ``size`` symbols, longest first).
+
+        ``follows``: the lane that goes on where a lane ends, or -1.
+        """
+        n = len(size)
+        marks = np.zeros(grid.shape, bool)
+        state = np.ones(n, np.int64)
+        alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # lanes longer than t
+        for t, k in enumerate(alive):
+            state[:k], marks[t, :k] = self.step(state[:k], grid[t, :k])
+        count, first = marks.sum(axis=0, dtype=np.int64), state.copy()
+        todo = np.flatnonzero(follows >= 0)
+        while len(todo):  # lanes whose end is known now: go on from it in the next one
+            lane, at, alike = follows[todo], state[todo], np.zeros(len(todo), bool)
+            found = np.zeros(len(todo), np.int64)
+            on = np.arange(len(todo))
+            for t in range(size[0]):
+                on = on[size[lane[on]] > t]
+                if not len(on):
+                    break
+                own = lane[on]
+                nxt, begins = self.step(at[on], grid[t, own])
+                met = begins & marks[t, own]
+                if met.any():
+                    alike[on[met]] = True
+                    found[on[met]] += marks[t:, own[met]].sum(axis=0)
+                go = ~met
+                on = on[go]
+                at[on] = nxt[go]
+                found[on] += begins[go]
+            count[lane] = found
+            at = np.where(alike, first[lane], at)
+            changed = at != state[lane]
+            state[lane] = at
+            todo = lane[changed & (follows[lane] >= 0)]
+        return count
+
+
+def lane_groups(seg: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Segments (text, begin, length) in groups of about LANES, a text's together, longest first."""
+    i = 0
+    while i < len(seg):
+        j = min(len(seg), i + LANES)
+        while j < len(seg) and seg[j][0] == seg[j - 1][0]:
+            j += 1
+        yield sorted(seg[i:j], key=lambda x: -x[2])
+        i = j
+
 
 class Model:
     """Automata of all languages over one alphabet: frequent letters apart, the rest in classes."""
@@ -111,32 +175,16 @@ class Model:
         """Pieces of each folded text in each language (texts x languages)."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         seg = [(i, j, min(SEGMENT, len(t) - j)) for i, t in enumerate(texts) for j in range(0, len(t), SEGMENT)]
-        for k in range(0, len(seg), LANES):
-            lanes = sorted(seg[k : k + LANES], key=lambda x: -x[2])
-            size = np.array([x[2] for x in lanes])
-            grid = np.zeros((size[0], len(lanes)), np.uint8)
-            for c, (i, j, n) in enumerate(lanes):
+        for group in lane_groups(seg):
+            number = {(x[0], x[1]): c for c, x in enumerate(group)}
+            size = np.array([x[2] for x in group])
+            grid = np.zeros((size[0], len(group)), np.uint8)
+            for c, (i, j, n) in enumerate(group):
                 grid[:n, c] = self.symbol[texts[i][j : j + n]]
-            owner = np.array([x[0] for x in lanes])
-            alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # lanes longer than t
+            owner = np.array([x[0] for x in group])
+            follows = np.array([number.get((i, j + SEGMENT), -1) for i, j, _ in group])
             for a, m in enumerate(self.automata):
-                state = np.ones(len(lanes), np.int64)
-                count = np.zeros(len(lanes), np.int64)
-                for t in range(size[0]):
-                    n = alive[t]
-                    c = grid[t, :n]
-                    nxt = m.table[state[:n] * m.width + c]
-                    dead = np.flatnonzero(nxt == 0)
-                    if len(dead):
-                        # the piece ended before this symbol, which starts the next one; if even the
-                        # start has no edge the symbol is a piece of its own and the start stays
-                        count[dead] += state[dead] != 1
-                        again = m.table[m.width + c[dead]]
-                        count[dead] += again == 0
-                        nxt[dead] = np.where(again == 0, 1, again)
-                    state[:n] = nxt
-                count += state != 1
-                np.add.at(out[:, a], owner, count)
+                np.add.at(out[:, a], owner, m.pieces(grid, size, follows))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -160,41 +208,67 @@ def model_of(texts: tuple[tuple[str, str], ...]) -> Model:
     return Model(dict(texts))
 
 
-def learnable():
-    """Rows that may be learned from: crc32 of doc_id's text mod 3 is not 1."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+def learnable() -> Column:
+    """Rows that may be learned from: crc32 of doc_id's text mod 3 is not 1; none without a doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False))
 
 
 def training_texts(docs: DataFrame, letters: int = LETTERS) -> tuple[tuple[str, str], ...]:
     """(language, folded sample) from docs (doc_id, text, lang): at most TOTAL_LETTERS letters in all.
 
-    Per language the documents are taken by ascending hash of doc_id; a hash bound from the row
-    counts limits what is read to a few times the sample.
+    Per language the documents are taken by ascending hash of doc_id until ``letters`` symbols, or to
+    the language's end; ties go by doc_id, then text. One scan sums the characters by language and
+    size of hash (64 rows a language); one more reads, for all languages, the documents below the
+    bound that this gives. Only where their letters are few among other characters is it repeated
+    with wider bounds.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learnable())
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).collect()  # a row a language
+    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    # the number of leading zeros of the hash: each level holds about half of the rows of the one before
+    rows = rows.withColumn("level", F.when(F.col("h") < 0, 64).otherwise(F.length(F.bin("h"))).cast("int"))
+    sums = rows.groupBy("lang", "level").agg(F.sum(F.length("text")).alias("chars")).collect()
+    sizes: dict = {}
+    for r in sums:
+        sizes.setdefault(r["lang"], {})[r["level"]] = r["chars"]
     letters = max(1_024, min(letters, TOTAL_LETTERS // max(1, len(sizes))))
-    out = []
-    for lang, n, chars in sorted(sizes):
-        part = 4 * letters / max(1.0, n * (chars or 1.0))  # a fraction of rows with enough letters
-        mine = rows.where(F.col("lang") == lang)
-        if n * part < 64:
-            part = 64 / n
-        if part < 1:
-            mine = mine.where(F.col("h") < F.lit(int(-(2**63) + part * 2**64)))
-        got, size = [], 0
-        wanted = mine.select("h", "doc_id", F.substring("text", 1, 2 * letters).alias("text"))
-        for r in wanted.orderBy("h", "doc_id", "text").limit(256).collect():
-            piece = folded(r["text"])[: letters - size]
-            got.append(piece)
-            size += len(piece)
-            if size >= letters:
-                break
-        sample = np.concatenate([np.zeros(0, np.uint32), *got])
-        if (sample > 0).any():
-            out.append((lang, "".join(map(chr, sample.tolist()))))
-    return tuple(out)
+    found: dict[str, str] = {}
+    todo, want = dict(sizes), 2 * letters
+    while todo:
+        bound = {}
+        for lang, by in todo.items():
+            total = 0
+            for level in range(65):
+                total += by.get(level, 0)
+                if total >= want:
+                    break
+            bound[lang] = level
+        done = sampled(rows, bound, letters)
+        found |= done
+        todo = {k: v for k, v in todo.items() if bound[k] < 64 and len(done.get(k, "")) < letters}
+        want *= 4
+    return tuple((k, t) for k, t in sorted(found.items()) if any(x != "\0" for x in t))
+
+
+def sampled(rows: DataFrame, bound: dict[str, int], letters: int) -> dict[str, str]:
+    """The first ``letters`` folded symbols of each language, of rows up to its level of hashes."""
+    spark = rows.sparkSession
+    limits = spark.createDataFrame(list(bound.items()), "lang string, most int")  # a row a language
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = ["".join(map(chr, folded(t)[:letters].tolist())) for t in b["text"]]
+            yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "doc_id": b["doc_id"], "text": texts})
+
+    mine = rows.join(F.broadcast(limits), "lang").where("level <= most").select("lang", "h", "doc_id", "text")
+    mine = mine.mapInPandas(run, "lang string, h long, doc_id long, text string").where("text <> ''")
+    # unsigned order of hashes; texts that others of the language fill up before are not sent
+    key = F.shiftrightunsigned("h", 1)
+    before = W.partitionBy("lang").orderBy(key, "h", "doc_id", "text").rowsBetween(W.unboundedPreceding, -1)
+    mine = mine.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < letters)
+    out: dict[str, list] = {}
+    for r in mine.select("lang", "before", "text").collect():  # at most 2 * letters symbols a language
+        out.setdefault(r["lang"], []).append((r["before"], r["text"]))
+    return {k: "".join(t for _, t in sorted(v))[:letters] for k, v in out.items()}
 
 
 def identify(docs: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -225,13 +299,24 @@ def identify(docs: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that language ID rejects (``und``); same columns."""
-    found = identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), training_texts(docs))
+    """``docs`` without the rows that language ID rejects (``und``); same columns.
+
+    Where nothing could be learned (no labelled text), only null and letterless texts go.
+    """
+    texts = training_texts(docs)
+    if not texts:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), texts)
     return found.where(F.col("lang_pred") != UND).select("doc.*")
 
 
+def held_out() -> Column:
+    """Remainder 1; a row without a doc_id is neither held out nor learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     rows = identify(docs.select("doc_id", "text"), training_texts(docs))
-    return rows.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderframe.llm import ann, decontaminate, langid, mixing, quality, secrets, simhash, token_counts
+from cinderframe.llm import ann, decontaminate, mixing, quality, secrets, simhash, token_counts
 from cinderframe.llm.common import written
 from cinderframe.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -252,46 +252,6 @@ def test_multi_index_finds_every_code_within_the_radius():
             assert sorted(found.tolist()) == want.tolist() and (d <= r).all()
 
 
-# -- 5 language ID ---------------------------------------------------------------
-
-
-def phrases_by_search(text, train):
-    n = 0
-    for i in range(0, len(text), langid.SEGMENT):
-        s = text[i : i + langid.SEGMENT]
-        while s:
-            k = next((k for k in range(1, len(s) + 1) if s[:k] not in train), len(s) + 1) - 1
-            n, s = n + 1, s[max(1, k) :]
-    return n
-
-
-def test_phrases_equal_a_search(monkeypatch):
-    monkeypatch.setattr(langid, "SEGMENT", 50)
-    rng = random.Random(6)
-    train = {k: prose(rng, 150, k) for k in SYL}
-    m = langid.Model(train)
-    texts = [prose(rng, n, k) for n in (0, 1, 3, 40, 90) for k in SYL] + ["zzz日本zz"]
-    codes = [langid.folded(t) for t in texts]
-    got = m.phrases(codes)
-    for i, c in enumerate(codes):
-        for j, lang in enumerate(m.langs):
-            sym = "".join(chr(x) for x in m.symbol[c])
-            assert got[i, j] == phrases_by_search(sym, "".join(chr(m.symbol[ord(x)]) for x in train[lang])), (texts[i], lang)
-
-
-def test_language_id_predicts_held_out_rows(docs, none):
-    texts = langid.training_texts(docs)
-    assert {k for k, _ in texts} == {"en", "fr"}
-    got = langid.identify(docs, texts).collect()
-    rows = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 60 and len(r["text"]) > 30]
-    assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
-    by = {r["doc_id"]: r for r in got}
-    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (102, 103, 104, 107)) and all(0 <= r["score"] <= 1 for r in got)
-    kept = langid.drop_unidentified(docs)
-    assert kept.columns == docs.columns and kept.count() == len(got) - 4
-    assert langid.identify(none, langid.training_texts(none)).count() == 0 and langid.training_texts(none) == ()
-
-
 # -- 6 decontamination -------------------------------------------------------------
 
 
