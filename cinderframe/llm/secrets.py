@@ -1,27 +1,35 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for anything else.
 
 Fixed patterns (``assign``, ``access``, ``hex``) are always reported. Beside them every run of
-``[A-Za-z0-9+/=_-]`` of MIN_RUN characters or more is a candidate. Its encoding is the narrowest
-alphabet that holds it, and three tests ask whether it could be uniform random symbols: chi-squared
-uniformity over the alphabet, runs above and below its middle, and lag-1 serial correlation;
-Fisher's method gives one p-value.
-
-False discoveries are controlled per encoding and length class over the whole corpus: the
-Benjamini-Hochberg rule at level Q rejects randomness for the candidates that are words, paths,
-rulers and the like, so at most a share Q of what it throws out are random strings. Candidates that
-are not thrown out are reported as ``random`` if their length gives the test power: in their
-encoding natural text (index of coincidence TEXT_IC) of that length must fail with probability 0.99,
-and the string must hold MIN_BITS bits. Digits alone are never reported.
-
-The texts are scanned once; thresholds come from a histogram of the p-values, which has at most
-encodings x length classes x BINS rows.
+``[A-Za-z0-9+/=_-]`` of MIN_RUN characters or more that overlaps none of them is a candidate. Its
+encoding is the narrowest alphabet that holds it, and three tests ask whether it could be uniform
+random symbols: chi-squared uniformity over the alphabet, runs above and below its middle, and lag-1
+serial correlation. Fisher's method joins them; a candidate that it rejects at ALPHA is no secret.
+
+A discovery is a candidate reported as ``random``, so the null hypothesis is "text-like": words,
+paths, identifiers and rulers. Chi-squared is the number of pairs of equal symbols in other units; in
+text that number is higher than in random symbols, and the more so the longer the string. Under the
+null its mean and variance follow from the chance s2 that two symbols are equal and s3 that three
+are. Both, and how much strings spread beyond that variance, are calibrated per encoding over the
+whole corpus from the candidates of LONG symbols or more that the battery rejected (of shorter ones
+it passes many, so what it rejects would be no fair sample), together with a prior worth PRIOR
+strings. The p-value is the lower tail (1 for what the battery rejected), so a short string can't be
+told from text and is not reported.
+
+The Benjamini-Hochberg rule at level Q runs per encoding and length class over all candidates of the
+corpus, so among what is reported in a class at most an expected share Q is text-like. Decimal digits
+alone are never candidates.
+
+The texts are scanned once; calibration and cut-offs come from aggregates of the candidates of at
+most encodings x length classes x BINS rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,10 +41,13 @@ from .common import read_table, short_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
-MIN_BITS = 80
+ALPHA = 0.001
 Q = 0.05
 BINS = 400
-TEXT_IC = 0.066
+#: Strings that the prior of an encoding's null distribution is worth, and the length of one.
+PRIOR, PRIOR_LENGTH = 20, 40
+#: Strings that calibrate: so long that the battery misses little text, and of so many symbols that they are no rulers.
+LONG, VARIED = 64, 8
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ANY_CASE = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -78,14 +89,26 @@ def runs_of(raw: np.ndarray, mask: np.ndarray, least: int) -> list[tuple[int, in
     return list(zip(a[at].tolist(), b[at].tolist()))
 
 
-def least_length(size: int) -> int:
-    """Symbols of an alphabet from which the battery has power and the string enough bits."""
-    shift = (size * TEXT_IC - 1) / math.sqrt(2 * (size - 1))
-    power = math.ceil(3.97 / shift) if shift > 0.05 else 0  # 1.64 + 2.33: level 0.05, power 0.99
-    return max(power, math.ceil(MIN_BITS / math.log2(size)), MIN_RUN)
+#: Share of each lower-case letter in English prose, in percent: fixed values of the prior.
+LETTER_SHARES = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
 
 
-_LEAST = {name: least_length(len(a)) for name, a in ENCODINGS.items()}
+def prior_shares(name: str) -> list[float]:
+    """Text-like symbol shares of an encoding: letters as in prose, one in ten a capital, and one symbol in ten another."""
+    alphabet = ENCODINGS[name]
+    other = [c for c in alphabet if not c.isalpha()]
+    both = any(c in _UPPER for c in alphabet) and any(c in _LOWER for c in alphabet)
+    case = {c: (0.1 if c.isupper() else 0.9) if both else 1.0 for c in alphabet if c.isalpha()}
+    w = {c: LETTER_SHARES[c.lower()] * k for c, k in case.items()}
+    total, rest = sum(w.values()), 0.1 if other and w else 0.0
+    return [v / total * (1 - rest) for v in w.values()] + [rest / len(other) for _ in other if rest]
+
+
+#: (s2, s3) of the prior: chances that two and three symbols of text are equal.
+_PRIOR = {n: (sum(q**2 for q in prior_shares(n)), sum(q**3 for q in prior_shares(n))) for n in ENCODINGS}
 _ORDER = {name: {c: i for i, c in enumerate(a)} for name, a in ENCODINGS.items()}
 _SETS = {name: frozenset(a) for name, a in ENCODINGS.items()}
 
@@ -123,8 +146,18 @@ def randomness(token: str, name: str) -> float:
     return math.exp(-x) * (1 + x + x * x / 2)
 
 
-def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int, int]]]:
-    """Base spans (start, kind, end) and candidates (start, end, encoding, length class, p bin)."""
+def equal_symbols(token: str, name: str) -> tuple[int, int, int, int]:
+    """(symbols, different ones, pairs and triples of equal symbols) of a token, padding aside."""
+    symbols = (token.rstrip("=") if name != "mixed" else token).encode()
+    c = np.bincount(np.frombuffer(symbols, np.uint8)) if symbols else np.zeros(1, np.int64)
+    return len(symbols), int((c > 0).sum()), int((c * (c - 1) // 2).sum()), int((c * (c - 1) * (c - 2) // 6).sum())
+
+
+def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple]]:
+    """Base spans (start, kind, end) and candidates (start, end, encoding, length class, symbols, different ones, pairs, triples, passes).
+
+    Work follows the text's length and its candidates.
+    """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     low, base, more = raw.lower(), [], []
@@ -133,20 +166,21 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
     if b"AKIA" in raw:
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     u = np.frombuffer(raw, np.uint8)
-    plain = len(raw) == len(text)
-    at = (lambda i: i) if plain else (lambda i: len(raw[:i].decode("utf-8", "surrogatepass")))
-    for a, b in runs_of(u, _RUN, MIN_RUN):
-        token = raw[a:b].decode()
-        i = at(a)
-        base += [(i + x, 2, i + y) for x, y in runs_of(u[a:b], _HEX, 24)]
-        if token.isalpha() and token.islower() and b - a < _LEAST["lower"]:
+    found = runs_of(u, _RUN, MIN_RUN)
+    at = None if len(raw) == len(text) or not found else np.cumsum((u & 0xC0) != 0x80) - 1  # byte -> code point
+    places = [(a if at is None else int(at[a]), raw[a:b], u[a:b]) for a, b in found]
+    for i, _, part in places:
+        base += [(i + x, 2, i + y) for x, y in runs_of(part, _HEX, 24)]
+    base.sort()
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    for i, part, _ in places:
+        token, end = part.decode(), i + len(part)
+        k = bisect_left(starts, end)
+        if k and reach[k - 1] > i:
             continue
         name = encoding_of(token)
-        if name != "decimal" and b - a >= _LEAST[name]:
-            p = randomness(token, name)
-            more.append((i, i + b - a, name, (b - a).bit_length(), min(BINS, int(-10 * math.log10(max(p, 1e-300))))))
-    base.sort()
-    more = [m for m in more if not any(m[0] < e and s < m[1] for s, _, e in base)]
+        if name != "decimal":
+            more.append((i, end, name, len(token).bit_length(), *equal_symbols(token, name), randomness(token, name) >= ALPHA))
     return base, more
 
 
@@ -154,33 +188,85 @@ def scan_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     """docs' columns (but text) with ``base`` and ``spans``: arrays of (start, kind, end).
 
     kind numbers KINDS; positions are code points, end exclusive; ordered by start, then kind. Null
-    and empty texts have none; repeated rows and null ids keep rows of their own; docs' columns keep
-    their names inside a struct until the end, so ``base`` and ``spans`` there are replaced.
+    and empty texts have none; a very long text takes time in proportion; candidates of equal p-value
+    are reported or left together; repeated rows and null ids keep rows of their own; docs' columns
+    keep their names inside a struct until the end, so ``base`` and ``spans`` there are replaced. An
+    empty table gives no rows.
     """
     span = "array<struct<start:long,kind:int,end:long>>"
+    fields = ("start", "end", "encoding", "length", "n", "kinds", "pairs", "triples", "passes")
 
-    @F.pandas_udf(f"base {span}, more array<struct<start:long,end:long,encoding:string,length:int,bin:int>>")
+    @F.pandas_udf(f"base {span}, more array<struct<start:long,end:long,encoding:string,length:int,n:long,kinds:int,pairs:long,triples:long,passes:boolean>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         found = [scan_text(t) for t in texts]
         base = [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b, _ in found]
-        more = [[dict(zip(("start", "end", "encoding", "length", "bin"), x)) for x in m] for _, m in found]
+        more = [[dict(zip(fields, x)) for x in m] for _, m in found]
         return pd.DataFrame({"base": base, "more": more})
 
     short_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("text", "base", "spans")]
-    rows = written(docs.select(F.struct(*keep).alias("doc"), scan("text").alias("x")), "secret-scan")
-    cut = cutoffs(rows.select(F.explode("x.more").alias("c")).select("c.*"), q)
+    doc = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    rows = written(docs.select(doc.alias("doc"), scan("text").alias("x")), "secret-scan")
+    candidates = rows.select(F.explode("x.more").alias("c")).select("c.*")
+    null = null_model(candidates)
+    cut = cutoffs(candidates.select("encoding", "length", p_bin(candidates, null).alias("bin")), q)
 
     def kept(c: Column) -> Column:
         key = F.concat_ws(":", c["encoding"], c["length"].cast("string"))
-        return c["bin"] < F.coalesce(F.element_at(cut, key), F.lit(BINS + 1))
+        return p_bin(c, null) >= F.coalesce(F.element_at(cut, key), F.lit(BINS + 1))
 
     random = F.transform(F.filter("x.more", kept), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return rows.select("doc.*", F.col("x.base").alias("base"), F.array_sort(F.concat("x.base", random)).alias("spans"))
+    return rows.select(*[F.col("doc")[c].alias(c) for c in keep], F.col("x.base").alias("base"), F.array_sort(F.concat("x.base", random)).alias("spans"))
+
+
+def expected(n, s2, s3):
+    """(mean, variance) of the pairs of equal symbols among n drawn with those chances; columns or numbers."""
+    c2 = n * (n - 1) / 2
+    return c2 * s2, c2 * ((s2 - s2 * s2) + 2 * (n - 2) * (s3 - s2 * s2))
+
+
+def null_model(candidates: DataFrame) -> Column:
+    """A literal map encoding -> (s2, s3, spread) of text-like strings.
+
+    From the candidates that the battery rejected, and the prior; a row an encoding each time.
+    """
+    failed = candidates.where((~F.col("passes")) & (F.col("n") >= LONG) & (F.col("kinds") >= VARIED))
+    n = F.col("n").cast("double")
+    by = failed.groupBy("encoding").agg(F.sum("pairs").alias("pairs"), F.sum("triples").alias("triples"), F.sum(n * (n - 1) / 2).alias("c2"), F.sum(n * (n - 1) * (n - 2) / 6).alias("c3"))
+    sums = {r["encoding"]: r for r in by.collect()}
+    m = PRIOR_LENGTH
+    c2, c3 = PRIOR * m * (m - 1) / 2, PRIOR * m * (m - 1) * (m - 2) / 6
+    model = {}
+    for name, (s2, s3) in _PRIOR.items():
+        r = sums.get(name) or {"pairs": 0, "triples": 0, "c2": 0.0, "c3": 0.0}
+        s2, s3 = (r["pairs"] + s2 * c2) / (r["c2"] + c2), (r["triples"] + s3 * c3) / (r["c3"] + c3)
+        model[name] = (s2, max(s3, s2 * s2))
+    mean, var = expected(n, *(literal_map({k: v[i] for k, v in model.items()}, F.col("encoding")) for i in (0, 1)))
+    off = F.least(F.pow(F.col("pairs") - mean, 2) / var, F.lit(9.0))  # one odd string counts as three deviations at most
+    spread = {r["encoding"]: (r["off"] + PRIOR) / (r["n"] + PRIOR) for r in failed.groupBy("encoding").agg(F.sum(off).alias("off"), F.count("*").alias("n")).collect()}
+    return F.create_map(*[x for k, (s2, s3) in model.items() for x in (F.lit(k), F.array(F.lit(float(s2)), F.lit(float(s3)), F.lit(float(max(1.0, spread.get(k, 1.0))))))])
+
+
+def literal_map(values: dict[str, float], key: Column) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), key)
+
+
+def p_bin(c, null: Column) -> Column:
+    """floor(-10 log10 p) of a candidate under the null, at most BINS; 0 for what the battery rejected.
+
+    p is the lower tail of the normal distribution, by the lesser of its bounds exp(-z^2 / 2) / 2 and
+    density(z) / -z for z < 0.
+    """
+    n, m = c["n"].cast("double"), F.element_at(null, c["encoding"])
+    mean, var = expected(n, m[0], m[1])
+    z = (c["pairs"] - mean) / F.sqrt(var * m[2])
+    log_p = z * z / 2 + F.greatest(F.lit(math.log(2)), F.log(-z * math.sqrt(2 * math.pi)))
+    tens = F.least(F.floor(10 * log_p / math.log(10)), F.lit(BINS)).cast("int")
+    return F.when(c["passes"] & (z < 0), tens).otherwise(F.lit(0))
 
 
 def cutoffs(candidates: DataFrame, q: float) -> Column:
-    """A literal map "encoding:length class" -> lowest rejected bin, by Benjamini-Hochberg.
+    """A literal map "encoding:length class" -> lowest bin reported, by Benjamini-Hochberg.
 
     A bin holds p-values up to 10^(-bin/10); its own upper end stands for all of them.
     """
@@ -188,8 +274,8 @@ def cutoffs(candidates: DataFrame, q: float) -> Column:
     stratum = W.partitionBy("encoding", "length")
     upto = F.sum("count").over(stratum.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
     ranked = by.select("encoding", "length", "bin", upto.alias("k"), F.sum("count").over(stratum).alias("m"))
-    rejected = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= q * F.col("k") / F.col("m"))
-    rows = rejected.groupBy("encoding", "length").agg(F.min("bin").alias("bin")).collect()  # encodings x length classes
+    reported = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= q * F.col("k") / F.col("m"))
+    rows = reported.groupBy("encoding", "length").agg(F.min("bin").alias("bin")).collect()  # encodings x length classes
     pairs = [F.lit(x) for r in rows for x in (f"{r['encoding']}:{r['length']}", int(r["bin"]))] or [F.lit(""), F.lit(0)]
     return F.create_map(*pairs)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderframe.llm import ann, decontaminate, mixing, quality, secrets, simhash, token_counts
+from cinderframe.llm import ann, decontaminate, mixing, quality, simhash, token_counts
 from cinderframe.llm.common import written
 from cinderframe.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -297,37 +297,6 @@ def test_benchmark_blocks_change_nothing(spark, docs, rows):
     assert {tuple(x) for x in a} == {tuple(x) for x in b} and a
 
 
-# -- 7 secrets -----------------------------------------------------------------------
-
-
-def test_base_spans_match_plain_patterns_and_random_strings_are_added(spark, none):
-    rng = random.Random(2)
-    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=44))
-    hexa = "".join(rng.choices("0123456789abcdef", k=40))
-    texts = [f"x é token = \"{hexa}\" y", f"password: abc secret=token:abcdefgh PaSsWd='abc123/x'", "AKIA" + "A1B2C3D4E5F6G7H8" + " AKIAXX " + "AKIA" * 6,
-             f"{hexa[:23]} {hexa[:24]} {hexa}", f"é key {key} end", "-" * 40 + " a/b/c/d/e/f/g/h/i/j/k/l " + "q" * 50, None, "", "12345678901234567890123456", "ſecret=abcdefgh"]
-    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, base string, doc string")
-    got = {r["doc_id"]: r for r in secrets.scan_secrets(d).collect()}
-    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    for i, t in enumerate(texts):
-        t = t or ""
-        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
-        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
-        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
-        assert [tuple(s) for s in got[i]["base"]] == sorted(want), t
-        assert set(map(tuple, got[i]["base"])) <= set(map(tuple, got[i]["spans"]))
-    assert [tuple(s) for s in got[4]["spans"]] == [(6, 3, 50)] and not got[5]["spans"] and [s["kind"] for s in got[8]["spans"]] == [2]
-    assert secrets.scan_secrets(none).count() == 0
-
-
-def test_battery_passes_random_and_fails_text():
-    rng = random.Random(4)
-    alphabet = secrets.ENCODINGS["base62"]
-    p = [secrets.randomness("".join(rng.choices(alphabet, k=60)), "base62") for _ in range(300)]
-    assert 0.02 < sum(x < 0.1 for x in p) / 300 < 0.25
-    assert max(secrets.randomness(prose(rng, 40).replace(" ", "")[:60] + "A1", "base62") for _ in range(50)) < 0.01
-
-
 # -- 9 mixing ---------------------------------------------------------------------------
 
 
