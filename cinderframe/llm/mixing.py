@@ -8,12 +8,13 @@ Copies. A source with target t and words s first takes ``floor(t / s)`` whole co
 document. The remaining words r are a sample without replacement whose inclusion probability is
 proportional to the document's words: ``p = min(1, c * size)``, with c such that the expected words
 are r. Pareto order sampling ranks documents by ``u/(1-u) / (p/(1-p))`` and takes the first ones
-until r words are reached (the one that crosses r goes in if that is nearer). u is a hash of seed
-and doc_id, so reruns agree.
+until r words are reached (the one that crosses r goes in if that is nearer). u is a hash of seed and
+the row's key, itself a hash of doc_id and text, so reruns agree and rows without a doc_id differ.
 
 Scale. No task holds a source: words are counted once into a slim table; the level, c and the
-cut-off come from aggregated histograms (per source: distinct sizes, then ``BINS`` rank bins), and
-only the single bin that holds the cut-off is ranked row by row.
+cut-off come from aggregated histograms (per source: distinct sizes, then ``BINS`` rank bins, then
+``BINS`` more within the bin that holds the cut-off), and only the last bin, about one row in
+``BINS`` squared, is ranked row by row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, written
+from .common import read_table, small, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -79,10 +80,10 @@ def pareto_rank(size: Column, c: Column, key: Column, seed: int) -> Column:
 
 
 def sampling_plan(sizes: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, bins=BINS) -> DataFrame:
-    """One row per source: src, source_size, target, whole, c, q_cut, id_cut.
+    """One row per source: src, source_size, target, whole, c, q_cut, key_cut.
 
-    ``sizes``: written rows (doc_id, src, size). A document is sampled if its (rank, doc_id) is at
-    most (q_cut, id_cut); q_cut is null where nothing is sampled.
+    ``sizes``: written rows (key, src, size). A document is sampled if its (rank, key) is at most
+    (q_cut, key_cut); q_cut is null where nothing is sampled.
     """
     t = written(source_targets(sizes, weights, max_repeat), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -104,34 +105,37 @@ def sampling_plan(sizes: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed
     cs = cuts.where(ok).groupBy("src").agg(F.max_by(c, "size").alias("c"))
     t = written(null_safe(t, cs, "left"), "mix-c")
 
-    # the rank at which the words run out: first its bin, then its row
+    # the rank at which the words run out: first its bin, then its bin in there, then its row
     ranked = null_safe(sizes.where("size > 0"), t.where("rest > 0 and c is not null").select("src", "c", "rest"))
-    ranked = ranked.withColumn("q", pareto_rank(F.col("size"), F.col("c"), F.col("doc_id"), seed))
-    ranked = ranked.withColumn("bin", F.least(F.floor(bins * (F.col("q") / (1 + F.col("q")))), F.lit(bins - 1)))
-    up = W.partitionBy("src").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    by_bin = ranked.groupBy("src", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    by_bin = by_bin.withColumn("upto", F.sum("words").over(up)).where("upto >= rest")
-    first = by_bin.groupBy("src").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("b"))
-    first = written(first.select("src", "b.bin", "b.before"), "mix-bin")
-    inside = null_safe(ranked, first.withColumnRenamed("bin", "cut_bin")).where("bin = cut_bin")
-    along = W.partitionBy("src").orderBy("q", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(along))
+    ranked = ranked.withColumn("q", pareto_rank(F.col("size"), F.col("c"), F.col("key"), seed)).withColumn("before", F.lit(0))
+    place = F.col("q") / (1 + F.col("q")) * bins
+    # certain documents are a bin of their own, below the others
+    coarse = F.when(F.col("q") == 0, -1).otherwise(F.least(F.floor(place), F.lit(bins - 1)))
+    fine = F.when(F.col("q") == 0, -1).otherwise(F.least(F.floor((place - F.floor(place)) * bins), F.lit(bins - 1)))
+    for bin_ in (coarse, fine):
+        first = written(cut_bin(ranked.withColumn("bin", bin_)), "mix-bin")
+        ranked = null_safe(ranked.drop("before").withColumn("bin", bin_), first.withColumnRenamed("bin", "cut_bin")).where("bin = cut_bin").drop("bin", "cut_bin")
+    along = W.partitionBy("src").orderBy("q", "key").rowsBetween(W.unboundedPreceding, 0)
+    inside = ranked.withColumn("upto", F.col("before") + F.sum("size").over(along))
     takes = F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))
-    last = inside.where(takes).groupBy("src").agg(F.max(F.struct("q", "doc_id")).alias("cut"))
-    # where not even the first row of the bin is taken, all lower bins are
-    edge = F.col("bin") / bins
-    cut = null_safe(first, last, "left").select(
-        "src",
-        F.coalesce(F.col("cut.q"), edge / (1 - edge) - 1e-300).alias("q_cut"),
-        F.coalesce(F.col("cut.doc_id"), F.lit(-(2**63))).alias("id_cut"),
-    )
+    cuts = inside.groupBy("src").agg(F.max(F.when(takes, F.struct("q", "key"))).alias("cut"), F.min("q").alias("q_first"))
+    # where not even the first row of the bin is taken, all before it are
+    cut = cuts.select("src", F.coalesce(F.col("cut.q"), F.col("q_first")).alias("q_cut"), F.coalesce(F.col("cut.key"), F.lit(None).cast("long")).alias("key_cut"))
     # a source whose sample runs to its end (rounding) takes all of it
     out = null_safe(t, cut, "left")
     q_cut = F.coalesce(F.col("q_cut"), F.when((F.col("rest") > 0) & F.col("c").isNotNull(), F.lit(float("inf"))))
-    out = out.select("src", "source_size", "target", "whole", "c", q_cut.alias("q_cut"), "id_cut")
+    out = out.select("src", "source_size", "target", "whole", "c", q_cut.alias("q_cut"), "key_cut")
     return written(out, "mix-plan")
 
 
+def cut_bin(ranked: DataFrame) -> DataFrame:
+    """(src, bin, before): the bin in which a source's words run out, and the words before it."""
+    up = W.partitionBy("src").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    by = ranked.groupBy("src", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    by = by.withColumn("upto", F.col("before") + F.sum("words").over(up)).where("upto >= rest")
+    return by.groupBy("src").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("b")).select("src", "b.bin", "b.before")
+
+
 def null_safe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on ``src`` where null equals null; the source tables are small and checked before a broadcast."""
     right = right.withColumnRenamed("src", "src_r")
@@ -141,17 +145,21 @@ def null_safe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
 def copies(size: Column, key: Column, seed: int = SEED) -> Column:
     """How often the mix holds a row that carries its source's plan."""
     q = pareto_rank(size, F.col("c"), key, seed)
-    first = (q < F.col("q_cut")) | ((q == F.col("q_cut")) & (F.coalesce(key, F.lit(2**63 - 1)) <= F.col("id_cut")))
+    first = (q < F.col("q_cut")) | ((q == F.col("q_cut")) & (key <= F.coalesce("key_cut", F.lit(-(2**63)))))
     return F.when(size > 0, F.col("whole") + F.when(first, 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
 
 
 def slim_sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
+    """(doc_id, key, src, size) per row; key is never null."""
+    return docs.select("doc_id", row_key().alias("key"), F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
 
 
-def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    from .common import small
+def row_key() -> Column:
+    """What ranks a row: a hash of doc_id and text, so that rows without a doc_id differ too."""
+    return F.xxhash64("doc_id", "text")
 
+
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return null_safe(rows, F.broadcast(plan) if small(plan, BROADCAST_SOURCES) else plan, "left")
 
 
@@ -159,13 +167,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED) -> D
     """``docs`` (doc_id, text, source, any other columns) with each row repeated as the mix takes it.
 
     Rows without words (null, empty or blank text) are in no mix and go. Null source is a source of
-    its own, last in order; a null doc_id is hashed and ranked like any other, and ties among
-    repeated rows are taken or left together. An empty table gives an empty table.
+    its own, last in order; a null doc_id is hashed and ranked like any other. Rows that repeat both
+    doc_id and text share a rank and are taken or left together. An empty table gives an empty table.
     """
     plan = sampling_plan(written(slim_sizes(docs), "mix-sizes"), weights, max_repeat, seed)
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), "doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
-    rows = with_plan(rows, plan).withColumn("k", copies(F.col("size"), F.col("doc_id"), seed)).where("k > 0")
+    rows = docs.select(F.struct(*names).alias("row"), row_key().alias("key"), F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
+    rows = with_plan(rows, plan).withColumn("k", copies(F.col("size"), F.col("key"), seed)).where("k > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("nth")).select("row.*")
 
 
@@ -174,5 +182,5 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = written(slim_sizes(docs), "mix-sizes")
     rows = with_plan(sizes, sampling_plan(sizes))
-    taken = F.col("size") * copies(F.col("size"), F.col("doc_id"))
+    taken = F.col("size") * copies(F.col("size"), F.col("key"))
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

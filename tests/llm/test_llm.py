@@ -329,9 +329,9 @@ def test_targets_and_takes(spark, docs, rows, none):
         want = water(by)
         assert {s: r["source_size"] for s, r in plan.items()} == by
         assert all(math.isclose(plan[s]["target"], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in by)
-        rows_out = mixing.with_plan(sizes, spark.createDataFrame(list(plan.values()), "src string, source_size long, target double, whole long, c double, q_cut double, id_cut long"))
+        rows_out = mixing.with_plan(sizes, spark.createDataFrame(list(plan.values()), "src string, source_size long, target double, whole long, c double, q_cut double, key_cut long"))
         taken: dict = {}
-        for r in rows_out.select("src", "size", mixing.copies(F.col("size"), F.col("doc_id")).alias("k")).collect():
+        for r in rows_out.select("src", "size", mixing.copies(F.col("size"), F.col("key")).alias("k")).collect():
             assert 0 <= r["k"] <= 3
             taken[r["src"]] = taken.get(r["src"], 0) + r["k"] * r["size"]
         most = max(len(re.findall(r"\S+", r[1] or "")) for r in data)
@@ -342,6 +342,32 @@ def test_targets_and_takes(spark, docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_takes_are_those_of_a_plain_ranking_and_null_ids_count(spark):
+    rng = random.Random(18)
+    data = [(None if i % 3 else i, " ".join(["w", str(i), *"v" * rng.randint(0, 40)]), rng.choice("aaab")) for i in range(900)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes = written(mixing.slim_sizes(d), "s")
+    for bins in (4096, 3):
+        plan = written(mixing.sampling_plan(sizes, bins=bins), "p")
+        u = mixing.uniform(mixing.SEED, F.col("key"))
+        rows = mixing.with_plan(sizes, plan).select("src", "key", "size", "target", "source_size", "whole", "c", u.alias("u"), mixing.copies(F.col("size"), F.col("key")).alias("k")).collect()
+        for src in "ab":
+            mine = [r for r in rows if r["src"] == src]
+            rest = mine[0]["target"] - mine[0]["whole"] * mine[0]["source_size"]
+            if rest <= 0:
+                assert all(r["k"] == r["whole"] for r in mine)
+                continue
+            odds = lambda r: 0.0 if r["c"] * r["size"] >= 1 else r["u"] / (1 - r["u"]) / (r["c"] * r["size"] / (1 - r["c"] * r["size"]))
+            total, want = 0, set()
+            for r in sorted(mine, key=lambda r: (odds(r), r["key"])):
+                if total + r["size"] - rest > rest - total:
+                    break
+                total += r["size"]
+                want.add(r["key"])
+            assert {r["key"] for r in mine if r["k"] > r["whole"]} == want and want
+            assert abs(total - rest) <= 42
+
+
 def test_word_count_cuts_at_ascii_blanks_only(spark):
     texts = [None, "", " ", "a", " a ", "a b c", "\ta\x0bb\x0c\n", "a  b", "\n"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n"))
