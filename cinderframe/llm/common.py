@@ -15,13 +15,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Send texts to Python in batches that bound a worker's memory, unless the session says how."""
-    if spark.conf.get(BATCH, "10000") == "10000":
-        spark.conf.set(BATCH, str(rows))
+#: Settings of batches that go to Python: name -> (Spark's default, ours). Whichever is met first ends a batch.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608"),
+}
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches that bound a worker's memory, unless the session says how.
+
+    The settings stay: a query's last stage runs after its function has returned.
+    """
+    for name, (usual, ours) in BATCHES.items():
+        now = spark.conf.get(name, usual)
+        if now in (usual, f"{usual}b", "64m", "64MB"):
+            spark.conf.set(name, ours)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

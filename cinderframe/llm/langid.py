@@ -33,8 +33,8 @@ LETTERS = 40_960
 TOTAL_LETTERS = 1_048_576
 OWN_SYMBOLS, SHARED_SYMBOLS = 48, 16
 SEGMENT = 2_048
-LANES = 8_192
-CHARS = 4_000_000
+LANES = 2_048
+CHARS = 1_000_000
 UND = "und"
 
 

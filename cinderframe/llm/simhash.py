@@ -40,6 +40,8 @@ RADIUS = 2
 SAMPLE = 131_072
 SHARD = 2_048
 LEAF = 256
+#: Fingerprints that one task routes through the tree.
+ROUTED = 16_384
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,8 +161,9 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sh
     seed = np.sort(np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64))
     rng = np.random.default_rng(7)
     rng.shuffle(seed)
-    nodes, leaves = build_tree(seed, max(16, int(shard * len(seed) / max(n, 1))))
-    shared = spark.sparkContext.broadcast(nodes)  # at most sample / 16 nodes
+    nodes, leaves = build_tree(seed, max(4, int(shard * len(seed) / max(n, 1))))
+    shared = spark.sparkContext.broadcast(nodes)  # at most sample / 2 nodes
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROUTED))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,7 +176,7 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sh
         found = shard_links(fp, member, radius).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    routed = points.mapInPandas(spread, "leaf int, fp long, member boolean")
+    routed = points.repartition(parts).mapInPandas(spread, "leaf int, fp long, member boolean")
     return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
@@ -217,6 +220,7 @@ def shared_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFra
     Two sets of that Jaccard similarity share one of the first ``n - ceil(similarity * n) + 1``
     shingles of each, whatever the order; rare ones first keeps those that share one few.
     """
+    short_batches(docs.sparkSession)
     common, place = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle)), np.searchsorted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +238,6 @@ def shared_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFra
                 toks.append(ordered[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].view(np.int64))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp, "n": size, "toks": toks})
 
-    short_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return read.mapInPandas(run, "doc_id long, h long, fp long, n long, toks array<long>")
 
