@@ -8,8 +8,11 @@ problem). Codes are split into 8-bit substrings, each with a table of its own.
 Search. Within radius R of a code, by the pigeonhole principle, some of the m substrings differs in
 at most its share of R, so probing every substring's table with all values that near retrieves
 every code within R; a count of the differing bits keeps those, and their original vectors give the
-exact score. R is set on the sample so that nearly all true neighbours there are within it; where a
-shard holds fewer than k codes within R for a query, R grows until it has k or all.
+exact score. R is each query's own: at an angle t about ``bits * t / pi`` bits differ, give or take a
+margin that the sample teaches, so once k rows are found, the k-th score says how far a code of a
+better row can be. R grows by one bit a substring until it covers that (or the whole shard). Queries
+with close neighbours probe few buckets; where even the nearest are at wide angles, as in vectors
+without any structure, no code is ruled out by its substrings and a shard is scanned by its bit counts.
 
 Layout. Index rows and queries are dealt into shards and blocks by hash, both bounded, and each
 (block, shard) pair is one task-sized group: its k best per query are merged by rank. Queries are a
@@ -18,6 +21,10 @@ stated set, searched against all rows in blocks.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +37,8 @@ K = 20
 SAMPLE, TRIAL = 8_192, 512
 BLOCKS = 4
 ITERATIONS = 20
-WITHIN = 0.985
+#: Share of the true neighbours that a radius is to hold, and of the sample's radii where searches start.
+WITHIN, START = 0.985, 0.1
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: For each 8-bit value and each distance, the values that far, nearest first.
@@ -92,8 +100,8 @@ class MultiIndex:
         self.order = [np.argsort(self.codes[:, j], kind="stable") for j in range(self.m)]
         self.start = [np.searchsorted(self.codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
-    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, distances) of all distinct codes within radius, by pigeonhole probing.
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Numbers of the distinct codes in the buckets that a search within radius has to visit.
 
         The substrings' limits plus one add up to radius + 1, so a code within it can't be beyond all
         of them: ``extra`` substrings have the limit ``base``, the others one less.
@@ -106,60 +114,83 @@ class MultiIndex:
                 order, start = self.order[j], self.start[j]
                 values = BY_DISTANCE[code[j]][: UPTO[limit]]
                 hit[np.concatenate([order[a:b] for a, b in zip(start[values].tolist(), start[values + 1].tolist())])] = True
-        at = np.flatnonzero(hit)
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Numbers of all distinct codes within radius, by pigeonhole probing."""
+        at = self.probe(code, radius)
         d = np.bitwise_count(self.words[at] ^ words_of(code[None, :])).sum(axis=1, dtype=np.int64)
-        keep = d <= radius
-        return at[keep], d[keep]
+        return at[d <= radius]
+
+
+class Model(NamedTuple):
+    """Rotations, the longest vector, and what the sample says of radii: where to start, and the margin."""
+
+    rotations: list
+    longest: float
+    start: int
+    margin: float
+
+    @property
+    def bits(self) -> int:
+        return 8 * -(-sum(r.shape[1] for r in self.rotations) // 8)
+
+    def radius(self, score: float, length: float) -> int:
+        """Within how many bits of a query of that length nearly all rows of at least that score are."""
+        angle = math.acos(max(-1.0, min(1.0, score / (self.longest * length))))
+        return min(self.bits, max(0, math.ceil(sum(r.shape[1] for r in self.rotations) * angle / math.pi + self.margin)))
 
 
-def search_shard(q_ids, q, ids, x, model, k: int) -> list[tuple]:
+def search_shard(q_ids, q, ids, x, model: Model, k: int) -> list[tuple]:
     """(query_id, vec_id, score) of the k best found in a shard for each query, own row left out."""
-    rotations, longest, radius = model
-    index = MultiIndex(codes_of(lift(x, longest, False), rotations))
+    index = MultiIndex(codes_of(lift(x, model.longest, False), model.rotations))
     rows_of = np.argsort(index.owner, kind="stable")
     first = np.searchsorted(index.owner[rows_of], np.arange(len(index.codes) + 1))
-    count = np.diff(first)
-    q_codes = codes_of(lift(q, longest, True), rotations)
-    bits, out = 8 * index.m, []
+    q_codes = codes_of(lift(q, model.longest, True), model.rotations)
+    out = []
     for qid, vec, code in zip(q_ids.tolist(), q, q_codes):
-        r = radius
+        r, length = model.start, math.sqrt(float(vec @ vec))
         while True:
-            found, _ = index.within(code, r)
-            if count[found].sum() > k or r >= bits:
+            found = index.within(code, r)
+            rows = np.concatenate([rows_of[first[c] : first[c + 1]] for c in found]) if 0 < len(found) < len(index.codes) else np.arange(len(ids) if len(found) else 0)
+            rows = rows[ids[rows] != qid]
+            score = (x[rows] * vec).sum(axis=1)
+            if r >= model.bits or len(rows) >= k and model.radius(float(np.partition(score, -k)[-k]), length) <= r:
                 break
-            r = min(bits, r + index.m)
-        rows = np.concatenate([rows_of[first[c] : first[c + 1]] for c in found]) if len(found) < len(index.codes) else np.arange(len(ids))
-        rows = rows[ids[rows] != qid]
-        score = (x[rows] * vec).sum(axis=1)
+            r = min(model.bits, r + index.m)
         best = np.lexsort((ids[rows], -score))[:k]
         out += [(qid, int(ids[rows[i]]), float(score[i])) for i in best]
     return out
 
 
-def fit(rows: DataFrame, k: int = K, sample: int = SAMPLE):
-    """(rotations, longest vector, radius) from at most ``sample`` vectors chosen by hash."""
+def fit(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> Model:
+    """The codes' rotations and radii from at most about ``sample`` vectors, chosen by hash."""
     longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
     n = rows.count()
     part = rows if n <= sample else rows.where(F.xxhash64("id") < F.lit(int(-(2**63) + 2**64 * sample / n)))
     x = np.array([r["v"] for r in part.select("v").limit(2 * sample).collect()], float)
     if not len(x):
-        return [], longest, 0
+        return Model([], longest, 0, 0.0)
     lifted = lift(x, longest, False)
     rotations = learn_rotations(lifted)
     codes = codes_of(lifted, rotations)
+    model = Model(rotations, longest, 0, 0.0)
     trial = np.arange(0, len(x), max(1, len(x) // TRIAL))
     q_codes = codes_of(lift(x[trial], longest, True), rotations)
-    far = []
+    off, last = [], []
     for t, code in zip(trial.tolist(), q_codes):
         s = x @ x[t]
         s[t] = -np.inf
         near = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
-        far.append(distances(codes[near], code))
-    far = np.concatenate(far) if far else np.zeros(1)
-    return rotations, longest, int(np.quantile(far, WITHIN)) if len(far) else 0
+        length = math.sqrt(float(x[t] @ x[t]))
+        off += [d - model.radius(v, length) for d, v in zip(distances(codes[near], code).tolist(), s[near].tolist())]
+        last += [(s[near[-1]], length)] if len(near) else []
+    model = model._replace(margin=float(np.quantile(off, WITHIN)) if off else 0.0)
+    start = int(np.quantile([model.radius(v, n) for v, n in last], START)) if last else 0
+    return model._replace(start=start)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product, nearest first.
 
     ``rows`` and ``queries``: (id long, v array<double>), usable vectors of one dimension. A query's
@@ -169,7 +200,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = rows.sparkSession
     n, nq = rows.count(), queries.count()
     model = spark.sparkContext.broadcast(fit(rows, k))  # rotations: BLOCKS x (dimension + 1)^2
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // QUERY_ROWS))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // query_rows))
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select(spread.alias("block"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
     spread = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
@@ -189,10 +220,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_by_dimension(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """nearest() within each dimension: vectors of different dimensions have no inner product.
+
+    Every dimension is fitted and searched by itself; there are few of them in a table.
+    """
+    dims = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    parts = [nearest(*(t.where(F.size("v") == d) for t in (rows, queries)), k) for d in dims]
+    return reduce(DataFrame.unionByName, parts) if parts else nearest(rows, queries, k)
+
+
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, rank, vec_id, score: 20 nearest of every vec_id divisible by 20, among all rows."""
+    """query_id, rank, vec_id, score: 20 nearest of every vec_id divisible by 20, among all rows.
+
+    Vectors of several dimensions are searched each among their own; a null vec_id is no row.
+    """
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), usable(F.col("embedding")).alias("v"))
-    rows = rows.where("id is not null and v is not null")
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = written(rows.where(F.size("v") == F.lit(dim["d"] if dim else 0)), "vectors")
-    return nearest(rows, rows.where("id % 20 = 0"))
+    rows = written(rows.where("id is not null and v is not null"), "vectors")
+    return nearest_by_dimension(rows, rows.where("id % 20 = 0"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderframe.llm import ann, decontaminate, mixing, quality, simhash, token_counts
+from cinderframe.llm import decontaminate, mixing, quality, simhash, token_counts
 from cinderframe.llm.common import written
 from cinderframe.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -213,45 +213,6 @@ def test_a_text_and_its_doubled_text_are_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()) == [1, 4]
 
 
-# -- 4 nearest neighbours --------------------------------------------------------
-
-
-def test_nearest_recall_ties_and_unusable_vectors(spark):
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((600, 16)).astype("float32")
-    x[50:90] = x[50]
-    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (None, x[0].tolist()), (1060, [None] * 16)]
-    d = spark.createDataFrame(data, "id long, e array<float>").select("id", ann.usable(F.col("e")).alias("v")).where("id is not null and v is not null")
-    d = written(d, "v")
-    got: dict = {}
-    for r in ann.nearest(d, d.where("id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 600, 20))
-    hit = 0
-    for q, found in got.items():
-        s = x.astype(float) @ x[q].astype(float)
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(600), -np.round(s, 9)))[:20]
-        hit += len({v for v, _ in found} & set(want.tolist()))
-        assert len(found) == 20 and all(abs(v - s[i]) < 1e-9 for i, v in found)
-        assert [i for i, _ in found] == [i for i, _ in sorted(found, key=lambda p: (-round(p[1], 12), p[0]))]
-    assert hit >= 0.9 * 20 * len(got)
-    two = written(d.where("id < 2"), "v2")
-    assert ann.nearest(two, two.where("id = 0"), 20).count() == 1
-    assert ann.nearest(written(d.where("id < 0"), "v3"), written(d.where("id < 0"), "v4")).count() == 0
-
-
-def test_multi_index_finds_every_code_within_the_radius():
-    rng = np.random.default_rng(8)
-    codes = rng.integers(0, 256, (300, 4), dtype=np.uint8)
-    index = ann.MultiIndex(codes)
-    for q in codes[:20]:
-        for r in (0, 3, 7, 12):
-            found, d = index.within(q, r)
-            want = np.flatnonzero(ann.distances(index.codes, q) <= r)
-            assert sorted(found.tolist()) == want.tolist() and (d <= r).all()
-
-
 # -- 6 decontamination -------------------------------------------------------------
 
 
