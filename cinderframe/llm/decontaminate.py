@@ -91,7 +91,7 @@ def scan(docs: DataFrame, wanted: dict[int, frozenset], reach: int, count: bool)
             else:
                 yield pd.DataFrame(out, columns=["rid", "n_words", "pos", "shingle", "near"])
 
-    schema = "shingle string, n long" if count else "rid long, n_words int, pos int, shingle string, near string"
+    schema = "shingle string, n long" if count else "rid string, n_words int, pos int, shingle string, near string"
     return docs.select("rid", "text").mapInPandas(run, schema)
 
 
@@ -108,7 +108,7 @@ def blocks(keys: DataFrame, column: str, block: int) -> Iterator[dict[int, froze
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(rid, start, n, item_id): where each item's windows occur in docs (rid long, text)."""
+    """(rid, start, n, item_id): where each item's windows occur in docs (rid string, text)."""
     windows = written(item_windows(benchmark, width), "windows")
     texts = windows.select("window", "n").distinct()
     split = F.split("window", " ")
@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 
 def row_key():
-    """A key that any scan gives a row again; rows that share it have equal doc_id and text."""
-    return F.xxhash64("doc_id", "text")
+    """A key of 128 bits that any scan gives a row again; rows that share it have equal doc_id and text."""
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))])
 
 
 def count_words():
