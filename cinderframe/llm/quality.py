@@ -12,10 +12,10 @@ of counts, each context its back-off weight, and
 
     P(w | c) = max(count - D(count), 0) / total(c) + backoff(c) * P(w | c without its first)
 
-down to the uniform distribution. That gives every type of the corpus its log-probability. Texts
-are scored against the types: with a broadcast of them if they are at most ``BROADCAST_TYPES`` (20
-bytes each), else by joining each text's own types to the sharded table. A language's threshold is
-a quantile of the perplexity of trusted texts that were held out of training.
+down to the uniform distribution. That gives every type of the corpus its log-probability. The most
+frequent types, at most ``BROADCAST_TYPES`` of 12 bytes each, go to the tasks; a text's sum over its
+other types, all rare ones, is joined from the sharded table, so no join key is frequent. A language's
+threshold is a quantile of the perplexity of trusted texts that were held out of training.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, short_batches, small, written
+from .common import join_small, read_table, short_batches, written
 
 ORDER, BITS = 4, 12
 HELD_OUT = 5
-QUANTILE, SLACK = 0.98, 1.25
+QUANTILE = 0.99
 BROADCAST_TYPES = 4_000_000
 BROADCAST_LABELS = 2_000_000
 CHARS = 2_000_000
@@ -94,7 +95,7 @@ def alphabets(rows: DataFrame) -> dict[str, list[int]]:
 
 
 def count_types(rows: DataFrame, chars: dict[str, list[int]]) -> DataFrame:
-    """(lang, g, c): every n-gram type of all rows, with its count in training text (0 if none)."""
+    """(lang, g, c, n): every n-gram type of all rows, its count in training text (0 if none) and in all."""
     shared = rows.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,10 +106,10 @@ def count_types(rows: DataFrame, chars: dict[str, list[int]]) -> DataFrame:
                     if lang not in tables:
                         continue
                     g, n = np.unique(grams(list(part["text"]), tables[lang])[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "g": g, "c": n if train else 0})
+                    yield pd.DataFrame({"lang": lang, "g": g, "c": n if train else 0, "n": n})
 
-    types = rows.where("text <> ''").select("lang", "text", "trust").mapInPandas(run, "lang string, g long, c long")
-    return types.groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    types = rows.where("text <> ''").select("lang", "text", "trust").mapInPandas(run, "lang string, g long, c long, n long")
+    return types.groupBy("lang", "g").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def log_probabilities(types: DataFrame) -> DataFrame:
@@ -152,11 +153,29 @@ def log_probabilities(types: DataFrame) -> DataFrame:
     return below.select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 
-def score_by_broadcast(rows: DataFrame, chars: dict[str, list[int]], scores: DataFrame) -> DataFrame:
-    """(doc_id, lang, trust, n, logp) with the types at the tasks; call only if they are few."""
+def frequent(types: DataFrame, most: int) -> int:
+    """The least count n such that at most ``most`` types are that frequent; 0 if all types may be.
+
+    From counts by powers of two, so the bound may take fewer than it could.
+    """
+    by = types.groupBy(F.length(F.bin("n")).alias("size")).count().collect()  # at most 64 rows
+    total, least = 0, 2**62
+    for r in sorted(by, key=lambda r: -r["size"]):
+        total += r["count"]
+        if total > most:
+            return least
+        least = 2 ** (r["size"] - 1)
+    return 0
+
+
+def text_sums(rows: DataFrame, chars: dict[str, list[int]], often: DataFrame) -> DataFrame:
+    """(rid, doc_id, lang, trust, n, logp, rest) per row: the sum over ``often`` types, and the other types.
+
+    rid is a row's own number, fixed once this is written; rest is an array of (g, m), m times g.
+    """
     models = {}
     for lang in chars:  # numbers only, and one language at a time, to keep the driver small
-        part = scores.where(F.col("lang") == lang).select("g", "logp").toArrow()
+        part = often.where(F.col("lang") == lang).select("g", "logp").toArrow()
         keys, logp = part["g"].to_numpy(), part["logp"].to_numpy()
         at = np.argsort(keys)
         models[lang] = (keys[at], logp[at])
@@ -165,37 +184,29 @@ def score_by_broadcast(rows: DataFrame, chars: dict[str, list[int]], scores: Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alphabet, model = shared.value
         tables = {lang: numbering(c) for lang, c in alphabet.items()}
+        rid = TaskContext.get().partitionId() << 40
         for b in batches:
             for lang, part in groups(b):
                 n, total = part["text"].str.len().to_numpy(np.int64), np.full(len(part), np.nan)
-                if lang in model and n.sum():
+                rest = [[]] * len(part)
+                if lang in tables and n.sum():
                     keys, logp = model[lang]
                     g, _ = grams(list(part["text"]), tables[lang])
+                    at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+                    known = keys[at] == g if len(keys) else np.zeros(len(g), bool)
                     end = np.cumsum(n)
-                    sums = np.concatenate(([0.0], np.cumsum(logp[np.searchsorted(keys, g)], dtype=float)))
+                    value = np.where(known, logp[at], 0.0) if len(keys) else np.zeros(len(g))
+                    sums = np.concatenate(([0.0], np.cumsum(value, dtype=float)))
                     total = sums[end] - sums[end - n]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang": lang, "trust": part["trust"], "n": n, "logp": total})
-
-    return rows.mapInPandas(run, "doc_id long, lang string, trust int, n long, logp double")
-
-
-def score_by_join(rows: DataFrame, chars: dict[str, list[int]], scores: DataFrame) -> DataFrame:
-    """As score_by_broadcast(), by joining each text's types to the sharded table."""
-    shared = rows.sparkSession.sparkContext.broadcast(chars)
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "lang", "text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {lang: numbering(c) for lang, c in shared.value.items()}
-        for b in batches:
-            for rid, lang, text in zip(b["rid"], b["lang"], b["text"]):
-                if lang in tables and text:
-                    g, n = np.unique(grams([text], tables[lang])[0], return_counts=True)
-                    yield pd.DataFrame({"rid": rid, "lang": lang, "g": g, "m": n})
+                    if not known.all():
+                        rest = []
+                        for i, j in zip((end - n).tolist(), end.tolist()):
+                            own, m = np.unique(g[i:j][~known[i:j]], return_counts=True)
+                            rest.append([{"g": x, "m": y} for x, y in zip(own.tolist(), m.tolist())])
+                yield pd.DataFrame({"rid": np.arange(rid, rid + len(part)), "doc_id": part["doc_id"].astype("Int64"), "lang": lang, "trust": part["trust"], "n": n, "logp": total, "rest": rest})
+                rid += len(part)
 
-    own = rows.select("rid", "lang", "text").dropDuplicates(["rid"]).mapInPandas(run, "rid long, lang string, g long, m long")
-    sums = own.join(scores, ["lang", "g"]).groupBy("rid").agg(F.sum(F.col("m") * F.col("logp")).alias("logp"))
-    n = F.length("text").cast("long").alias("n")
-    return rows.select("rid", "doc_id", "lang", "trust", n).join(sums, "rid", "left").drop("rid")
+    return rows.mapInPandas(run, "rid long, doc_id long, lang string, trust int, n long, logp double, rest array<struct<g:long,m:long>>")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> DataFrame:
@@ -205,17 +216,25 @@ def perplexities(docs: DataFrame, labels: DataFrame, broadcast_types: int = BROA
     chars = alphabets(rows)
     types = written(count_types(rows, chars), "types")
     scores = log_probabilities(types)
-    score = score_by_broadcast if small(types, broadcast_types) else score_by_join
-    found = score(rows, chars, scores)
-    ppl = F.when((F.col("n") > 0) & ~F.isnan(F.coalesce("logp", F.lit(float("nan")))), F.exp(-F.col("logp") / F.col("n")))
+    least = frequent(types, broadcast_types)
+    if least:
+        often = scores.join(types.where(F.col("n") >= least).select("lang", "g"), ["lang", "g"], "left_semi")
+        found = written(text_sums(rows, chars, often), "text-sums")
+        rare = scores.join(types.where(F.col("n") < least).select("lang", "g"), ["lang", "g"], "left_semi")
+        own = found.select("rid", "lang", F.inline("rest")).join(rare, ["lang", "g"])
+        sums = own.groupBy("rid").agg(F.sum(F.col("m") * F.col("logp")).alias("more"))
+        found = found.join(sums, "rid", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0)))
+    else:
+        found = text_sums(rows, chars, scores)
+    ppl = F.when((F.col("n") > 0) & ~F.isnan("logp"), F.exp(-F.col("logp") / F.col("n")))
     return written(found.select("doc_id", "lang", "trust", "n", ppl.alias("perplexity")), "perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, broadcast_types: int = BROADCAST_TYPES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_types: int = BROADCAST_TYPES) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, threshold, keep) per row of ``docs`` (doc_id, text, lang).
 
-    keep: perplexity at most ``slack`` times the ``quantile`` of its language's held-out trusted
-    texts (of all trusted ones where none is held out). Null, empty texts and languages without
+    keep: perplexity at most the ``quantile`` of its language's held-out trusted texts (of all trusted
+    ones where none is held out); equal to it is kept. Null, empty texts and languages without
     trusted text have no perplexity or threshold and are kept, there being no evidence against them.
     A null lang is a language of its own. Repeated rows and null doc_ids keep rows of their own;
     labels that repeat a doc_id count by their maximum; extra columns are not read.
@@ -224,7 +243,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     at = lambda c: F.percentile_approx(F.when(c, F.col("perplexity")), quantile, 10_000)
     limits = rows.groupBy("lang").agg(F.coalesce(at(F.col("trust") == 1), at(F.col("trust") == 2)).alias("limit"))
     out = rows.join(F.broadcast(limits), "lang", "left")  # a row a language
-    threshold = F.col("limit") * slack
+    threshold = F.col("limit")
     keep = F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select("doc_id", F.expr("nullif(lang, '')").alias("lang"), F.col("n").alias("n_chars"), "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 

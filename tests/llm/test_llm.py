@@ -36,14 +36,19 @@ def labels(spark, rows):
     return spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] is not None and r[0] < 60] + [(None, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
 
 
-def test_quality_sorts_noise_from_prose_and_both_paths_agree(spark, docs, labels, none):
+def test_quality_sorts_noise_from_prose_and_all_paths_agree(spark, docs, labels, none):
     rng = random.Random(5)
     noise = spark.createDataFrame([(900 + i, "".join(rng.choices("QZXJ#%&0987", k=200)), "en", "s", 200, "b", "r", "w", 1) for i in range(5)], DOC)
     both = docs.unionByName(noise)
     a = {tuple(r) for r in quality.classify(both, labels).collect()}
     b = {tuple(r) for r in quality.classify(both, labels, broadcast_types=0).collect()}
+    c = {tuple(r) for r in quality.classify(both, labels, broadcast_types=900).collect()}
     key = lambda s: sorted((str(x[0]), x[1] or "", x[2], None if x[3] is None else round(x[3], 4), x[5]) for x in s)
-    assert key(a) == key(b)
+    assert key(a) == key(b) == key(c)
+    for lang in ("en", "fr"):
+        held = sorted(r[3] for r in a if r[1] == lang and r[0] is not None and r[0] < 60 and zlib.crc32(str(r[0]).encode()) % quality.HELD_OUT == 0)
+        assert {r[4] for r in a if r[1] == lang} == {held[math.ceil(quality.QUANTILE * len(held)) - 1]}
+        assert all(r[5] == (r[3] is None or r[3] <= r[4]) for r in a if r[1] == lang)
     keep = {r[0]: r[5] for r in a}
     assert all(not keep[900 + i] for i in range(5)) and all(keep[i] for i in range(60)) and keep[102] and keep[103]
     assert quality.classify(none, labels).count() == 0
