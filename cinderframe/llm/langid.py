@@ -32,9 +32,9 @@ from .common import read_table, short_batches
 LETTERS = 40_960
 TOTAL_LETTERS = 1_048_576
 OWN_SYMBOLS, SHARED_SYMBOLS = 48, 16
-SEGMENT = 2_048
-LANES = 2_048
-CHARS = 1_000_000
+SEGMENT = 512
+LANES = 16_384
+CHARS = 4_000_000
 UND = "und"
 
 
@@ -60,9 +60,10 @@ def folded(text: str | None) -> np.ndarray:
 
 
 class Automaton:
-    """A suffix automaton as one dense table: state * width + symbol -> next state, 0 for none.
+    """A suffix automaton as one dense table: state + symbol -> next state, 0 for none.
 
-    State 0 is dead and state 1 is the start, so ``step`` needs no test for missing edges.
+    States are numbered by ``width``: 0 is dead and ``width`` the start, so ``step`` needs no test for
+    missing edges.
     """
 
     def __init__(self, symbols: np.ndarray, width: int):
@@ -95,18 +96,19 @@ class Automaton:
             last = cur
         self.table = np.zeros(len(edges) * width, np.int32)
         at = np.fromiter((s * width + c for s, e in enumerate(edges) for c in e), np.int64)
-        self.table[at] = np.fromiter((t for e in edges for t in e.values()), np.int32) if len(at) else 0
+        self.table[at] = np.fromiter((t * width for e in edges for t in e.values()), np.int32) if len(at) else 0
         self.width, self.size = width, max(2, len(symbols))
 
     def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, whether a piece begins with the symbol): state 1 is between two pieces."""
-        begins = state == 1
-        nxt = self.table[state * self.width + c]
-        dead = np.flatnonzero(nxt == 0)
-        if len(dead):  # the piece ended before this symbol, which begins the next, or is one if it never occurs
-            begins[dead] = True
-            again = self.table[self.width + c[dead]]
-            nxt[dead] = np.where(again == 0, 1, again)
+        """(next states, whether a piece begins with the symbol): the start is between two pieces."""
+        nxt = self.table.take(state + c)
+        begins = nxt == 0  # the piece ended before this symbol, which begins the next, or is one if it never occurs
+        dead = np.flatnonzero(begins)
+        begins |= state == self.width
+        if len(dead):
+            again = self.table.take(self.width + c[dead])
+            again[again == 0] = self.width
+            nxt[dead] = again
         return nxt, begins
 
     def pieces(self, grid: np.ndarray, size: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -116,11 +118,12 @@ class Automaton:
         """
         n = len(size)
         marks = np.zeros(grid.shape, bool)
-        state = np.ones(n, np.int64)
+        state = np.full(n, self.width, np.int32)
         alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # lanes longer than t
-        for t, k in enumerate(alive):
+        for t, k in enumerate(alive.tolist()):
             state[:k], marks[t, :k] = self.step(state[:k], grid[t, :k])
         count, first = marks.sum(axis=0, dtype=np.int64), state.copy()
+        alone = count.copy()
         todo = np.flatnonzero(follows >= 0)
         while len(todo):  # lanes whose end is known now: go on from it in the next one
             lane, at, alike = follows[todo], state[todo], np.zeros(len(todo), bool)
@@ -131,15 +134,13 @@ class Automaton:
                 if not len(on):
                     break
                 own = lane[on]
-                nxt, begins = self.step(at[on], grid[t, own])
-                met = begins & marks[t, own]
-                if met.any():
-                    alike[on[met]] = True
-                    found[on[met]] += marks[t:, own[met]].sum(axis=0)
-                go = ~met
-                on = on[go]
-                at[on] = nxt[go]
-                found[on] += begins[go]
+                at[on], begins = self.step(at[on], grid[t, own])
+                found[on] += begins
+                met = on[begins & marks[t, own]]
+                if len(met):
+                    alike[met] = True
+                    found[met] += alone[lane[met]] - marks[: t + 1, lane[met]].sum(axis=0)
+                    on = on[~alike[on]]
             count[lane] = found
             at = np.where(alike, first[lane], at)
             changed = at != state[lane]
