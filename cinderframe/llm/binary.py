@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, short_batches, written
+from .common import fresh_path, read_table, short_batches, whole_ids, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = 0x58444952, 1
@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
     short_batches(docs.sparkSession)
     n = shards_for(docs, shard_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(*whole_ids(), "text")
     schema = "shard int, n_records long, n_ids long, low long, high long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,9 +205,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
                 ids = enc.ids(text) + end
                 out.write(ids)
                 sizes.append(len(ids) // enc.dtype.itemsize)
-            ids = b["doc_id"].astype("Int64")
-            null.append(ids.isna().to_numpy(np.uint8))
-            keys.append(ids.fillna(0).to_numpy(np.int64))
+            null.append(b["no_id"].to_numpy(np.uint8))
+            keys.append(b["doc_id"].to_numpy(np.int64))
         if out is None:
             return
         out.close()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderframe.sources.scratch import scratch_dir, written  # noqa: F401
@@ -33,6 +35,16 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(name, ours)
 
 
+def nullable(values: pd.Series, null: pd.Series) -> pd.arrays.IntegerArray:
+    """Whole numbers of a batch with nulls where ``null``; pandas would read a nullable long as a double."""
+    return pd.arrays.IntegerArray(values.to_numpy(np.int64), null.to_numpy(bool, copy=True))
+
+
+def whole_ids(column: str = "doc_id") -> list[Column]:
+    """Two columns for nullable(): ``column`` (0 for null) and no_id."""
+    return [F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")).alias(column), F.col(column).isNull().alias("no_id")]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, short_batches, written
+from .common import join_small, nullable, read_table, short_batches, whole_ids, written
 
 ORDER, BITS = 4, 12
 HELD_OUT = 5
@@ -203,10 +203,10 @@ def text_sums(rows: DataFrame, chars: dict[str, list[int]], often: DataFrame) ->
                         for i, j in zip((end - n).tolist(), end.tolist()):
                             own, m = np.unique(g[i:j][~known[i:j]], return_counts=True)
                             rest.append([{"g": x, "m": y} for x, y in zip(own.tolist(), m.tolist())])
-                yield pd.DataFrame({"rid": np.arange(rid, rid + len(part)), "doc_id": part["doc_id"].astype("Int64"), "lang": lang, "trust": part["trust"], "n": n, "logp": total, "rest": rest})
+                yield pd.DataFrame({"rid": np.arange(rid, rid + len(part)), "doc_id": nullable(part["doc_id"], part["no_id"]), "lang": lang, "trust": part["trust"], "n": n, "logp": total, "rest": rest})
                 rid += len(part)
 
-    return rows.mapInPandas(run, "rid long, doc_id long, lang string, trust int, n long, logp double, rest array<struct<g:long,m:long>>")
+    return rows.select(*whole_ids(), "lang", "text", "trust").mapInPandas(run, "rid long, doc_id long, lang string, trust int, n long, logp double, rest array<struct<g:long,m:long>>")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> DataFrame:

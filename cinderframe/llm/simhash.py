@@ -14,7 +14,7 @@ stay linear in the points however dense a cluster is. The sample only shapes the
 lost, whatever it held.
 
 The pipeline links texts by the exact Jaccard similarity of their distinct shingles instead
-(``similar_pairs``), by a prefix join.
+(``similar_pairs``): candidates by a prefix join, thinned by 128-bit SimHash codes, then compared.
 
 Components. Links of distinct fingerprints (few) go through min-label propagation with pointer
 jumping, each round written to the shared folder.
@@ -28,18 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderframe.operators.graph import components
 
-from .common import join_small, read_table, short_batches, written
+from .binary import mix64 as _mix
+from .common import join_small, nullable, read_table, short_batches, whole_ids, written
 
 SHINGLE = 3
 RADIUS = 2
 SAMPLE = 131_072
 SHARD = 2_048
 LEAF = 256
+#: Sets that a group of one prefix shingle may have for all its pairs to be candidates, and rounds of new prefixes.
+GROUP, ROUNDS = 8, 4
+#: Differing bits of 128 beyond which sets are not similar, and the size below which sets are not asked for them.
+FAR_BITS, SMALL_SET = 44, 64
+#: Pairs of one set that are compared in one part, and rows of slim tables that may be broadcast.
+PART, BROADCAST_SETS = 128, 1_000_000
 #: Fingerprints that one task routes through the tree.
 ROUTED = 16_384
 
@@ -66,15 +74,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row of docs; null and wordless texts have fingerprint 0."""
+    """(doc_id, h, fp) per row of docs (h: a hash of its text); null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": found.view(np.int64)})
+            yield pd.DataFrame({"doc_id": nullable(b["doc_id"], b["no_id"]), "h": b["h"], "fp": found.view(np.int64)})
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(*whole_ids(), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "doc_id long, h long, fp long")
 
 
 def build_tree(points: np.ndarray, leaf: int) -> tuple[list, int]:
@@ -195,12 +203,13 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, least: int = 4, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, their places from rare to common) of shingles common in a sample of distinct texts.
+    """(hashes in order, in how many texts of all each may be) of shingles common in a sample of distinct texts.
 
     They only shape the order of shingles: any choice finds the same pairs.
     """
     texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
-    if (n := docs.count()) > sample:
+    n = docs.count()
+    if n > sample:
         texts = texts.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * sample / n)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,139 +218,222 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, least: i
 
     counts = texts.dropDuplicates(["h"]).select("text").mapInPandas(run, "tok long").groupBy("tok").count().where(F.col("count") >= least)
     top = counts.orderBy(F.desc("count"), "tok").limit(most).collect()
-    tok = np.array([r["tok"] for r in reversed(top)], np.int64).view(np.uint64)
-    order = np.argsort(tok)
-    return tok[order], order
+    tok, heat = np.array([r["tok"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], float)
+    at = np.argsort(tok)
+    return tok[at], heat[at] * max(1.0, n / sample)
 
 
-def shared_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(doc_id, h, fp, n, toks) per row of docs: keys of its text and its shingle set, the set's size and prefix.
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A second hash of a hash."""
+    return _mix(h, 5)
 
-    Two sets of that Jaccard similarity share one of the first ``n - ceil(similarity * n) + 1``
-    shingles of each, whatever the order; rare ones first keeps those that share one few.
+
+def set_code(h: np.ndarray) -> tuple[int, int]:
+    """The 128-bit SimHash of a set of shingle hashes, as two int64; 0 of an empty set."""
+    if not len(h):
+        return 0, 0
+    both = np.stack((h, mix64(h)), axis=1).view(np.uint8)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(both), 65536):
+        ones += np.unpackbits(both[i : i + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist())
+
+
+def prefix_of(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of a set's hashes: those not in ``order`` by value, then the rest from rare to common."""
+    known, heat = order
+    n = len(h)
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    often = known[at] == h if len(known) else np.zeros(n, bool)
+    ordered = np.concatenate((h[~often], h[often][np.argsort(heat[at[often]], kind="stable")])) if often.any() else h
+    return ordered[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+
+
+def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, h, row, fp, n, c0, c1, toks) per row of docs.
+
+    h is a hash of the text, row a number of its own (fixed once this is written), fp a hash of the
+    shingle set, n its size, c0 and c1 its SimHash and toks its prefix. Two sets of that Jaccard
+    similarity share a prefix shingle, whatever the order; rare ones first keeps those that share one few.
     """
     short_batches(docs.sparkSession)
-    common, place = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle)), np.searchsorted
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rank = common.value
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            fp, size, toks = [], [], []
-            for t in b["text"]:
-                h = hashes(t, shingle)
-                n = len(h)
-                at = np.minimum(place(known, h), max(len(known) - 1, 0))
-                often = known[at] == h if len(known) else np.zeros(n, bool)
-                ordered = np.concatenate((h[~often], h[often][np.argsort(rank[at[often]])])) if often.any() else h
-                fp.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
-                size.append(n)
-                toks.append(ordered[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp, "n": size, "toks": toks})
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return read.mapInPandas(run, "doc_id long, h long, fp long, n long, toks array<long>")
+            sets = [hashes(t, shingle) for t in b["text"]]
+            codes = [set_code(h) for h in sets]
+            yield pd.DataFrame({
+                "doc_id": nullable(b["doc_id"], b["no_id"]), "h": b["h"], "row": np.arange(row, row + len(b)),
+                "fp": [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64) for h in sets], "n": [len(h) for h in sets],
+                "c0": [c[0] for c in codes], "c1": [c[1] for c in codes], "toks": [prefix_of(h, shared.value, similarity).view(np.int64) for h in sets],
+            })
+            row += len(b)
+
+    read = docs.select(*whole_ids(), F.xxhash64("text").alias("h"), "text")
+    return read.mapInPandas(run, "doc_id long, h long, row long, fp long, n long, c0 long, c1 long, toks array<long>")
+
+
+def new_prefixes(texts: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(fp, tok): the prefixes of texts (fp, text) under another order of shingles."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            toks = [prefix_of(hashes(t, shingle), shared.value, similarity) for t in b["text"]]
+            yield pd.DataFrame({"fp": b["fp"].repeat([len(t) for t in toks]).to_numpy(), "tok": np.concatenate([np.zeros(0, np.uint64), *toks]).view(np.int64)})
+
+    return texts.select("fp", "text").mapInPandas(run, "fp long, tok long")
+
+
+def texts_of(fps: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, text), written: a text of each set (fps: fp, distinct and written)."""
+    few = join_small(rows.select("fp", "doc_id", "h"), fps, "fp", "left_semi", BROADCAST_SETS)
+    one = written(few.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("fp", "m.*"), "set-keys")
+    own = one.select("fp", "h", F.col("doc_id").alias("own_id"))
+    texts = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text"), own, "h", "inner", BROADCAST_SETS)
+    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("fp", "text")
+    return written(texts.dropDuplicates(["fp"]), "set-texts")
 
 
 def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, j) of pairs (a, b): the Jaccard similarity of the shingle sets of their texts (fp, text)."""
+    """(a, b, j) of distinct pairs (a, b; written): the Jaccard similarity of their texts' (fp, text) shingle sets.
+
+    The pairs of one a are dealt out in parts of about ``PART``; a part gets a's text once, first.
+    """
+    by = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    members = pairs.join(by, "a").select("a", part, "b").join(texts.withColumnRenamed("fp", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    hubs = by.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("fp", "a"), "a")
+    hubs = hubs.select("a", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "text")
+    dealt = members.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, set()
+        held: set = set()
         for g in batches:
-            out = []
-            for a, x, y in zip(g["a"], g["x"], g["y"]):
-                if a != last:
-                    last, held = a, shingles(x, shingle)
-                other = shingles(y, shingle)
-                both = len(held & other)
-                out.append(both / max(1, len(held) + len(other) - both))
-            yield pd.DataFrame({"a": g["a"], "b": g["b"], "j": out})
+            a, b, j = [], [], []
+            for x, y, kind, text in zip(g["a"].tolist(), g["b"].tolist(), g["kind"].tolist(), g["text"]):
+                mine = shingles(text, shingle)
+                if kind == 0:
+                    held = mine
+                    continue
+                both = len(held & mine)
+                a.append(x)
+                b.append(y)
+                j.append(both / max(1, len(held) + len(mine) - both))
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "j": np.array(j, float)})
 
-    left = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
-    both = left.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, j double")
+    return dealt.mapInPandas(run, "a long, b long, j double")
 
 
-def most_similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, most) of pairs (a, b, na, nb): a bound of their similarity, from sizes and then prefixes.
+def candidate_pairs(groups: DataFrame, ends: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of sets that share a prefix shingle.
 
-    The prefix that ends first in the order holds all shingles of its set up to there, and so does
-    the other's, so what they don't share in it is in one set only; either may be that prefix.
+    All pairs of a group of at most ``GROUP`` sets; of a larger one each member with the least.
     """
-    ratio = F.least("na", "nb") / F.greatest("na", "nb")
-    pairs = written(pairs.withColumn("ratio", ratio), "pair-sizes")
-    toks = rows.where("n > 0").select("fp", "toks").dropDuplicates(["fp"])
-    near = pairs.where(F.col("ratio") >= similarity - 1e-9)
-    near = near.join(toks.select(F.col("fp").alias("a"), F.col("toks").alias("x")), "a").join(toks.select(F.col("fp").alias("b"), F.col("toks").alias("y")), "b")
-    near = near.withColumn("both", F.size(F.array_intersect("x", "y")))
-
-    def bound(n: str, toks: str, other: str):
-        shared = F.least(F.col(n) - F.size(toks) + F.col("both"), F.col(other))
-        return shared / (F.col(n) + F.col(other) - shared)
-
-    most = F.least("ratio", F.greatest(bound("na", "x", "nb"), bound("nb", "y", "na")))
-    return near.select("a", "b", most.alias("most")).unionByName(pairs.where(F.col("ratio") < similarity - 1e-9).select("a", "b", F.col("ratio").alias("most")))
-
-
-def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b, least, most) of pairs (a, b, na, nb): their similarity, or its bounds where it can't reach ``similarity``."""
-    bounds = written(most_similar(pairs, rows, similarity), "pair-bounds")
-    may = bounds.where(F.col("most") >= similarity - 1e-9).select("a", "b")
-    met = may.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = written(rows.select("fp", "h").join(met, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")), "set-keys")
-    texts = join_small(docs.select(F.xxhash64("text").alias("h"), "text"), one, "h", "inner", 200_000)
-    texts = written(texts.dropDuplicates(["fp"]).select("fp", "text"), "set-texts")
-    exact = exact_jaccard(may, texts, shingle).select("a", "b", F.col("j").alias("least"), F.col("j").alias("most"))
-    rest = bounds.where(F.col("most") < similarity - 1e-9).select("a", "b", F.lit(0.0).alias("least"), "most")
-    return written(exact.unionByName(rest), "pair-similarities")
-
-
-def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    small, large = (ends.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
+    x = groups.join(small.select("tok"), "tok")
+    listed = x.groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
+    of = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p")
+    star = groups.join(large.select("tok", "lo"), "tok").where("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b"))
+    return listed.select(of).select("p.*").unionByName(star).distinct()
+
+
+def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and SimHash codes (slim: fp, n, c0, c1) allow that similarity.
+
+    Sets at 0.8 or more differ in 0.152 of their bits on average, so in 19 of 128, with a deviation
+    of 4; ``FAR_BITS`` is six deviations on. Small sets' codes say less and are not asked.
+    """
+    one, two = (slim.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("c0").alias(f"c0_{k}"), F.col("c1").alias(f"c1_{k}")) for k in ("a", "b"))
+    both = join_small(join_small(pairs, one, "a", "inner", BROADCAST_SETS), two, "b", "inner", BROADCAST_SETS)
+    bits = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("c0", "c1"))
+    size = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    return both.where(size & ((F.least("n_a", "n_b") < SMALL_SET) | (bits <= FAR_BITS))).select("a", "b")
+
+
+def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity.
 
-    Every pair of that similarity is linked or has both ends in one component of the links, and
-    every link is checked on the texts. Sets that share a prefix shingle are a group. First each
-    member meets the group's least and greatest fp. Similarity makes a metric, so two members can only
-    be similar if their similarities to either differ by at most ``1 - similarity``; pairs that may be
-    and are not in one component yet are checked next. A group of near copies falls to its first
-    links, so the pairs made follow the links across components, not the square of a group.
+    Every pair of that similarity is linked or has both ends in one component of the links, and every
+    link is checked on the texts. Sets that share a prefix shingle are a group. In a small group all
+    pairs are candidates. In a large one each member first meets the least: near copies are then one
+    component, and such a group is done. Where a large group still has several components, its shingle
+    is a common one: its members get new prefixes that take such shingles last, in which similar sets
+    share one again, and are grouped anew. A pair of which only one is a member shares a shingle of a
+    group that is done, so the others need no new prefix. Sets that are common shingles all over come
+    to the last round, where members of different components are all candidates.
     """
-    far = 1 - similarity + 1e-9
-    deal = written(rows.where("n > 0").dropDuplicates(["fp"]).select("fp", "n", F.explode("toks").alias("tok")), "prefixes")
-    shared = written(deal.groupBy("tok").count().where("count > 1"), "shared-shingles")
-    groups = written(deal.join(shared, "tok"), "prefix-groups")
-    me = F.struct("fp", "n")
-    ends = written(groups.groupBy("tok").agg(F.min(me).alias("lo"), F.max(me).alias("hi")), "group-ends")
-    first = groups.join(ends, "tok").select(me.alias("c"), F.explode(F.array("lo", "hi")).alias("d")).where("c.fp <> d.fp")
-    first = first.select(F.least("c", "d").alias("p"), F.greatest("c", "d").alias("q")).distinct()
-    first = first.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
-    sims = checked(first, rows, docs, similarity, shingle)
-    links = sims.where(F.col("least") >= similarity).select("a", "b")
+    firsts = written(rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row")), "set-rows")
+    sets = join_small(rows, firsts.select("row"), "row", "left_semi", BROADCAST_SETS)
+    slim = written(sets.select("fp", "n", "c0", "c1"), "set-codes")
+    deal, links, done = sets.select("fp", F.explode("toks").alias("tok")), None, None
+    for round_ in range(ROUNDS):
+        shared = written(deal.groupBy("tok").count().where("count > 1").select("tok"), "shared-shingles")
+        groups = written(join_small(deal, shared, "tok", "inner", BROADCAST_SETS), "prefix-groups")
+        ends = written(groups.groupBy("tok").agg(F.min("fp").alias("lo"), F.count("*").alias("n")), "group-ends")
+        pairs = candidate_pairs(groups, ends)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        found = checked(pairs, slim, rows, docs, similarity, shingle)
+        done = found.select("a", "b") if done is None else written(done.unionByName(found.select("a", "b")), "pairs-done")
+        new = found.where(F.col("j") >= similarity).select("a", "b")
+        links = new if links is None else written(links.unionByName(new), "similar-pairs")
+        large = groups.join(ends.where(F.col("n") > GROUP).select("tok"), "tok")
+        mixed = mixed_groups(large, links)
+        hot = mixed.groupBy("tok").agg(F.count("*").alias("n"))
+        if not hot.limit(1).count():
+            return links
+        if round_ < ROUNDS - 1:
+            order = later(order, hot)
+            met = written(mixed.select("fp").distinct(), "mixed-sets")
+            deal = written(new_prefixes(texts_of(met, rows, docs), similarity, shingle, order), "new-prefixes")
+    x, y = (mixed.select("tok", F.col("fp").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "b"))
+    rest = x.join(y, "tok").where("a < b and r_a <> r_b").select("a", "b")
+    rest = likely_pairs(rest, slim, similarity).distinct().join(done, ["a", "b"], "left_anti")
+    found = checked(rest, slim, rows, docs, similarity, shingle)
+    return written(links.unionByName(found.where(F.col("j") >= similarity).select("a", "b")), "similar-pairs")
+
+
+def mixed_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(tok, fp, root), written: the groups (tok, fp) whose members are in several components of the links."""
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    # Of three members, each pair has met.
-    large = groups.where("count > 3").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = large.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("tok")
-    large = large.join(mixed, "tok", "left_semi").join(ends.select("tok", F.col("lo.fp").alias("lo"), F.col("hi.fp").alias("hi")), "tok")
-    for end in ("lo", "hi"):
-        to = sims.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("least").alias(f"{end}_0"), F.col("most").alias(f"{end}_1"))
-        met = (F.least("fp", end) == F.col("p")) & (F.greatest("fp", end) == F.col("q"))
-        large = large.join(to, met, "left").drop("p", "q")
-        large = large.withColumns({c: F.when(F.col("fp") == F.col(end), 1.0).otherwise(F.col(c)) for c in (f"{end}_0", f"{end}_1")})
-    large = written(large, "mixed-groups")
-    # Members in the component of the least one matter only to others that are close enough to meet them.
-    heads = large.where("fp = lo").select("tok", F.col("root").alias("head"))
-    near = large.join(heads, "tok")
-    reach = near.where("root <> head").groupBy("tok").agg(F.max("lo_1").alias("reach"))
-    near = near.join(reach, "tok").where((F.col("root") != F.col("head")) | (F.col("lo_0") - F.col("reach") <= far))
-    near = near.select("tok", "fp", "n", "root", "lo_0", "lo_1", "hi_0", "hi_1")
-    x, y = near.alias("x"), near.alias("y")
-    may = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
-    may &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    for end in ("lo", "hi"):
-        may &= (F.col(f"x.{end}_0") - F.col(f"y.{end}_1") <= far) & (F.col(f"y.{end}_0") - F.col(f"x.{end}_1") <= far)
-    more = x.join(y, may).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    found = checked(more.join(sims, ["a", "b"], "left_anti"), rows, docs, similarity, shingle)
-    return written(links.unionByName(found.where(F.col("least") >= similarity).select("a", "b")), "similar-pairs")
+    rooted = written(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-groups")
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("tok")
+    return written(rooted.join(mixed, "tok", "left_semi"), "mixed-groups")
+
+
+def later(order: tuple[np.ndarray, np.ndarray], hot: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The order with shingles ``hot`` (tok, n: so many sets, more than GROUP) moved to their place by n.
+
+    Only later, never earlier. Beyond ``most`` they are left where they are: any order finds the same pairs.
+    """
+    top = hot.orderBy(F.desc("n"), "tok").limit(most).collect()
+    tok, heat = np.array([r["tok"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], float)
+    both, at = np.unique(np.concatenate((order[0], tok)), return_inverse=True)
+    out = np.zeros(len(both))
+    np.maximum.at(out, at, np.concatenate((order[1], heat)))
+    return both, out
+
+
+def checked(pairs: DataFrame, slim: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b, j), written: the exact similarity of those pairs (a, b) that may be similar."""
+    may = written(likely_pairs(pairs, slim, similarity), "likely-pairs")
+    met = written(may.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "pair-sets")
+    return written(exact_jaccard(may, texts_of(met, rows, docs), shingle), "pair-similarities")
+
+
+def labelled(docs: DataFrame, shingle: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots), both written: (doc_id, h, fp) per row of docs (h: a hash of its text), and each fp's root."""
+    if similarity is None:
+        rows = written(fingerprints(docs, shingle), "simhash")
+        links = near_pairs(written(rows.select("fp").distinct(), "simhash-points"), radius)
+    else:
+        order = common_shingles(docs, shingle)
+        rows = written(shared_prefixes(docs, similarity, shingle, order), "shingle-sets")
+        links = similar_pairs(rows, docs, similarity, shingle, order)
+    return rows.select("doc_id", "h", "fp"), written(components(links).select(F.col("node").alias("fp"), "root"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
@@ -351,37 +443,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     their 64-bit fingerprints differ in at most ``radius`` bits; with it, if their sets of distinct
     shingles have that Jaccard similarity, exactly (fp is then a key of the set). Null, empty and
     wordless texts share one fp and are linked like any other; repeated rows and exact copies share
-    one. A row with a null doc_id takes part
-    and gets its component's smallest non-null doc_id (null if there is none). Empty tables give no
-    rows.
+    one. A very long text is one row of its batch. A row with a null doc_id takes part and gets its
+    component's smallest non-null doc_id (null if there is none). Empty tables give no rows.
     """
-    if similarity is None:
-        rows = written(fingerprints(docs, shingle), "simhash")
-        points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-points")
-        links = near_pairs(points.select("fp"), radius)
-    else:
-        rows = written(shared_prefixes(docs, similarity, shingle), "shingle-sets")
-        points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "shingle-points")
-        links = similar_pairs(rows, docs, similarity, shingle)
-    roots = components(links).withColumnRenamed("node", "fp")
-    labelled = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = written(labelled.join(least, "root").select("fp", "component_id"), "simhash-ids")
+    rows, roots = labelled(docs, shingle, radius, similarity)
+    points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-ids")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near-duplicates; same columns.
+    """``docs`` with one row of each group of near-duplicates; same columns.
 
-    Rows that share the surviving doc_id (repeated rows) count as one; rows with a null doc_id
-    can't be told apart and stay.
+    The row with the smallest doc_id stays (null is last; of several texts of one doc_id, one by
+    hash), and of rows that repeat it only one. Rows of one doc_id with unlike texts are of different
+    groups, so each stays.
     """
-    rows = written(near_duplicates(docs, shingle, similarity=similarity), "simhash-rows")
-    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    rows, roots = labelled(docs, shingle, RADIUS, similarity)
+    rows = rows.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("key"))
+    least = rows.groupBy("root").agg(F.min("key").alias("least"))
+    rows = written(rows.join(least, "root").select("doc_id", "h", (F.col("key") == F.col("least")).alias("stays")), "duplicate-rows")
+    gone = written(rows.where("not stays").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).distinct(), "duplicates-gone")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("__key")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), key)
+    same = F.col("__key.doc_id").eqNullSafe(F.col("g_id")) & (F.col("__key.h") == F.col("g_h"))
+    kept = join_small(keyed, gone, same, "left_anti", BROADCAST_SETS)
+    repeated = written(rows.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "rows-repeated")
+    if repeated.limit(1).count():
+        again = join_small(kept, repeated, same, "left_semi", BROADCAST_SETS).dropDuplicates(["__key"])
+        kept = join_small(kept, repeated, same, "left_anti", BROADCAST_SETS).unionByName(again)
+    return kept.select("__row.*")
 
 
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

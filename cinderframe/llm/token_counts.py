@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, short_batches
+from .common import nullable, read_table, short_batches, whole_ids
 from .tokens import encoder, tokenizer_path
 
 RULES = ("largest", "start", "end")
@@ -60,7 +60,9 @@ def attribute_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     short_batches(docs.sparkSession)
     path, kind = tokenizer_path(), docs.schema[key].dataType.simpleString()
     own = F.col(sections).alias("s") if sections else F.lit(None).cast("array<struct<start:long,end:long>>").alias("s")
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), own).where("length(t) > 0")
+    rows = rows.select(*whole_ids("k") if whole else ("k", F.lit(False).alias("no_id")), "t", "s")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, True)
@@ -84,7 +86,8 @@ def attribute_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                 out.append(rows if n[0] else rows[1:])
             size = [len(x) for x in out]
             frame = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 5), np.int64), columns=["section", "start", "end", "n_tokens", "n_crossing"])
-            frame.insert(0, "k", b["k"].repeat(size).to_numpy() if kind not in ("bigint", "int") else b["k"].astype("Int64").repeat(size).array)
+            k, none = b["k"].repeat(size), b["no_id"].repeat(size)
+            frame.insert(0, "k", nullable(k, none) if whole else k.to_numpy())
             yield frame
 
     return rows.mapInPandas(run, f"k {kind}, {OUT}").withColumnRenamed("k", key)

@@ -172,7 +172,7 @@ def test_similar_texts_go_and_repeated_rows_count_once(spark, docs, rows):
     kept = simhash.drop_near_duplicates(docs.unionByName(more))
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert kept.columns == docs.columns and 500 in ids and 501 not in ids and 5 in ids and 100 not in ids
-    assert ids.count(7) == 1 and None in ids and [102 in ids, 103 in ids, 104 in ids].count(True) == 1
+    assert ids.count(7) == 1 and ids.count(None) == 1 and [102 in ids, 103 in ids, 104 in ids].count(True) == 1
 
 
 def test_similar_texts_are_exactly_those_of_the_jaccard_limit(spark):
