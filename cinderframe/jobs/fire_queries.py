@@ -67,6 +67,16 @@ def flt8(t):
     return one.unionByName(two)
 
 
+@query("flt9_usable_lines", f"{fx('fx_way_points')} select section, way, cast(count(*) as int) as n from fx_way_points group by 1, 2 having count(*) > 1")
+def flt9(t):
+    """Ways of two points or more; ways without geometry and sections without ways drop out."""
+    node = F.struct("pt", F.struct("lat", "lon").alias("p"))
+    shapes = t("fx_way_points").groupBy("way").agg(F.collect_list(node).alias("geometry"))
+    ways = t("supplier").select(F.col("s_suppkey").alias("way"), F.col("s_nationkey").alias("section")).join(shapes, "way", "left")
+    lines = ways.where(F.size(F.coalesce("geometry", F.array())) > 1)
+    return t("fx_sections").select("section").join(lines, "section").select("section", "way", F.size("geometry").alias("n"))
+
+
 @query("flt10_severity_status", f"""{fx('fx_fires', 'fx_stats')}, {RECORD}, {TAGGED}, ok as (select year, count(*) filter (sev_ok) as n_ok from tagged group by year)
 select id, t.year, sev_ok, case when sev_ok then 'mapped' when t.year = (select max(year) from rec) then 'not yet mapped' when n_ok = 0 then 'not available' else 'unmapped' end as status
 from tagged t join ok on ok.year = t.year""")
@@ -174,11 +184,14 @@ def jn12(t):
     return fi.age_expansion(t.summary())
 
 
-@query("jn10_object_manifest", f"""{fx('fx_manifest')} select key, case when remote_size is null then 'missing' when size <> remote_size then 'size differs' when remote_etag like '%-%' then 'size only'
-when etag <> remote_etag then 'content differs' else 'same' end as state from fx_manifest""")
+@query("jn10_object_manifest", f"""{fx('fx_manifest')}, l as (select key, size, etag from fx_manifest where cast(key as bigint) % 19 <> 0), r as (select key, remote_size, remote_etag from fx_manifest where remote_size is not null)
+select coalesce(l.key, r.key) as key, case when r.key is null then 'missing' when l.key is null then 'extra' when size <> remote_size then 'size differs' when remote_etag like '%-%' then 'size only'
+when etag <> remote_etag then 'content differs' else 'same' end as state from l full outer join r on l.key = r.key""")
 def jn10(t):
+    """A local listing against a remote one, both ways."""
     m = t("fx_manifest")
-    return m.select("key", verify.object_state(F.col("size"), F.col("etag"), F.col("remote_size"), F.col("remote_etag")).alias("state"))
+    local = m.where(F.col("key").cast("long") % 19 != 0).select("key", "size", "etag")
+    return verify.listings(local, m.where("remote_size is not null").select("key", F.col("remote_size").alias("size"), F.col("remote_etag").alias("etag")))
 
 
 @query("snk7_merged_stats", f"""{fx('fx_stats')}, new as (select id, class, px * 2 as px from fx_stats where substr(id, 12, 1) in ('0', '5'))
@@ -206,18 +219,6 @@ def set2(t):
     return tagged.select("year").distinct().exceptAll(tagged.where("sev_ok").select("year").distinct())
 
 
-@query("snk1_geojson_lines", f"""{fx('fx_edges')}, {RECORD}, n as (select id, count(*) as edges, count(distinct part) as parts, count(distinct part * 100 + ring) as rings from fx_edges group by id)
-select id, cast(parts as int) as parts, cast(rings as int) as rings, cast(edges + rings as int) as points, true as feature from rec join n using (id)""")
-def snk1(t):
-    """Fires as one GeoJSON feature a line, read back: parts, rings and points all there."""
-    shapes = geom.nest(t.edges())
-    coords = F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
-    line = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")).alias("geometry")))
-    back = shapes.select(F.from_json(line, "type string, properties struct<id:string>, geometry struct<type:string, coordinates:array<array<array<array<double>>>>>").alias("f"))
-    rings = F.flatten("f.geometry.coordinates")
-    return back.select("f.properties.id", F.size("f.geometry.coordinates").alias("parts"), F.size(rings).alias("rings"), F.size(F.flatten(rings)).alias("points"), (F.col("f.type") == "Feature").alias("feature"))
-
-
 @query("fn6_rounding_rules", f"{fx('fx_stats')} select id, class, cast(round_even(px / 2e0, 0) as bigint) as even, cast(round(px / 2e0) as bigint) as away, round(px * 8100 / 4046.86e0, 2) as acres from fx_stats")
 def fn6(t):
     half = F.col("px") / F.lit(2.0)

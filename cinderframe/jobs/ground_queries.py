@@ -175,8 +175,8 @@ CHECK = f"{COUNTS}, fx_points as ({{points}}), {INSIDE}, {DIST}, truth as (selec
 
 def checked(t):
     """(pt, got, want, dist): the raster's count against exact containment at each sample point."""
-    points, edges = t("fx_points"), t.edges()
-    got = spatial.at_points(points, raster.sweep(t.runs()), raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("got"))
+    points, edges = t("fx_points"), written(t.edges(), "edges")
+    got = spatial.at_points(points, raster.sweep(raster.rasterise(edges)), raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("got"))
     want = spatial.in_perimeters(points, edges).groupBy("pt").agg(F.count("*").alias("want"))
     dist = spatial.nearest_boundary(points, edges, 600.0)
     return got.join(want, "pt", "left").join(dist, "pt").select("pt", "got", F.coalesce("want", F.lit(0)).alias("want"), "dist")

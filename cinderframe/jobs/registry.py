@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinderframe.jobs import fire_queries, ground_queries, trail_queries
+from cinderframe.jobs import file_queries, fire_queries, ground_queries, trail_queries
 
-_MODULES = (fire_queries, ground_queries, trail_queries)
+_MODULES = (fire_queries, file_queries, ground_queries, trail_queries)
 
 
 def queries() -> dict:

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def geojson_lines(rows: DataFrame, path: str, properties: list[str]) -> None:
-    """One compact MultiPolygon feature a line, gzipped; geom is part -> ring -> point."""
+def feature(properties: Column) -> Column:
+    """A compact MultiPolygon feature as JSON text; the column geom is part -> ring -> point."""
     coords = F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates"))
-    line = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")))
+
+
+def class_maps(stats: DataFrame, path: str) -> None:
+    """A JSON object a year (fire -> {class -> pixels}) as text, one entry a line of a fire."""
+    entry = F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("string"), "px")))
+    by = stats.groupBy("year", "id").agg(entry.alias("h"))
+    by.select("year", F.to_json(F.create_map("id", "h")).alias("value")).write.mode("overwrite").partitionBy("year").text(path)
+
+
+def geojson_lines(rows: DataFrame, path: str, properties: list[str]) -> None:
+    """One feature a line, gzipped."""
+    line = feature(F.struct(*properties))
     rows.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")
 
 

@@ -24,6 +24,13 @@ def object_state(size: Column, etag: Column, remote_size: Column, remote_etag: C
     )
 
 
+def listings(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(key, state) of the objects (key, size, etag) of two listings, those of one side only included."""
+    r = remote.select("key", F.col("size").alias("remote_size"), F.col("etag").alias("remote_etag"))
+    both = local.join(r, "key", "full_outer")
+    return both.select("key", object_state(F.col("size"), F.col("etag"), F.col("remote_size"), F.col("remote_etag")).alias("state"))
+
+
 def distance_band(d: Column) -> Column:
     return F.when(d < BANDS[0], f"under {BANDS[0]}").when(d < BANDS[1], f"{BANDS[0]} to {BANDS[1]}").otherwise(f"{BANDS[1]} and over")
 

@@ -26,17 +26,22 @@ def multipolygons(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind").isin("Polygon", "MultiPolygon")).withColumn("geom", geom).drop("coordinates", "kind")
 
 
-def severity_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(id, class, px) of a JSON object: fire -> {class -> pixels}."""
-    maps = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,bigint>>").alias("m"))
-    per = maps.select(F.explode("m").alias("id", "h")).select("id", F.explode("h").alias("class", "px"))
-    return per.select("id", F.col("class").cast("int").alias("class"), "px")
+def severity_stats(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """(id, class, px) of JSON objects fire -> {class -> pixels}, a line each, and the folder's columns ``keep``."""
+    maps = spark.read.text(path).select(*keep, F.from_json("value", "map<string,map<string,bigint>>").alias("m"))
+    per = maps.select(*keep, F.explode("m").alias("id", "h")).select(*keep, "id", F.explode("h").alias("class", "px"))
+    return per.select(*keep, "id", F.col("class").cast("int").alias("class"), "px")
 
 
 def gpx_points(spark: SparkSession, path: str) -> DataFrame:
-    """(file, track, seg, pt, lat, lon) of GPX tracks; several tracks of a file stay apart."""
-    schema = "name string, trkseg array<struct<trkpt:array<struct<_lat:double,_lon:double>>>>"
-    rows = spark.read.format("xml").option("rowTag", "trk").schema(schema).load(path)
+    """(file, track, seg, pt, lat, lon) of GPX tracks and routes; several of a file stay apart by name.
+
+    A route is a track of one segment.
+    """
+    points = "array<struct<_lat:double,_lon:double>>"
+    rows = spark.read.format("xml").option("rowTag", "trk").schema(f"name string, trkseg array<struct<trkpt:{points}>>").load(path).select("name", "trkseg", "_metadata")
+    routes = spark.read.format("xml").option("rowTag", "rte").schema(f"name string, rtept {points}").load(path)
+    rows = rows.unionByName(routes.select("name", F.array(F.struct(F.col("rtept").alias("trkpt"))).alias("trkseg"), "_metadata"))
     segs = rows.select(F.col("_metadata.file_name").alias("file"), F.col("name").alias("track"), F.posexplode("trkseg").alias("seg", "s"))
     return segs.select("file", "track", "seg", F.posexplode("s.trkpt").alias("pt", "p")).select("file", "track", "seg", "pt", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"))
 
@@ -56,7 +61,7 @@ def year_manifest(spark: SparkSession, path: str) -> DataFrame:
     return maps.select(F.explode("m").alias("y", "url")).select(F.col("y").cast("int").alias("year"), "url")
 
 
-def artefacts(spark: SparkSession, path: str) -> DataFrame:
-    """(key, size, md5) of the files of a folder."""
+def artefacts(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """(key, size, md5) of the files of a folder, and the folder's columns ``keep``."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+    return files.select(*keep, F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("size"), F.md5("content").alias("md5"))

@@ -9,17 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it names none."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Only where it is unset and driver and tasks are one process (a local master) is it a temporary
+    folder of this machine; on a cluster, whose executors would each write to a disk of their own, it
+    has to be set.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_cinderframe_scratch", None)
         if path is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = spark._cinderframe_scratch = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     return path.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the scratch folder."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 import random
@@ -209,6 +210,14 @@ def test_files_round_trip(spark, tmp_path):
     sinks.gpx(spark.createDataFrame(pts, "slug string, name string, seg int, pt int, lat double, lon double"), f"{tmp_path}/gpx")
     back = files.gpx_points(spark, f"{tmp_path}/gpx/*").collect()
     assert len(back) == 6 and {r["track"] for r in back} == {"Oregon & D"} and {r["seg"] for r in back} == {0, 1}
+    gz = tmp_path / "gz"
+    gz.mkdir()
+    with gzip.open(gz / "f.geojson.gz", "wt") as f:
+        json.dump(fc, f)
+    assert files.features(spark, str(gz)).count() == 2
+    (tmp_path / "two.gpx").write_text('<?xml version="1.0"?><gpx><trk><name>a</name><trkseg><trkpt lat="1" lon="2"/></trkseg></trk><rte><name>b</name><rtept lat="3" lon="4"/><rtept lat="5" lon="6"/></rte><trk><name>c</name><trkseg><trkpt lat="7" lon="8"/></trkseg></trk></gpx>')
+    both = files.gpx_points(spark, f"{tmp_path}/two.gpx").collect()
+    assert sorted((r["track"], r["seg"], r["pt"], r["lat"], r["lon"]) for r in both) == [("a", 0, 0, 1.0, 2.0), ("b", 0, 0, 3.0, 4.0), ("b", 0, 1, 5.0, 6.0), ("c", 0, 0, 7.0, 8.0)]
     (tmp_path / "stats.json").write_text('{"a": {"1": 5, "6": 2}}')
     assert {tuple(r) for r in files.severity_stats(spark, f"{tmp_path}/stats.json").collect()} == {("a", 1, 5), ("a", 6, 2)}
     (tmp_path / "m.json").write_text('{"1999": "http://x"}')
