@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.sources.scratch import scratch_dir, written  # noqa: F401
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from cinderframe.sources.scratch import fresh_path, scratch_dir, written  # noqa: F401
 
 
 #: Settings of batches that go to Python: name -> (Spark's default, ours). Whichever is met first ends a batch.
