@@ -28,6 +28,21 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(name, ours)
 
 
+_HELD: dict = {}
+
+
+def held(key, build):
+    """``build()``, kept by this Python worker until it asks for the value of another key.
+
+    Workers outlive stages, so one large object (a model, an encoder) at a time bounds their memory;
+    held(None, ...) lets go of it.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def nullable(values: pd.Series, null: pd.Series) -> pd.arrays.IntegerArray:
     """Whole numbers of a batch with nulls where ``null``; pandas would read a nullable long as a double."""
     return pd.arrays.IntegerArray(values.to_numpy(np.int64), null.to_numpy(bool, copy=True))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, short_batches
+from .common import held, read_table, short_batches
 
 LETTERS = 40_960
 TOTAL_LETTERS = 1_048_576
@@ -203,10 +203,9 @@ class Model:
         return [(self.langs[b], float(s)) if len(c) else (UND, 0.0) for b, s, c in zip(best, score, codes)]
 
 
-@functools.lru_cache(maxsize=2)
 def model_of(texts: tuple[tuple[str, str], ...]) -> Model:
     """The automata, built once per Python worker."""
-    return Model(dict(texts))
+    return held(("langid", texts), lambda: Model(dict(texts)))
 
 
 def learnable() -> Column:

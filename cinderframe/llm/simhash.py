@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cinderframe.operators.graph import components
 
 from .binary import mix64 as _mix
-from .common import join_small, nullable, read_table, short_batches, whole_ids, written
+from .common import join_small, held, nullable, read_table, short_batches, small, whole_ids, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -43,7 +43,9 @@ SAMPLE = 131_072
 SHARD = 2_048
 LEAF = 256
 #: Sets that a group of one prefix shingle may have for all its pairs to be candidates, and rounds of new prefixes.
-GROUP, ROUNDS = 8, 4
+GROUP, ROUNDS = 32, 2
+#: Sets of a larger group that all others are compared with first.
+HUBS = 3
 #: Differing bits of 128 beyond which sets are not similar, and the size below which sets are not asked for them.
 FAR_BITS, SMALL_SET = 44, 64
 #: Pairs of one set that are compared in one part, and rows of slim tables that may be broadcast.
@@ -260,6 +262,7 @@ def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tup
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held(None, dict)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             sets = [hashes(t, shingle) for t in b["text"]]
@@ -288,13 +291,16 @@ def new_prefixes(texts: DataFrame, similarity: float, shingle: int, order: tuple
 
 
 def texts_of(fps: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(fp, text), written: a text of each set (fps: fp, distinct and written)."""
+    """(fp, text): a text of each set (fps: fp, distinct and written), that of its least (doc_id, hash)."""
     few = join_small(rows.select("fp", "doc_id", "h"), fps, "fp", "left_semi", BROADCAST_SETS)
-    one = written(few.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("fp", "m.*"), "set-keys")
+    by = few.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("times"))
+    one = by.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "times")).alias("m"))
+    one = written(one.select("fp", "m.*"), "set-keys")
+    repeated = one.where("times > 1").limit(1).count()  # rows that repeat both doc_id and text
     own = one.select("fp", "h", F.col("doc_id").alias("own_id"))
     texts = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text"), own, "h", "inner", BROADCAST_SETS)
     texts = texts.where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("fp", "text")
-    return written(texts.dropDuplicates(["fp"]), "set-texts")
+    return texts.dropDuplicates(["fp"]) if repeated else texts
 
 
 def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -327,16 +333,35 @@ def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return dealt.mapInPandas(run, "a long, b long, j double")
 
 
-def candidate_pairs(groups: DataFrame, ends: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of sets that share a prefix shingle.
+def prefix_groups(deal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, same), written: (tok, fp) of the sets that share a prefix shingle, and (tok, rep) of their shingles.
 
-    All pairs of a group of at most ``GROUP`` sets; of a larger one each member with the least.
+    Shingles of one passage have the same sets: of those that do, by their number and two digests of 64
+    bits, only the least stays as a group; ``same`` names it for each. deal: (fp, tok), distinct.
     """
-    small, large = (ends.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
-    x = groups.join(small.select("tok"), "tok")
-    listed = x.groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
+    shared = written(deal.groupBy("tok").count().where("count > 1").select("tok"), "shared-shingles")
+    groups = written(join_small(deal, shared, "tok", "inner", BROADCAST_SETS), "prefix-members")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in (1, 2)]
+    ends = written(groups.groupBy("tok").agg(F.count("*").alias("n"), *marks), "group-ends")
+    reps = ends.groupBy("n", "x1", "x2").agg(F.min("tok").alias("rep"))
+    same = written(ends.join(reps, ["n", "x1", "x2"]).select("tok", "rep"), "same-groups")
+    own = same.where("tok = rep").select("tok")
+    return written(join_small(groups, written(own, "group-shingles"), "tok", "left_semi", BROADCAST_SETS), "prefix-groups"), same
+
+
+def candidate_pairs(groups: DataFrame, seed: int) -> DataFrame:
+    """Distinct (a, b), a < b, of the sets of a group.
+
+    All pairs of a group of at most ``GROUP`` sets; of a larger one each member with ``HUBS`` of them,
+    which ``seed`` picks.
+    """
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(seed * HUBS + i), "fp").alias("h"), "fp"))["fp"].alias(f"hub{i}") for i in range(HUBS)]
+    ends = written(groups.groupBy("tok").agg(F.count("*").alias("n"), *hubs), "group-hubs")
+    few, many = (ends.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
+    listed = groups.join(few.select("tok"), "tok").groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
     of = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p")
-    star = groups.join(large.select("tok", "lo"), "tok").where("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b"))
+    star = groups.join(many, "tok").select("fp", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("fp <> hub")
+    star = star.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     return listed.select(of).select("p.*").unionByName(star).distinct()
 
 
@@ -358,7 +383,7 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
 
     Every pair of that similarity is linked or has both ends in one component of the links, and every
     link is checked on the texts. Sets that share a prefix shingle are a group. In a small group all
-    pairs are candidates. In a large one each member first meets the least: near copies are then one
+    pairs are candidates. In a large one each member first meets a few: near copies are then one
     component, and such a group is done. Where a large group still has several components, its shingle
     is a common one: its members get new prefixes that take such shingles last, in which similar sets
     share one again, and are grouped anew. A pair of which only one is a member shares a shingle of a
@@ -370,19 +395,18 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
     slim = written(sets.select("fp", "n", "c0", "c1"), "set-codes")
     deal, links, done = sets.select("fp", F.explode("toks").alias("tok")), None, None
     for round_ in range(ROUNDS):
-        shared = written(deal.groupBy("tok").count().where("count > 1").select("tok"), "shared-shingles")
-        groups = written(join_small(deal, shared, "tok", "inner", BROADCAST_SETS), "prefix-groups")
-        ends = written(groups.groupBy("tok").agg(F.min("fp").alias("lo"), F.count("*").alias("n")), "group-ends")
-        pairs = candidate_pairs(groups, ends)
+        groups, same = prefix_groups(deal)
+        pairs = candidate_pairs(groups, round_)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         found = checked(pairs, slim, rows, docs, similarity, shingle)
         done = found.select("a", "b") if done is None else written(done.unionByName(found.select("a", "b")), "pairs-done")
         new = found.where(F.col("j") >= similarity).select("a", "b")
         links = new if links is None else written(links.unionByName(new), "similar-pairs")
-        large = groups.join(ends.where(F.col("n") > GROUP).select("tok"), "tok")
+        large = groups.join(groups.groupBy("tok").count().where(F.col("count") > GROUP).select("tok"), "tok")
         mixed = mixed_groups(large, links)
-        hot = mixed.groupBy("tok").agg(F.count("*").alias("n"))
+        hot = mixed.groupBy(F.col("tok").alias("rep")).agg(F.count("*").alias("n"))
+        hot = written(hot.join(same, "rep").select("tok", "n"), "hot-shingles")
         if not hot.limit(1).count():
             return links
         if round_ < ROUNDS - 1:
@@ -409,8 +433,8 @@ def later(order: tuple[np.ndarray, np.ndarray], hot: DataFrame, most: int = 1_00
 
     Only later, never earlier. Beyond ``most`` they are left where they are: any order finds the same pairs.
     """
-    top = hot.orderBy(F.desc("n"), "tok").limit(most).collect()
-    tok, heat = np.array([r["tok"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], float)
+    top = (hot.orderBy(F.desc("n"), "tok").limit(most) if not small(hot, most) else hot).select("tok", "n").toArrow()  # 16 bytes a row
+    tok, heat = top["tok"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(float)
     both, at = np.unique(np.concatenate((order[0], tok)), return_inverse=True)
     out = np.zeros(len(both))
     np.maximum.at(out, at, np.concatenate((order[1], heat)))
@@ -421,7 +445,8 @@ def checked(pairs: DataFrame, slim: DataFrame, rows: DataFrame, docs: DataFrame,
     """(a, b, j), written: the exact similarity of those pairs (a, b) that may be similar."""
     may = written(likely_pairs(pairs, slim, similarity), "likely-pairs")
     met = written(may.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "pair-sets")
-    return written(exact_jaccard(may, texts_of(met, rows, docs), shingle), "pair-similarities")
+    texts = written(texts_of(met, rows, docs), "set-texts")
+    return written(exact_jaccard(may, texts, shingle), "pair-similarities")
 
 
 def labelled(docs: DataFrame, shingle: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:

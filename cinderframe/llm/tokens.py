@@ -9,7 +9,6 @@ there a cut could fall inside a piece.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -19,6 +18,8 @@ from itertools import accumulate, chain
 import numpy as np
 import regex
 
+from .common import held
+
 TOKENIZER = "byte_bpe_50k.json"
 WORDS_KEPT, PIECES_KEPT = 250_000, 60_000
 #: Marks that are a piece of their own after letters, and where letters of plain Latin scripts end.
@@ -167,10 +168,9 @@ class ChunkEncoder:
         return spans
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str, spans: bool = False) -> ChunkEncoder:
     """One encoder for each Python worker."""
-    return ChunkEncoder(path, spans)
+    return held(("encoder", path, spans), lambda: ChunkEncoder(path, spans))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
