@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import scalar
 from cinderframe.jobs.common import REC_CELLS, REC_EDGES, RECORD, fx, register
 from cinderframe.operators import fires as fi
-from cinderframe.operators import geom, raster, spatial, verify
+from cinderframe.operators import geom, raster, rings, spatial, verify
 from cinderframe.sources.scratch import written
 
 QUERIES: dict = {}
@@ -17,6 +17,15 @@ query = register(QUERIES, ORACLES)
 EDGES = f"{fx('fx_edges')}, {RECORD}, {REC_EDGES}"
 CELLS = f"{EDGES}, {REC_CELLS}"
 COUNTS = f"{CELLS}, counts as (select row, col, count(*) as n from cells group by 1, 2)"
+#: Regions of equal count by flood fill over runs: not how the operators work.
+REGIONS = f"""{COUNTS.replace('with ', 'with recursive ', 1)}, isl as (select row, col, n, col - row_number() over (partition by row, n order by col) as g from counts),
+r as (select row * 10000000 + min(col) as id, row, n, min(col) as c0, max(col) + 1 as c1 from isl group by row, n, g),
+l as (select a.id as a, b.id as b from r a join r b on b.row = a.row + 1 and b.n = a.n and a.c0 < b.c1 and b.c0 < a.c1), e as (select a, b from l union all select b, a from l),
+lab(id, root) using key (id) as (select id, id from r union select e.b, min(f.root) from lab f join e on e.a = f.id join recurring.lab x on x.id = e.b where f.root < x.root group by e.b),
+reg as (select root, n, cast(sum(c1 - c0) as bigint) as cells from r join lab using (id) group by 1, 2)"""
+#: At each corner of the grid, how many of its four cells have a count, and whether two of them face each other.
+CORNERS = f"""{COUNTS}, q as (select n, row + dr as y, col + dc as x, (dr + dc) % 2 as side from counts, (values (0), (1)) a(dr), (values (0), (1)) b(dc) where n >= 2),
+k as (select n, x, y, count(*) as k, count(*) = 2 and sum(side) <> 1 as facing from q group by 1, 2, 3)"""
 #: True containment by counting crossings of every edge.
 INSIDE = "inside as (select p.pt, e.id from fx_points p join rec_edges e on least(e.y0,e.y1) <= p.y and p.y < greatest(e.y0,e.y1) and e.x0 + (p.y-e.y0)*1e0*(e.x1-e.x0)/(e.y1-e.y0) <= p.x group by 1, 2 having count(*) % 2 = 1)"
 BOX = "b as (select id, min(least(x0,x1)) as xmin, min(least(y0,y1)) as ymin, max(greatest(x0,x1)) as xmax, max(greatest(y0,y1)) as ymax from rec_edges group by id)"
@@ -64,9 +73,10 @@ def agg4(t):
     return raster.sweep(t.runs()).groupBy("row", "n").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"), F.min("c0").alias("c_min"), (F.max("c1") - 1).alias("c_max"))
 
 
-@query("agg5_acres_per_count", f"{COUNTS} select cast(n as int) as n, count(*) as cells, cast(round(count(*)*8100/4046.86e0) as bigint) as acres from counts group by 1")
+@query("agg5_acres_per_count", f"{REGIONS} select cast(n as int) as n, count(*) as patches, cast(sum(cells) as bigint) as cells, cast(round(sum(cells)*8100/4046.86e0) as bigint) as acres from reg group by 1")
 def agg5(t):
-    return raster.acres_per_count(raster.sweep(t.runs()))
+    """Patches, cells and acres of each burn count."""
+    return raster.patches_per_count(raster.label_components(raster.sweep(t.runs())))
 
 
 @query("flt6_reburned_cells", f"{COUNTS} select cast(n as int) as n, count(*) as cells from counts where n >= 2 group by 1")
@@ -194,22 +204,39 @@ def agg13(t):
 
 @query("agg14_mismatch_causes")
 def agg14(t):
-    """Where a sieved layer disagrees with the truth, and which step did it."""
-    points, counts = t("fx_points"), written(raster.sweep(t.runs()), "counts")
-    truth = spatial.in_perimeters(points, t.edges()).groupBy("pt").agg(F.count("*").alias("truth"))
-    raw = spatial.at_points(points, counts, raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("raw"))
-    sieved = spatial.at_points(points, raster.sieve(counts, 16), raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("sieved"))
-    rows = raw.join(sieved, "pt").join(truth, "pt", "left").select("pt", "raw", "sieved", F.coalesce("truth", F.lit(0)).alias("truth"), F.col("sieved").alias("layer"))
+    """Where the simplified patches of the sieved raster disagree with the truth on burned ground, and which step did it.
+
+    Ground outside every patch of two fires or more counts one, as in the product.
+    """
+    points, edges = t("fx_points"), written(t.edges(), "edges")
+    counts = written(raster.sweep(raster.rasterise(edges)), "counts")
+    sieved = written(raster.sieve(counts, 16), "sieved")
+    layer = patch_layer(sieved.where("n >= 2"), raster.CELL)
+    truth = spatial.in_perimeters(points, edges).groupBy("pt").agg(F.count("*").alias("truth"))
+    rows = truth
+    for name, runs in (("raw", counts), ("sieved", sieved), ("layer", layer)):
+        found = spatial.at_points(points, runs.where("n >= 2"), raster.CELL).groupBy("pt").agg(F.coalesce(F.max("n"), F.lit(1)).alias(name))
+        rows = rows.join(found, "pt")
     return verify.mismatch_causes(rows)
 
 
+def patch_layer(runs, cell: int):
+    """(row, c0, c1, n): patches of equal count as polygons thinned by a cell, put back on the raster."""
+    lab = written(raster.label_components(runs), "layer-labels")
+    shape = rings.shapes(rings.rings(lab), cell).select("comp", "ring", "pts")
+    thin = geom.simplified(shape.repartition("comp", "ring"), float(cell)).where("size(pts) >= 4")
+    edge = thin.select(F.col("comp").alias("id"), F.posexplode(F.arrays_zip(F.slice("pts", 1, F.size("pts") - 1).alias("a"), F.slice("pts", 2, F.size("pts") - 1).alias("b"))).alias("seq", "e"))
+    edge = edge.select("id", F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1")).where("x0 <> x1 or y0 <> y1")
+    return raster.rasterise(edge, cell).join(lab.select(F.col("comp").alias("id"), "n").distinct(), "id").select("row", "c0", "c1", "n")
+
+
 @query("geo6_point_edge_distance", f"{fx('fx_edges', 'fx_points')}, {RECORD}, {REC_EDGES}, {DIST} select count(*) as n, round(min(d), 3) as least, round(max(d), 3) as most from near")
 def geo6(t):
     d = spatial.nearest_boundary(t("fx_points"), t.edges(), 600.0).where(F.col("dist") < spatial.FAR)
     return d.agg(F.count("*").alias("n"), F.round(F.min("dist"), 3).alias("least"), F.round(F.max("dist"), 3).alias("most"))
 
 
-@query("geo7_components")
+@query("geo7_components", f"{REGIONS} select cast(n as int) as n, cells, count(*) as regions from reg group by 1, 2")
 def geo7(t):
     """Regions of equal count: how many of each size."""
     return raster.patches(raster.sweep(t.runs())).groupBy("n", "cells").agg(F.count("*").alias("regions"))
@@ -221,17 +248,42 @@ def geo8(t):
     return raster.sieve(raster.sweep(t.runs()), 16)
 
 
-@query("geo9_patches", f"{COUNTS} select cast(n as int) as n, count(*) as cells from counts where n >= 2 group by 1")
+@query("geo9_patches", f"""{CORNERS} select cast(c.n as int) as n, c.cells, cast((count(*) filter (k = 1) - count(*) filter (k = 3) + 2 * count(*) filter (facing)) // 4 as bigint) as outlines_less_holes,
+cast(count(*) filter (k in (1, 3)) + 2 * count(*) filter (facing) as bigint) as corners from k join (select n, count(*) as cells from counts group by n) c on c.n = k.n group by 1, 2""")
 def geo9(t):
-    """Reburned patches with acres and perimeter; per count they hold the raster's cells."""
-    p = raster.patches(raster.sweep(t.runs()).where("n >= 2"))
-    return p.groupBy("n").agg(F.sum("cells").cast("long").alias("cells"))
+    """Reburned patches as rings: the rings' signed areas are the cells, and their turns those of the raster.
+
+    Outlines count 1 and holes -1; each is in order, so its shoelace area and its corners are what the grid has.
+    """
+    lab = written(raster.label_components(raster.sweep(t.runs()).where("n >= 2")), "patch-labels")
+    rows = rings.shapes(rings.rings(lab), raster.CELL).join(lab.select("comp", "n").distinct(), "comp")
+    cells = F.round(F.sum("area") / (raster.CELL * raster.CELL)).cast("long")
+    return rows.groupBy("n").agg(cells.alias("cells"), F.sum(F.signum("area")).cast("long").alias("outlines_less_holes"), F.sum(F.size("pts") - 1).cast("long").alias("corners"))
+
 
+#: Draws of a check, as many as there are anywhere in the record to look at.
+DRAWS = 800
 
-@query("geo14_sampled_cells")
+
+def drawn(total: str, seed: int = 7) -> str:
+    """SQL of spatial.draw() for a column d."""
+    a = f"((d + {seed}) * 48271 % 2147483647)"
+    return f"({a} * 2147483647 + ({a} * 69621 + 1) % 2147483647) % {total}"
+
+
+@query("geo14_weighted_cells", f"""{COUNTS}, i as (select row, col, n, row_number() over (order by row, col) - 1 as i from counts where n >= 2), d as (select cast(unnest(range(1, {DRAWS} + 1)) as bigint) as d),
+v as (select d, {drawn('(select count(*) from i)')} as v from d where (select count(*) from i) > 0) select d, row, col, cast(n as int) as n from v join i on i.i = v.v""")
 def geo14(t):
-    """One reburned cell in fifty, by a hash of its place."""
-    return spatial.sampled_cells(raster.sweep(t.runs()).where("n >= 2"), 50)
+    """Patches drawn by their acres, with replacement, and a cell inside each."""
+    return spatial.weighted_cells(raster.sweep(t.runs()).where("n >= 2"), DRAWS)
+
+
+@query("geo14_perimeter_cells", f"""{CELLS}, f as (select id, count(*) as cells, row_number() over (order by id) - 1 as i from cells group by id), c as (select id, row, col, row_number() over (partition by id order by row, col) - 1 as j from cells),
+d as (select cast(unnest(range(1, {DRAWS} + 1)) as bigint) as d), v as (select d, {drawn('(select count(*) from f)')} as v from d where (select count(*) from f) > 0)
+select v.d, f.id, c.row, c.col from v join f on f.i = v.v join c on c.id = f.id and c.j = {drawn('f.cells', 8)}""")
+def geo14_fires(t):
+    """Fires drawn alike, with replacement, and a cell inside each."""
+    return spatial.perimeter_cells(t.runs(), DRAWS)
 
 
 @query("geo1_albers_round_trip", f"{fx('fx_track_points')} select track, seg, pt, round(lon, 7) as lon, round(lat, 7) as lat from fx_track_points")
@@ -242,15 +294,19 @@ def geo1(t):
     return p.select("track", "seg", "pt", F.round("d.lon", 7).alias("lon"), F.round("d.lat", 7).alias("lat"))
 
 
-@query("jn15_largest_has_geometry", f"""{fx('fx_edges', 'fx_stats')}, {RECORD}, {REC_EDGES}, big as (select year, id from rec qualify row_number() over (partition by year order by coalesce(acres, 0e0) desc, id) = 1)
-select b.year, b.id, exists(select 1 from rec_edges e where e.id = b.id) as has_perimeter, exists(select 1 from fx_stats s where s.id = b.id and class between 1 and 5) as has_severity from big b""")
+@query("jn15_largest_has_geometry", f"""{fx('fx_edges', 'fx_mosaic')}, {RECORD}, big as (select year, id from rec qualify row_number() over (partition by year order by coalesce(acres, 0e0) desc, id) = 1),
+rec_edges as (select e.* from fx_edges e join big using (id)), {REC_CELLS}, isl as (select id, row, col, col - row_number() over (partition by id, row order by col) as g from cells),
+run as (select id, row, min(col) as c0, count(*) as len from isl group by id, row, g), pt as (select id, row, c0 + len // 2 as col from run qualify row_number() over (partition by id order by len desc, row, c0) = 1)
+select b.year, b.id, (select count(*) % 2 = 1 from rec_edges e where e.id = b.id and least(e.y0,e.y1) <= 45+90*pt.row and 45+90*pt.row < greatest(e.y0,e.y1) and e.x0 + (45e0+90*pt.row-e.y0)*(e.x1-e.x0)/(e.y1-e.y0) <= 45+90*pt.col) as has_perimeter,
+exists(select 1 from fx_mosaic m where m.year = b.year and m.row = pt.row and m.c0 <= pt.col and pt.col < m.c1 and m.class between 1 and 5) as has_severity from big b left join pt on pt.id = b.id""")
 def jn15(t):
-    """Does each year's largest fire have its own perimeter and severity?"""
-    big = fi.largest_of_each_year(t.record()).select("year", "id")
-    perimeter = t.edges().select("id").distinct().withColumn("p", F.lit(True))
-    severity = fi.drawable(t("fx_stats")).select("id").distinct().withColumn("s", F.lit(True))
-    rows = big.join(perimeter, "id", "left").join(severity, "id", "left")
-    return rows.select("year", "id", F.coalesce("p", F.lit(False)).alias("has_perimeter"), F.coalesce("s", F.lit(False)).alias("has_severity"))
+    """At a point inside each year's largest fire: is that fire's own perimeter there, and severity of its year?"""
+    big = written(fi.largest_of_each_year(t.record()).select("year", "id"), "largest")  # a row a year
+    edges = written(t.edges().join(F.broadcast(big), "id", "left_semi"), "largest-edges")
+    length = F.col("c1") - F.col("c0")
+    longest = F.max(F.struct(length.alias("len"), (-F.col("row")).alias("r"), (-F.col("c0")).alias("c")))
+    at = raster.rasterise(edges).groupBy("id").agg(longest.alias("m")).select("id", (-F.col("m.r")).alias("row"), (F.floor(F.col("m.len") / 2) - F.col("m.c")).alias("col"))
+    return verify.present(big.join(at, "id"), big, edges, t("fx_mosaic").where("class between 1 and 5"), raster.CELL)
 
 
 def _filled() -> None:

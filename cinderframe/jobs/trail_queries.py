@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderframe.functions import scalar
+from cinderframe.jobs import sinks
 from cinderframe.jobs.common import REC_EDGES, RECORD, fx, register
 from cinderframe.operators import geom, spatial, tiles, trail
-from cinderframe.sources.scratch import written
+from cinderframe.sources.scratch import fresh_path, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,9 +46,33 @@ def win6(t):
     return trail.distance_along(t("fx_way_points"), ["section", "way"]).select("section", "way", "pt", F.round("along", 6).alias("along"))
 
 
-@query("agg15_section_totals", f"{fx('fx_way_points')}, {WAYS}, m as (select *, {MILES} as miles from s) select coalesce(cast(section as varchar), 'TOTAL') as section, count(*) as points, round(coalesce(sum(miles), 0e0), 3) as miles from m group by rollup(section)")
+def thinning(pts: str, keys: str, eps: str) -> str:
+    """SQL of geom.thin() over a table pts (keys, k, x, y): CTEs seg and kept (keys, k).
+
+    Each step finds a stretch's farthest point, the first of equals, and cuts there if it is beyond eps.
+    """
+    own, on = ", ".join(f"s.{c}" for c in keys.split(", ")), lambda t: " and ".join(f"{t}.{c} = s.{c}" for c in keys.split(", "))
+    tt = "case when l = 0 then 0e0 else least(1e0, greatest(0e0, ((px-ax)*dx + (py-ay)*dy) / l)) end"
+    return f"""seg as (select {keys}, min(k) as a, max(k) as b from {pts} group by {keys} union all
+select {keys}, case when h = 0 then a else i end as a, case when h = 0 then i else b end as b from (
+  select {keys}, a, b, (array_agg(k order by d desc, k))[1] as i, max(d) as d from (
+    select *, sqrt(power(px - (ax + tt*dx), 2) + power(py - (ay + tt*dy), 2)) as d from (select *, {tt} as tt from (
+      select {own}, s.a, s.b, p.k, p.x as px, p.y as py, pa.x as ax, pa.y as ay, pb.x-pa.x as dx, pb.y-pa.y as dy, (pb.x-pa.x)*(pb.x-pa.x)+(pb.y-pa.y)*(pb.y-pa.y) as l
+      from seg s join {pts} p on {on('p')} and p.k > s.a and p.k < s.b join {pts} pa on {on('pa')} and pa.k = s.a join {pts} pb on {on('pb')} and pb.k = s.b))) q group by {keys}, a, b) c, (values (0), (1)) h(h) where d > {eps}),
+kept as (select {keys}, a as k from seg union select {keys}, b from seg)"""
+
+
+THIN_WAYS = f"{fx('fx_way_points').replace('with ', 'with recursive ', 1)}, pts as (select section, way, pt as k, lon as x, lat as y from fx_way_points), {thinning('pts', 'section, way', '0.00009e0')}"
+THIN_MILES = f"""k as (select p.section, p.way, p.pt, p.lon, p.lat from fx_way_points p join kept q on q.section = p.section and q.way = p.way and q.k = p.pt),
+ks as (select *, lead(lon) over w as lon1, lead(lat) over w as lat1 from k window w as (partition by section, way order by pt)), km as (select *, {MILES} as miles from ks)"""
+
+
+@query("agg15_section_totals", f"""{THIN_WAYS}, {WAYS}, m as (select *, {MILES} as miles from s), {THIN_MILES},
+a as (select section, grouping(section) as g, count(*) as points, round(coalesce(sum(miles), 0e0), 3) as miles from m group by rollup(section)), b as (select section, grouping(section) as g, count(*) as thin_points, round(coalesce(sum(miles), 0e0), 3) as thin_miles from km group by rollup(section))
+select case when a.g = 1 then 'TOTAL' else cast(a.section as varchar) end as section, points, miles, thin_points, thin_miles from a join b on a.section is not distinct from b.section""")
 def agg15(t):
-    rows = trail.section_totals(t("fx_way_points"), ["section", "way"])
+    """Points and miles of each section and of all, as drawn and thinned by 0.00009 degrees."""
+    rows = trail.section_report(t("fx_way_points"), ["section", "way"], 0.00009)
     return rows.withColumn("section", F.coalesce(F.col("section").cast("string"), F.lit("TOTAL")))
 
 
@@ -56,14 +81,26 @@ def fn3(t):
     return t("fx_sections").select("section", scalar.slug(F.col("name")).alias("slug"), scalar.short_name(F.col("name")).alias("short"))
 
 
-@query("geo10_simplified_ways")
+@query("geo10_simplified_ways", f"{THIN_WAYS} select p.section, p.way, cast(count(*) as int) as before, cast(count(q.k) as int) as after from pts p left join kept q on q.section = p.section and q.way = p.way and q.k = p.k group by 1, 2")
 def geo10(t):
-    """Ways thinned by 0.00009 degrees, with the points before and after (AGG16)."""
+    """Ways thinned by 0.00009 degrees, with the points before and after."""
     lines = t("fx_way_points").groupBy("section", "way").agg(F.transform(F.sort_array(F.collect_list(F.struct("pt", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p")))), lambda s: s["p"]).alias("pts"))
     thin = geom.simplified(lines.withColumn("before", F.size("pts")), 0.00009)
     return thin.select("section", "way", "before", F.size("pts").alias("after"))
 
 
+RINGS = "pts as (select id, part, ring, seq as k, x0*1e0 as x, y0*1e0 as y from rec_edges union all select id, part, ring, n, x0, y0 from (select *, count(*) over (partition by id, part, ring) as n from rec_edges) where seq = 0)"
+RING_SUMS = "select count(distinct id) as fires{s}, count(*) as rings{s}, cast(sum(n - 1) as bigint) as vertices{s}, sum(case when ring = 0 then a else -a end) as area{s} from (select id, part, ring, count(*) as n, abs(sum(x*y1 - x1*y))/2 as a from {t} group by 1, 2, 3) where n >= 4"
+NEXT = "(select *, lead(x, 1, x) over w as x1, lead(y, 1, y) over w as y1 from {t} window w as (partition by id, part, ring order by k))"
+
+
+@query("agg16_thinned_perimeters", f"""{fx('fx_edges').replace('with ', 'with recursive ', 1)}, {RECORD}, {REC_EDGES}, {RINGS}, {thinning('pts', 'id, part, ring', '500e0')}, thin as (select p.* from pts p join kept q on q.id = p.id and q.part = p.part and q.ring = p.ring and q.k = p.k)
+select * from ({RING_SUMS.format(s='', t=NEXT.format(t='pts'))}), ({RING_SUMS.format(s='_thin', t=NEXT.format(t='thin'))})""")
+def agg16(t):
+    """Features, rings, vertices and area of perimeters before and after thinning by 500 m."""
+    return geom.fidelity(t.edges(), 500.0)
+
+
 def steps(t):
     """Track points at most 40 m apart, keyed by track, segment, point and step."""
     s = geom.densified(trail.track_segments(t("fx_track_points")), 40.0)
@@ -94,58 +131,83 @@ def til1(t):
 
 
 def features(t):
-    """(year, z, x, y, id, nv, class, area, bytes) of every fire on its tiles."""
-    boxes = tiles.tiles_of(t.lonlat_boxes(), (2, 13)).select("id", "z", "x", "y")
+    """(layer, year, z, x, y, id, fire_year, nv, class, area, bytes) of fires on their tiles: perimeters merged over the years, severity by year."""
+    boxes = tiles.tiles_of(t.lonlat_boxes(), ZOOMS).select("id", "z", "x", "y")
     nv = t.edges().groupBy("id").agg(F.count("*").alias("nv"))
-    area = geom.areas(t.edges())
-    kind = t.record().select("id", "year", (F.col("k") % 5 + 1).cast("int").alias("class"))
-    return boxes.join(nv, "id").join(area, "id").join(kind, "id").withColumn("bytes", F.col("nv") * 8 + 40)
+    kind = t.record().select("id", F.col("year").alias("fire_year"), (F.col("k") % 5 + 1).cast("int").alias("class"))
+    layer = F.explode(F.array(F.struct(F.lit("perimeters").alias("layer"), F.lit(0).alias("year")), F.struct(F.lit("severity").alias("layer"), F.col("fire_year").alias("year")))).alias("l")
+    rows = boxes.join(nv, "id").join(geom.areas(t.edges()), "id").join(kind, "id").select("*", layer)
+    return rows.select("l.*", "z", "x", "y", "id", "fire_year", "nv", "class", "area", (F.col("nv") * 8 + 40).alias("bytes"))
+
 
+ZOOMS = (2, 13)
+#: A degree of the derived tracks in metres.
+DEGREE = 100_000.0
+AREAS = "ar as (select id, part, ring, abs(sum(x0*y1-x1*y0))/2e0 as a from rec_edges group by 1, 2, 3), aa as (select id, sum(case when ring = 0 then a else -a end) as area from ar group by id)"
+LAYERS = f"""{TILED}, {AREAS}, fl as (select l.layer, case when l.layer = 'severity' then r.year else 0 end as year, cast(t.z as int) as z, t.x, t.y, t.id, r.year as fire_year, t.nv, cast(r.k % 5 + 1 as int) as class, aa.area
+from t join rec r using (id) join aa using (id), (values ('perimeters'), ('severity')) l(layer))"""
+VISIBLE = f"{LAYERS}, fv as (select * from fl where z = 13 or area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2))"
 
-@query("til4_size_policy", f"""{TILED}, ar as (select id, part, ring, abs(sum(x0*y1-x1*y0))/2e0 as a from rec_edges group by 1, 2, 3), aa as (select id, sum(case when ring = 0 then a else -a end) as area from ar group by id),
-f as (select t.z, t.x, t.y, t.id, cast(r.k % 5 + 1 as int) as class, aa.area, sum(t.nv*8+40) over (partition by t.z, t.x, t.y order by aa.area desc, t.id rows unbounded preceding) <= 20000 as own from t join rec r using (id) join aa using (id))
-select cast(z as int) as z, x, y, count(*) filter (own) as kept, count(distinct class) filter (not own) as merged, sum(area) as area from f group by 1, 2, 3""")
+
+@query("til4_size_policy", f"""{LAYERS}, f as (select *, sum(nv*8+40) over (partition by year, z, x, y order by area desc, id rows unbounded preceding) <= 20000 as own from fl where layer = 'severity')
+select year, z, x, y, count(*) filter (own) as kept, count(distinct class) filter (not own) as merged, sum(area) as area from f group by 1, 2, 3, 4""")
 def til4(t):
-    """Tiles over their byte budget keep the largest fires and merge the rest by class; no area is lost."""
-    m = tiles.merged_tail(features(t), 20_000)
-    return m.groupBy("z", "x", "y").agg(F.count("id").alias("kept"), F.count_if(F.col("id").isNull()).alias("merged"), F.sum("area").alias("area"))
+    """Severity tiles over their byte budget keep the largest fires and merge the rest by class; no area is lost."""
+    m = tiles.merged_tail(features(t).where("layer = 'severity'"), 20_000)
+    return m.groupBy("year", "z", "x", "y").agg(F.count("id").alias("kept"), F.count_if(F.col("id").isNull()).alias("merged"), F.sum("area").alias("area"))
+
+
+def layers(t):
+    """Tile rows of both layers, without what is smaller than a pixel above the deepest zoom."""
+    return tiles.assembled(tiles.visible(features(t), ZOOMS[1], DEGREE))
 
 
-@query("til5_assembled_tiles", f"{TILED} select cast(z as int) as z, x, y, string_agg(cast(r.year as varchar) || ':' || t.id || ':' || cast(t.nv as varchar), ',' order by r.year, t.id) as features from t join rec r using (id) group by 1, 2, 3")
+@query("til5_assembled_tiles", f"{VISIBLE} select layer, year, z, x, y, string_agg(cast(fire_year as varchar) || ':' || id || ':' || cast(nv as varchar), ',' order by fire_year, id) as features from fv group by 1, 2, 3, 4, 5")
 def til5(t):
-    rows = tiles.assembled(features(t))
-    return rows.select("z", "x", "y", F.array_join(F.transform("features", lambda f: F.concat_ws(":", f["year"].cast("string"), f["id"], f["nv"].cast("string"))), ",").alias("features"))
+    text = F.array_join(F.transform("features", lambda f: F.concat_ws(":", f["fire_year"].cast("string"), f["id"], f["nv"].cast("string"))), ",")
+    return layers(t).select("layer", "year", "z", "x", "y", text.alias("features"))
+
+
+@query("snk5_tile_layers", f"{VISIBLE} select layer, year, z, count(distinct (x, y)) as tiles, count(*) as features, cast(sum(nv) as bigint) as vertices from fv group by 1, 2, 3")
+def snk5(t):
+    """Tile layers written by layer, year and zoom, and read back."""
+    path = fresh_path(t.spark, "tiles")
+    sinks.tile_layer(layers(t), path)
+    rows = t.spark.read.parquet(path).select("layer", "year", "z", F.size("features").alias("n"), F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f["nv"]).alias("nv"))
+    return rows.groupBy("layer", "year", "z").agg(F.count("*").alias("tiles"), F.sum("n").alias("features"), F.sum("nv").alias("vertices"))
 
 
-@query("agg10_tile_inventory", f"{TILED}, d as (select r.year, t.id, sum(t.nv) as nv from t join rec r using (id) where t.z = 13 group by 1, 2) select year, count(*) as ids, cast(sum(nv) as bigint) as vertices from d group by year")
+@query("agg10_tile_inventory", f"{VISIBLE}, d as (select fire_year, id, sum(nv) as nv from fv where z = 13 and layer = 'perimeters' group by 1, 2) select fire_year as year, count(*) as ids, cast(sum(nv) as bigint) as vertices from d group by 1")
 def agg10(t):
-    return tiles.inventory(tiles.assembled(features(t)))
+    return tiles.inventory(layers(t).where("layer = 'perimeters'"))
 
 
-@query("agg11_layer_years", f"{TILED} select distinct r.year from t join rec r using (id)")
+@query("agg11_layer_years", f"{VISIBLE} select distinct layer, fire_year as year from fv")
 def agg11(t):
-    return tiles.assembled(features(t)).select(F.explode("features.year").alias("year")).distinct()
+    return layers(t).select("layer", F.explode("features.fire_year").alias("year")).distinct()
 
 
-@query("til2_clipped_area", f"{fx('fx_edges')}, {RECORD}, {REC_EDGES}, rings as (select id, abs(sum(x0*y1-x1*y0))/2e0 as area from rec_edges join rec r using (id) where ring = 0 and part = 0 and r.shape < 2 group by id) select id, round(area, 2) as area from rings")
+@query("til2_clipped_area", f"{fx('fx_edges')}, {RECORD}, {REC_EDGES}, {AREAS} select id, round(area, 2) as area from aa")
 def til2(t):
-    """Convex perimeters cut at the borders of 5 km blocks: the pieces' areas add up again."""
-    ids = t.record().where("shape < 2").select("id")
-    ring = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y")).alias("p")))), lambda s: s["p"])
-    edges = t.edges().where("ring = 0 and part = 0").join(ids, "id", "left_semi")
-    shapes = edges.groupBy("id").agg(ring.alias("ring")).join(geom.envelopes(edges), "id")
-    block = spatial.bbox_cells(shapes, 5000.0).select("id", "ring", *[(F.col(c) * 5000.0 + a).alias(n) for c, a, n in (("gx", 0, "bx0"), ("gy", 0, "by0"), ("gx", 5000, "bx1"), ("gy", 5000, "by1"))])
-    cut = block.select("id", tiles.clipped("ring", "bx0", "by0", "bx1", "by1").alias("r"))
-    nxt = F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1))
-    terms = F.zip_with("r", nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    area = F.when(F.size("r") > 2, F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(0.0)
-    return cut.withColumn("a", area).groupBy("id").agg(F.round(F.sum("a"), 2).alias("area"))
-
-
-@query("til3_thinned_by_zoom")
+    """Perimeters cut at the borders of 5 km blocks, every ring of every part: the pieces' areas add up again."""
+    edges = t.edges()
+    ring = geom.closed_rings(edges).select("id", "part", "ring", F.slice("pts", 1, F.size("pts") - 1).alias("pts"))
+    boxes = geom.envelopes(edges.withColumn("id", F.struct("id", "part", "ring"))).select("id.*", "xmin", "ymin", "xmax", "ymax")
+    block = spatial.bbox_cells(ring.join(boxes, ["id", "part", "ring"]), 5000.0)
+    block = block.select("id", "part", "ring", "pts", *[(F.col(c) * 5000.0 + a).alias(n) for c, a, n in (("gx", 0, "bx0"), ("gy", 0, "by0"), ("gx", 5000, "bx1"), ("gy", 5000, "by1"))])
+    cut = block.select("id", "part", "ring", tiles.clipped("pts", "bx0", "by0", "bx1", "by1").alias("r")).where("size(r) > 2")
+    whole = cut.groupBy("id", "part", "ring").agg(F.abs(F.sum(geom.ring_area(F.col("r")))).alias("a"))
+    return whole.groupBy("id").agg(F.round(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))), 2).alias("area"))
+
+
+ZOOM_RINGS = f"{RINGS.replace('pts as', 'flat as')}, zs as (select cast(unnest(range(2, 14)) as int) as z), {AREAS}, keep as (select id, z from aa, zs where z = 13 or area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2)), pts as (select f.*, z from flat f join keep using (id))"
+
+
+@query("til3_thinned_by_zoom", f"""{fx('fx_edges').replace('with ', 'with recursive ', 1)}, {RECORD}, {REC_EDGES}, {ZOOM_RINGS}, {thinning('pts', 'id, part, ring, z', '360e0 / power(2, z) / 4096 * 100000e0')}
+select z, count(distinct id) as fires, cast(sum(n) as bigint) as before, cast(sum(m) as bigint) as after from (select p.z, p.id, count(*) as n, count(q.k) as m from pts p left join kept q on q.id = p.id and q.part = p.part and q.ring = p.ring and q.z = p.z and q.k = p.k group by 1, 2) group by z""")
 def til3(t):
-    """Fires' outer rings thinned per zoom by a pixel's size; none is lost at the deepest zoom."""
-    ring = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y")).alias("p")))), lambda s: s["p"])
-    shapes = t.edges().where("ring = 0 and part = 0").groupBy("id").agg(ring.alias("ring"))
-    per = shapes.withColumn("z", F.explode(F.sequence(F.lit(2), F.lit(13)))).withColumn("eps", 360.0 / F.pow(F.lit(2.0), F.col("z")) / 4096 * 100000)
-    return per.select("id", "z", F.size("ring").alias("before"), F.size(tiles.thinned("ring", "eps")).alias("after"))
+    """All rings of the fires of each zoom thinned by a pixel's size; fires below a pixel drop out above the deepest zoom."""
+    zoom = geom.areas(t.edges()).withColumn("z", F.explode(F.sequence(F.lit(ZOOMS[0]), F.lit(ZOOMS[1]))))
+    rings = geom.closed_rings(t.edges()).join(tiles.visible(zoom, ZOOMS[1], DEGREE).select("id", "z"), "id").withColumn("eps", tiles.pixel(F.col("z")) * DEGREE)
+    per = rings.select("id", "z", F.size("pts").alias("n"), F.size(tiles.thinned("pts", "eps")).alias("m"))
+    return per.groupBy("z").agg(F.countDistinct("id").alias("fires"), F.sum("n").alias("before"), F.sum("m").alias("after"))

@@ -28,6 +28,34 @@ def nest(edges: DataFrame) -> DataFrame:
     return whole.select("id", F.transform("ps", lambda s: s["rings"]).alias("geom"))
 
 
+def closed_rings(edges: DataFrame) -> DataFrame:
+    """(id, part, ring, pts): each ring's points in order, the first again at the end."""
+    point = F.struct("seq", F.struct(F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y")).alias("p"))
+    rings = edges.groupBy("id", "part", "ring").agg(F.transform(F.sort_array(F.collect_list(point)), lambda s: s["p"]).alias("r"))
+    return rings.select("id", "part", "ring", F.concat("r", F.slice("r", 1, 1)).alias("pts"))
+
+
+def ring_area(pts: Column) -> Column:
+    """Signed area of a ring of points, closed or not."""
+    nxt = F.concat(F.slice(pts, 2, F.size(pts)), F.slice(pts, 1, 1))
+    return F.aggregate(F.zip_with(pts, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v) / 2
+
+
+def fidelity(edges: DataFrame, eps: float) -> DataFrame:
+    """One row: features, rings, vertices and area before and after thinning every ring by ``eps``.
+
+    A ring that is left with fewer than four points is none.
+    """
+    rings = closed_rings(edges)
+    def sums(r: DataFrame, suffix: str) -> DataFrame:
+        area = F.abs(ring_area(F.col("pts")))
+        return r.agg(F.countDistinct("id").alias(f"fires{suffix}"), F.count("*").alias(f"rings{suffix}"), F.coalesce(F.sum(F.size("pts") - 1), F.lit(0)).cast("long").alias(f"vertices{suffix}"),
+                     F.coalesce(F.sum(F.when(F.col("ring") == 0, area).otherwise(-area)), F.lit(0.0)).alias(f"area{suffix}"))
+
+    after = simplified(rings.repartition("id", "part", "ring"), eps).where("size(pts) >= 4")
+    return sums(rings, "").crossJoin(sums(after, "_thin"))  # one row each
+
+
 def repair(geom: Column) -> Column:
     """Rings closed, and those of fewer than four points dropped, then parts without rings.
 

@@ -55,8 +55,11 @@ def cells(by: str, runs: DataFrame) -> DataFrame:
     return runs.groupBy(by).agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
 
 
-def acres_per_count(runs: DataFrame, cell: int = CELL) -> DataFrame:
-    return cells("n", runs).select("n", "cells", F.round(acres(F.col("cells") * (cell * cell))).cast("long").alias("acres"))
+def patches_per_count(labelled: DataFrame, cell: int = CELL) -> DataFrame:
+    """(n, patches, cells, acres) of runs with their region (label_components())."""
+    by = labelled.groupBy("n", "comp").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
+    by = by.groupBy("n").agg(F.count("*").alias("patches"), F.sum("cells").alias("cells"))
+    return by.select("n", "patches", "cells", F.round(acres(F.col("cells") * (cell * cell))).cast("long").alias("acres"))
 
 
 def acres_at_levels(runs: DataFrame, cell: int = CELL) -> DataFrame:

@@ -36,13 +36,10 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
             break
         d = sign * (ring[:, axis] - bound)
         nxt, dn = np.roll(ring, -1, 0), np.roll(d, -1)
-        out = []
-        for p, q, a, b in zip(ring, nxt, d, dn):
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                out.append(p + (q - p) * (a / (a - b)))
-        ring = np.array(out, float).reshape(-1, 2)
+        cross = d * dn < 0
+        t = np.where(cross, d / np.where(cross, d - dn, 1.0), 0.0)[:, None]
+        both = np.stack((ring, ring + (nxt - ring) * t), axis=1)  # each point, then where its side is crossed
+        ring = both[np.stack((d >= 0, cross), axis=1)]
     return ring
 
 
@@ -66,29 +63,59 @@ def thinned(ring: pd.Series, eps: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def within_budget(features: DataFrame, budget: int) -> DataFrame:
-    """Tile features with ``own``: in the layer as they are while the tile's bytes, largest first, fit."""
-    order = W.partitionBy("z", "x", "y").orderBy(F.desc("area"), "id").rowsBetween(W.unboundedPreceding, 0)
-    return features.withColumn("own", F.sum("bytes").over(order) <= budget)
+TILE = ("layer", "year", "z", "x", "y")
+
+
+def pixel(z: Column) -> Column:
+    """The size of a tile's pixel (a 4096th) in degrees."""
+    return 360.0 / F.pow(F.lit(2.0), z) / 4096
+
+
+def visible(features: DataFrame, deepest: int, degree: float = 1.0) -> DataFrame:
+    """Features (z, area) without those smaller than a pixel, all at the deepest zoom; ``degree``: a degree in area's units."""
+    return features.where((F.col("z") == deepest) | (F.col("area") >= F.pow(pixel(F.col("z")) * degree, F.lit(2.0))))
+
+
+def within_budget(features: DataFrame, budget: int, salts: int = 32) -> DataFrame:
+    """Tile features with ``own``: in the layer as they are while the tile's bytes, largest first, fit.
+
+    A tile may hold a fixed share of all features. What doesn't fit among its salt's own features
+    doesn't fit among all, so each salt first keeps what fits by itself: at most a budget's worth
+    reaches the window of a tile. Of those, a feature fits if the larger ones leave it room and none
+    of the larger ones was left out.
+    """
+    order = (F.desc("area"), "id")
+    f = features.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    part = W.partitionBy(*TILE, "salt").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    f = f.withColumn("fits", F.sum("bytes").over(part) <= budget).drop("salt")
+    out = f.where("not fits").groupBy(*TILE).agg(F.min(F.struct((-F.col("area")).alias("a"), "id")).alias("first"))
+    upto = W.partitionBy(*TILE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    kept = f.where("fits").withColumn("sum", F.sum("bytes").over(upto)).join(out, list(TILE), "left")
+    before = F.col("first").isNull() | (F.struct((-F.col("area")).alias("a"), "id") < F.col("first"))
+    kept = kept.withColumn("own", (F.col("sum") <= budget) & before).drop("sum", "first", "fits")
+    return kept.unionByName(f.where("not fits").withColumn("own", F.lit(False)).drop("fits"))
 
 
 def merged_tail(features: DataFrame, budget: int) -> DataFrame:
     """Features that fit, and one merged feature per tile and class (id null) for those that don't."""
     f = within_budget(features, budget)
-    kept = f.where("own").select("z", "x", "y", "id", "class", "area", F.lit(1).cast("long").alias("parts"))
-    tail = f.where("not own").groupBy("z", "x", "y", "class").agg(F.sum("area").alias("area"), F.count("*").alias("parts"))
-    return kept.unionByName(tail.select("z", "x", "y", F.lit(None).cast("string").alias("id"), "class", "area", "parts"))
+    kept = f.where("own").select(*TILE, "id", "class", "area", F.lit(1).cast("long").alias("parts"))
+    tail = f.where("not own").groupBy(*TILE, "class").agg(F.sum("area").alias("area"), F.count("*").alias("parts"))
+    return kept.unionByName(tail.select(*TILE, F.lit(None).cast("string").alias("id"), "class", "area", "parts"))
 
 
 def assembled(features: DataFrame) -> DataFrame:
-    """A row per tile: its features, oldest year first, then id."""
-    f = F.sort_array(F.collect_list(F.struct("year", "id", "nv")))
-    return features.groupBy("z", "x", "y").agg(f.alias("features"))
+    """A row per tile of a layer and year: its features, oldest fire first, then id.
+
+    Take visible() ones: a tile then holds at most what its pixels show.
+    """
+    f = F.sort_array(F.collect_list(F.struct("fire_year", "id", "nv")))
+    return features.groupBy(*TILE).agg(f.alias("features"))
 
 
 def inventory(tiles: DataFrame) -> DataFrame:
     """(year, ids, vertices) of the deepest zoom."""
     deepest = F.broadcast(tiles.agg(F.max("z").alias("z")))
-    f = tiles.join(deepest, "z").select(F.explode("features").alias("f")).select("f.*")
+    f = tiles.join(deepest, "z").select(F.explode("features").alias("f")).select(F.col("f.fire_year").alias("year"), "f.id", "f.nv")
     per_id = f.groupBy("year", "id").agg(F.sum("nv").alias("nv"))
     return per_id.groupBy("year").agg(F.count("*").alias("ids"), F.sum("nv").alias("vertices"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderframe.operators.spatial import in_perimeters
+
 BANDS = (130, 500)
 
 
@@ -31,6 +33,21 @@ def listings(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.select("key", object_state(F.col("size"), F.col("etag"), F.col("remote_size"), F.col("remote_etag")).alias("state"))
 
 
+def present(at: DataFrame, chosen: DataFrame, edges: DataFrame, mosaic: DataFrame, cell: int) -> DataFrame:
+    """(year, id, has_perimeter, has_severity) of the chosen fires (year, id), at a cell inside each.
+
+    at: (year, id, row, col), for those that have a cell. A fire without one has neither; ids alone
+    are no evidence. Perimeters are asked exactly, by containment of the cell's centre.
+    """
+    centre = [(F.col(c) * cell + cell / 2).alias(n) for c, n in (("col", "x"), ("row", "y"))]
+    points = at.select(F.struct("year", "id").alias("pt"), *centre)
+    inside = in_perimeters(points, edges).where("pt.id = id").select("pt.year", "id", F.lit(True).alias("p"))
+    burned = at.join(mosaic.select("year", "row", "c0", "c1"), ["year", "row"]).where("c0 <= col and col < c1")
+    burned = burned.select("year", "id", F.lit(True).alias("s")).distinct()
+    rows = chosen.join(inside, ["year", "id"], "left").join(burned, ["year", "id"], "left")
+    return rows.select("year", "id", F.coalesce("p", F.lit(False)).alias("has_perimeter"), F.coalesce("s", F.lit(False)).alias("has_severity"))
+
+
 def distance_band(d: Column) -> Column:
     return F.when(d < BANDS[0], f"under {BANDS[0]}").when(d < BANDS[1], f"{BANDS[0]} to {BANDS[1]}").otherwise(f"{BANDS[1]} and over")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions import scalar
 from cinderframe.jobs import sinks
-from cinderframe.operators import fires, geom, graph, raster, spatial, tiles, trail, verify
+from cinderframe.operators import fires, geom, graph, raster, rings, spatial, tiles, trail, verify
 from cinderframe.sources import files
 
 
@@ -257,3 +257,88 @@ def test_steps_of_long_tracks_have_keys_of_their_own(spark):
     fires = spark.createDataFrame([("f", 1)], "id string, ig_date int")
     got = {r["track"]: (r["steps"], r["burned"], r["fires"]) for r in trail_queries.trail.track_report(s.select("track", "pt"), hits, fires).collect()}
     assert got == {1: (12, 6, "f"), 2: (6, 0, ""), 3: (4, 0, "")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rings_turn_around_each_patch_and_its_holes(spark, seed):
+    rng = random.Random(seed)
+    grid = {(r, c): rng.choice([1, 1, 1, 2]) for r in range(10) for c in range(12) if rng.random() < 0.85}
+    grid |= {(r, c + 20): 7 for r in range(5) for c in range(5) if (r, c) not in ((1, 1), (3, 3), (2, 2))}  # holes that touch at corners
+    lab = raster.label_components(runs_of(spark, grid)).cache()
+    comps: dict = {}
+    for r in lab.collect():
+        comps.setdefault(r["comp"], set()).update((r["row"], c) for c in range(r["c0"], r["c1"]))
+    got: dict = {}
+    for r in rings.shapes(rings.rings(lab), 1).collect():
+        pts = [(int(p["x"]), int(p["y"])) for p in r["pts"]]
+        turns = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(pts, pts[1:])]
+        assert pts[0] == pts[-1] and all((x == 0) != (y == 0) for x, y in turns) and all((a[0] == 0) != (b[0] == 0) for a, b in zip(turns, turns[1:] + turns[:1]))
+        got.setdefault(r["comp"], []).append((r["area"], sum(abs(x) + abs(y) for x, y in turns)))
+    assert set(got) == set(comps)
+    for comp, cells in comps.items():
+        outside = {(r, c) for r in range(-1, 11) for c in range(-1, 26)} - cells
+        eight = 0  # 8-connected regions around the patch: each has one ring
+        left = set(outside)
+        while left:
+            todo = [left.pop()]
+            eight += 1
+            while todo:
+                r, c = todo.pop()
+                for n in [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if n in left:
+                        left.remove(n)
+                        todo.append(n)
+        sides = sum(n not in cells for r, c in cells for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)))
+        assert sum(a for a, _ in got[comp]) == len(cells) and sum(n for _, n in got[comp]) == sides
+        assert len(got[comp]) == eight and sum(a > 0 for a, _ in got[comp]) == 1
+
+
+def test_causes_of_mismatches_are_the_first_that_apply(spark):
+    rows = [(2, 3, 3, 3), (2, 2, 3, 3), (2, 2, 2, 3), (2, 2, 2, 2), (2, 3, 2, 2)]
+    d = spark.createDataFrame(rows, "truth int, raw int, sieved int, layer int")
+    assert {r["cause"]: r["n"] for r in verify.mismatch_causes(d).collect()} == {"raster": 1, "sieve": 1, "layer": 1}
+
+
+def test_budget_keeps_what_a_plain_running_sum_keeps(spark):
+    rng = random.Random(6)
+    rows = [("severity", 2000, 2, x, 0, f"f{i}", rng.randint(0, 40), rng.randint(10, 90)) for i in range(400) for x in (0, 1)]
+    d = spark.createDataFrame(rows, "layer string, year int, z int, x int, y int, id string, area int, bytes int")
+    for budget in (300, 5000, 10**6):
+        got = {(r["x"], r["id"]): r["own"] for r in tiles.within_budget(d, budget, salts=5).collect()}
+        for x in (0, 1):
+            total = 0
+            for r in sorted((r for r in rows if r[3] == x), key=lambda r: (-r[6], r[5])):
+                total += r[7]
+                assert got[x, r[5]] == (total <= budget)
+        assert len(got) == len(rows)
+
+
+def test_cells_are_drawn_by_weight(spark):
+    runs = spark.createDataFrame([(0, 0, 90, 2), (5, 3, 13, 3)], "row long, c0 long, c1 long, n int")
+    got = spatial.weighted_cells(runs, 3000).collect()
+    share = sum(r["n"] == 2 for r in got) / len(got)
+    assert len(got) == 3000 and abs(share - 0.9) < 0.03 and all((r["row"], r["n"]) in ((0, 2), (5, 3)) for r in got) and {r["col"] for r in got if r["n"] == 3} == set(range(3, 13))
+    fires_ = runs.withColumn("id", F.concat(F.lit("WA"), F.col("row").cast("string")))
+    drawn = spatial.perimeter_cells(fires_, 2000).collect()
+    assert len(drawn) == 2000 and abs(sum(r["id"] == "WA0" for r in drawn) / 2000 - 0.5) < 0.05
+    assert spatial.weighted_cells(runs.limit(0), 5).count() == 0
+
+
+def test_scratch_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cinderframe.sources import scratch
+
+    session = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y/"}, sparkContext=SimpleNamespace(master="spark://h:7077"))
+    assert scratch.scratch_dir(session) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")))
+
+
+def test_largest_fire_without_its_own_ground_is_reported(spark):
+    edges = shape(spark, [(0, 0), (180, 0), (180, 180), (0, 180)])
+    at = spark.createDataFrame([(2000, "f", 0, 0), (2001, "g", 0, 1), (2002, "f", 5, 5)], "year int, id string, row long, col long")
+    chosen = at.select("year", "id").union(spark.createDataFrame([(2003, "h")], "year int, id string"))
+    mosaic = spark.createDataFrame([(2000, 0, 0, 4, 3), (2001, 0, 0, 1, 2)], "year int, row long, c0 long, c1 long, class int")
+    got = {r["year"]: (r["has_perimeter"], r["has_severity"]) for r in verify.present(at, chosen, edges, mosaic, 90).collect()}
+    assert got == {2000: (True, True), 2001: (False, False), 2002: (False, False), 2003: (False, False)}
