@@ -49,13 +49,16 @@ class Recent:
         if value is None:
             value = self.old.get(key)
             if value is not None:
-                self.keep(key, value)
+                self.new[key] = value
         return value
 
     def keep(self, key, value) -> None:
+        self.new[key] = value
+
+    def trim(self) -> None:
+        """Called between texts, so one text's words may go beyond the bound."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        self.new[key] = value
 
 
 class ChunkEncoder:
@@ -104,20 +107,23 @@ class ChunkEncoder:
 
         Letters alone are one piece, so they need no pattern; letters and one mark are two.
         """
-        if not self.spans and self.byte_level:
-            if self._plain(word):
-                value = self._letters(word)
-            elif word[-1:] in MARKS and self._plain(word[:-1]):
-                value = self.known.find(word[:-1])
-                if value is None:
-                    value = self._letters(word[:-1])
-                    self.known.keep(word[:-1], value)
-                value += self.pieces.find(word[-1]) or self._piece(word[-1])
-            else:
-                value = self._chunk(" " + word)
+        new = self.known.new
+        value = new.get(word)  # a word that the text has more than once
+        if value is not None:
+            return value
+        if self.spans or not self.byte_level:
+            value = self._chunk(" " + word)
+        elif word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+            value = self._letters(word)
+        elif word[-1:] in MARKS and self._plain(word[:-1]):
+            letters = word[:-1]
+            value = self.known.find(letters)
+            if value is None:
+                value = new[letters] = self._letters(letters)
+            value += self.pieces.find(word[-1]) or self._piece(word[-1])
         else:
             value = self._chunk(" " + word)
-        self.known.keep(word, value)
+        new[word] = value
         return value
 
     def _letters(self, word: str) -> bytes:
@@ -145,11 +151,19 @@ class ChunkEncoder:
         """
         if self.whole(text):
             return None, self._raw([text])
-        words, find = text.split(" "), self.known.find
-        packed = list(map(self.known.new.get, words))
+        self.known.trim()
+        self.pieces.trim()
+        words, new, old = text.split(" "), self.known.new, self.known.old.get
+        packed = list(map(new.get, words))
         packed[0] = self._chunk(words[0])
         for at in [i for i, value in enumerate(packed) if value is None]:
-            packed[at] = find(words[at]) or self._spaced(words[at])
+            word = words[at]
+            value = old(word)
+            if value is None:
+                value = self._spaced(word)
+            else:
+                new[word] = value
+            packed[at] = value
         return words, packed
 
     def ids(self, text: str) -> bytes:
