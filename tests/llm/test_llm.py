@@ -338,19 +338,3 @@ def test_word_count_cuts_at_ascii_blanks_only(spark):
     texts = [None, "", " ", "a", " a ", "a b c", "\ta\x0bb\x0c\n", "a  b", "\n"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n"))
     assert {r["i"]: r["n"] for r in d.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
-
-
-# -- pipeline -------------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark, docs, rows, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(1)
-    bench = spark.createDataFrame([(1, rows[10][1])], "item_id long, text string")
-    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in out}
-    assert out and not ids & {10, 100, 102, 103, 104, 107} and rng
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mix_sources", "token_ids"]
