@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +33,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the scratch folder."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose written() tables are deleted at its end, but for those written by the function it gives.
+
+    What leaves the block must not read the deleted ones. An error leaves all of them where they are.
+    """
+    _OPEN.append([])
+
+    def stays(df: DataFrame, name: str) -> DataFrame:
+        own = _OPEN.pop()
+        try:
+            return written(df, name)
+        finally:
+            _OPEN.append(own)
+
+    try:
+        yield stays
+    except BaseException:
+        _OPEN.pop()
+        raise
+    for path in _OPEN.pop():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
