@@ -29,13 +29,13 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderframe.operators.graph import components
 
 from .binary import mix64 as _mix
-from .common import join_small, held, nullable, read_table, short_batches, small, whole_ids, written
+from .common import held, join_small, nullable, passing_tables, read_table, short_batches, small, whole_ids, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -45,11 +45,11 @@ LEAF = 256
 #: Sets that a group of one prefix shingle may have for all its pairs to be candidates, and rounds of new prefixes.
 GROUP, ROUNDS = 32, 2
 #: Sets of a larger group that all others are compared with first.
-HUBS = 3
+HUBS = 8
 #: Differing bits of 128 beyond which sets are not similar, and the size below which sets are not asked for them.
 FAR_BITS, SMALL_SET = 44, 64
-#: Pairs of one set that are compared in one part, and rows of slim tables that may be broadcast.
-PART, BROADCAST_SETS = 128, 1_000_000
+#: Sets of a large group that are compared in one part, and rows of slim tables that may be broadcast.
+PART, BROADCAST_SETS = 128, 2_000_000
 #: Fingerprints that one task routes through the tree.
 ROUTED = 16_384
 
@@ -304,30 +304,32 @@ def texts_of(fps: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, j) of distinct pairs (a, b; written): the Jaccard similarity of their texts' (fp, text) shingle sets.
+    """(a, b, j) of distinct pairs (a, b, part; written): the Jaccard similarity of their texts' (fp, text) shingle sets.
 
-    The pairs of one a are dealt out in parts of about ``PART``; a part gets a's text once, first.
+    A part gets the text of each of its sets once, then its pairs, in one stream of rows; it holds a
+    few hundred sets at most.
     """
-    by = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
-    members = pairs.join(by, "a").select("a", part, "b").join(texts.withColumnRenamed("fp", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
-    hubs = by.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("fp", "a"), "a")
-    hubs = hubs.select("a", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "text")
-    dealt = members.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    need = pairs.select("part", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    none, zero = F.lit(None).cast("string").alias("text"), F.lit(0).cast("long")
+    held_texts = need.join(texts, "fp").select("part", F.lit(0).alias("kind"), F.col("fp").alias("a"), zero.alias("b"), "text")
+    dealt = held_texts.unionByName(pairs.select("part", F.lit(1).alias("kind"), "a", "b", none))
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: set = set()
+        now, sets = None, {}
         for g in batches:
             a, b, j = [], [], []
-            for x, y, kind, text in zip(g["a"].tolist(), g["b"].tolist(), g["kind"].tolist(), g["text"]):
-                mine = shingles(text, shingle)
+            for part, kind, x, y, text in zip(g["part"].tolist(), g["kind"].tolist(), g["a"].tolist(), g["b"].tolist(), g["text"]):
+                if part != now:
+                    now, sets = part, {}
                 if kind == 0:
-                    held = mine
+                    sets[x] = frozenset(hashes(text, shingle).tolist())
                     continue
-                both = len(held & mine)
+                one, two = sets[x], sets[y]
+                both = len(one & two)
                 a.append(x)
                 b.append(y)
-                j.append(both / max(1, len(held) + len(mine) - both))
+                j.append(both / max(1, len(one) + len(two) - both))
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "j": np.array(j, float)})
 
     return dealt.mapInPandas(run, "a long, b long, j double")
@@ -350,32 +352,43 @@ def prefix_groups(deal: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_pairs(groups: DataFrame, seed: int) -> DataFrame:
-    """Distinct (a, b), a < b, of the sets of a group.
+    """Distinct (a, b, part), a < b, of the sets of a group; part is where a pair is compared.
 
     All pairs of a group of at most ``GROUP`` sets; of a larger one each member with ``HUBS`` of them,
-    which ``seed`` picks.
+    which ``seed`` picks. A small group is a part, of a larger one about ``PART`` members with the hubs.
     """
     hubs = [F.min(F.struct(F.xxhash64(F.lit(seed * HUBS + i), "fp").alias("h"), "fp"))["fp"].alias(f"hub{i}") for i in range(HUBS)]
     ends = written(groups.groupBy("tok").agg(F.count("*").alias("n"), *hubs), "group-hubs")
     few, many = (ends.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
     listed = groups.join(few.select("tok"), "tok").groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
     of = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p")
-    star = groups.join(many, "tok").select("fp", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("fp <> hub")
-    star = star.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
-    return listed.select(of).select("p.*").unionByName(star).distinct()
+    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / PART))
+    star = groups.join(many, "tok").select("fp", F.xxhash64("tok", salt).alias("part"), F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("fp <> hub")
+    star = star.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"), "part")
+    both = listed.select(F.col("tok").alias("part"), of).select("p.*", "part").unionByName(star)
+    return both.groupBy("a", "b").agg(F.min("part").alias("part"))
 
 
-def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sizes and SimHash codes (slim: fp, n, c0, c1) allow that similarity.
+def likely(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets (structs n, c0, c1) may be that similar, by their sizes and SimHash codes.
 
-    Sets at 0.8 or more differ in 0.152 of their bits on average, so in 19 of 128, with a deviation
-    of 4; ``FAR_BITS`` is six deviations on. Small sets' codes say less and are not asked.
+    Sets at 0.8 or more differ in 0.152 of their bits on average, so in 19 of 128, with a
+    deviation of 4; ``FAR_BITS`` is six deviations on. Small sets' codes say less and are not asked.
     """
-    one, two = (slim.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("c0").alias(f"c0_{k}"), F.col("c1").alias(f"c1_{k}")) for k in ("a", "b"))
+    def of(c: str) -> tuple[Column, Column]:
+        return F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+
+    bits = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in (of("c0"), of("c1")))
+    n, m = of("n")
+    size = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    return size & ((F.least(n, m) < SMALL_SET) | (bits <= FAR_BITS))
+
+
+def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, part) that likely() lets pass; slim: (fp, s)."""
+    one, two = (slim.select(F.col("fp").alias(k), F.col("s").alias(f"s_{k}")) for k in ("a", "b"))
     both = join_small(join_small(pairs, one, "a", "inner", BROADCAST_SETS), two, "b", "inner", BROADCAST_SETS)
-    bits = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("c0", "c1"))
-    size = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    return both.where(size & ((F.least("n_a", "n_b") < SMALL_SET) | (bits <= FAR_BITS))).select("a", "b")
+    return both.where(likely("s_a", "s_b", similarity)).select("a", "b", "part")
 
 
 def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -388,11 +401,11 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
     is a common one: its members get new prefixes that take such shingles last, in which similar sets
     share one again, and are grouped anew. A pair of which only one is a member shares a shingle of a
     group that is done, so the others need no new prefix. Sets that are common shingles all over come
-    to the last round, where members of different components are all candidates.
+    to the last round, where members outside a group's largest component are compared with all others.
     """
     firsts = written(rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row")), "set-rows")
     sets = join_small(rows, firsts.select("row"), "row", "left_semi", BROADCAST_SETS)
-    slim = written(sets.select("fp", "n", "c0", "c1"), "set-codes")
+    slim = written(sets.select("fp", F.struct("n", "c0", "c1").alias("s")), "set-codes")
     deal, links, done = sets.select("fp", F.explode("toks").alias("tok")), None, None
     for round_ in range(ROUNDS):
         groups, same = prefix_groups(deal)
@@ -413,9 +426,15 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
             order = later(order, hot)
             met = written(mixed.select("fp").distinct(), "mixed-sets")
             deal = written(new_prefixes(texts_of(met, rows, docs), similarity, shingle, order), "new-prefixes")
-    x, y = (mixed.select("tok", F.col("fp").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "b"))
-    rest = x.join(y, "tok").where("a < b and r_a <> r_b").select("a", "b")
-    rest = likely_pairs(rest, slim, similarity).distinct().join(done, ["a", "b"], "left_anti")
+    # of two members of different components, one is outside the group's largest
+    by = mixed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.sum("count").alias("n"))
+    coded = join_small(mixed, slim, "fp", "inner", BROADCAST_SETS).join(by, "tok")
+    coded = written(coded.withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(2 * F.col("n") / PART))), "mixed-codes")
+    x = coded.where("root <> most").select(F.col("tok").alias("t_x"), F.col("fp").alias("x"), F.col("root").alias("r_x"), F.col("s").alias("s_x"), F.col("block").alias("b_x"))
+    y = coded.select("tok", F.col("fp").alias("y"), F.col("root").alias("r_y"), F.col("s").alias("s_y"), F.col("block").alias("b_y"))
+    rest = x.join(y, (F.col("t_x") == F.col("tok")) & (F.col("r_x") != F.col("r_y")) & likely("s_x", "s_y", similarity))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.xxhash64("tok", F.least("b_x", "b_y"), F.greatest("b_x", "b_y")).alias("part"))
+    rest = rest.groupBy("a", "b").agg(F.min("part").alias("part")).join(done, ["a", "b"], "left_anti")
     found = checked(rest, slim, rows, docs, similarity, shingle)
     return written(links.unionByName(found.where(F.col("j") >= similarity).select("a", "b")), "similar-pairs")
 
@@ -471,12 +490,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     one. A very long text is one row of its batch. A row with a null doc_id takes part and gets its
     component's smallest non-null doc_id (null if there is none). Empty tables give no rows.
     """
-    rows, roots = labelled(docs, shingle, radius, similarity)
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    rooted = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    with passing_tables(docs.sparkSession) as stays:
+        rows, roots = labelled(docs, shingle, radius, similarity)
+        points = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+        rooted = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+        ids = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-ids")
+        return stays(rows.join(ids, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -486,16 +506,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     hash), and of rows that repeat it only one. Rows of one doc_id with unlike texts are of different
     groups, so each stays.
     """
-    rows, roots = labelled(docs, shingle, RADIUS, similarity)
-    rows = rows.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("key"))
-    least = rows.groupBy("root").agg(F.min("key").alias("least"))
-    rows = written(rows.join(least, "root").select("doc_id", "h", (F.col("key") == F.col("least")).alias("stays")), "duplicate-rows")
-    gone = written(rows.where("not stays").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).distinct(), "duplicates-gone")
+    with passing_tables(docs.sparkSession) as stays:
+        rows, roots = labelled(docs, shingle, RADIUS, similarity)
+        rows = rows.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("key"))
+        least = rows.groupBy("root").agg(F.min("key").alias("least"))
+        # null-safe: a key may hold a null doc_id
+        rows = written(rows.join(least, "root").select("doc_id", "h", F.col("key").eqNullSafe(F.col("least")).alias("stays")), "duplicate-rows")
+        gone = stays(rows.where("not stays").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).distinct(), "duplicates-gone")
+        repeated = rows.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"))
+        repeated = stays(repeated, "rows-repeated")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("__key")
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), key)
     same = F.col("__key.doc_id").eqNullSafe(F.col("g_id")) & (F.col("__key.h") == F.col("g_h"))
     kept = join_small(keyed, gone, same, "left_anti", BROADCAST_SETS)
-    repeated = written(rows.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "rows-repeated")
     if repeated.limit(1).count():
         again = join_small(kept, repeated, same, "left_semi", BROADCAST_SETS).dropDuplicates(["__key"])
         kept = join_small(kept, repeated, same, "left_anti", BROADCAST_SETS).unionByName(again)
