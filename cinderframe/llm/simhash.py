@@ -16,8 +16,8 @@ lost, whatever it held.
 The pipeline links texts by the exact Jaccard similarity of their distinct shingles instead
 (``similar_pairs``): candidates by a prefix join, thinned by 128-bit SimHash codes, then compared.
 
-Components. Links of distinct fingerprints (few) go through min-label propagation with pointer
-jumping, each round written to the shared folder.
+Components. Links of distinct fingerprints (few) go through the star contraction of
+``operators.graph``, each round written to the shared folder.
 """
 
 from __future__ import annotations
