@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, binary, decontaminate, html_text, langid, mixing, quality, secrets, simhash, token_counts
+from . import ann, binary, decontaminate, html_text, langid, mixing, quality, secrets, simhash, substring, token_counts
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_binary_ids": binary.op8_binary_ids,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_html_text": html_text.op10_html_text,
+        "op11_fm_substrings": substring.op11_fm_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fm_substrings": substring.ORACLE_SQL}
