@@ -253,8 +253,9 @@ def remove_repeats(docs: DataFrame, shard_chars: int = SHARD_CHARS, hot: int = H
 #: The contract in SQL: every window's first start, then the words that no later start covers.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
-windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM places),
+listed AS (SELECT doc_id, list_transform(generate_series(1, len(w) - 19), lambda i: array_to_string(w[i:i + 19], ' ')) AS t FROM d WHERE len(w) >= 20),
+places AS (SELECT doc_id, unnest(t) AS t, unnest(generate_series(1, len(t))) AS i FROM listed),
+windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM places),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM windows WHERE r > 1),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
