@@ -39,7 +39,7 @@ _OPEN: list[list[str]] = []
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the scratch folder."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     if _OPEN:
         _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
