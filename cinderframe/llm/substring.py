@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary import mix64
-from .common import read_table, short_batches
+from .common import join_small, read_table, short_batches, written
 from .fm_index import FMIndex
 
 WINDOW, ANCHOR, SPAN = 20, 5, 16
 #: Characters of text a shard, distinct segments of an anchor that stay together, bytes handled at once.
 SHARD_CHARS, HOT, CHUNK = 2_000_000, 1_024, 1_000_000
+#: Hot anchors that may be broadcast; more are joined.
+BROADCAST_HOT = 1_000_000
 #: Random odd multipliers of the hashes, and the 64-bit value of each byte.
 P_BYTE, P_WORD = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTE = mix64(np.arange(256, dtype=np.uint64), 1)
@@ -230,10 +232,11 @@ def remove_repeats(docs: DataFrame, shard_chars: int = SHARD_CHARS, hot: int = H
     shards = max(1, -(-chars // shard_chars))
     again = anchors(rows).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     own = anchors(rows).select("anchor", "rid").join(again, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))
+    own = written(own, "repeated-anchors")
     cut = segments(rows.select("rid", "d", "th", "text").join(own, "rid"))
-    distinct = cut.groupBy("anchor", "words").agg(F.min(F.struct("d", "th", "at", "rid")).alias("p"))
+    distinct = written(cut.groupBy("anchor", "words").agg(F.min(F.struct("d", "th", "at", "rid")).alias("p")), "segments")
     many = distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    distinct = distinct.join(many, "anchor", "left")
+    distinct = join_small(distinct, written(many, "hot-anchors"), "anchor", "left", BROADCAST_HOT)
     split = F.split("words", " ")
     starts = F.sequence(F.lit(0), F.size(split) - WINDOW)
     windows = distinct.where("hot").select("p", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice(split, i + 1, WINDOW), " "))).alias("i", "words"))
