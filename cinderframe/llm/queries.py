@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, binary, decontaminate, html_text, langid, mixing, negatives, quality, secrets, simhash, substring, token_counts
+from . import ann, binary, decontaminate, html_text, langid, mixing, negatives, quality, search, secrets, simhash, substring, token_counts
 
 
 def queries() -> dict:
@@ -18,9 +18,14 @@ def queries() -> dict:
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_html_text": html_text.op10_html_text,
         "op11_fm_substrings": substring.op11_fm_substrings,
+        "op12_ranked_search": search.op12_ranked_search,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fm_substrings": substring.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
+    return {
+        "op11_fm_substrings": substring.ORACLE_SQL,
+        "op12_ranked_search": search.ORACLE_SQL,
+        "op13_hard_negatives": negatives.ORACLE_SQL,
+    }
