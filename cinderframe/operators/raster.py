@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinderframe.functions.scalar import acres
-from cinderframe.operators.graph import components
+from cinderframe.operators.labels import label_components
 from cinderframe.sources.scratch import written
 
 CELL = 90
@@ -121,19 +121,6 @@ def touching(runs: DataFrame) -> DataFrame:
     return below.unionByName(beside)
 
 
-def with_run_id(runs: DataFrame) -> DataFrame:
-    """Runs with a key from their place: row and first column."""
-    return runs.withColumn("rid", F.col("row") * F.lit(2**31) + F.col("c0"))
-
-
-def label_components(runs: DataFrame) -> DataFrame:
-    """Runs with ``comp``: the smallest run key of the 4-connected region of equal n that holds it."""
-    runs = written(with_run_id(runs), "runs")
-    links = touching(runs).where("na = nb").select("a", "b")
-    roots = components(links).withColumnsRenamed({"node": "rid", "root": "comp"})
-    return runs.join(roots, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-
-
 def sieve(runs: DataFrame, least: int) -> DataFrame:
     """Runs after regions of fewer than ``least`` cells take their largest neighbour's value.
 

@@ -1,20 +1,25 @@
-"""Outlines of raster patches: directed sides of runs, joined to rings and put in order without Python.
+"""Outlines of raster patches: directed sides of runs, joined to paths in raster blocks and to rings between them.
 
 A side has its patch on its left, so outer rings turn counter-clockwise (positive area) and holes
 clockwise. Where two cells of a patch touch at a corner only, a ring turns left and so stays on its
 own cell, which is what 4-connection asks for. No patch or ring is one task's work until its corners
-are gathered to one shape: a side's ring and its place there come from looking along the links from
-side to side in doubling steps.
+are gathered to one shape: inside a block sides form paths, and paths that leave their block are put
+in order by list contraction: independent ones are taken out by coin, round by round, and put back.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinderframe.operators.labels import BLOCK, ROW
 from cinderframe.sources.scratch import written
 
+#: Paths that one task may join to rings.
+PATHS = 500_000
 #: Directions of sides: east, north, west, south.
 EAST, NORTH, WEST, SOUTH = range(4)
 
@@ -53,39 +58,156 @@ def sides(runs: DataFrame) -> DataFrame:
 
 def side_key(x, y, d):
     """A side's number: where it starts and its direction, which no two sides share."""
-    return (y * F.lit(2**31) + x) * 4 + d
+    return (y * F.lit(ROW) + x) * 4 + d
 
 
-def linked(s: DataFrame) -> DataFrame:
-    """Sides with their own number ``s`` and the next one's, ``t``: at a corner where two go on, the left turn."""
-    here = s.withColumn("s", side_key(F.col("x0"), F.col("y0"), F.col("d")))
-    start = here.select("comp", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("s").alias("t"), F.col("d").alias("e"))
-    turn = F.pmod(F.lit(1) - F.col("e") + F.col("d"), F.lit(4))  # left 0, straight 1, right 2
-    nxt = here.join(start, ["comp", "x1", "y1"]).groupBy("s").agg(F.min(F.struct(turn.alias("turn"), "t")).alias("m"))
-    return here.join(nxt, "s").select("comp", "s", F.col("m.t").alias("t"), "x0", "y0", "d", (F.col("m.turn") != 1).alias("corner"))
+def chained(part: pd.DataFrame, block: int) -> pd.DataFrame:
+    """The sides of one block as paths: each side's path, its place there, and what a path is.
 
-
-def rings(runs: DataFrame) -> DataFrame:
+    In: (comp, s, x0, y0, x1, y1, d). Out: a row a side (head, i, corner) and on a path's last row also
+    ``ends`` (true), with length, least side and its place, and where the path goes on (x1, y1, d) unless
+    it is ``closed``. A closed path starts at its least side.
+    """
+    v = {c: part[c].to_numpy(np.int64) for c in ("comp", "s", "x0", "y0", "x1", "y1", "d")}
+    n = len(part)
+    _, comp = np.unique(v["comp"], return_inverse=True)
+    inside = (v["x1"] // block == v["x0"] // block) & (v["y1"] // block == v["y0"] // block)
+    start = (comp * block + v["y0"] % block) * block + v["x0"] % block
+    order = np.argsort(start, kind="stable")
+    end = (comp * block + v["y1"] % block) * block + v["x1"] % block
+    first, stop = np.searchsorted(start[order], end, "left"), np.searchsorted(start[order], end, "right")
+    turns = lambda j: (1 - v["d"][j] + v["d"]) % 4  # noqa: E731  left 0, straight 1, right 2
+    one = order[np.minimum(first, n - 1)]
+    two = order[np.minimum(first + 1, n - 1)]
+    nxt = np.where((stop - first == 2) & (turns(two) < turns(one)), two, one)
+    turn = turns(nxt)
+    nxt = np.where(inside, nxt, -1)
+    tail, after = walked(nxt)
+    loop = np.flatnonzero(tail < 0)
+    if len(loop):
+        # the least side of each loop is seen within as many doublings as it has sides
+        seen, least = nxt.copy(), v["s"].copy()
+        for _ in range(int(len(loop)).bit_length() + 1):
+            least[loop], seen[loop] = np.minimum(least[loop], least[seen[loop]]), seen[seen[loop]]
+        cut = nxt.copy()
+        back = np.zeros(n, bool)
+        back[loop] = v["s"][nxt[loop]] == least[loop]
+        cut[back] = -1
+        tail, after = walked(cut)
+    closed = np.zeros(n, bool)
+    closed[loop] = True
+    length = np.zeros(n, np.int64)
+    np.maximum.at(length, tail, after + 1)
+    at = length[tail] - 1 - after
+    head = np.zeros(n, np.int64)
+    firsts = np.flatnonzero(at == 0)
+    head[tail[firsts]] = v["s"][firsts]
+    best = np.lexsort((v["s"], tail))
+    best = best[np.concatenate(([True], tail[best][1:] != tail[best][:-1]))] if n else best
+    low, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low[tail[best]], place[tail[best]] = v["s"][best], at[best]
+    corner = np.where(inside, turn != 1, False)
+    out = {"comp": v["comp"], "head": head[tail], "i": at, "corner": corner, "x": v["x1"], "y": v["y1"], "d": v["d"], "ends": after == 0}
+    return pd.DataFrame(out | {"closed": closed, "length": length[tail], "least": low[tail], "off": place[tail]})
+
+
+def walked(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last node, steps to it) of each node of lists; -1 and nothing for those that go round."""
+    end = nxt < 0
+    at, far = np.where(end, np.arange(len(nxt)), nxt), (~end).astype(np.int64)
+    for _ in range(max(1, int(len(nxt)).bit_length())):
+        far, at = far + np.where(end[at], 0, far[at]), at[at]
+    return np.where(end[at], at, -1), far
+
+
+def splice(paths: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One contraction: (paths left, paths taken out), each taken into the path before it.
+
+    paths: (h, next, length, least, off). A path goes if its coin fell on one side and that of the path
+    before on the other, so no two neighbours go, and a fourth does on average.
+    """
+    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+    gone = paths.where(coin("h") == 1).select(*[F.col(c).alias(f"b_{c}") for c in paths.columns])
+    kept = paths.where(coin("h") == 0)
+    both = written(kept.join(gone, F.col("next") == F.col("b_h"), "left"), "spliced-paths")
+    lesser = F.coalesce(F.col("b_least") < F.col("least"), F.lit(False))
+    after = both.select(
+        "h", F.coalesce("b_next", "next").alias("next"), (F.col("length") + F.coalesce("b_length", F.lit(0))).alias("length"),
+        F.least("least", "b_least").alias("least"), F.when(lesser, F.col("length") + F.col("b_off")).otherwise(F.col("off")).alias("off"),
+    )
+    out = both.where("b_h is not null").select(F.col("b_h").alias("h"), F.col("h").alias("into"), F.col("length").alias("at"))
+    rest = paths.where(coin("h") == 1).join(out.select("h"), "h", "left_anti")
+    return written(after.unionByName(rest.select(*after.columns)), "paths"), out
+
+
+def joined(part: pd.DataFrame) -> pd.DataFrame:
+    """(h, ring, at, size) of paths (h, next, length, least, off) that form rings: each path's place on its ring."""
+    h, length = part["h"].to_numpy(np.int64), part["length"].to_numpy(np.int64)
+    order = np.argsort(h)
+    nxt = order[np.searchsorted(h[order], part["next"].to_numpy(np.int64))]
+    least, seen = part["least"].to_numpy(np.int64).copy(), nxt.copy()
+    for _ in range(int(len(h)).bit_length() + 1):
+        least, seen = np.minimum(least, least[seen]), seen[seen]
+    own = part["least"].to_numpy(np.int64) == least  # the path that holds its ring's least side
+    before = np.empty(len(h), np.int64)
+    before[nxt] = np.arange(len(h))
+    cut = np.where(own[nxt], -1, nxt)
+    at, far, end = np.where(cut < 0, np.arange(len(h)), cut), np.where(cut < 0, 0, length), cut < 0
+    for _ in range(max(1, int(len(h)).bit_length())):
+        far, at = far + np.where(end[at], 0, far[at]), at[at]
+    # from a path's start to the last path's end, and the whole ring from the path with the least side
+    rest = far + length[at]
+    size = rest[nxt[at]]
+    off = part["off"].to_numpy(np.int64)[nxt[at]]
+    return pd.DataFrame({"h": h, "ring": least, "at": (size - rest - off) % size, "size": size})
+
+
+def placed(paths: DataFrame, most: int) -> DataFrame:
+    """(h, ring, at, size) of open paths (h, next, length, least, off): their place on their ring.
+
+    Lists contract until at most ``most`` paths are left, which one task joins; those taken out on the
+    way get their places back in reverse. All rounds together write a few times the paths, not their
+    number times the rounds.
+    """
+    taken, whole, turn = [], None, 0
+    while paths.limit(most + 1).count() > most:
+        paths, out = splice(paths, turn)
+        alone = paths.where("h = next").select("h", F.col("least").alias("ring"), ((F.col("length") - F.col("off")) % F.col("length")).alias("at"), F.col("length").alias("size"))
+        whole = alone if whole is None else whole.unionByName(alone)
+        paths, taken, turn = paths.where("h <> next"), [*taken, out], turn + 1
+    found = paths.groupBy().applyInPandas(joined, "h long, ring long, at long, size long")
+    found = found if whole is None else found.unionByName(whole)
+    for out in reversed(taken):
+        base = written(found, "placed-paths")
+        place = out.withColumnRenamed("at", "step").join(base.withColumnRenamed("h", "into"), "into")
+        found = base.unionByName(place.select("h", "ring", ((F.col("at") + F.col("step")) % F.col("size")).alias("at"), "size"))
+    return found
+
+
+def rings(runs: DataFrame, block: int = BLOCK, most: int = PATHS) -> DataFrame:
     """(comp, ring, pos, x, y): the corners of each ring of patches (comp, row, c0, c1) in order, in cells.
 
-    ring is the number of its lowest, then leftmost side, and pos grows along the ring. Each side looks
-    ahead over a stretch that doubles every round, for the least side on it and how far off that is;
-    when no side finds a lesser one, every stretch has seen its whole ring.
+    ring is the number of its lowest, then leftmost side, and pos grows along the ring. Sides become paths
+    inside their raster block; a ring that leaves its block is then a list of paths, ranked by contraction.
     """
-    s = written(linked(sides(written(merged(runs), "merged-runs"))), "linked-sides")
-    ahead = s.select("s", F.col("t").alias("far"), F.col("s").alias("least"), F.lit(0).cast("long").alias("off"))
-    length, changed = 1, True
-    while changed:
-        more = ahead.select(F.col("s").alias("far"), F.col("far").alias("next_far"), F.col("least").alias("other"), F.col("off").alias("more"))
-        lesser = F.col("other") < F.col("least")
-        both = ahead.join(more, "far").select(
-            "s", F.col("next_far").alias("far"), F.least("least", "other").alias("least"), F.when(lesser, F.col("more") + length).otherwise(F.col("off")).alias("off"), lesser.alias("changed")
-        )
-        both = written(both, "sides-ahead")
-        changed, ahead, length = both.where("changed").limit(1).count() > 0, both.drop("changed"), 2 * length
-    place = s.where("corner").join(ahead.select("s", F.col("least").alias("ring"), "off"), "s")
-    start = s.select(F.col("s").alias("t"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return place.join(start, "t").select("comp", "ring", (-F.col("off")).alias("pos"), "x", "y")
+    s = sides(merged(runs)).withColumn("s", side_key(F.col("x0"), F.col("y0"), F.col("d")))
+    dealt = s.groupBy(F.floor(F.col("y0") / block).alias("by"), F.floor(F.col("x0") / block).alias("bx"))
+    schema = "comp long, head long, i long, corner boolean, x long, y long, d int, ends boolean, closed boolean, length long, least long, off long"
+    chain = written(dealt.applyInPandas(lambda p: chained(p, block), schema), "side-paths")
+    whole = chain.where("closed and corner").select("comp", F.col("least").alias("ring"), F.col("i").alias("pos"), "x", "y")
+    last = chain.where("ends and not closed")
+    heads = chain.where("i = 0 and not closed").select("comp", F.col("head").alias("t"))
+    # a head's number says where it starts and where it goes
+    start = heads.select("comp", F.pmod(F.floor(F.col("t") / 4) + F.lit(ROW // 2), F.lit(ROW)) - F.lit(ROW // 2), "t", F.pmod("t", F.lit(4)).cast("int"))
+    start = start.toDF("comp", "x", "t", "e").withColumn("y", F.floor((F.floor(F.col("t") / 4) - F.col("x")) / F.lit(ROW)))
+    turn = F.pmod(F.lit(1) - F.col("e") + F.col("d"), F.lit(4))
+    on = last.join(start, ["comp", "x", "y"]).groupBy("head").agg(F.min(F.struct(turn.alias("turn"), "t")).alias("m"))
+    on = written(on.select("head", F.col("m.t").alias("next"), (F.col("m.turn") != 1).alias("bend")), "path-ends")
+    paths = written(last.join(on, "head").select(F.col("head").alias("h"), "next", "length", "least", "off"), "paths")
+    at = placed(paths, most).join(on.withColumnRenamed("head", "h"), "h").withColumnRenamed("h", "head")
+    open_ = chain.where("not closed and (corner or ends)").join(at, "head").where("corner or (ends and bend)")
+    open_ = open_.select("comp", "ring", ((F.col("at") + F.col("i")) % F.col("size")).alias("pos"), "x", "y")
+    return whole.unionByName(open_)
 
 
 def shapes(corners: DataFrame, cell: int) -> DataFrame:
