@@ -11,10 +11,11 @@ paths, identifiers and rulers. Chi-squared is the number of pairs of equal symbo
 text that number is higher than in random symbols, and the more so the longer the string. Under the
 null its mean and variance follow from the chance s2 that two symbols are equal and s3 that three
 are. Both, and how much strings spread beyond that variance, are calibrated per encoding over the
-whole corpus from the candidates of LONG symbols or more that the battery rejected (of shorter ones
-it passes many, so what it rejects would be no fair sample), together with a prior worth PRIOR
-strings. The p-value is the lower tail (1 for what the battery rejected), so a short string can't be
-told from text and is not reported.
+whole corpus from the candidates of LONG symbols or more that the battery rejected below FAR (a level
+that random strings don't reach however many there are; of shorter strings it passes much text, so
+what it rejects would be no fair sample). Every string has one vote, a prior has PRIOR, and s2 has a
+floor halfway from uniform symbols to the prior. The p-value is the lower tail (1 for what the battery
+rejected), so a short string can't be told from text and is not reported.
 
 The Benjamini-Hochberg rule at level Q runs per encoding and length class over all candidates of the
 corpus, so among what is reported in a class at most an expected share Q is text-like. Decimal digits
@@ -42,10 +43,12 @@ from .common import read_table, short_batches, written
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 ALPHA = 0.001
+#: Below this p-value a string is text for certain, and may calibrate the null.
+FAR = 1e-9
 Q = 0.05
 BINS = 400
-#: Strings that the prior of an encoding's null distribution is worth, and the length of one.
-PRIOR, PRIOR_LENGTH = 20, 40
+#: Strings that the prior of an encoding's null distribution is worth.
+PRIOR = 20
 #: Strings that calibrate: so long that the battery misses little text, and of so many symbols that they are no rulers.
 LONG, VARIED = 64, 8
 
@@ -154,7 +157,7 @@ def equal_symbols(token: str, name: str) -> tuple[int, int, int, int]:
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """Base spans (start, kind, end) and candidates (start, end, encoding, length class, symbols, different ones, pairs, triples, passes).
+    """Base spans (start, kind, end) and candidates (start, end, encoding, length class, symbols, different ones, pairs, triples, passes, far).
 
     Work follows the text's length and its candidates.
     """
@@ -180,7 +183,8 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple]
             continue
         name = encoding_of(token)
         if name != "decimal":
-            more.append((i, end, name, len(token).bit_length(), *equal_symbols(token, name), randomness(token, name) >= ALPHA))
+            p = randomness(token, name)
+            more.append((i, end, name, len(token).bit_length(), *equal_symbols(token, name), p >= ALPHA, p < FAR))
     return base, more
 
 
@@ -194,9 +198,9 @@ def scan_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     empty table gives no rows.
     """
     span = "array<struct<start:long,kind:int,end:long>>"
-    fields = ("start", "end", "encoding", "length", "n", "kinds", "pairs", "triples", "passes")
+    fields = ("start", "end", "encoding", "length", "n", "kinds", "pairs", "triples", "passes", "far")
 
-    @F.pandas_udf(f"base {span}, more array<struct<start:long,end:long,encoding:string,length:int,n:long,kinds:int,pairs:long,triples:long,passes:boolean>>")
+    @F.pandas_udf(f"base {span}, more array<struct<start:long,end:long,encoding:string,length:int,n:long,kinds:int,pairs:long,triples:long,passes:boolean,far:boolean>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         found = [scan_text(t) for t in texts]
         base = [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b, _ in found]
@@ -228,25 +232,30 @@ def expected(n, s2, s3):
 def null_model(candidates: DataFrame) -> Column:
     """A literal map encoding -> (s2, s3, spread) of text-like strings.
 
-    From the candidates that the battery rejected, and the prior; a row an encoding each time.
+    From the candidates that the battery rejected far out, each string one vote, and the prior's PRIOR
+    votes; a row an encoding each time. s2 stays above the middle between uniform symbols and the prior,
+    so no number of random strings among them can turn the null into randomness.
     """
-    failed = candidates.where((~F.col("passes")) & (F.col("n") >= LONG) & (F.col("kinds") >= VARIED))
+    sample = candidates.where(F.col("far") & (F.col("n") >= LONG) & (F.col("kinds") >= VARIED))
     n = F.col("n").cast("double")
-    by = failed.groupBy("encoding").agg(F.sum("pairs").alias("pairs"), F.sum("triples").alias("triples"), F.sum(n * (n - 1) / 2).alias("c2"), F.sum(n * (n - 1) * (n - 2) / 6).alias("c3"))
+    share2, share3 = F.col("pairs") / (n * (n - 1) / 2), F.col("triples") / (n * (n - 1) * (n - 2) / 6)
+    by = sample.groupBy("encoding").agg(F.sum(share2).alias("s2"), F.sum(share3).alias("s3"), F.count("*").alias("k"))
     sums = {r["encoding"]: r for r in by.collect()}
-    m = PRIOR_LENGTH
-    c2, c3 = PRIOR * m * (m - 1) / 2, PRIOR * m * (m - 1) * (m - 2) / 6
-    model = {}
-    for name, (s2, s3) in _PRIOR.items():
-        r = sums.get(name) or {"pairs": 0, "triples": 0, "c2": 0.0, "c3": 0.0}
-        s2, s3 = (r["pairs"] + s2 * c2) / (r["c2"] + c2), (r["triples"] + s3 * c3) / (r["c3"] + c3)
-        model[name] = (s2, max(s3, s2 * s2))
+    model = {name: text_like(name, *(sums[name][c] if name in sums else 0 for c in ("s2", "s3", "k"))) for name in _PRIOR}
     mean, var = expected(n, *(literal_map({k: v[i] for k, v in model.items()}, F.col("encoding")) for i in (0, 1)))
     off = F.least(F.pow(F.col("pairs") - mean, 2) / var, F.lit(9.0))  # one odd string counts as three deviations at most
-    spread = {r["encoding"]: (r["off"] + PRIOR) / (r["n"] + PRIOR) for r in failed.groupBy("encoding").agg(F.sum(off).alias("off"), F.count("*").alias("n")).collect()}
+    spread = {r["encoding"]: (r["off"] + PRIOR) / (r["n"] + PRIOR) for r in sample.groupBy("encoding").agg(F.sum(off).alias("off"), F.count("*").alias("n")).collect()}
     return F.create_map(*[x for k, (s2, s3) in model.items() for x in (F.lit(k), F.array(F.lit(float(s2)), F.lit(float(s3)), F.lit(float(max(1.0, spread.get(k, 1.0))))))])
 
 
+def text_like(name: str, s2: float, s3: float, k: int) -> tuple[float, float]:
+    """(s2, s3) of an encoding from the sums over k strings, the prior and the floor."""
+    p2, p3 = _PRIOR[name]
+    s2, s3 = (s2 + PRIOR * p2) / (k + PRIOR), (s3 + PRIOR * p3) / (k + PRIOR)
+    s2 = max(s2, (p2 + 1 / len(ENCODINGS[name])) / 2)
+    return s2, max(s3, s2 * s2)
+
+
 def literal_map(values: dict[str, float], key: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), key)
 
