@@ -8,7 +8,9 @@ positive), a tag that is outside with share o scores ``-TAG * o - TINY``. Contex
 labelled page has get a prior from their names. One linear scan finds the contiguous region of
 largest score (of equal ones the first). A region that lies in an ``<article>`` or ``<main>`` is
 widened to all of it, so that a table or a list between two paragraphs can't split the text. Its
-blocks are the text, without scripts, styles, comments, forms and menu-like parts inside it.
+blocks are the text, without scripts, styles, comments, forms and menu-like parts inside it. A part is an
+element like ``nav`` or one whose class, id or role says no more than that (``names_part``): its words score
+nothing, its tags as their weights say.
 
 Pages are read in one pass of bounded work a character, however deep or broken the markup is. The
 weights are fitted on a sample of about ``SAMPLE`` labelled pages chosen by hash.
@@ -20,6 +22,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,6 @@ from .common import read_table, short_batches
 
 SAMPLE = 2_000
 TAG, TINY = 4.0, 0.001
-#: Words of one menu-like part that count against the region around it.
-PART_WORDS = 20
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: A tag's rest up to its end, quotes respected; possessive, so it never goes back.
@@ -42,9 +43,9 @@ _RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in "script style title
 #: Elements that don't end a block of text.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names of parts that are not the article, and words that say a part of that name is elsewhere.
-_PARTS = frozenset("ad ads advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies dialog footer form header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-_NOT_PARTS = frozenset("free has no with without".split())
+#: Names of parts that are not the article, and words that only say what kind of box a part is in.
+_PARTS = frozenset("ad ads advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+_BOXES = frozenset("area articles bar block body bottom box button buttons container content footer global header holder inner item items left links list main nav outer overlay page pane panel popup posts primary right row secondary section site slot stories thread top unit wrap wrapper".split())
 _PART_TAGS = frozenset("aside audio button canvas dialog footer form header menu nav object select svg template video".split())
 #: Parts that an article inside does not end: it is a comment or a teaser.
 _CLOSED_PARTS = frozenset("aside comment comments dialog footer menu nav navigation related respond sidebar template".split())
@@ -54,7 +55,7 @@ _ARTICLE = frozenset(("article", "main"))
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("", text, "") and (name, "", attributes) of tags, "/name" of close tags, in order."""
-    at, n, last, plain, unclosed = 0, len(page), page.rfind(">"), False, set()
+    at, n, last, plain, unended, unclosed = 0, len(page), page.rfind(">"), False, False, set()
     while at < n:
         i = page.find("<", at)
         if i < 0 or i > last:  # no tag can end any more
@@ -66,6 +67,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if page.startswith("<!--", i):
             end = page.find("-->", i + 4)
             at = n if end < 0 else end + 3
+        elif not unended and page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            at, unended = (i, True) if end < 0 else (end + 3, False)
         elif nxt in ("!", "?") and nxt:
             at = page.find(">", i) + 1
         elif nxt == "/" and (m := _NAME.match(page, i + 2)):
@@ -91,6 +95,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = i + 1
 
 
+_PART_WORD = re.compile(rf"(?:{'|'.join(sorted(_PARTS, key=len, reverse=True))})(?:{'|'.join(sorted(_BOXES))})?")
+
+
+@lru_cache(65_536)
+def names_part(token: str) -> bool:
+    """Whether a class, id or role names a part: part words, and besides them only words of boxes and numbers."""
+    words = [w for w in re.split(r"[^a-z0-9]+", token[:200]) if w]
+    parts = [bool(_PART_WORD.fullmatch(w)) for w in words]
+    return any(parts) and all(p or w in _BOXES or w.isdigit() for p, w in zip(parts, words))
+
+
 def closes_itself(attributes: str) -> bool:
     return attributes.endswith("/") and not _BARE_VALUE.search(attributes[-2_000:])
 
@@ -128,7 +143,8 @@ def events(page: str) -> Iterator[tuple[str, str, str, str, int]]:
                     pop()
                 pop()
             continue
-        words = [w for found in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(found).lower()) if w] if attributes else []
+        names = [t for found in _NAMES.findall(attributes) for t in "".join(found).lower().split()] if attributes else []
+        words = [w for t in names[:1] for w in re.split(r"[^a-z0-9]+", t[:200]) if w]
         feature = f"{name}.{words[0]}" if words else name
         if name not in _INLINE:
             while stack[-1].name in ("p", "a"):  # a block ends an open paragraph or link
@@ -137,7 +153,7 @@ def events(page: str) -> Iterator[tuple[str, str, str, str, int]]:
                 pop()
         now = stack[-1]
         part, article = now.part, now.article
-        named = bool(_PARTS.intersection(words)) and not _NOT_PARTS.intersection(words) and name not in ("html", "body")
+        named = name not in ("html", "body") and any(map(names_part, names))
         if name in _ARTICLE and not named:
             if part and not _CLOSED_PARTS.intersection(re.split(r"\W", part)):
                 part = ""
@@ -169,7 +185,7 @@ def article_counts(page: str) -> Counter:
 def prior(feature: str) -> float:
     """The share in articles of a feature that no labelled page has, from its name alone."""
     names = feature.lstrip("<!/").split("/")[0].split(".")
-    if "!" in feature[:3] or names[0] in _PART_TAGS or names[-1] in _PARTS:
+    if "!" in feature[:3] or names[0] in _PART_TAGS:
         return 0.05
     if feature[:1] == "<":  # an unknown tag says little, one inside a line nothing
         return 1.0 if names[0] in _INLINE or feature[1:2] == "/" else 0.95
@@ -202,19 +218,13 @@ def extract(page: str | None, weights: dict[str, float], joint: str = "\n\n") ->
     one list of its tags and texts.
     """
     items = list(events(page or ""))
-    scores, known, part_words = [], {}, 0
+    scores, known = [], {}
     for kind, feature, value, part, _ in items:
         key = "<" + feature if kind == "tag" else feature
         if key not in known:
             known[key] = score(key, weights)
-        n = 1
-        if kind == "text":
-            n = len(value.split())
-            if part:
-                n = min(n, PART_WORDS - part_words)
-                part_words += n
-        if not part:
-            part_words = 0
+        # a part's words are left out wherever they stand, so they count neither way; its tags do
+        n = 1 if kind == "tag" else 0 if part else len(value.split())
         scores.append(n * known[key])
     start, end = best_region(scores)
     held = {items[i][4] for i in range(start, end) if items[i][0] == "text" and not items[i][3] and items[i][2].strip()} - {0}

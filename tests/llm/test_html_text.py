@@ -46,6 +46,53 @@ def test_nothing_of_an_article_is_lost():
         assert html_text.extract(page, {}) == "\n\n".join(blocks), page
 
 
+PROBES = {
+    '<div class="sidebar-layout"><div class="sidebar">links here</div><article><p>a b c</p></article></div>': ["a b c"],
+    '<div class="site-nav">x</div><article class="share-price"><p>a b c</p></article>': ["a b c"],
+    '<article><p>a b</p><section id="related-work"><p>c d</p></section><p>e f</p></article>': ["a b", "c d", "e f"],
+    '<article><p>a b</p><p class="search-algorithms">c d</p></article>': ["a b", "c d"],
+    '<article><div class="article-header"><h1>T</h1></div><p>a b</p></article>': ["T", "a b"],
+    '<article><p>a b</p><ol class="commentlist"><li>me too</li></ol></article>': ["a b"],
+    '<article><p>a b</p></article><div id="disqus_thread"><p>me too</p></div>': ["a b"],
+    '<div class="cookiebar">we use these</div><article><p>a b</p><div class="cookie-notice">and here</div></article>': ["a b"],
+    "<article><p>a b</p><![CDATA[ x > y ]]><p>c</p></article>": ["a b", "c"],
+    '<article><p>a</p><div class="related-posts">no</div><div class="ad-free">b</div><div id="comments-2">no</div></article>': ["a", "b"],
+    f"<div class=content><p>{'one two three ' * 9}</p><div class='ad-slot'>{'ad ' * 500}</div><p>{'four five ' * 9}</p></div>": [("one two three " * 9).strip(), ("four five " * 9).strip()],
+}
+
+
+def test_names_of_parts_say_no_more_than_that(spark):
+    fitted = html_text.fit_weights(spark.createDataFrame([(i, PAGE) for i in range(20)], "page_id long, html string"))
+    for weights in ({}, fitted):
+        for page, blocks in PROBES.items():
+            assert html_text.extract(page, weights) == "\n\n".join(blocks), page
+    assert html_text.extract("<![CDATA[ a <p>b" * 1000, {}).startswith("b")
+
+
+def direct_text(page, weights):
+    """The text of the best region, by trying every region of the page."""
+    items = list(html_text.events(page))
+    value = [html_text.score(("<" if k == "tag" else "") + f, weights) * (1 if k == "tag" else 0 if part else len(v.split())) for k, f, v, part, _ in items]
+    best = max(((sum(value[a:b]), -b, a) for a in range(len(items)) for b in range(a + 1, len(items) + 1)), default=(0, 0, 0))
+    start, end = (best[2], -best[1]) if best[0] > 0 else (0, 0)
+    blocks = [""]
+    for kind, _, v, part, _ in items[start:end]:
+        if kind == "text":
+            blocks[-1] += "" if part else v
+        elif v.lstrip("/") not in html_text._INLINE:
+            blocks.append("")
+    return "\n\n".join(" ".join(b.split()) for b in blocks if b.strip())
+
+
+def test_whole_pages_equal_trying_every_region():
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = [rng.choice(["<p>one two three</p>", "<div class=nav><a>x</a></div>", "<li>a b</li>", "<div class=text>c d e f</div>", "<td>t</td>", "plain words", "<b>bold</b> on", "<footer>f g</footer>"]) for _ in range(rng.randint(0, 9))]
+        page = "".join(parts)
+        weights = {"p": rng.random(), "<p": rng.random(), "div.text": rng.random()}
+        assert html_text.extract(page, weights) == direct_text(page, weights), page
+
+
 def test_best_region_is_the_first_maximum_of_all():
     rng = random.Random(1)
     for _ in range(300):
