@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import scalar
 from cinderframe.jobs import sinks
 from cinderframe.jobs.common import REC_EDGES, RECORD, fx, register
-from cinderframe.operators import geom, spatial, tiles, trail
+from cinderframe.operators import geom, quadtree, spatial, tiles, trail
 from cinderframe.sources.scratch import fresh_path, written
 
 QUERIES: dict = {}
@@ -200,6 +200,60 @@ def til2(t):
     return whole.groupBy("id").agg(F.round(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))), 2).alias("area"))
 
 
+#: The signed area of each ring inside each tile of its box, by integrating over edges: no clipping.
+INSIDE_TILE = f"""{TILED}, de as (select id, part, ring, -120e0 + x0*0.00001e0 as p0, 40e0 + y0*0.00001e0 as q0, -120e0 + x1*0.00001e0 as p1, 40e0 + y1*0.00001e0 as q1 from rec_edges),
+tb as (select id, z, x, y, x/power(2, z)*360-180 as w, (x+1)/power(2, z)*360-180 as e, degrees(atan((exp(pi()*(1-2*y/power(2, z)))-exp(-pi()*(1-2*y/power(2, z))))/2)) as n, degrees(atan((exp(pi()*(1-2*(y+1)/power(2, z)))-exp(-pi()*(1-2*(y+1)/power(2, z))))/2)) as s from t),
+ce as (select z, x, y, w, e, id, part, ring, sign(q1-q0) as d, (p1-p0)/(q1-q0) as k, greatest(s, least(q0, q1)) as lo, least(n, greatest(q0, q1)) as hi, p0, q0 from de join tb using (id) where q0 <> q1),
+xe as (select *, p0 + (lo-q0)*k as xa, p0 + (hi-q0)*k as xb from ce where lo < hi),
+ra as (select id, z, x, y, part, ring, abs(sum(d * case when abs(xb-xa) < 1e-15 then (hi-lo) * (least(e, greatest(w, xa)) - w)
+  else (hi-lo)/(xb-xa) * ((case when xb < w then 0 when xb < e then (xb-w)*(xb-w)/2 else (e-w)*(xb-w) - (e-w)*(e-w)/2 end) - (case when xa < w then 0 when xa < e then (xa-w)*(xa-w)/2 else (e-w)*(xa-w) - (e-w)*(e-w)/2 end)) end)) * 1e10 as a
+  from xe group by all),
+fa as (select id, z, x, y, sum(case when ring = 0 then a else -a end) as area from ra group by all)"""
+
+
+def pieces(t):
+    """The record's rings on all tiles of all zooms, in degrees."""
+    lon = F.transform("pts", lambda p: F.lit(-120.0) + p["x"] * 0.00001)
+    lat = F.transform("pts", lambda p: F.lit(40.0) + p["y"] * 0.00001)
+    rings = geom.closed_rings(t.edges()).withColumn("pts", F.slice("pts", 1, F.size("pts") - 1))
+    return quadtree.quadtree(rings.select("id", "part", "ring", lon.alias("xs"), lat.alias("ys")), ZOOMS)
+
+
+@query("til2_quadtree", f"{INSIDE_TILE} select cast(z as int) as z, x, y, count(*) filter (area >= 1) as fires, round(sum(area)/10000, 1) as ha from fa group by 1, 2, 3 having count(*) filter (area >= 1) > 0")
+def til2_quadtree(t):
+    """Perimeters cut down the tiles of every zoom, each piece from the one above: fires and ground on each tile."""
+    f = quadtree.tile_features(pieces(t)).withColumn("area", F.col("area") * DEGREE * DEGREE)
+    by = f.groupBy("z", "x", "y").agg(F.count_if(F.col("area") >= 1).alias("fires"), F.round(F.sum("area") / 10_000, 1).alias("ha"))
+    return by.where("fires > 0")
+
+
+def layer_rows(t, budget: int = 20_000):
+    """Rows of both layers with their geometry: cut, thinned, without what is below a pixel, severity within its budget."""
+    f = quadtree.tile_features(pieces(t)).withColumn("area", F.col("area") * DEGREE * DEGREE)
+    whole = geom.areas(t.edges()).withColumnRenamed("area", "whole")
+    kind = t.record().select("id", F.col("year").alias("fire_year"), (F.col("k") % 5 + 1).cast("int").alias("class"))
+    f = f.join(whole, "id").join(kind, "id")
+    f = written(f.where((F.col("z") == ZOOMS[1]) | (F.col("whole") >= F.pow(tiles.pixel(F.col("z")) * DEGREE, F.lit(2.0)))).drop("whole"), "layer-features")
+    one = F.lit(1).cast("long").alias("fires")
+    merged = f.select(F.lit("perimeters").alias("layer"), F.lit(0).alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
+    severity = f.select(F.lit("severity").alias("layer"), F.col("fire_year").alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
+    own = tiles.within_budget(severity, budget)
+    tail = own.where("not own").groupBy(*tiles.TILE, "class").agg(F.max("fire_year").alias("fire_year"), F.sum("area").alias("area"), F.count("*").alias("fires"))
+    # what doesn't fit keeps its ground and number by class, without an outline
+    tail = tail.select(*tiles.TILE, F.lit(None).cast("string").alias("id"), "fire_year", "class", "area", "fires", F.lit(None).cast(f.schema["geom"].dataType).alias("geom"), F.lit(40).cast("long").alias("bytes"))
+    return quadtree.tile_rows(merged.unionByName(own.where("own").drop("own")).unionByName(tail))
+
+
+@query("til5_tile_geometry", f"""{INSIDE_TILE}, {AREAS}, fg as (select f.*, r.year as fire_year, r.k % 5 + 1 as class from fa f join rec r using (id) join aa using (id) where z = 13 or aa.area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2)),
+fl as (select l.layer, case when l.layer = 'severity' then fire_year else 0 end as year, cast(z as int) as z, x, y, area from fg, (values ('perimeters'), ('severity')) l(layer) where area >= 1)
+select layer, year, z, x, y, round(sum(area)/10000, 1) as ha from fl group by 1, 2, 3, 4, 5""")
+def til5_geometry(t):
+    """Tile layers with their clipped, thinned outlines: the ground on each tile, whatever was merged or split over rows."""
+    rows = layer_rows(t).select("layer", "year", "z", "x", "y", F.explode("features").alias("f"))
+    by = rows.groupBy("layer", "year", "z", "x", "y").agg(F.round(F.sum("f.area") / 10_000, 1).alias("ha"), F.max("f.area").alias("most"))
+    return by.where("most >= 1").drop("most")
+
+
 ZOOM_RINGS = f"{RINGS.replace('pts as', 'flat as')}, zs as (select cast(unnest(range(2, 14)) as int) as z), {AREAS}, keep as (select id, z from aa, zs where z = 13 or area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2)), pts as (select f.*, z from flat f join keep using (id))"
 
 
