@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from cinderframe.functions import scalar
 from cinderframe.jobs.common import REC_CELLS, REC_EDGES, RECORD, fx, register
 from cinderframe.operators import fires as fi
-from cinderframe.operators import geom, raster, rings, spatial, verify
-from cinderframe.sources.scratch import written
+from cinderframe.operators import geom, product, raster, rings, spatial, verify
+from cinderframe.jobs import sinks
+from cinderframe.sources.scratch import fresh_path, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -244,8 +245,33 @@ def geo7(t):
 
 @query("geo8_sieved")
 def geo8(t):
-    """Burn counts after specks of fewer than 16 cells took their largest neighbour's value."""
-    return raster.sieve(raster.sweep(t.runs()), 16)
+    """Burn counts after specks of fewer than 16 cells took their largest neighbour's value, per row and count."""
+    s = raster.sieve(raster.sweep(t.runs()), 16)
+    return s.groupBy("row", "n").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"), F.min("c0").alias("c_min"), (F.max("c1") - 1).alias("c_max"))
+
+
+def product_of(t, least: int):
+    """The repeat-burn product as GeoJSON lines, read back: patches, closed outlines and acres of each count."""
+    path = fresh_path(t.spark, "repeats")
+    sinks.geojson_lines(product.repeat_patches(raster.sweep(t.runs()), least), path, ["count", "acres"])
+    schema = "type string, properties struct<count:int, acres:long>, geometry struct<type:string, coordinates:array<array<array<array<double>>>>>"
+    back = t.spark.read.schema(schema).json(path).where("type = 'Feature' and geometry.type = 'MultiPolygon'")
+    ring = F.col("geometry.coordinates")[0][0]
+    closed = (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    by = back.select("properties.*", closed.alias("closed")).groupBy("count")
+    return by.agg(F.count("*").alias("patches"), F.count_if("closed").alias("outlines"), F.sum("acres").alias("acres"))
+
+
+@query("snk1_repeats_product")
+def snk1_repeats(t):
+    """The repeat-burn download end to end: sieved counts to simplified outlines in degrees."""
+    return product_of(t, product.SIEVE)
+
+
+@query("snk1_repeats_unsieved", f"""{REGIONS} select cast(n as int) as count, count(*) as patches, count(*) as outlines, cast(sum(cast(round(cells*8100/4046.86e0) as bigint)) as bigint) as acres from reg where n >= 2 group by 1""")
+def snk1_unsieved(t):
+    """The same without the sieve, so that every patch of a count is one of the raster's."""
+    return product_of(t, 1)
 
 
 @query("geo9_patches", f"""{CORNERS} select cast(c.n as int) as n, c.cells, cast((count(*) filter (k = 1) - count(*) filter (k = 3) + 2 * count(*) filter (facing)) // 4 as bigint) as outlines_less_holes,

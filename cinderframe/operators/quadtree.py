@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,44 +52,69 @@ def cut(xy: np.ndarray, axis: int, bound: float, sign: int) -> np.ndarray:
     return np.stack((xy, meet), axis=1)[np.stack((d >= 0, cross), axis=1)]
 
 
-def flat(xy: np.ndarray) -> bool:
-    """Whether nothing is left of a ring: fewer than three points, or no extent."""
-    return len(xy) < 3 or bool((xy.max(axis=0) <= xy.min(axis=0)).any())
+def signed_area(xy: np.ndarray) -> float:
+    x, y = xy[:, 0] - xy[0, 0], xy[:, 1] - xy[0, 1]
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() + x[-1] * y[0] - x[0] * y[-1]) / 2
 
 
-def signed_area(xy: np.ndarray) -> float:
-    d = xy - xy[0]
-    return float((d[:, 0] * np.roll(d[:, 1], -1) - np.roll(d[:, 0], -1) * d[:, 1]).sum() / 2)
+class Piece(NamedTuple):
+    """A ring inside a tile, with its box and signed area; a piece that a border doesn't cut is passed on as it is."""
+
+    xy: np.ndarray
+    box: tuple[float, float, float, float]
+    area: float
+
+    @classmethod
+    def of(cls, xy: np.ndarray) -> Piece | None:
+        """None if nothing is left: fewer than three points, or no extent."""
+        if len(xy) < 3:
+            return None
+        (x0, y0), (x1, y1) = xy.min(axis=0).tolist(), xy.max(axis=0).tolist()
+        return cls(xy, (x0, y0, x1, y1), signed_area(xy)) if x0 < x1 and y0 < y1 else None
+
+    def side(self, axis: int, bound: float, sign: int) -> Piece | None:
+        """What is on one side of a line: itself, nothing, or a cut."""
+        low, high = self.box[axis], self.box[axis + 2]
+        if (low >= bound) if sign > 0 else (high <= bound):
+            return self
+        if (high <= bound) if sign > 0 else (low >= bound):
+            return None
+        return Piece.of(cut(self.xy, axis, bound, sign))
 
 
-def children(xy: np.ndarray, z: int, x: int, y: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(x, y, ring) on the tiles one zoom below that hold some of a piece."""
+def children(piece: Piece, z: int, x: int, y: int) -> Iterator[tuple[int, int, Piece]]:
+    """(x, y, piece) on the tiles one zoom below that hold some of a piece."""
     lon, lat = west(2 * x + 1, z + 1), north(2 * y + 1, z + 1)
     for dx, sx in ((0, -1), (1, 1)):
-        half = cut(xy, 0, lon, sx)
-        if flat(half):
-            continue
-        for dy, sy in ((0, 1), (1, -1)):
-            piece = cut(half, 1, lat, sy)
-            if not flat(piece):
-                yield 2 * x + dx, 2 * y + dy, piece
+        half = piece.side(0, lon, sx)
+        for dy, sy in ((0, 1), (1, -1)) if half else ():
+            part = half.side(1, lat, sy)
+            if part:
+                yield 2 * x + dx, 2 * y + dy, part
+
+
+def rows_of(found: list[tuple]) -> pd.DataFrame:
+    """Piece rows of (id, part, ring, z, x, y, Piece)."""
+    rows = [(*key, p.xy[:, 0], p.xy[:, 1], p.area) for *key, p in found]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
 
 
 def on_tiles(rings: DataFrame, z: int) -> DataFrame:
     """Pieces of rings (id, part, ring, xs, ys: open, in degrees) on the tiles of one zoom."""
     box = rings.select("*", F.array_min("xs").alias("lon0"), F.array_max("xs").alias("lon1"), F.array_min("ys").alias("lat0"), F.array_max("ys").alias("lat1"))
-    dealt = tiles_of(box, (z, z)).select("id", "part", "ring", "z", "x", "y", "xs", "ys").repartition("id", "part", "ring", "x", "y")
+    dealt = tiles_of(box, (z, z)).select("id", "part", "ring", "z", "x", "y", "xs", "ys")
+    dealt = spread(dealt, "id", "part", "ring", "x", "y")
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                xy = np.stack((r.xs, r.ys), axis=1)
+                piece = Piece.of(np.stack((r.xs, r.ys), axis=1))
                 for axis, bound, sign in ((0, west(r.x, z), 1), (0, west(r.x + 1, z), -1), (1, north(r.y + 1, z), 1), (1, north(r.y, z), -1)):
-                    xy = xy if flat(xy) else cut(xy, axis, bound, sign)
-                if not flat(xy):
-                    out.append((r.id, r.part, r.ring, r.z, r.x, r.y, xy[:, 0], xy[:, 1], signed_area(xy)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
+                    piece = piece and piece.side(axis, bound, sign)
+                if piece:
+                    out.append((r.id, r.part, r.ring, r.z, r.x, r.y, piece))
+            yield rows_of(out)
 
     return dealt.mapInPandas(run, PIECE)
 
@@ -98,16 +124,18 @@ def below(pieces: DataFrame, levels: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            todo = [(r.id, r.part, r.ring, r.z, r.x, r.y, np.stack((r.xs, r.ys), axis=1), levels) for r in b.itertuples(index=False)]
-            while todo:
-                i, part, ring, z, x, y, xy, left = todo.pop()
-                for cx, cy, piece in children(xy, z, x, y):
-                    out.append((i, part, ring, z + 1, cx, cy, piece[:, 0], piece[:, 1], signed_area(piece)))
-                    if left > 1:
-                        todo.append((i, part, ring, z + 1, cx, cy, piece, left - 1))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
-
-    return pieces.repartition("z", "x", "y", "id", "part", "ring").mapInPandas(run, PIECE)
+            todo = [(r.id, r.part, r.ring, r.z, r.x, r.y, Piece.of(np.stack((r.xs, r.ys), axis=1))) for r in b.itertuples(index=False)]
+            for _ in range(levels):
+                todo = [(i, part, ring, z + 1, cx, cy, p) for i, part, ring, z, x, y, piece in todo for cx, cy, p in children(piece, z, x, y)]
+                out += todo
+            yield rows_of(out)
+
+    return spread(pieces, "z", "x", "y", "id", "part", "ring").mapInPandas(run, PIECE)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: few bytes here are much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def quadtree(rings: DataFrame, zooms: tuple[int, int], step: int = STEP) -> DataFrame:
