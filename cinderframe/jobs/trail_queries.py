@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions import scalar
 from cinderframe.jobs import sinks
-from cinderframe.jobs.common import REC_EDGES, RECORD, fx, register
-from cinderframe.operators import geom, quadtree, spatial, tiles, trail
+from cinderframe.jobs.common import REC_CELLS, REC_EDGES, RECORD, TAGGED, fx, register
+from cinderframe.operators import fires, geom, quadtree, raster, spatial, tiles, trail
 from cinderframe.sources.scratch import fresh_path, written
 
 QUERIES: dict = {}
@@ -213,10 +213,15 @@ fa as (select id, z, x, y, sum(case when ring = 0 then a else -a end) as area fr
 
 def pieces(t):
     """The record's rings on all tiles of all zooms, in degrees."""
+    return quadtree.quadtree(degrees(t.edges()), ZOOMS)
+
+
+def degrees(edges):
+    """Open rings (id, part, ring, xs, ys) of edges in degrees, by the scale of the derived tracks."""
     lon = F.transform("pts", lambda p: F.lit(-120.0) + p["x"] * 0.00001)
     lat = F.transform("pts", lambda p: F.lit(40.0) + p["y"] * 0.00001)
-    rings = geom.closed_rings(t.edges()).withColumn("pts", F.slice("pts", 1, F.size("pts") - 1))
-    return quadtree.quadtree(rings.select("id", "part", "ring", lon.alias("xs"), lat.alias("ys")), ZOOMS)
+    rings = geom.closed_rings(edges).withColumn("pts", F.slice("pts", 1, F.size("pts") - 1))
+    return rings.select("id", "part", "ring", lon.alias("xs"), lat.alias("ys"))
 
 
 @query("til2_quadtree", f"{INSIDE_TILE} select cast(z as int) as z, x, y, count(*) filter (area >= 1) as fires, round(sum(area)/10000, 1) as ha from fa group by 1, 2, 3 having count(*) filter (area >= 1) > 0")
@@ -254,6 +259,38 @@ def til5_geometry(t):
     return by.where("most >= 1").drop("most")
 
 
+@query("jn15_stored_geometry", f"""{fx('fx_edges', 'fx_stats')}, {RECORD}, {TAGGED}, big as (select year, id, sev_ok from tagged qualify row_number() over (partition by year order by coalesce(acres, 0e0) desc, id) = 1),
+rec_edges as (select e.* from fx_edges e join big using (id)), {REC_CELLS}, inner_ as (select id, count(*) as cells from cells group by id)
+select b.year, b.id, coalesce(cells, 0) > 0 as has_perimeter, coalesce(cells, 0) > 0 and sev_ok as has_severity from big b left join inner_ using (id)""")
+def jn15_stored(t):
+    """Each year's largest fire looked for in the written tile layers, by a point inside its source outline.
+
+    The severity layer holds fires with mapped severity alone, so a year whose largest has none fails there.
+    """
+    tagged = written(t.tagged().select("id", "year", "acres", "sev_ok"), "tagged")
+    big = written(fires.largest_of_each_year(tagged).select("year", "id"), "largest")  # a row a year
+    edges = written(t.edges().join(F.broadcast(big), "id", "left_semi"), "largest-edges")
+    length = F.col("c1") - F.col("c0")
+    longest = F.max(F.struct(length.alias("len"), (-F.col("row")).alias("r"), (-F.col("c0")).alias("c"))).alias("m")
+    at = raster.rasterise(edges).groupBy("id").agg(longest)
+    middle = raster.CELL / 2
+    x = (F.floor(F.col("m.len") / 2) - F.col("m.c")) * raster.CELL + middle
+    y = -F.col("m.r") * raster.CELL + middle
+    points = written(at.select("id", (F.lit(-120.0) + x * 0.00001).alias("lon"), (F.lit(40.0) + y * 0.00001).alias("lat")), "inner-points")
+    deepest = ZOOMS[1]
+    f = quadtree.tile_features(quadtree.on_tiles(degrees(t.edges()), deepest)).join(tagged.select("id", F.col("year").alias("fire_year"), "sev_ok"), "id")
+    layer = F.explode(F.when(F.col("sev_ok"), F.array(F.lit("perimeters"), F.lit("severity"))).otherwise(F.array(F.lit("perimeters")))).alias("layer")
+    f = f.select(layer, "z", "x", "y", "id", "fire_year", "geom", "bytes").withColumn("year", F.when(F.col("layer") == "severity", F.col("fire_year")).otherwise(0))
+    path = fresh_path(t.spark, "stored-layers")
+    sinks.tile_layer(quadtree.tile_rows(f), path)
+    stored = t.spark.read.parquet(path)
+    out = big
+    for name, column in (("perimeters", "has_perimeter"), ("severity", "has_severity")):
+        found = quadtree.has_geometry(stored.where(F.col("layer") == name), points, deepest).select("id", F.col("found").alias(column))
+        out = out.join(found, "id", "left").withColumn(column, F.coalesce(column, F.lit(False)))
+    return out.select("year", "id", "has_perimeter", "has_severity")
+
+
 ZOOM_RINGS = f"{RINGS.replace('pts as', 'flat as')}, zs as (select cast(unnest(range(2, 14)) as int) as z), {AREAS}, keep as (select id, z from aa, zs where z = 13 or area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2)), pts as (select f.*, z from flat f join keep using (id))"
 
 

@@ -203,3 +203,42 @@ def tile_rows(features: DataFrame, most: int = ROW_BYTES) -> DataFrame:
     names = [c for c in features.columns if c not in TILE and c not in ("fire_year", "bytes")]
     f = F.sort_array(F.collect_list(F.struct("fire_year", *names)))
     return row_numbers(features, F.col("fire_year"), most).groupBy(*TILE, "row").agg(f.alias("features"))
+
+
+def on_pixels(points: DataFrame, z: int) -> DataFrame:
+    """Points (lon, lat, ...) with their tile (x, y) of a zoom and their place in it in pixels (px, py)."""
+    scale = 2.0**z
+    across = (F.col("lon") + 180.0) / 360.0 * scale
+    r = F.radians("lat")
+    down = (1.0 - F.log(F.tan(r) + 1.0 / F.cos(r)) / math.pi) / 2.0 * scale
+    p = points.withColumn("__a", across).withColumn("__d", down)
+    p = p.withColumn("x", F.floor("__a").cast("long")).withColumn("y", F.floor("__d").cast("long"))
+    return p.withColumn("px", (F.col("__a") - F.col("x")) * EXTENT).withColumn("py", (F.col("__d") - F.col("y")) * EXTENT).drop("__a", "__d")
+
+
+@F.pandas_udf(T.BooleanType())
+def holds(geom: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
+    """Whether a feature's rings in pixels hold a point, even-odd over all of them; no rings hold nothing."""
+    out = []
+    for rings, x, y in zip(geom, px, py):
+        inside = False
+        for r in rings if rings is not None else ():
+            a = np.asarray(r["px"], float).reshape(-1, 2)
+            b = np.roll(a, -1, 0)
+            spans = (a[:, 1] <= y) != (b[:, 1] <= y)
+            rise = np.where(spans, b[:, 1] - a[:, 1], 1.0)
+            at = a[:, 0] + (y - a[:, 1]) / rise * (b[:, 0] - a[:, 0])
+            inside ^= bool((spans & (at <= x)).sum() % 2)
+        out.append(inside)
+    return pd.Series(out, dtype=bool)
+
+
+def has_geometry(rows: DataFrame, points: DataFrame, z: int) -> DataFrame:
+    """points (id, lon, lat: inside the source's geometry) with ``found``: whether the layer's own feature of that id is there.
+
+    rows: stored tile rows of one layer. Only tiles that hold a point are looked into; ids alone are no evidence.
+    """
+    at = on_pixels(points, z)
+    f = rows.where(F.col("z") == z).join(F.broadcast(at), ["x", "y"]).withColumn("f", F.explode("features")).where("f.id = id")
+    seen = f.where(holds("f.geom", "px", "py")).select("id").distinct()
+    return points.join(seen.withColumn("found", F.lit(True)), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))

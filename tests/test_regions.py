@@ -138,3 +138,17 @@ def test_a_tile_of_very_many_features_is_many_rows_in_order(spark):
     assert sum(r["n"] for r in got) == 100_000 and len(got) >= 15 and max(r["n"] for r in got) <= 2 * 5_000
     assert all(r["a"] <= r["z"] for r in got) and all(p["z"] <= q["a"] for p, q in zip(got, got[1:]))
     assert rows.select(F.explode("features.id")).distinct().count() == 100_000
+
+
+def test_geometry_is_looked_for_in_the_stored_layer(spark, tmp_path):
+    """A layer that lacks one fire, and holds another one's outline under its tile, fails for that fire alone."""
+    square = lambda x, y, r: ([x - r, x + r, x + r, x - r], [y - r, y - r, y + r, y + r])
+    rows = [("a", 0, 0, *square(-120.0, 40.0, 0.01)), ("b", 0, 0, *square(-120.0, 40.0, 0.02)), ("c", 0, 0, *square(-110.0, 41.0, 0.005)), ("c", 0, 1, *square(-110.0, 41.0, 0.001))]
+    pieces = quadtree.on_tiles(spark.createDataFrame(rows, "id string, part int, ring int, xs array<double>, ys array<double>"), 13)
+    f = quadtree.tile_features(pieces).where("id <> 'a'").select(F.lit("perimeters").alias("layer"), F.lit(0).alias("year"), "z", "x", "y", "id", F.lit(1999).alias("fire_year"), "geom", "bytes")
+    quadtree.tile_rows(f).write.partitionBy("layer", "year", "z").parquet(f"{tmp_path}/layer")
+    points = spark.createDataFrame([("a", -120.0, 40.0), ("b", -120.0, 40.0), ("c", -110.003, 41.0), ("d", 0.0, 0.0)], "id string, lon double, lat double")
+    stored = spark.read.parquet(f"{tmp_path}/layer")
+    assert {r["id"]: r["found"] for r in quadtree.has_geometry(stored, points, 13).collect()} == {"a": False, "b": True, "c": True, "d": False}
+    hole = spark.createDataFrame([("c", -110.0, 41.0)], "id string, lon double, lat double")
+    assert not quadtree.has_geometry(stored, hole, 13).first()["found"]
