@@ -10,7 +10,7 @@ from cinderframe.jobs import sinks
 from cinderframe.jobs.common import RECORD, fx, register
 from cinderframe.operators import fires as fi
 from cinderframe.operators import geom
-from cinderframe.sources import files
+from cinderframe.sources import files, published
 from cinderframe.sources.scratch import fresh_path
 
 QUERIES: dict = {}
@@ -139,6 +139,19 @@ def snk6(t):
     return p.join(n, "year", "left").select("year", "fires", F.coalesce("stats", F.lit(0)).alias("stats"))
 
 
+@query("snk6_published_years", f"{fx('fx_fires')}, {RECORD} select year, count(*) as fires, sum(k) as keys, cast(case when year = 1997 then 3 when year < 1998 then 1 else 2 end as int) as version from rec group by year")
+def snk6_published(t):
+    """Years published in three commits with a writer that broke off between: readers see the last of each year, whole."""
+    path, rec = fresh_path(t.spark, "published"), t.record().select("id", "k", "year")
+    published.publish(rec.where("year < 1998"), path)
+    published.publish(rec.where("year >= 1998"), path)
+    published.staged(rec.where("year = 1996"), path)  # written aside, never named
+    published.publish(rec.where("year = 1997"), path)
+    version = [(y, v["version"]) for y, v in published.manifest(t.spark, path)[1].items()]  # a row a year
+    by = published.read(t.spark, path).groupBy("year").agg(F.count("*").alias("fires"), F.sum("k").alias("keys"))
+    return by.join(F.broadcast(t.spark.createDataFrame(version, "year int, version int")), "year")
+
+
 @query("fn5_rounded_coordinates", f"""{fx('fx_edges')}, {RECORD}, m as (select e.id, part, ring, seq, x0 as a, y0 as b from fx_edges e join rec using (id)),
 r as (select *, a // 10 + case when a % 10 > 5 then 1 when a % 10 = 5 then (a // 10) % 2 else 0 end as p, b // 10 + case when b % 10 > 5 then 1 when b % 10 = 5 then (b // 10) % 2 else 0 end as q from m)
 select id, part, ring, seq, (p - 1200000) / 1e4 as x, (q + 400000) / 1e4 as y from r""")
