@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import scalar
 from cinderframe.jobs.common import REC_CELLS, REC_EDGES, RECORD, fx, register
 from cinderframe.operators import fires as fi
-from cinderframe.operators import geom, product, raster, rings, spatial, verify
+from cinderframe.operators import geom, increments, product, raster, rings, spatial, verify
 from cinderframe.jobs import sinks
 from cinderframe.sources.scratch import fresh_path, written
 
@@ -74,6 +74,18 @@ def agg4(t):
     return raster.sweep(t.runs()).groupBy("row", "n").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"), F.min("c0").alias("c_min"), (F.max("c1") - 1).alias("c_max"))
 
 
+@query("agg4_changed_counts", f"{CELLS}, counts as (select row, col, count(*) as n from cells join rec using (id) where year <> 1997 group by 1, 2) select row, cast(n as int) as n, count(*) as cells, min(col) as c_min, max(col) as c_max from counts group by 1, 2")
+def agg4_changed(t):
+    """Burn counts built up year by year and one year taken out again, by bands of rows that the years meet."""
+    path, runs = fresh_path(t.spark, "counts"), written(t.runs().join(t.record().select("id", "year"), "id"), "year-runs")
+    increments.change(runs.where("year <= 1998"), path)
+    increments.change(runs.where("year = 1999"), path)
+    increments.change(runs.where("year = 1997"), path, -1)
+    increments.change(runs.where("year >= 2000"), path)
+    found = increments.counts(t.spark, path)
+    return found.groupBy("row", "n").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"), F.min("c0").alias("c_min"), (F.max("c1") - 1).alias("c_max"))
+
+
 @query("agg5_acres_per_count", f"{REGIONS} select cast(n as int) as n, count(*) as patches, cast(sum(cells) as bigint) as cells, cast(round(sum(cells)*8100/4046.86e0) as bigint) as acres from reg group by 1")
 def agg5(t):
     """Patches, cells and acres of each burn count."""

@@ -51,6 +51,14 @@ def sweep(runs: DataFrame, **flags: Column) -> DataFrame:
     return out.where("n > 0")
 
 
+def counted(differences: DataFrame) -> DataFrame:
+    """(row, c0, c1, n) of differences (row, col, d): how much the count changes at a column."""
+    along = W.partitionBy("row").orderBy("col")
+    upto = along.rowsBetween(W.unboundedPreceding, 0)
+    out = differences.select("row", F.col("col").alias("c0"), F.lead("col").over(along).alias("c1"), F.sum("d").over(upto).cast("int").alias("n"))
+    return out.where("n > 0")
+
+
 def cells(by: str, runs: DataFrame) -> DataFrame:
     return runs.groupBy(by).agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
 

@@ -47,15 +47,15 @@ def manifest(spark: SparkSession, path: str, number: int | None = None) -> tuple
     return number, {int(y): v for y, v in json.loads(text).items()}
 
 
-def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
-    """The years that a manifest names, each with its ``year``; None if nothing is published."""
-    years = manifest(spark, path, number)[1]
+def read(spark: SparkSession, path: str, number: int | None = None, by: str = "year", only: set[int] | None = None) -> DataFrame | None:
+    """The years that a manifest names (or those of them in ``only``), each with its ``year``; None if there are none."""
+    years = {y: v for y, v in manifest(spark, path, number)[1].items() if only is None or y in only}
     parts: dict[str, list[int]] = {}
     for y, v in years.items():
         parts.setdefault(v["folder"], []).append(y)
     out = None
     for folder, own in sorted(parts.items()):
-        part = spark.read.parquet(f"{path}/data/{folder}").where(F.col("year").isin(own))
+        part = spark.read.parquet(f"{path}/data/{folder}").where(F.col(by).isin(own))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -81,28 +81,30 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
-def staged(df: DataFrame, path: str) -> tuple[str, dict[int, int]]:
+def staged(df: DataFrame, path: str, by: str = "year") -> tuple[str, dict[int, int]]:
     """(folder, rows of each year) of df written aside and read back; Rejected if rows got lost on the way."""
     spark, folder, seen = df.sparkSession, uuid.uuid4().hex, Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("year").parquet(f"{path}/data/{folder}")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(by).parquet(f"{path}/data/{folder}")
     rows = {}
     if seen.get["n"]:
-        back = spark.read.parquet(f"{path}/data/{folder}").groupBy("year").count().collect()  # a row a year
-        rows = {int(r["year"]): r["count"] for r in back if r["year"] is not None}
+        back = spark.read.parquet(f"{path}/data/{folder}").groupBy(by).count().collect()  # a row a year
+        rows = {int(r[by]): r["count"] for r in back if r[by] is not None}
     if sum(rows.values()) != seen.get["n"]:
         raise Rejected(f"{seen.get['n']} rows written, {sum(rows.values())} found in years")
     return folder, rows
 
 
-def publish(df: DataFrame, path: str, years: list[int] | None = None, audit: Callable[[DataFrame], str | None] | None = None, staged_hook: Callable[[], None] | None = None) -> int:
+def publish(df: DataFrame, path: str, years: list[int] | None = None, audit: Callable[[DataFrame], str | None] | None = None, staged_hook: Callable[[], None] | None = None, by: str = "year", base: int | None = None) -> int:
     """Publish df's years (and empty ``years``, which are then gone) as the next manifest; its number.
 
+    ``by``: the column of whole numbers that takes the part of the year. ``base``: the manifest that df was
+    made from, if from one; else the latest when this call begins.
     ``audit`` looks at what was written and names a problem, or None. A year that another writer published
     since this call began is a Conflict, other years of other writers stay. Nothing is visible until the end.
     """
     spark = df.sparkSession
-    before = manifest(spark, path)[1]
-    folder, rows = staged(df, path)
+    before = manifest(spark, path, base)[1]
+    folder, rows = staged(df, path, by)
     problem = audit(spark.read.parquet(f"{path}/data/{folder}")) if audit and rows else None
     if problem:
         raise Rejected(problem)
