@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderframe.functions import scalar
+from cinderframe.jobs import sinks
 from cinderframe.jobs.common import FIRST, LAST, RECORD, TAGGED, _STATES, fx, register
 from cinderframe.operators import fires as fi
 from cinderframe.operators import geom, verify
@@ -200,7 +201,7 @@ def snk7(t):
     """A year's stats merged into the cumulative ones: the new win per fire."""
     old = t("fx_stats")
     new = old.where(F.substring("id", 12, 1).isin("0", "5")).withColumn("px", F.col("px") * 2)
-    return new.withColumn("origin", F.lit("new")).unionByName(old.join(new.select("id").distinct(), "id", "left_anti").withColumn("origin", F.lit("old")))
+    return sinks.merged(old.withColumn("origin", F.lit("old")), new.withColumn("origin", F.lit("new")))
 
 
 @query("set1_merged_years", f"{fx('fx_fires')}, {RECORD} select year, count(*) as fires, count(distinct id) as ids from rec group by year")

@@ -158,12 +158,14 @@ def til4(t):
 
 
 def layers(t):
-    """Tile rows of both layers, without what is smaller than a pixel above the deepest zoom."""
-    return tiles.assembled(tiles.visible(features(t), ZOOMS[1], DEGREE))
+    """Tile rows of both layers, without what is smaller than a pixel above the deepest zoom; of about 4 MB each."""
+    f = tiles.visible(features(t), ZOOMS[1], DEGREE)
+    return quadtree.tile_rows(f.select(*tiles.TILE, "id", "fire_year", "nv", "bytes"))
 
 
 @query("til5_assembled_tiles", f"{VISIBLE} select layer, year, z, x, y, string_agg(cast(fire_year as varchar) || ':' || id || ':' || cast(nv as varchar), ',' order by fire_year, id) as features from fv group by 1, 2, 3, 4, 5")
 def til5(t):
+    """Tiles with their fires, oldest first; a tile of over 4 MB has several rows."""
     text = F.array_join(F.transform("features", lambda f: F.concat_ws(":", f["fire_year"].cast("string"), f["id"], f["nv"].cast("string"))), ",")
     return layers(t).select("layer", "year", "z", "x", "y", text.alias("features"))
 
@@ -173,8 +175,9 @@ def snk5(t):
     """Tile layers written by layer, year and zoom, and read back."""
     path = fresh_path(t.spark, "tiles")
     sinks.tile_layer(layers(t), path)
-    rows = t.spark.read.parquet(path).select("layer", "year", "z", F.size("features").alias("n"), F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f["nv"]).alias("nv"))
-    return rows.groupBy("layer", "year", "z").agg(F.count("*").alias("tiles"), F.sum("n").alias("features"), F.sum("nv").alias("vertices"))
+    rows = t.spark.read.parquet(path).select("layer", "year", "z", "row", F.size("features").alias("n"), F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f["nv"]).alias("nv"))
+    # a tile has one row numbered 0
+    return rows.groupBy("layer", "year", "z").agg(F.count_if(F.col("row") == 0).alias("tiles"), F.sum("n").alias("features"), F.sum("nv").alias("vertices"))
 
 
 @query("agg10_tile_inventory", f"{VISIBLE}, d as (select fire_year, id, sum(nv) as nv from fv where z = 13 and layer = 'perimeters' group by 1, 2) select fire_year as year, count(*) as ids, cast(sum(nv) as bigint) as vertices from d group by 1")

@@ -104,17 +104,8 @@ def merged_tail(features: DataFrame, budget: int) -> DataFrame:
     return kept.unionByName(tail.select(*TILE, F.lit(None).cast("string").alias("id"), "class", "area", "parts"))
 
 
-def assembled(features: DataFrame) -> DataFrame:
-    """A row per tile of a layer and year: its features, oldest fire first, then id.
-
-    Take visible() ones: a tile then holds at most what its pixels show.
-    """
-    f = F.sort_array(F.collect_list(F.struct("fire_year", "id", "nv")))
-    return features.groupBy(*TILE).agg(f.alias("features"))
-
-
 def inventory(tiles: DataFrame) -> DataFrame:
-    """(year, ids, vertices) of the deepest zoom."""
+    """(year, ids, vertices) of the deepest zoom of tile rows."""
     deepest = F.broadcast(tiles.agg(F.max("z").alias("z")))
     f = tiles.join(deepest, "z").select(F.explode("features").alias("f")).select(F.col("f.fire_year").alias("year"), "f.id", "f.nv")
     per_id = f.groupBy("year", "id").agg(F.sum("nv").alias("nv"))
