@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -33,15 +34,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_OPEN: list[list[str]] = []
+#: Paths written in the open blocks of each thread, so that queries in two threads keep apart.
+_BLOCKS = threading.local()
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_BLOCKS, "paths"):
+        _BLOCKS.paths = []
+    return _BLOCKS.paths
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the scratch folder."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,20 +59,21 @@ def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], D
 
     What leaves the block must not read the deleted ones. An error leaves all of them where they are.
     """
-    _OPEN.append([])
+    blocks = _open()
+    blocks.append([])
 
     def stays(df: DataFrame, name: str) -> DataFrame:
-        own = _OPEN.pop()
+        own = blocks.pop()
         try:
             return written(df, name)
         finally:
-            _OPEN.append(own)
+            blocks.append(own)
 
     try:
         yield stays
     except BaseException:
-        _OPEN.pop()
+        blocks.pop()
         raise
-    for path in _OPEN.pop():
+    for path in blocks.pop():
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

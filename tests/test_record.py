@@ -51,3 +51,26 @@ def test_entry(spark):
 
     last = __spark_entry__.entry(spark).orderBy("year").collect()[-1]
     assert last["fires_to"] == 911
+
+
+def test_tables_of_two_threads_keep_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from cinderframe.sources.scratch import passing_tables, written
+
+    both = Barrier(2, timeout=120)
+
+    def work(n):
+        with passing_tables(spark) as stays:
+            passing = written(spark.range(n), "passing")
+            both.wait()
+            kept = stays(passing, "kept")
+            if n == 2:
+                both.wait()  # the other one's block has ended and deleted its own tables
+                return kept.count() + passing.count()
+        both.wait()
+        return kept.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(work, (2, 3))) == [3, 4]
