@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinderframe.operators.labels import BLOCK, ROW
@@ -24,41 +23,69 @@ PATHS = 500_000
 EAST, NORTH, WEST, SOUTH = range(4)
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Runs (comp, row, c0, c1) of a patch that touch in a row, as one."""
-    along = W.partitionBy("comp", "row").orderBy("c0")
-    first = F.coalesce(F.col("c0") > F.lag("c1").over(along), F.lit(True)).cast("int")
-    parts = runs.withColumn("first", first).withColumn("part", F.sum("first").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    return parts.groupBy("comp", "row", "part").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("part")
+def in_blocks(runs: DataFrame, block: int) -> DataFrame:
+    """Runs (comp, row, c0, c1) cut at block borders, each in its block (by, bx) and, as ``halo``, where its sides are another's.
+
+    A block owns the sides on its own left and lower lines: a run that ends at a block's right border is also
+    in the block to the right, and one in its last row also in the block above.
+    """
+    across = F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor((F.col("c1") - 1) / block))).alias("bx")
+    cut = runs.select("comp", "row", F.col("c0").alias("a"), F.col("c1").alias("z"), F.floor(F.col("row") / block).alias("by"), across)
+    cut = cut.select("by", "bx", "comp", "row", F.greatest("a", F.col("bx") * block).alias("c0"), F.least("z", (F.col("bx") + 1) * block).alias("c1"))
+    place = lambda up, right, halo: F.struct((F.col("by") + up).alias("by"), (F.col("bx") + right).alias("bx"), F.lit(halo).alias("halo"))
+    right = F.when(F.col("c1") == (F.col("bx") + 1) * block, place(0, 1, 1))
+    up = F.when(F.pmod(F.col("row") + 1, F.lit(block)) == 0, place(1, 0, 2))
+    places = F.explode(F.array_compact(F.array(place(0, 0, 0), right, up))).alias("p")
+    return cut.select("comp", "row", "c0", "c1", places).select("p.by", "p.bx", "p.halo", "comp", "row", "c0", "c1")
 
 
-def sides(runs: DataFrame) -> DataFrame:
-    """(comp, x0, y0, x1, y1, d): the directed sides of patches (comp, row, c0, c1; merged), in cells.
+def block_sides(part: pd.DataFrame, block: int) -> pd.DataFrame:
+    """(comp, s, x0, y0, x1, y1, d): the directed sides that one block owns, of runs in_blocks().
 
     Upright sides are a row high; level ones run along a line between two rows while just one of them is
     the patch's.
     """
-    def upright(c: str, d: int) -> DataFrame:
-        low, high = F.col("row"), F.col("row") + 1
-        return runs.select("comp", F.col(c).alias("x0"), (low if d == NORTH else high).alias("y0"), F.col(c).alias("x1"), (high if d == NORTH else low).alias("y1"), F.lit(d).alias("d"))
-
-    def end(c: str, up: int, above: bool) -> DataFrame:
-        y = F.col("row") if above else F.col("row") + 1
-        return runs.select("comp", y.alias("y"), F.col(c).alias("x"), F.lit(up if above else 0).alias("a"), F.lit(0 if above else up).alias("b"))
-
-    ends = end("c0", 1, True).unionByName(end("c1", -1, True)).unionByName(end("c0", 1, False)).unionByName(end("c1", -1, False))
-    at = ends.groupBy("comp", "y", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    along = W.partitionBy("comp", "y").orderBy("x")
-    upto = along.rowsBetween(W.unboundedPreceding, 0)
-    level = at.select("comp", "y", "x", F.lead("x").over(along).alias("to"), F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b")).where("a <> b")
-    east = F.col("a") == 1
-    level = level.select("comp", F.when(east, F.col("x")).otherwise(F.col("to")).alias("x0"), F.col("y").alias("y0"), F.when(east, F.col("to")).otherwise(F.col("x")).alias("x1"), F.col("y").alias("y1"), F.when(east, EAST).otherwise(WEST).alias("d"))
-    return upright("c1", NORTH).unionByName(upright("c0", SOUTH)).unionByName(level)
+    halo, comp, row, c0, c1 = (part[c].to_numpy(np.int64) for c in ("halo", "comp", "row", "c0", "c1"))
+    size, right = len(part), (part["bx"].to_numpy(np.int64) + 1) * block
+    top = (part["by"].to_numpy(np.int64) + 1) * block
+    # upright: both ends of the block's own runs, and the ends that came from the left; equal ends of a patch meet
+    own, left = halo == 0, halo == 1
+    end_x = np.concatenate((c0[own], c1[own & (c1 < right)], c1[left]))
+    at = np.concatenate((np.flatnonzero(own), np.flatnonzero(own & (c1 < right)), np.flatnonzero(left)))
+    north = np.concatenate((np.zeros(int(own.sum()), bool), np.ones(len(at) - int(own.sum()), bool)))
+    order = np.lexsort((end_x, row[at], comp[at]))
+    at, end_x, north = at[order], end_x[order], north[order]
+    twin = (np.diff(end_x) == 0) & (np.diff(row[at]) == 0) & (np.diff(comp[at]) == 0) if len(at) else np.zeros(0, bool)
+    alone = ~(np.append(twin, False) | np.insert(twin, 0, False))[: len(at)]
+    at, end_x, north = at[alone], end_x[alone], north[alone]
+    y = row[at]
+    upright = np.stack((comp[at], end_x, np.where(north, y, y + 1), end_x, np.where(north, y + 1, y), np.where(north, NORTH, SOUTH)), axis=1)
+    # level: ends of the runs over and under each line, summed along it
+    over, under = np.flatnonzero(own), np.flatnonzero((own & (row + 1 < top)) | (halo == 2))
+    line = np.concatenate((row[over], row[over], row[under] + 1, row[under] + 1))
+    who = np.concatenate((comp[over], comp[over], comp[under], comp[under]))
+    x = np.concatenate((c0[over], c1[over], c0[under], c1[under]))
+    a = np.repeat([1, -1, 0, 0], (len(over), len(over), len(under), len(under)))
+    b = np.repeat([0, 0, 1, -1], (len(over), len(over), len(under), len(under)))
+    order = np.lexsort((x, who, line))
+    line, who, x, a, b = line[order], who[order], x[order], np.cumsum(a[order]), np.cumsum(b[order])
+    stretch = np.flatnonzero((np.diff(x) > 0) & (np.diff(who) == 0) & (np.diff(line) == 0) & (a[:-1] != b[:-1])) if len(x) else np.zeros(0, int)
+    # stretches that go on with the same side up are one
+    east = a[stretch] > b[stretch]
+    x0, x1, y = x[stretch], x[stretch + 1], line[stretch]
+    more = (x1[:-1] == x0[1:]) & (y[:-1] == y[1:]) & (who[stretch][:-1] == who[stretch][1:]) & (east[:-1] == east[1:]) if len(stretch) else np.zeros(0, bool)
+    first = np.flatnonzero(~np.insert(more, 0, False)) if len(stretch) else np.zeros(0, int)
+    last = np.append(first[1:], len(stretch)) - 1 if len(stretch) else first
+    x0, x1, y, east, who = x0[first], x1[last], y[first], east[first], who[stretch][first]
+    level = np.stack((who, np.where(east, x0, x1), y, np.where(east, x1, x0), y, np.where(east, EAST, WEST)), axis=1)
+    out = pd.DataFrame(np.concatenate((upright, level)) if size else np.zeros((0, 6), np.int64), columns=["comp", "x0", "y0", "x1", "y1", "d"])
+    out.insert(1, "s", side_key(out["x0"], out["y0"], out["d"]))
+    return out
 
 
 def side_key(x, y, d):
     """A side's number: where it starts and its direction, which no two sides share."""
-    return (y * F.lit(ROW) + x) * 4 + d
+    return (y * ROW + x) * 4 + d
 
 
 def chained(part: pd.DataFrame, block: int) -> pd.DataFrame:
@@ -71,7 +98,7 @@ def chained(part: pd.DataFrame, block: int) -> pd.DataFrame:
     v = {c: part[c].to_numpy(np.int64) for c in ("comp", "s", "x0", "y0", "x1", "y1", "d")}
     n = len(part)
     _, comp = np.unique(v["comp"], return_inverse=True)
-    inside = (v["x1"] // block == v["x0"] // block) & (v["y1"] // block == v["y0"] // block)
+    inside = (v["x1"] % block != 0) & (v["y1"] % block != 0)  # a corner on a border line may be another block's too
     start = (comp * block + v["y0"] % block) * block + v["x0"] % block
     order = np.argsort(start, kind="stable")
     end = (comp * block + v["y1"] % block) * block + v["x1"] % block
@@ -190,10 +217,9 @@ def rings(runs: DataFrame, block: int = BLOCK, most: int = PATHS) -> DataFrame:
     ring is the number of its lowest, then leftmost side, and pos grows along the ring. Sides become paths
     inside their raster block; a ring that leaves its block is then a list of paths, ranked by contraction.
     """
-    s = sides(merged(runs)).withColumn("s", side_key(F.col("x0"), F.col("y0"), F.col("d")))
-    dealt = s.groupBy(F.floor(F.col("y0") / block).alias("by"), F.floor(F.col("x0") / block).alias("bx"))
+    dealt = in_blocks(runs, block).groupBy("by", "bx")
     schema = "comp long, head long, i long, corner boolean, x long, y long, d int, ends boolean, closed boolean, length long, least long, off long"
-    chain = written(dealt.applyInPandas(lambda p: chained(p, block), schema), "side-paths")
+    chain = written(dealt.applyInPandas(lambda p: chained(block_sides(p, block), block), schema), "side-paths")
     whole = chain.where("closed and corner").select("comp", F.col("least").alias("ring"), F.col("i").alias("pos"), "x", "y")
     last = chain.where("ends and not closed")
     heads = chain.where("i = 0 and not closed").select("comp", F.col("head").alias("t"))
