@@ -373,7 +373,8 @@ def likely(a: str, b: str, similarity: float) -> Column:
     """Whether two sets (structs n, c0, c1) may be that similar, by their sizes and SimHash codes.
 
     Sets at 0.8 or more differ in 0.152 of their bits on average, so in 19 of 128, with a
-    deviation of 4; ``FAR_BITS`` is six deviations on. Small sets' codes say less and are not asked.
+    deviation of 4; ``FAR_BITS`` is six deviations on (for sets of equal size at 0.8 the binomial tail beyond
+    it is 1.9e-8, so about one such pair in 5 x 10^7 is lost). Small sets' codes say less and are not asked.
     """
     def of(c: str) -> tuple[Column, Column]:
         return F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
@@ -394,7 +395,7 @@ def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFr
 def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity.
 
-    Every pair of that similarity is linked or has both ends in one component of the links, and every
+    Every pair of that similarity that likely() lets pass is linked or has both ends in one component, and every
     link is checked on the texts. Sets that share a prefix shingle are a group. In a small group all
     pairs are candidates. In a large one each member first meets a few: near copies are then one
     component, and such a group is done. Where a large group still has several components, its shingle
