@@ -14,7 +14,7 @@ stay linear in the points however dense a cluster is. The sample only shapes the
 lost, whatever it held.
 
 The pipeline links texts by the exact Jaccard similarity of their distinct shingles instead
-(``similar_pairs``): candidates by a prefix join, thinned by 128-bit SimHash codes, then compared.
+(``similar_pairs``): candidates by a prefix join, thinned by a bound of their parity bits, then compared.
 
 Components. Links of distinct fingerprints (few) go through the star contraction of
 ``operators.graph``, each round written to the shared folder.
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from cinderframe.operators.graph import components
 
-from .binary import mix64 as _mix
 from .common import held, join_small, nullable, passing_tables, read_table, short_batches, small, whole_ids, written
 
 SHINGLE = 3
@@ -46,10 +45,10 @@ LEAF = 256
 GROUP, ROUNDS = 32, 2
 #: Sets of a larger group that all others are compared with first.
 HUBS = 8
-#: Differing bits of 128 beyond which sets are not similar, and the size below which sets are not asked for them.
-FAR_BITS, SMALL_SET = 44, 64
-#: Sets of a large group that are compared in one part, and rows of slim tables that may be broadcast.
-PART, BROADCAST_SETS = 128, 2_000_000
+#: Words of 64 parity bits that are kept of a set.
+PARITY_WORDS = 16
+#: Sets of a large group that are compared in one part, rows of slim tables that may be broadcast, and of tables with parity bits (some 200 bytes).
+PART, BROADCAST_SETS, BROADCAST_PARITIES = 128, 2_000_000, 200_000
 #: Fingerprints that one task routes through the tree.
 ROUTED = 16_384
 
@@ -225,20 +224,13 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, least: i
     return tok[at], heat[at] * max(1.0, n / sample)
 
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    """A second hash of a hash."""
-    return _mix(h, 5)
+def parities(h: np.ndarray) -> np.ndarray:
+    """Parity bits of a set of shingle hashes, as int64 words: bit i tells whether an odd number of them falls in bucket i.
 
-
-def set_code(h: np.ndarray) -> tuple[int, int]:
-    """The 128-bit SimHash of a set of shingle hashes, as two int64; 0 of an empty set."""
-    if not len(h):
-        return 0, 0
-    both = np.stack((h, mix64(h)), axis=1).view(np.uint8)
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(both), 65536):
-        ones += np.unpackbits(both[i : i + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist())
+    Two sets' bits differ at most in as many places as there are hashes in only one of the sets.
+    """
+    odd = np.bincount((h % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def prefix_of(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
@@ -252,10 +244,10 @@ def prefix_of(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: f
 
 
 def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, h, row, fp, n, c0, c1, toks) per row of docs.
+    """(doc_id, h, row, fp, n, odd, toks) per row of docs.
 
     h is a hash of the text, row a number of its own (fixed once this is written), fp a hash of the
-    shingle set, n its size, c0 and c1 its SimHash and toks its prefix. Two sets of that Jaccard
+    shingle set, n its size, odd its parity bits and toks its prefix. Two sets of that Jaccard
     similarity share a prefix shingle, whatever the order; rare ones first keeps those that share one few.
     """
     short_batches(docs.sparkSession)
@@ -266,16 +258,15 @@ def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tup
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             sets = [hashes(t, shingle) for t in b["text"]]
-            codes = [set_code(h) for h in sets]
             yield pd.DataFrame({
                 "doc_id": nullable(b["doc_id"], b["no_id"]), "h": b["h"], "row": np.arange(row, row + len(b)),
                 "fp": [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64) for h in sets], "n": [len(h) for h in sets],
-                "c0": [c[0] for c in codes], "c1": [c[1] for c in codes], "toks": [prefix_of(h, shared.value, similarity).view(np.int64) for h in sets],
+                "odd": [parities(h) for h in sets], "toks": [prefix_of(h, shared.value, similarity).view(np.int64) for h in sets],
             })
             row += len(b)
 
     read = docs.select(*whole_ids(), F.xxhash64("text").alias("h"), "text")
-    return read.mapInPandas(run, "doc_id long, h long, row long, fp long, n long, c0 long, c1 long, toks array<long>")
+    return read.mapInPandas(run, "doc_id long, h long, row long, fp long, n long, odd array<long>, toks array<long>")
 
 
 def new_prefixes(texts: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -370,33 +361,32 @@ def candidate_pairs(groups: DataFrame, seed: int) -> DataFrame:
 
 
 def likely(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets (structs n, c0, c1) may be that similar, by their sizes and SimHash codes.
+    """Whether two sets (structs n, w0, w1, ...) may be that similar, by their sizes and parity bits; True of all that are.
 
-    Sets at 0.8 or more differ in 0.152 of their bits on average, so in 19 of 128, with a
-    deviation of 4; ``FAR_BITS`` is six deviations on (for sets of equal size at 0.8 the binomial tail beyond
-    it is 1.9e-8, so about one such pair in 5 x 10^7 is lost). Small sets' codes say less and are not asked.
+    A Jaccard similarity s of sets of n and m shingles leaves at most (n + m)(1 - s)/(1 + s) in only one of
+    them, and no more parity bits can differ. Sets of many times more shingles than bits nearly always pass.
     """
     def of(c: str) -> tuple[Column, Column]:
         return F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
 
-    bits = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in (of("c0"), of("c1")))
+    bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in (of(f"w{i}") for i in range(PARITY_WORDS))), F.lit(0))
     n, m = of("n")
     size = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    return size & ((F.least(n, m) < SMALL_SET) | (bits <= FAR_BITS))
+    return size & (bits <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, part) that likely() lets pass; slim: (fp, s)."""
     one, two = (slim.select(F.col("fp").alias(k), F.col("s").alias(f"s_{k}")) for k in ("a", "b"))
-    both = join_small(join_small(pairs, one, "a", "inner", BROADCAST_SETS), two, "b", "inner", BROADCAST_SETS)
+    both = join_small(join_small(pairs, one, "a", "inner", BROADCAST_PARITIES), two, "b", "inner", BROADCAST_PARITIES)
     return both.where(likely("s_a", "s_b", similarity)).select("a", "b", "part")
 
 
 def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity.
 
-    Every pair of that similarity that likely() lets pass is linked or has both ends in one component, and every
-    link is checked on the texts. Sets that share a prefix shingle are a group. In a small group all
+    Every pair of that similarity is linked or has both ends in one component, and every link is checked on
+    the texts. Sets that share a prefix shingle are a group. In a small group all
     pairs are candidates. In a large one each member first meets a few: near copies are then one
     component, and such a group is done. Where a large group still has several components, its shingle
     is a common one: its members get new prefixes that take such shingles last, in which similar sets
@@ -406,7 +396,7 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
     """
     firsts = written(rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row")), "set-rows")
     sets = join_small(rows, firsts.select("row"), "row", "left_semi", BROADCAST_SETS)
-    slim = written(sets.select("fp", F.struct("n", "c0", "c1").alias("s")), "set-codes")
+    slim = written(sets.select("fp", F.struct("n", *[F.col("odd")[i].alias(f"w{i}") for i in range(PARITY_WORDS)]).alias("s")), "set-parities")
     deal, links, done = sets.select("fp", F.explode("toks").alias("tok")), None, None
     for round_ in range(ROUNDS):
         groups, same = prefix_groups(deal)
@@ -429,8 +419,8 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
             deal = written(new_prefixes(texts_of(met, rows, docs), similarity, shingle, order), "new-prefixes")
     # of two members of different components, one is outside the group's largest
     by = mixed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.sum("count").alias("n"))
-    coded = join_small(mixed, slim, "fp", "inner", BROADCAST_SETS).join(by, "tok")
-    coded = written(coded.withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(2 * F.col("n") / PART))), "mixed-codes")
+    coded = join_small(mixed, slim, "fp", "inner", BROADCAST_PARITIES).join(by, "tok")
+    coded = written(coded.withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(2 * F.col("n") / PART))), "mixed-parities")
     x = coded.where("root <> most").select(F.col("tok").alias("t_x"), F.col("fp").alias("x"), F.col("root").alias("r_x"), F.col("s").alias("s_x"), F.col("block").alias("b_x"))
     y = coded.select("tok", F.col("fp").alias("y"), F.col("root").alias("r_y"), F.col("s").alias("s_y"), F.col("block").alias("b_y"))
     rest = x.join(y, (F.col("t_x") == F.col("tok")) & (F.col("r_x") != F.col("r_y")) & likely("s_x", "s_y", similarity))

@@ -129,6 +129,29 @@ def test_pipeline_is_its_stages_one_by_one(spark, rows, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mix_sources", "token_ids"]
 
 
+def test_parity_bits_let_every_similar_pair_pass(spark):
+    """Pairs at and around the limit, of sets with fewer and many more shingles than bits."""
+    rng = np.random.default_rng(5)
+    data, alike = [], []
+    for n in (1, 2, 5, 9, 40, 200, 900, 5000, 60000):
+        for share in (0.0, 0.3, 0.6, 0.75, 0.79, 0.8, 0.801, 0.85, 0.95, 1.0):
+            for _ in range(4):
+                whole = np.unique(rng.integers(0, 2**63, 2 * n + 4, dtype=np.uint64))
+                both = round(share * n)
+                only = n - both if rng.random() < 0.5 else 2 * (n - both)
+                a = whole[:n]
+                b = np.concatenate((whole[:both], whole[n : n + only])) if rng.random() < 0.5 else whole[: max(1, both)]
+                j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+                alike.append(j)
+                data.append((len(alike) - 1, *[(len(h), *map(int, simhash.parities(h))) for h in (a, b)]))
+    of = "struct<n: long, " + ", ".join(f"w{i}: long" for i in range(simhash.PARITY_WORDS)) + ">"
+    pairs = spark.createDataFrame(data, f"i int, a {of}, b {of}")
+    passed = {r["i"] for r in pairs.where(simhash.likely("a", "b", 0.8)).select("i").collect()}
+    assert {i for i, j in enumerate(alike) if j >= 0.8} <= passed
+    far = [i for i, j in enumerate(alike) if j < 0.65 and 9 <= data[i][1][0] <= 900]
+    assert len(far) > 50 and not passed & set(far)
+
+
 def test_stages_take_empty_tables_and_keep_columns(spark, none, docs, tmp_path):
     import corpus_pipeline
 
