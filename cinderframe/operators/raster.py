@@ -24,16 +24,21 @@ def crossings(edges: DataFrame, cell: int = CELL) -> DataFrame:
     return rows.select("id", F.col("row").cast("long").alias("row"), x.alias("x"))
 
 
+def paired(cross: DataFrame, cell: int) -> DataFrame:
+    """(id, row, c0, c1) of crossings (id, row, x): the cells with their centre between the odd and the even ones of a row."""
+    by = W.partitionBy("id", "row").orderBy("x")
+    pairs = cross.select("id", "row", "x", F.lead("x").over(by).alias("x2"), F.row_number().over(by).alias("i")).where("i % 2 = 1")
+    half = cell / 2
+    c0, c1 = (F.ceil((F.col(c) - half) / cell).cast("long").alias(n) for c, n in (("x", "c0"), ("x2", "c1")))
+    return pairs.select("id", "row", c0, c1).where("c0 < c1")
+
+
 def rasterise(edges: DataFrame, cell: int = CELL) -> DataFrame:
     """(id, row, c0, c1): cells whose centre is inside a polygon, even-odd, c1 exclusive.
 
     Crossings of a row are paired in order of x; work follows edges and rows, never whole polygons.
     """
-    by = W.partitionBy("id", "row").orderBy("x")
-    pairs = crossings(edges, cell).select("id", "row", "x", F.lead("x").over(by).alias("x2"), F.row_number().over(by).alias("i")).where("i % 2 = 1")
-    half = cell / 2
-    c0, c1 = (F.ceil((F.col(c) - half) / cell).cast("long").alias(n) for c, n in (("x", "c0"), ("x2", "c1")))
-    return pairs.select("id", "row", c0, c1).where("c0 < c1")
+    return paired(crossings(edges, cell), cell)
 
 
 def sweep(runs: DataFrame, **flags: Column) -> DataFrame:

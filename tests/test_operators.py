@@ -110,8 +110,9 @@ def test_points_in_perimeters_match_crossings(spark):
     edges = [(a, b) for r in (poly, hole) for a, b in zip(r, r[1:] + r[:1])]
     want = {i for i, x, y in pts if sum(min(a[1], b[1]) <= y < max(a[1], b[1]) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) <= x for a, b in edges) % 2}
     p = spark.createDataFrame(pts, "pt int, x double, y double")
-    got = {r["pt"] for r in spatial.in_perimeters(p, shape(spark, poly, hole), grid=37, band=11).collect()}
-    assert got == want and want
+    for cover in ({}, {"span": 5, "dense": 3}, {"span": 1, "dense": 0}, {"span": 100}):
+        got = [r["pt"] for r in spatial.in_perimeters(p, shape(spark, poly, hole), band=11, **cover).collect()]
+        assert sorted(got) == sorted(want) and want, cover
 
 
 def test_nearest_boundary_and_far(spark):
