@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +39,25 @@ def held(key, build):
     """``build()``, kept by this Python worker until it asks for the value of another key.
 
     Workers outlive stages, so one large object (a model, an encoder) at a time bounds their memory;
-    held(None, ...) lets go of it.
+    held(None, ...) lets go of it. What the last one took is given back to the system first.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = build()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Freed memory of this process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def nullable(values: pd.Series, null: pd.Series) -> pd.arrays.IntegerArray:
     """Whole numbers of a batch with nulls where ``null``; pandas would read a nullable long as a double."""
     return pd.arrays.IntegerArray(values.to_numpy(np.int64), null.to_numpy(bool, copy=True))
