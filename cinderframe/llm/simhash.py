@@ -13,8 +13,9 @@ and visitors with a tree of its own, and emits a spanning forest of what it link
 stay linear in the points however dense a cluster is. The sample only shapes the tree: no pair is
 lost, whatever it held.
 
-The pipeline links texts by the exact Jaccard similarity of their distinct shingles instead
-(``similar_pairs``): candidates by a prefix join, thinned by a bound of their parity bits, then compared.
+The pipeline takes these links first (``tree_links``): texts whose fingerprints the tree links are near-duplicates.
+Near copies beyond that radius follow by the exact Jaccard similarity of their distinct shingles (``similar_pairs``):
+candidates by a prefix join, but for pairs the tree has joined, thinned by a bound of their parity bits, then compared.
 
 Components. Links of distinct fingerprints (few) go through the star contraction of
 ``operators.graph``, each round written to the shared folder.
@@ -30,6 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinderframe.operators.graph import components
@@ -45,8 +47,8 @@ LEAF = 256
 GROUP, ROUNDS = 32, 2
 #: Sets of a larger group that all others are compared with first.
 HUBS = 8
-#: Words of 64 parity bits that are kept of a set.
-PARITY_WORDS = 16
+#: Words of 64 parity bits that are kept of a set; of one of so many shingles, for which those are too few, more are kept aside.
+PARITY_WORDS, LONG, WIDE_WORDS = 16, 1_700, 256
 #: Sets of a large group that are compared in one part, rows of slim tables that may be broadcast, and of tables with parity bits (some 200 bytes).
 PART, BROADCAST_SETS, BROADCAST_PARITIES = 128, 2_000_000, 200_000
 #: Fingerprints that one task routes through the tree.
@@ -203,36 +205,43 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
 
 
-def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, least: int = 4, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 4_096, share: int = 6, least: int = 3, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, in how many texts of all each may be) of shingles common in a sample of distinct texts.
 
-    They only shape the order of shingles: any choice finds the same pairs.
+    The sample is one text of ``share``, so that shingles of more than ``GROUP`` texts are found whatever their
+    number; the ``most`` commonest reach the driver. They only shape the order of shingles: any choice finds the same pairs.
     """
     texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
     n = docs.count()
-    if n > sample:
-        texts = texts.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * sample / n)))
+    part = min(1.0, max(sample / max(n, 1), 1 / share))
+    if part < 1:
+        texts = texts.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * part)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"tok": np.concatenate([np.zeros(0, np.uint64), *(hashes(t, shingle) for t in b["text"])]).view(np.int64)})
 
-    counts = texts.dropDuplicates(["h"]).select("text").mapInPandas(run, "tok long").groupBy("tok").count().where(F.col("count") >= least)
-    top = counts.orderBy(F.desc("count"), "tok").limit(most).collect()
-    tok, heat = np.array([r["tok"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], float)
+    counts = written(texts.dropDuplicates(["h"]).select("text").mapInPandas(run, "tok long").groupBy("tok").count().where(F.col("count") >= least), "common-shingles")
+    top = (counts if small(counts, most) else counts.orderBy(F.desc("count"), "tok").limit(most)).toArrow()  # 16 bytes a row
+    tok, heat = top["tok"].to_numpy().view(np.uint64), top["count"].to_numpy().astype(float)
     at = np.argsort(tok)
-    return tok[at], heat[at] * max(1.0, n / sample)
+    return tok[at], heat[at] / part
 
 
-def parities(h: np.ndarray) -> np.ndarray:
+def parities(h: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """Parity bits of a set of shingle hashes, as int64 words: bit i tells whether an odd number of them falls in bucket i.
 
     Two sets' bits differ at most in as many places as there are hashes in only one of the sets.
     """
-    odd = np.bincount((h % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def wide_parities(h: np.ndarray) -> bytes | None:
+    """The size of a large set and more of its parity bits; None of others."""
+    return np.concatenate(([len(h)], parities(h, WIDE_WORDS))).astype("<i8").tobytes() if len(h) >= LONG else None
+
+
 def prefix_of(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The first ``n - ceil(similarity * n) + 1`` of a set's hashes: those not in ``order`` by value, then the rest from rare to common."""
     known, heat = order
@@ -243,11 +252,11 @@ def prefix_of(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: f
     return ordered[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
 
 
-def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, h, row, fp, n, odd, toks) per row of docs.
+def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray], simhash: bool = True) -> DataFrame:
+    """(doc_id, h, row, sim, fp, n, odd, wide, toks) per row of docs.
 
-    h is a hash of the text, row a number of its own (fixed once this is written), fp a hash of the
-    shingle set, n its size, odd its parity bits and toks its prefix. Two sets of that Jaccard
+    h is a hash of the text, row a number of its own (fixed once this is written), sim its SimHash
+    fingerprint, fp a hash of the shingle set, n its size, odd its parity bits (wide: of a large set) and toks its prefix. Two sets of that Jaccard
     similarity share a prefix shingle, whatever the order; rare ones first keeps those that share one few.
     """
     short_batches(docs.sparkSession)
@@ -260,13 +269,14 @@ def shared_prefixes(docs: DataFrame, similarity: float, shingle: int, order: tup
             sets = [hashes(t, shingle) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": nullable(b["doc_id"], b["no_id"]), "h": b["h"], "row": np.arange(row, row + len(b)),
+                "sim": np.array([fingerprint(t) if simhash else 0 for t in b["text"]], np.uint64).view(np.int64),
                 "fp": [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64) for h in sets], "n": [len(h) for h in sets],
-                "odd": [parities(h) for h in sets], "toks": [prefix_of(h, shared.value, similarity).view(np.int64) for h in sets],
+                "odd": [parities(h) for h in sets], "wide": [wide_parities(h) for h in sets], "toks": [prefix_of(h, shared.value, similarity).view(np.int64) for h in sets],
             })
             row += len(b)
 
     read = docs.select(*whole_ids(), F.xxhash64("text").alias("h"), "text")
-    return read.mapInPandas(run, "doc_id long, h long, row long, fp long, n long, odd array<long>, toks array<long>")
+    return read.mapInPandas(run, "doc_id long, h long, row long, sim long, fp long, n long, odd array<long>, wide binary, toks array<long>")
 
 
 def new_prefixes(texts: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -294,52 +304,70 @@ def texts_of(fps: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["fp"]) if repeated else texts
 
 
-def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, j) of distinct pairs (a, b, part; written): the Jaccard similarity of their texts' (fp, text) shingle sets.
+def in_parts(pairs: DataFrame, values: DataFrame, load, compare, result: str) -> DataFrame:
+    """(a, b, part, result) of pairs (a, b, part; written): compare() of what load() makes of both values (fp, value).
 
-    A part gets the text of each of its sets once, then its pairs, in one stream of rows; it holds a
+    A part gets the value of each of its sets once, then its pairs, in one stream of rows; it holds a
     few hundred sets at most.
     """
+    kind = dict(values.dtypes)["value"]
     need = pairs.select("part", F.explode(F.array("a", "b")).alias("fp")).distinct()
-    none, zero = F.lit(None).cast("string").alias("text"), F.lit(0).cast("long")
-    held_texts = need.join(texts, "fp").select("part", F.lit(0).alias("kind"), F.col("fp").alias("a"), zero.alias("b"), "text")
-    dealt = held_texts.unionByName(pairs.select("part", F.lit(1).alias("kind"), "a", "b", none))
+    none, zero = F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long")
+    held_values = need.join(values, "fp").select("part", F.lit(0).alias("kind"), F.col("fp").alias("a"), zero.alias("b"), "value")
+    dealt = held_values.unionByName(pairs.select("part", F.lit(1).alias("kind"), "a", "b", none))
     dealt = dealt.repartition("part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sets = None, {}
         for g in batches:
-            a, b, j = [], [], []
-            for part, kind, x, y, text in zip(g["part"].tolist(), g["kind"].tolist(), g["a"].tolist(), g["b"].tolist(), g["text"]):
+            a, b, parts, out = [], [], [], []
+            for part, kind, x, y, value in zip(g["part"].tolist(), g["kind"].tolist(), g["a"].tolist(), g["b"].tolist(), g["value"]):
                 if part != now:
                     now, sets = part, {}
                 if kind == 0:
-                    sets[x] = frozenset(hashes(text, shingle).tolist())
+                    sets[x] = load(value)
                     continue
-                one, two = sets[x], sets[y]
-                both = len(one & two)
                 a.append(x)
                 b.append(y)
-                j.append(both / max(1, len(one) + len(two) - both))
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "j": np.array(j, float)})
+                parts.append(part)
+                out.append(compare(sets[x], sets[y]))
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "part": np.array(parts, np.int64), "j": np.array(out, float)})
+
+    return dealt.mapInPandas(run, f"a long, b long, part long, {result} double")
+
+
+def exact_jaccard(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, j) of distinct pairs (a, b, part; written): the Jaccard similarity of their texts' (fp, text) shingle sets."""
+
+    def compare(one: frozenset, two: frozenset) -> float:
+        both = len(one & two)
+        return both / max(1, len(one) + len(two) - both)
+
+    return in_parts(pairs, texts.withColumnRenamed("text", "value"), lambda t: frozenset(hashes(t, shingle).tolist()), compare, "j").select("a", "b", "j")
+
 
-    return dealt.mapInPandas(run, "a long, b long, j double")
+def likely_long(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, part; written) of large sets that may be that similar by their wide parity bits (fp, wide), as likely() says it of others."""
+
+    def compare(one: np.ndarray, two: np.ndarray) -> float:
+        most = (int(one[0]) + int(two[0])) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return float(np.bitwise_count(one[1:] ^ two[1:]).sum(dtype=np.int64) <= most)
+
+    found = in_parts(pairs, wide.withColumnRenamed("wide", "value"), lambda v: np.frombuffer(v, "<u8"), compare, "j")
+    return found.where("j > 0").select("a", "b", "part")
 
 
 def prefix_groups(deal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, same), written: (tok, fp) of the sets that share a prefix shingle, and (tok, rep) of their shingles.
+    """(groups, members), written: (tok, n, fp) of the n sets of each group, and (shingle, tok, n) of the groups' shingles.
 
-    Shingles of one passage have the same sets: of those that do, by their number and two digests of 64
-    bits, only the least stays as a group; ``same`` names it for each. deal: (fp, tok), distinct.
+    Sets that share a prefix shingle are a group. Shingles of one passage have the same sets: those
+    that do, by their number and two digests of 64 bits, are one group, tok. deal: (fp, tok), distinct.
     """
-    shared = written(deal.groupBy("tok").count().where("count > 1").select("tok"), "shared-shingles")
-    groups = written(join_small(deal, shared, "tok", "inner", BROADCAST_SETS), "prefix-members")
-    marks = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in (1, 2)]
-    ends = written(groups.groupBy("tok").agg(F.count("*").alias("n"), *marks), "group-ends")
-    reps = ends.groupBy("n", "x1", "x2").agg(F.min("tok").alias("rep"))
-    same = written(ends.join(reps, ["n", "x1", "x2"]).select("tok", "rep"), "same-groups")
-    own = same.where("tok = rep").select("tok")
-    return written(join_small(groups, written(own, "group-shingles"), "tok", "left_semi", BROADCAST_SETS), "prefix-groups"), same
+    by = W.partitionBy("tok")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).over(by).alias(f"x{i}") for i in (1, 2)]
+    shared = deal.select("tok", "fp", F.count("*").over(by).alias("n"), *marks).where("n > 1")
+    shared = written(shared.select(F.col("tok").alias("shingle"), F.xxhash64("n", "x1", "x2").alias("tok"), "n", "fp"), "prefix-members")
+    return written(shared.select("tok", "n", "fp").distinct(), "prefix-groups"), shared
 
 
 def candidate_pairs(groups: DataFrame, seed: int) -> DataFrame:
@@ -348,13 +376,13 @@ def candidate_pairs(groups: DataFrame, seed: int) -> DataFrame:
     All pairs of a group of at most ``GROUP`` sets; of a larger one each member with ``HUBS`` of them,
     which ``seed`` picks. A small group is a part, of a larger one about ``PART`` members with the hubs.
     """
+    few, large = (groups.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
     hubs = [F.min(F.struct(F.xxhash64(F.lit(seed * HUBS + i), "fp").alias("h"), "fp"))["fp"].alias(f"hub{i}") for i in range(HUBS)]
-    ends = written(groups.groupBy("tok").agg(F.count("*").alias("n"), *hubs), "group-hubs")
-    few, many = (ends.where(c) for c in (f"n <= {GROUP}", f"n > {GROUP}"))
-    listed = groups.join(few.select("tok"), "tok").groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
+    many = large.groupBy("tok").agg(*hubs)
+    listed = few.groupBy("tok").agg(F.sort_array(F.collect_list("fp")).alias("s"))  # at most GROUP of them
     of = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p")
     salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / PART))
-    star = groups.join(many, "tok").select("fp", F.xxhash64("tok", salt).alias("part"), F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("fp <> hub")
+    star = large.join(many, "tok").select("fp", F.xxhash64("tok", salt).alias("part"), F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("fp <> hub")
     star = star.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"), "part")
     both = listed.select(F.col("tok").alias("part"), of).select("p.*", "part").unionByName(star)
     return both.groupBy("a", "b").agg(F.min("part").alias("part"))
@@ -376,17 +404,34 @@ def likely(a: str, b: str, similarity: float) -> Column:
 
 
 def likely_pairs(pairs: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, part) that likely() lets pass; slim: (fp, s)."""
-    one, two = (slim.select(F.col("fp").alias(k), F.col("s").alias(f"s_{k}")) for k in ("a", "b"))
+    """(a, b, part, long) of the pairs (a, b, part) that likely() lets pass and the tree has not joined; slim: (fp, s, root)."""
+    one, two = (slim.select(F.col("fp").alias(k), F.col("s").alias(f"s_{k}"), F.col("root").alias(f"r_{k}")) for k in ("a", "b"))
     both = join_small(join_small(pairs, one, "a", "inner", BROADCAST_PARITIES), two, "b", "inner", BROADCAST_PARITIES)
-    return both.where(likely("s_a", "s_b", similarity)).select("a", "b", "part")
+    both = both.where((F.col("r_a") != F.col("r_b")) & likely("s_a", "s_b", similarity))
+    return both.select("a", "b", "part", (F.least("s_a.n", "s_b.n") >= LONG).alias("long"))
+
+
+def tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root), written: the root of each set (rows: fp, sim; written) whose text's SimHash fingerprint is another text's or within radius of it.
+
+    Fingerprints meet in the vantage-point tree's shards. Sets of one fingerprint are linked to the
+    least of them, linked fingerprints by their least sets.
+    """
+    both = written(rows.select("fp", "sim").distinct(), "simhash-sets")
+    least = written(both.groupBy("sim").agg(F.min("fp").alias("low")), "simhash-lows")
+    near = near_pairs(written(least.select(F.col("sim").alias("fp")), "simhash-points"), radius)
+    one, two = (least.select(F.col("sim").alias(k), F.col("low").alias(f"low_{k}")) for k in ("a", "b"))
+    near = near.join(one, "a").join(two, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    own = both.join(least, "sim").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    links = written(near.unionByName(own).where("a <> b"), "simhash-links")
+    return written(components(links).select(F.col("node").alias("fp"), "root"), "simhash-joined")
 
 
-def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity.
+def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, order: tuple[np.ndarray, np.ndarray], joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of docs' shingle sets (rows: their shared_prefixes(); written) of at least that similarity, and those of joined.
 
     Every pair of that similarity is linked or has both ends in one component, and every link is checked on
-    the texts. Sets that share a prefix shingle are a group. In a small group all
+    the texts, but for those given: joined (tree_links()) are sets of one root, whose pairs are not compared. Sets that share a prefix shingle are a group. In a small group all
     pairs are candidates. In a large one each member first meets a few: near copies are then one
     component, and such a group is done. Where a large group still has several components, its shingle
     is a common one: its members get new prefixes that take such shingles last, in which similar sets
@@ -396,21 +441,27 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
     """
     firsts = written(rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("row")), "set-rows")
     sets = join_small(rows, firsts.select("row"), "row", "left_semi", BROADCAST_SETS)
-    slim = written(sets.select("fp", F.struct("n", *[F.col("odd")[i].alias(f"w{i}") for i in range(PARITY_WORDS)]).alias("s")), "set-parities")
-    deal, links, done = sets.select("fp", F.explode("toks").alias("tok")), None, None
+    slim = sets.select("fp", F.struct("n", *[F.col("odd")[i].alias(f"w{i}") for i in range(PARITY_WORDS)]).alias("s"))
+    if joined is None:
+        slim = slim.withColumn("root", F.col("fp"))
+    else:
+        slim = join_small(slim, joined, "fp", "left", BROADCAST_SETS).withColumn("root", F.coalesce("root", "fp"))
+    slim = written(slim, "set-parities")
+    wide = written(sets.where("wide is not null").select("fp", "wide"), "wide-parities")
+    links = None if joined is None else joined.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    deal, done = sets.select("fp", F.explode("toks").alias("tok")), None
     for round_ in range(ROUNDS):
-        groups, same = prefix_groups(deal)
+        groups, shared = prefix_groups(deal)
         pairs = candidate_pairs(groups, round_)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = checked(pairs, slim, rows, docs, similarity, shingle)
+        found = checked(pairs, slim, wide, rows, docs, similarity, shingle)
         done = found.select("a", "b") if done is None else written(done.unionByName(found.select("a", "b")), "pairs-done")
         new = found.where(F.col("j") >= similarity).select("a", "b")
         links = new if links is None else written(links.unionByName(new), "similar-pairs")
-        large = groups.join(groups.groupBy("tok").count().where(F.col("count") > GROUP).select("tok"), "tok")
-        mixed = mixed_groups(large, links)
-        hot = mixed.groupBy(F.col("tok").alias("rep")).agg(F.count("*").alias("n"))
-        hot = written(hot.join(same, "rep").select("tok", "n"), "hot-shingles")
+        mixed = mixed_groups(groups.where(f"n > {GROUP}").select("tok", "fp"), links)
+        hot = join_small(shared.where(f"n > {GROUP}").select(F.col("shingle"), "tok", "n").distinct(), mixed.select("tok").distinct(), "tok", "left_semi", BROADCAST_SETS)
+        hot = written(hot.select(F.col("shingle").alias("tok"), "n"), "hot-shingles")
         if not hot.limit(1).count():
             return links
         if round_ < ROUNDS - 1:
@@ -419,14 +470,14 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, similarity: float, shingle:
             deal = written(new_prefixes(texts_of(met, rows, docs), similarity, shingle, order), "new-prefixes")
     # of two members of different components, one is outside the group's largest
     by = mixed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.sum("count").alias("n"))
-    coded = join_small(mixed, slim, "fp", "inner", BROADCAST_PARITIES).join(by, "tok")
+    coded = join_small(mixed, slim.select("fp", "s"), "fp", "inner", BROADCAST_PARITIES).join(by, "tok")
     coded = written(coded.withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(2 * F.col("n") / PART))), "mixed-parities")
     x = coded.where("root <> most").select(F.col("tok").alias("t_x"), F.col("fp").alias("x"), F.col("root").alias("r_x"), F.col("s").alias("s_x"), F.col("block").alias("b_x"))
     y = coded.select("tok", F.col("fp").alias("y"), F.col("root").alias("r_y"), F.col("s").alias("s_y"), F.col("block").alias("b_y"))
     rest = x.join(y, (F.col("t_x") == F.col("tok")) & (F.col("r_x") != F.col("r_y")) & likely("s_x", "s_y", similarity))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.xxhash64("tok", F.least("b_x", "b_y"), F.greatest("b_x", "b_y")).alias("part"))
     rest = rest.groupBy("a", "b").agg(F.min("part").alias("part")).join(done, ["a", "b"], "left_anti")
-    found = checked(rest, slim, rows, docs, similarity, shingle)
+    found = checked(rest, slim, wide, rows, docs, similarity, shingle)
     return written(links.unionByName(found.where(F.col("j") >= similarity).select("a", "b")), "similar-pairs")
 
 
@@ -451,23 +502,28 @@ def later(order: tuple[np.ndarray, np.ndarray], hot: DataFrame, most: int = 1_00
     return both, out
 
 
-def checked(pairs: DataFrame, slim: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def checked(pairs: DataFrame, slim: DataFrame, wide: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(a, b, j), written: the exact similarity of those pairs (a, b) that may be similar."""
     may = written(likely_pairs(pairs, slim, similarity), "likely-pairs")
+    if may.where("long").limit(1).count():
+        may = written(may.where("not long").select("a", "b", "part").unionByName(likely_long(may.where("long"), wide, similarity)), "likelier-pairs")
     met = written(may.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "pair-sets")
     texts = written(texts_of(met, rows, docs), "set-texts")
     return written(exact_jaccard(may, texts, shingle), "pair-similarities")
 
 
-def labelled(docs: DataFrame, shingle: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots), both written: (doc_id, h, fp) per row of docs (h: a hash of its text), and each fp's root."""
+def labelled(docs: DataFrame, shingle: int, radius: int, similarity: float | None, tree: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots), both written: (doc_id, h, fp) per row of docs (h: a hash of its text), and each fp's root.
+
+    With ``tree`` texts also link by their fingerprints where a similarity is given.
+    """
     if similarity is None:
         rows = written(fingerprints(docs, shingle), "simhash")
         links = near_pairs(written(rows.select("fp").distinct(), "simhash-points"), radius)
     else:
         order = common_shingles(docs, shingle)
-        rows = written(shared_prefixes(docs, similarity, shingle, order), "shingle-sets")
-        links = similar_pairs(rows, docs, similarity, shingle, order)
+        rows = written(shared_prefixes(docs, similarity, shingle, order, tree), "shingle-sets")
+        links = similar_pairs(rows, docs, similarity, shingle, order, tree_links(rows, radius) if tree else None)
     return rows.select("doc_id", "h", "fp"), written(components(links).select(F.col("node").alias("fp"), "root"), "simhash-roots")
 
 
@@ -490,15 +546,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         return stays(rows.join(ids, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; same columns.
 
+    Texts are near-duplicates if their SimHash fingerprints (as in near_duplicates()) differ in at most
+    ``radius`` bits, by the vantage-point tree, or if their distinct shingles have that Jaccard similarity.
+
     The row with the smallest doc_id stays (null is last; of several texts of one doc_id, one by
     hash), and of rows that repeat it only one. Rows of one doc_id with unlike texts are of different
     groups, so each stays.
     """
     with passing_tables(docs.sparkSession) as stays:
-        rows, roots = labelled(docs, shingle, RADIUS, similarity)
+        rows, roots = labelled(docs, shingle, radius, similarity, True)
         rows = rows.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("key"))
         least = rows.groupBy("root").agg(F.min("key").alias("least"))
         # null-safe: a key may hold a null doc_id

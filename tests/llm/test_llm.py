@@ -218,6 +218,36 @@ def test_a_text_and_its_doubled_text_are_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()) == [1, 4]
 
 
+def test_the_pipeline_drops_what_the_tree_links_beside_the_jaccard_limit(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    refrain = " ".join([prose(rng, 40)] * 30)  # repeats rule the fingerprint, distinct shingles don't
+    texts = [f"{refrain} {prose(rng, 12)}" for _ in range(6)] + [prose(rng, 80) for _ in range(6)]
+    words = texts[6].split()
+    texts += [" ".join([*words[:-6], *prose(rng, 6).split()])]  # alike by shingles, apart by fingerprints
+    fp, sets = [simhash.fingerprint(t) for t in texts], [simhash.shingles(t, 5) for t in texts]
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert any(near(a, b) and not like(a, b) for a in range(6) for b in range(a)) and like(6, 12) and not near(6, 12)
+    want = components_of(len(texts), lambda a, b: near(a, b) or like(a, b))
+    rows = [(i, t, "en", "s", len(t), "b", "r", "w", 1) for i, t in enumerate(texts)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(want))
+
+
+def test_long_sets_are_thinned_by_more_parity_bits_and_lose_no_pair(spark):
+    rng, words = np.random.default_rng(8), []
+    for n in (2_000, 4_000, 16_000, 30_000):
+        whole = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        words += [(whole[:n], whole[: n * 9 // 10]), (whole[:n], np.concatenate((whole[: n * 89 // 100], whole[n : n + n * 11 // 100]))), (whole[:n], whole[n:])]
+    wide = [(2 * i + k, bytearray(simhash.wide_parities(h))) for i, pair in enumerate(words) for k, h in enumerate(pair)]
+    pairs = written(spark.createDataFrame([(2 * i, 2 * i + 1, i % 3) for i in range(len(words))], "a long, b long, part long"), "t")
+    got = {r["a"] // 2 for r in simhash.likely_long(pairs, spark.createDataFrame(wide, "fp long, wide binary"), 0.8).collect()}
+    alike = {i for i, (a, b) in enumerate(words) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))}
+    assert alike <= got and len(alike) == 8 and not {2, 5, 8, 11} & got and simhash.wide_parities(words[0][0][: simhash.LONG - 1]) is None
+
+
 # -- 6 decontamination -------------------------------------------------------------
 
 
