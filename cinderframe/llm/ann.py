@@ -44,6 +44,9 @@ POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: For each 8-bit value and each distance, the values that far, nearest first.
 BY_DISTANCE = [np.argsort(POP[np.arange(256) ^ v], kind="stable") for v in range(256)]
 UPTO = np.cumsum([1, 8, 28, 56, 70, 56, 28, 8, 1])
+DISTANCE = POP[np.arange(256)[:, None] ^ np.arange(256)]
+#: A substring's buckets are listed where they hold less than one code in so many, else told by their distance.
+MANY = 16
 
 
 def usable(v: Column) -> Column:
@@ -96,7 +99,7 @@ class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes, self.owner = np.unique(codes, axis=0, return_inverse=True)
         self.owner = self.owner.reshape(-1)
-        self.m, self.words = codes.shape[1], words_of(self.codes)
+        self.m, self.words, self.columns = codes.shape[1], np.ascontiguousarray(words_of(self.codes).T), np.ascontiguousarray(self.codes.T)
         self.order = [np.argsort(self.codes[:, j], kind="stable") for j in range(self.m)]
         self.start = [np.searchsorted(self.codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
@@ -107,19 +110,32 @@ class MultiIndex:
         of them: ``extra`` substrings have the limit ``base``, the others one less.
         """
         base, extra = divmod(radius + 1, self.m)
-        hit = np.zeros(len(self.codes), bool)
+        hit, left = np.zeros(len(self.codes), bool), None
         for j in range(self.m):
             limit = min(8, base if j < extra else base - 1)
-            if limit >= 0:
+            if limit < 0:
+                continue
+            if left is None:
                 order, start = self.order[j], self.start[j]
                 values = BY_DISTANCE[code[j]][: UPTO[limit]]
-                hit[np.concatenate([order[a:b] for a, b in zip(start[values].tolist(), start[values + 1].tolist())])] = True
+                begin, end = start[values], start[values + 1]
+                if (end - begin).sum() * MANY < len(hit):
+                    hit[np.concatenate([order[a:b] for a, b in zip(begin.tolist(), end.tolist())])] = True
+                    continue
+                left = np.flatnonzero(~hit)  # wide shares: the buckets' codes are looked up among those not yet visited
+            if not len(left):
+                break
+            near = DISTANCE[code[j]][self.columns[j][left]] <= limit
+            hit[left[near]] = True
+            left = left[~near]
         return np.flatnonzero(hit)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Numbers of all distinct codes within radius, by pigeonhole probing."""
         at = self.probe(code, radius)
-        d = np.bitwise_count(self.words[at] ^ words_of(code[None, :])).sum(axis=1, dtype=np.int64)
+        d = np.zeros(len(at), np.uint16)
+        for column, word in zip(self.words, words_of(code[None, :])[0]):
+            d += np.bitwise_count((column if len(at) == len(column) else column[at]) ^ word)
         return at[d <= radius]
 
 
@@ -150,14 +166,20 @@ def search_shard(q_ids, q, ids, x, model: Model, k: int) -> list[tuple]:
     out = []
     for qid, vec, code in zip(q_ids.tolist(), q, q_codes):
         r, length = model.start, math.sqrt(float(vec @ vec))
+        known, scored = np.zeros(len(ids), bool), np.zeros(len(ids))
         while True:
             found = index.within(code, r)
             rows = np.concatenate([rows_of[first[c] : first[c + 1]] for c in found]) if 0 < len(found) < len(index.codes) else np.arange(len(ids) if len(found) else 0)
             rows = rows[ids[rows] != qid]
-            score = (x[rows] * vec).sum(axis=1)
+            new = rows[~known[rows]]
+            scored[new], known[new] = x[new] @ vec, True  # but for rounding; those that may be best get their exact score below
+            score = scored[rows]
             if r >= model.bits or len(rows) >= k and model.radius(float(np.partition(score, -k)[-k]), length) <= r:
                 break
             r = min(model.bits, r + index.m)
+        if len(rows) > k:  # of the others none is among the k best
+            rows = rows[score >= np.partition(score, -k)[-k] - 1e-10 * model.longest * length]
+        score = (x[rows] * vec).sum(axis=1)
         best = np.lexsort((ids[rows], -score))[:k]
         out += [(qid, int(ids[rows[i]]), float(score[i])) for i in best]
     return out

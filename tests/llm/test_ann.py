@@ -91,3 +91,30 @@ def test_vectors_of_each_dimension_are_searched_among_their_own(spark, tmp_path)
     for q, found in got.items():
         own = {i for i, v, _ in data if len(v) == len(data[q][1]) and i != q}
         assert len(found) == 20 and {i for i, _ in found} <= own
+
+
+def test_probing_wide_shares_visits_the_same_codes_and_scores_each_row_once(monkeypatch):
+    rng = np.random.default_rng(17)
+    codes = rng.integers(0, 256, (700, 6), dtype=np.uint8)
+    index = ann.MultiIndex(codes)
+    for radius in (0, 3, 5, 6, 9, 14, 20, 31, 48):
+        base, extra = divmod(radius + 1, 6)
+        limits = [base if j < extra else base - 1 for j in range(6)]
+        for code in codes[:5]:
+            far = ann.POP[index.codes ^ code]
+            assert index.probe(code, radius).tolist() == np.flatnonzero((far <= np.array(limits)).any(axis=1)).tolist()
+            assert index.within(code, radius).tolist() == np.flatnonzero(far.sum(axis=1, dtype=int) <= radius).tolist()
+
+    class Counted(np.ndarray):
+        taken = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray) and self.ndim == 2:
+                Counted.taken += len(at)
+            return super().__getitem__(at)
+
+    x = rng.standard_normal((900, 16))
+    rotations = ann.learn_rotations(ann.lift(x, 9.0, False), 2, 2)
+    model = ann.Model(rotations, 9.0, 4, 6.0)
+    got = ann.search_shard(np.arange(20), x[:20], np.arange(900), x.view(Counted), model, 5)
+    assert len(got) == 100 and Counted.taken <= 20 * (900 + 5)  # and the best once more, exactly
