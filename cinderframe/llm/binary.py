@@ -38,12 +38,17 @@ SHARD_ROWS = 1_000_000
 #: Shard bounds that are sent to the tasks at once; more go in blocks.
 BOUNDS = 1_000_000
 M64 = (1 << 64) - 1
+#: Displacements of a bucket that are tried at once: at first, and at most.
+TRIES = (16, 2048)
 
 
-def mix64(x: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser over uint64 keys."""
+def mix64(x: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser over uint64 keys; seeds may be an int64 array that broadcasts against them."""
     with np.errstate(over="ignore"):
-        x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & M64)
+        if isinstance(seed, np.ndarray):
+            x = x + np.uint64(0x9E3779B97F4A7C15) * (seed + 1).astype(np.uint64)
+        else:
+            x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & M64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -54,6 +59,8 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Hash and displace: keys fall in buckets of about four; the largest buckets first search a
     displacement that puts all of theirs in free slots, single keys are given free slots outright.
+    Displacements are tried in order, in arrays of ``TRIES`` and more: the last buckets, whose slots are
+    nearly all taken, need thousands.
     """
     n = len(keys)
     k = keys.view(np.uint64) if n else np.zeros(0, np.uint64)
@@ -68,16 +75,10 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(start)
         taken = np.zeros(n, bool)
         by_size = np.argsort(-size, kind="stable")
-        with np.errstate(over="ignore"):
-            for i in by_size[size[by_size] > 1].tolist():
-                mine = order[start[i] : start[i + 1]]
-                d = 0
-                while True:
-                    at = ((h1[mine] + mix64(h2[mine], d + 3)) % np.uint64(n)).astype(np.int64)
-                    if not taken[at].any() and len(set(at.tolist())) == len(at):
-                        break
-                    d += 1
-                shift[i], slot[mine], taken[at] = d, at, True
+        for i in by_size[size[by_size] > 1].tolist():
+            mine = order[start[i] : start[i + 1]]
+            shift[i], slot[mine] = free_displacement(h1[mine], h2[mine], taken)
+            taken[slot[mine]] = True
         alone = by_size[size[by_size] == 1]
         free = np.flatnonzero(~taken)
         slot[order[start[alone]]] = free
@@ -87,6 +88,18 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shift, slot, prints
 
 
+def free_displacement(h1: np.ndarray, h2: np.ndarray, taken: np.ndarray) -> tuple[int, np.ndarray]:
+    """The smallest displacement that puts a bucket's keys in free slots of their own, and those slots."""
+    n, d, tries = np.uint64(len(taken)), 0, TRIES[0]
+    while True:
+        with np.errstate(over="ignore"):
+            at = ((h1 + mix64(h2, np.arange(d + 3, d + tries + 3)[:, None])) % n).astype(np.int64)
+        for r in np.flatnonzero(~taken[at].any(axis=1)).tolist():
+            if len(set(at[r].tolist())) == len(h1):
+                return d + r, at[r]
+        d, tries = d + tries, min(2 * tries, TRIES[1])
+
+
 def find_slots(keys: np.ndarray, shift: np.ndarray, n: int) -> np.ndarray:
     """The slot of each int64 key; of foreign keys, some slot."""
     k = keys.view(np.uint64)

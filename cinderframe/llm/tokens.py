@@ -4,7 +4,8 @@ The pre-tokenizer of this family cuts a text into pieces that never join across
 word, so a text is cut at its single spaces, each chunk is encoded once by the tokenizers library
 and remembered (in a bounded cache), and a text's ids are the concatenation. Texts where white
 space follows a space or the end, or that hold a special token's string, go to the library whole:
-there a cut could fall inside a piece.
+there a cut could fall inside a piece. For ids, a line feed between two characters that are no white
+space is a piece of its own, so a text is cut before it too, and a line's first word is known with it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 from itertools import accumulate, chain
 
@@ -21,13 +23,16 @@ import regex
 from .common import held
 
 TOKENIZER = "byte_bpe_50k.json"
-WORDS_KEPT, PIECES_KEPT = 250_000, 60_000
-#: Marks that are a piece of their own after letters, and where letters of plain Latin scripts end.
-MARKS, LATIN_END = (".", ",", "!", "?", ";", ":"), "\u0250"
+#: Words (with their ids, or with their spans) and pieces that an encoder remembers, twice over.
+WORDS_KEPT, SPANS_KEPT, PIECES_KEPT = 500_000, 250_000, 60_000
+#: Marks whose run at a word's end is a piece of its own after letters, and where letters of plain Latin scripts end.
+MARKS, LATIN_END = string.punctuation.replace("'", ""), "\u0250"
 #: The published pre-tokenization pattern of byte-level BPE, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _UNSAFE = re.compile(r" (?=\s|\Z)")
+#: A line feed beside other white space or at either end of the text.
+_LINES = re.compile(r"\n(?:(?=\s|\Z)|(?<!\S\n))")
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -71,13 +76,13 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.spans, self.known, self.pieces = spans, Recent(WORDS_KEPT), Recent(PIECES_KEPT)
+        self.spans, self.known, self.pieces = spans, Recent(SPANS_KEPT if spans else WORDS_KEPT), Recent(PIECES_KEPT)
         self.model = self.tokenizer.model
         pre = json.loads(self.tokenizer.to_str())
         pre = {**(pre["pre_tokenizer"] or {}), "normalizer": pre["normalizer"]}
         self.byte_level = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), pre["normalizer"]) == ("ByteLevel", False, True, None)
         self.pattern, self.alphabet, self.code = regex.compile(PIECES), byte_alphabet(), "H" if self.dtype.itemsize == 2 else "I"
-        self.space = chr(self.alphabet[32])
+        self.space, self.cuts_lines = chr(self.alphabet[32]), self.byte_level and not spans
 
     def _raw(self, texts: list[str]) -> list:
         """Packed ids, or packed spans, of each text by itself."""
@@ -103,9 +108,9 @@ class ChunkEncoder:
         return word.isalpha() and (word.isascii() or max(word) < LATIN_END)
 
     def _spaced(self, word: str) -> bytes:
-        """As _chunk() for a word with the space before it, kept among the known words.
+        """As _chunk() for a word with the space before it, or the first of a line, kept among the known words.
 
-        Letters alone are one piece, so they need no pattern; letters and one mark are two.
+        Letters alone are one piece, so they need no pattern; letters and a run of marks are two.
         """
         new = self.known.new
         value = new.get(word)  # a word that the text has more than once
@@ -115,12 +120,13 @@ class ChunkEncoder:
             value = self._chunk(" " + word)
         elif word.isalpha() and (word.isascii() or max(word) < LATIN_END):
             value = self._letters(word)
-        elif word[-1:] in MARKS and self._plain(word[:-1]):
-            letters = word[:-1]
-            value = self.known.find(letters)
+        elif word[:1] == "\n" and self.cuts_lines:
+            value = self._chunk(word)
+        elif self._plain(letters := word.rstrip(MARKS)):
+            value, marks = self.known.find(letters), word[len(letters) :]
             if value is None:
                 value = new[letters] = self._letters(letters)
-            value += self.pieces.find(word[-1]) or self._piece(word[-1])
+            value += self.pieces.find(marks) or self._piece(marks)
         else:
             value = self._chunk(" " + word)
         new[word] = value
@@ -147,12 +153,15 @@ class ChunkEncoder:
     def encode(self, text: str) -> tuple[list[str] | None, list[bytes]]:
         """A text's words between single spaces (None: one piece) and each one's packed ids or spans.
 
-        All but the first are encoded, and span, with the space before them.
+        All but the first are encoded, and span, with the space before them. For ids a line feed also
+        begins a word, which holds it.
         """
         if self.whole(text):
             return None, self._raw([text])
         self.known.trim()
         self.pieces.trim()
+        if self.cuts_lines and _LINES.search(text) is None:
+            text = text.replace("\n", " \n")
         words, new, old = text.split(" "), self.known.new, self.known.old.get
         packed = list(map(new.get, words))
         packed[0] = self._chunk(words[0])

@@ -45,6 +45,22 @@ def test_hash_index_is_minimal_and_perfect(n):
         assert (binary.find_slots(keys, shift, len(keys)) == slot).all()
 
 
+def test_displacements_are_tried_together(monkeypatch):
+    calls, mix = [], binary.mix64
+    monkeypatch.setattr(binary, "mix64", lambda *a: calls.append(1) or mix(*a))
+    keys = np.unique(np.random.default_rng(7).integers(0, 10**7, 3000))
+    shift, slot, _ = binary.build_index(keys)
+    assert len(calls) < 3 * len(shift), "one at a time they are hundreds a bucket"
+    monkeypatch.undo()
+    h1, h2 = mix(keys[:3].view(np.uint64), 1) % np.uint64(200), mix(keys[:3].view(np.uint64), 2) | np.uint64(1)
+    taken = np.random.default_rng(1).random(200) < 0.9
+    got, at = binary.free_displacement(h1, h2, taken)
+    with np.errstate(over="ignore"):
+        tried = [((h1 + mix(h2, d + 3)) % np.uint64(200)).astype(int).tolist() for d in range(got + 1)]
+    fits = [len(set(x)) == 3 and not taken[x].any() for x in tried]
+    assert fits == [False] * got + [True] and at.tolist() == tried[-1] and got > binary.TRIES[0]
+
+
 def test_reading_back_goes_through_the_index(spark, docs):
     from cinderframe.llm.common import fresh_path
 

@@ -134,6 +134,19 @@ def test_chunk_encoder_equals_the_library():
         assert np.frombuffer(ids.ids(t), ids.dtype).tolist() == e.ids and spans.offsets(t).tolist() == [list(p) for p in e.offsets], repr(t)
 
 
+def test_lines_begin_words_of_their_own():
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(tokenizer_path()), ChunkEncoder(tokenizer_path())
+    rng = random.Random(2)
+    parts = ["the", "Le", "é", "an's", "'s", "x&&&", "a.b", "12", "%$", "'", "don't!!", "ñó.", "_", "\t", "\n", "日本"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) + rng.choice([" ", "\n", "\n", ""]) for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    enc.ids("one two.\nThen more")
+    assert {"two.", "\nThen"} <= enc.known.new.keys() and "two.\nThen" not in enc.known.new
+
+
 # -- 3 near-duplicates ---------------------------------------------------------
 
 
