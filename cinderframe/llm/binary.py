@@ -11,6 +11,8 @@ back goes through it: every key is looked up, and its rows are those of the reco
 
 Shards are ranges of (doc_id, text hash), so a repeated or null key spreads over shards too. Files
 are written under an attempt's own name and renamed: a task that runs again replaces like by like.
+Large tables are written in a few passes, each over a range of doc_ids, and a pass's shuffle is removed
+before the next begins, so the disk holds the ids and a pass's share of the texts, never all of both.
 Work in a task is bounded by a batch and one document, besides the keys of its shard.
 """
 
@@ -19,15 +21,16 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, short_batches, whole_ids, written
+from .common import fresh_path, passing_shuffles, read_table, short_batches, whole_ids, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC, VERSION = 0x58444952, 1
@@ -35,6 +38,8 @@ END_ID = 2
 #: A shard holds about a fourth of a core's share of the texts, between these bytes, and at most so many rows.
 SHARD_BYTES = (16 << 20, 256 << 20)
 SHARD_ROWS = 1_000_000
+#: Passes over a table that has shards for every core in each of them; fewer over smaller ones.
+PASSES = 3
 #: Shard bounds that are sent to the tasks at once; more go in blocks.
 BOUNDS = 1_000_000
 M64 = (1 << 64) - 1
@@ -192,20 +197,47 @@ def shards_for(docs: DataFrame, shard_rows: int | None) -> int:
     return max(1, -(-size // most), -(-rows // (shard_rows or SHARD_ROWS)))
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, shard_rows: int | None = None) -> DataFrame:
+def pass_ranges(docs: DataFrame, passes: int) -> list[Column]:
+    """Conditions on doc_id that part the rows into at most ``passes`` ranges of about as many rows, in order, null first.
+
+    A doc_id is in one range, whatever its rows; where all are null there is one range.
+    """
+    key = F.col("doc_id").cast("long")
+    cuts = docs.agg(F.percentile_approx(key, [i / passes for i in range(1, passes)])).first()[0] if passes > 1 else None
+    cuts = sorted(set(cuts or ()))
+    if not cuts:
+        return [F.lit(True)]
+    between = [(key > low) & (key <= high) for low, high in zip(cuts, cuts[1:])]
+    return [key.isNull() | (key <= cuts[0]), *between, key > cuts[-1]]
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, shard_rows: int | None = None, passes: int | None = None) -> DataFrame:
     """Write docs (doc_id, text; other columns are not read) as shards; the manifest, one row each.
 
     Order: ascending doc_id (null first), then text hash. Null and empty texts give only the end id.
     Manifest: shard, n_records, n_ids, low, high (keys). No rows: no shards, an empty manifest.
+    ``passes`` (by default by the size) read docs once each, for the rows of their range alone.
     """
-    short_batches(docs.sparkSession)
-    n = shards_for(docs, shard_rows)
+    spark = docs.sparkSession
+    short_batches(spark)
+    with passing_shuffles(spark):
+        n = shards_for(docs, shard_rows)
+        ranges = pass_ranges(docs, passes or max(1, min(PASSES, n // spark.sparkContext.defaultParallelism)))
+        each, manifests = -(-n // len(ranges)), []
+        for i, wanted in enumerate(ranges):
+            found = _write_range(docs.where(wanted), folder, path, end_id, each, i * each)
+            manifests.append(written(found, "shard-manifest"))
+    return reduce(DataFrame.unionByName, manifests)
+
+
+def _write_range(docs: DataFrame, folder: str, path: str, end_id: int | None, n: int, first_number: int) -> DataFrame:
+    """The manifest of ``docs`` in ``n`` shards from ``first_number`` on, which are written as it is read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(*whole_ids(), "text")
     schema = "shard int, n_records long, n_ids long, low long, high long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, number = encoder(path), TaskContext.get().partitionId()
+        enc, number = encoder(path), first_number + TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         fs, base = _fs(folder)
         own = f"{base}/shard-{number:05d}.{uuid.uuid4().hex}"
@@ -239,7 +271,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
         low, high = (real[0], real[-1]) if len(real) else (None, None)
         yield pd.DataFrame({"shard": [number], "n_records": len(keys), "n_ids": int(sum(sizes)), "low": pd.array([low], "Int64"), "high": pd.array([high], "Int64")})
 
-    return written(rows.mapInPandas(run, schema), "shard-manifest")
+    return rows.mapInPandas(run, schema)
 
 
 def read_shards(manifest: DataFrame, folder: str, block: int = 1 << 21) -> DataFrame:

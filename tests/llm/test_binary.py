@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cinderframe.llm import binary
 from cinderframe.llm.tokens import tokenizer_path
+from cinderframe.sources.scratch import SHUFFLES_GO
 
 
 def test_shards_round_trip_and_keyed_access(spark, docs, rows, none):
@@ -82,5 +85,35 @@ def test_reading_back_goes_through_the_index(spark, docs):
         binary.read_shards(manifest, folder).collect()
 
 
+def test_passes_keep_order_and_leave_no_shuffle(spark, docs, none):
+    """Three passes give what one does; each one's shuffle is gone when the next begins."""
+    from cinderframe.llm.common import fresh_path
+
+    one, three = fresh_path(spark, "ids"), fresh_path(spark, "ids")
+    want = binary.read_shards(binary.write_shards(docs, one, tokenizer_path(), shard_rows=20, passes=1), one)
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles() -> set:
+        return {b for b in disk.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    before = shuffles()
+    manifest = binary.write_shards(docs, three, tokenizer_path(), shard_rows=20, passes=3)
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    got = binary.read_shards(manifest, three)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spans = [(r["low"], r["high"]) for r in manifest.where("low is not null").orderBy("shard").collect()]
+    assert len(spans) > 3 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    keys = docs.select("doc_id")
+    assert binary.lookup(manifest, three, keys).count() == docs.where("doc_id is not null").count()
+    assert spark.conf.get(SHUFFLES_GO) == "false"
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for d in (none, nulls, docs.withColumn("doc_id", F.lit(5).cast("long")), docs.withColumn("doc_id", F.col("doc_id").cast("int"))):
+        folder = fresh_path(spark, "ids")
+        assert binary.read_shards(binary.write_shards(d, folder, tokenizer_path(), passes=3), folder).count() == d.count()
+
+
 def test_shards_follow_bytes_and_rows(spark, docs):
     assert binary.shards_for(docs, None) == 1 and binary.shards_for(docs, 10) == -(-docs.count() // 10) and binary.shards_for(docs.limit(0), None) == 1
