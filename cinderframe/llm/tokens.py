@@ -23,8 +23,8 @@ import regex
 from .common import held
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words (with their ids, or with their spans) and pieces that an encoder remembers, twice over.
-WORDS_KEPT, SPANS_KEPT, PIECES_KEPT = 500_000, 250_000, 60_000
+#: Words and pieces that an encoder remembers, twice over.
+WORDS_KEPT, PIECES_KEPT = 250_000, 60_000
 #: Marks whose run at a word's end is a piece of its own after letters, and where letters of plain Latin scripts end.
 MARKS, LATIN_END = string.punctuation.replace("'", ""), "\u0250"
 #: The published pre-tokenization pattern of byte-level BPE, a fixed value.
@@ -76,7 +76,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.spans, self.known, self.pieces = spans, Recent(SPANS_KEPT if spans else WORDS_KEPT), Recent(PIECES_KEPT)
+        self.spans, self.known, self.pieces = spans, Recent(WORDS_KEPT), Recent(PIECES_KEPT)
         self.model = self.tokenizer.model
         pre = json.loads(self.tokenizer.to_str())
         pre = {**(pre["pre_tokenizer"] or {}), "normalizer": pre["normalizer"]}
