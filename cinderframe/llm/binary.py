@@ -12,7 +12,7 @@ back goes through it: every key is looked up, and its rows are those of the reco
 Shards are ranges of (doc_id, text hash), so a repeated or null key spreads over shards too. Files
 are written under an attempt's own name and renamed: a task that runs again replaces like by like.
 Large tables are written in a few passes, each over a range of doc_ids, and a pass's shuffle is removed
-before the next begins, so the disk holds the ids and a pass's share of the texts, never all of both.
+as it ends, so the disk holds the ids and a pass's share of the texts (all, if they share one doc_id).
 Work in a task is bounded by a batch and one document, besides the keys of its shard.
 """
 
