@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import scalar
 from cinderframe.jobs.common import REC_CELLS, REC_EDGES, RECORD, fx, register
 from cinderframe.operators import fires as fi
-from cinderframe.operators import geom, increments, product, raster, rings, spatial, verify
+from cinderframe.operators import geom, increments, product, raster, rings, spatial, squares, verify
 from cinderframe.jobs import sinks
 from cinderframe.sources.scratch import fresh_path, written
 
@@ -199,8 +199,9 @@ CHECK = f"{COUNTS}, fx_points as ({{points}}), {INSIDE}, {DIST}, truth as (selec
 def checked(t):
     """(pt, got, want, dist): the raster's count against exact containment at each sample point."""
     points, edges = t("fx_points"), written(t.edges(), "edges")
-    got = spatial.at_points(points, raster.sweep(raster.rasterise(edges)), raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("got"))
-    want = spatial.in_perimeters(points, edges).groupBy("pt").agg(F.count("*").alias("want"))
+    counts = written(squares.burn_counts(edges, raster.CELL), "counts")
+    got = spatial.at_points(points, counts, raster.CELL).select("pt", F.coalesce("n", F.lit(0)).alias("got"))
+    want = spatial.perimeter_counts(points, edges).withColumnRenamed("n", "want")
     dist = spatial.nearest_boundary(points, edges, 600.0)
     return got.join(want, "pt", "left").join(dist, "pt").select("pt", "got", F.coalesce("want", F.lit(0)).alias("want"), "dist")
 
