@@ -223,10 +223,10 @@ def agg14(t):
     Ground outside every patch of two fires or more counts one, as in the product.
     """
     points, edges = t("fx_points"), written(t.edges(), "edges")
-    counts = written(raster.sweep(raster.rasterise(edges)), "counts")
+    counts = written(squares.burn_counts(edges, raster.CELL), "counts")
     sieved = written(raster.sieve(counts, 16), "sieved")
     layer = patch_layer(sieved.where("n >= 2"), raster.CELL)
-    truth = spatial.in_perimeters(points, edges).groupBy("pt").agg(F.count("*").alias("truth"))
+    truth = spatial.perimeter_counts(points, edges).withColumnRenamed("n", "truth")
     rows = truth
     for name, runs in (("raw", counts), ("sieved", sieved), ("layer", layer)):
         found = spatial.at_points(points, runs.where("n >= 2"), raster.CELL).groupBy("pt").agg(F.coalesce(F.max("n"), F.lit(1)).alias(name))
