@@ -160,7 +160,7 @@ def jn13(t):
 
 @query("jn2_point_in_perimeter", f"{fx('fx_edges', 'fx_points')}, {RECORD}, {REC_EDGES}, {INSIDE} select pt, id from inside")
 def jn2(t):
-    return spatial.in_perimeters(t("fx_points"), t.edges())
+    return spatial.inside_lists(t("fx_points"), t.edges()).select(F.explode("pts").alias("pt"), "id")
 
 
 @query("jn3_grid_candidates", f"{fx('fx_edges', 'fx_points')}, {RECORD}, {REC_EDGES}, {BOX} select p.pt, b.id from fx_points p join b on p.x between xmin and xmax and p.y between ymin and ymax")
