@@ -194,14 +194,8 @@ def agg11(t):
 @query("til2_clipped_area", f"{fx('fx_edges')}, {RECORD}, {REC_EDGES}, {AREAS} select id, round(area, 2) as area from aa")
 def til2(t):
     """Perimeters cut at the borders of 5 km blocks, every ring of every part: the pieces' areas add up again."""
-    edges = t.edges()
-    ring = geom.closed_rings(edges).select("id", "part", "ring", F.slice("pts", 1, F.size("pts") - 1).alias("pts"))
-    boxes = geom.envelopes(edges.withColumn("id", F.struct("id", "part", "ring"))).select("id.*", "xmin", "ymin", "xmax", "ymax")
-    block = spatial.bbox_cells(ring.join(boxes, ["id", "part", "ring"]), 5000.0)
-    block = block.select("id", "part", "ring", "pts", *[(F.col(c) * 5000.0 + a).alias(n) for c, a, n in (("gx", 0, "bx0"), ("gy", 0, "by0"), ("gx", 5000, "bx1"), ("gy", 5000, "by1"))])
-    cut = block.select("id", "part", "ring", tiles.clipped("pts", "bx0", "by0", "bx1", "by1").alias("r")).where("size(r) > 2")
-    whole = cut.groupBy("id", "part", "ring").agg(F.abs(F.sum(geom.ring_area(F.col("r")))).alias("a"))
-    return whole.groupBy("id").agg(F.round(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))), 2).alias("area"))
+    whole = tiles.cut_areas(geom.open_rings(t.edges()), 5000.0)
+    return whole.groupBy("id").agg(F.round(F.sum(F.when(F.col("ring") == 0, F.col("area")).otherwise(-F.col("area"))), 2).alias("area"))
 
 
 #: The signed area of each ring inside each tile of its box, by integrating over edges: no clipping.
@@ -302,7 +296,8 @@ ZOOM_RINGS = f"{RINGS.replace('pts as', 'flat as')}, zs as (select cast(unnest(r
 select z, count(distinct id) as fires, cast(sum(n) as bigint) as before, cast(sum(m) as bigint) as after from (select p.z, p.id, count(*) as n, count(q.k) as m from pts p left join kept q on q.id = p.id and q.part = p.part and q.ring = p.ring and q.z = p.z and q.k = p.k group by 1, 2) group by z""")
 def til3(t):
     """All rings of the fires of each zoom thinned by a pixel's size; fires below a pixel drop out above the deepest zoom."""
-    zoom = geom.areas(t.edges()).withColumn("z", F.explode(F.sequence(F.lit(ZOOMS[0]), F.lit(ZOOMS[1]))))
-    rings = geom.closed_rings(t.edges()).join(tiles.visible(zoom, ZOOMS[1], DEGREE).select("id", "z"), "id").withColumn("eps", tiles.pixel(F.col("z")) * DEGREE)
-    per = rings.select("id", "z", F.size("pts").alias("n"), F.size(tiles.thinned("pts", "eps")).alias("m"))
-    return per.groupBy("z").agg(F.countDistinct("id").alias("fires"), F.sum("n").alias("before"), F.sum("m").alias("after"))
+    zooms = geom.areas(t.edges()).select("id", tiles.visible_zooms(F.col("area"), ZOOMS, DEGREE).alias("zs"))
+    zooms = zooms.withColumn("eps", F.transform("zs", lambda z: tiles.pixel(z) * DEGREE))
+    fires_ = zooms.select(F.explode("zs").alias("z")).groupBy("z").agg(F.count("*").alias("fires"))
+    per = tiles.thinned_sums(geom.open_rings(t.edges()).join(zooms, "id"))
+    return per.join(fires_, "z").select("z", "fires", F.col("n").alias("before"), F.col("m").alias("after"))

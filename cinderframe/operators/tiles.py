@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinderframe.operators import ragged
 from cinderframe.operators.geom import POINTS, thin
 
 
@@ -63,6 +66,59 @@ def thinned(ring: pd.Series, eps: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+#: Points that are cut at a time.
+POINTS_HELD = 2_000_000
+
+
+def blocks_areas(r: ragged.Rings, size: float) -> np.ndarray:
+    """The signed area of each ring as the sum of its pieces in square blocks, each piece cut out of the ring."""
+    x0, y0, x1, y1 = (np.floor(np.where(r.sizes > 0, c, 0.0) / size).astype(np.int64) for c in r.low_high())
+    nx, ny = x1 - x0 + 1, y1 - y0 + 1
+    out = np.zeros(len(r))
+    one = nx * ny == 1
+    out[one] = r.areas()[one]  # in one block: not cut
+    left = np.flatnonzero(~one)
+    many = (nx * ny)[left]
+    held = np.cumsum(many * r.sizes[left]) // POINTS_HELD
+    for mine in np.split(np.arange(len(left)), np.flatnonzero(np.diff(held)) + 1):
+        own = np.repeat(left[mine], many[mine])
+        i = np.arange(len(own)) - np.repeat(np.cumsum(many[mine]) - many[mine], many[mine])
+        step = max(1, POINTS_HELD // max(1, int(r.sizes[own].max(initial=1))))
+        for a in range(0, len(own), step):
+            o, k = own[a : a + step], i[a : a + step]
+            bx, by = (x0[o] + k % nx[o]) * size, (y0[o] + k // nx[o]) * size
+            piece = r.take(o)
+            for axis, bound, sign in ((0, bx, 1), (0, bx + size, -1), (1, by, 1), (1, by + size, -1)):
+                piece = ragged.sided(piece, axis, bound, sign)
+            np.add.at(out, o, piece.areas())
+    return out
+
+
+def cut_areas(rings: DataFrame, size: float) -> DataFrame:
+    """(id, ring, area) of open rings (id, part, ring, xs, ys): each ring's area as its pieces in blocks add it up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            area = np.abs(blocks_areas(ragged.of_lists(b["xs"], b["ys"]), size))
+            yield pa.RecordBatch.from_arrays([b["id"], b["ring"], pa.array(area)], ["id", "ring", "area"])
+
+    return rings.select("id", "ring", "xs", "ys").mapInArrow(run, "id string, ring int, area double")
+
+
+def thinned_sums(rings: DataFrame) -> DataFrame:
+    """(z, n, m): points of closed rings before and after thinning by a zoom's pixel, for rings (xs, ys: open; zs: its zooms, eps: their pixels)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            closed = ragged.closed(ragged.of_lists(b["xs"], b["ys"]))
+            own = np.repeat(np.arange(len(b)), np.diff(np.asarray(b["zs"].offsets)))
+            zs, eps = (b[c].flatten().to_numpy(zero_copy_only=False) for c in ("zs", "eps"))
+            for z in np.unique(zs):
+                at = own[zs == z]
+                r = closed.take(at)
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (int(z), len(r.x), int(ragged.thinned(r, eps[zs == z]).sum()))], ["z", "n", "m"])
+
+    return rings.select("xs", "ys", "zs", "eps").mapInArrow(run, "z long, n long, m long").groupBy(F.col("z").cast("int").alias("z")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
 TILE = ("layer", "year", "z", "x", "y")
 
 
@@ -76,6 +132,11 @@ def visible(features: DataFrame, deepest: int, degree: float = 1.0) -> DataFrame
     return features.where((F.col("z") == deepest) | (F.col("area") >= F.pow(pixel(F.col("z")) * degree, F.lit(2.0))))
 
 
+def visible_zooms(area: Column, zooms: tuple[int, int], degree: float = 1.0) -> Column:
+    """The zooms in which visible() has a feature of that area."""
+    return F.filter(F.sequence(F.lit(zooms[0]), F.lit(zooms[1])), lambda z: (z == zooms[1]) | (area >= F.pow(pixel(z) * degree, F.lit(2.0))))
+
+
 def within_budget(features: DataFrame, budget: int, salts: int = 32) -> DataFrame:
     """Tile features with ``own``: in the layer as they are while the tile's bytes, largest first, fit.
 
