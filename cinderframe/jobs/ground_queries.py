@@ -165,7 +165,7 @@ def jn2(t):
 
 @query("jn3_grid_candidates", f"{fx('fx_edges', 'fx_points')}, {RECORD}, {REC_EDGES}, {BOX} select p.pt, b.id from fx_points p join b on p.x between xmin and xmax and p.y between ymin and ymax")
 def jn3(t):
-    return spatial.in_boxes(t("fx_points"), geom.envelopes(t.edges())).select("pt", "id")
+    return spatial.box_lists(t("fx_points"), geom.envelopes(t.edges())).select(F.explode("pts").alias("pt"), "id")
 
 
 @query("jn14_value_at_points", f"{COUNTS}, pts as ({{points}}) select p.pt, cast(coalesce(c.n, -1) as int) as n from pts p left join counts c on c.row = cast(floor(p.y/90e0) as bigint) and c.col = cast(floor(p.x/90e0) as bigint)")
