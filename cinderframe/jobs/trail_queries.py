@@ -232,19 +232,22 @@ def til2_quadtree(t):
 
 def layer_rows(t, budget: int = 20_000):
     """Rows of both layers with their geometry: cut, thinned, without what is below a pixel, severity within its budget."""
-    f = quadtree.tile_features(pieces(t)).withColumn("area", F.col("area") * DEGREE * DEGREE)
-    whole = geom.areas(t.edges()).withColumnRenamed("area", "whole")
+    rings = geom.open_rings(t.edges())
+    points = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    rings = rings.select("id", "part", "ring", F.transform("xs", lambda x: F.lit(-120.0) + x * 0.00001).alias("xs"), F.transform("ys", lambda y: F.lit(40.0) + y * 0.00001).alias("ys"), F.abs(geom.ring_area(points)).alias("m2"))
     kind = t.record().select("id", F.col("year").alias("fire_year"), (F.col("k") % 5 + 1).cast("int").alias("class"))
-    f = f.join(whole, "id").join(kind, "id")
-    f = written(f.where((F.col("z") == ZOOMS[1]) | (F.col("whole") >= F.pow(tiles.pixel(F.col("z")) * DEGREE, F.lit(2.0)))).drop("whole"), "layer-features")
+    f = quadtree.features(rings, ZOOMS, DEGREE).withColumn("area", F.col("area") * DEGREE * DEGREE)
+    f = written(f.join(kind, "id"), "layer-features")
     one = F.lit(1).cast("long").alias("fires")
     merged = f.select(F.lit("perimeters").alias("layer"), F.lit(0).alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
-    severity = f.select(F.lit("severity").alias("layer"), F.col("fire_year").alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
-    own = tiles.within_budget(severity, budget)
+    severity = f.select(F.lit("severity").alias("layer"), F.col("fire_year").alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", "bytes")
+    own = written(tiles.within_budget(severity, budget), "tile-budget")  # without outlines, which only what fits is given again
+    fits = own.where("own").select("id", "z", "x", "y").join(f, ["id", "z", "x", "y"])
+    fits = fits.select(F.lit("severity").alias("layer"), F.col("fire_year").alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
     tail = own.where("not own").groupBy(*tiles.TILE, "class").agg(F.max("fire_year").alias("fire_year"), F.sum("area").alias("area"), F.count("*").alias("fires"))
     # what doesn't fit keeps its ground and number by class, without an outline
     tail = tail.select(*tiles.TILE, F.lit(None).cast("string").alias("id"), "fire_year", "class", "area", "fires", F.lit(None).cast(f.schema["geom"].dataType).alias("geom"), F.lit(40).cast("long").alias("bytes"))
-    return quadtree.tile_rows(merged.unionByName(own.where("own").drop("own")).unionByName(tail))
+    return quadtree.tile_rows(merged.unionByName(written(fits.unionByName(tail), "severity-features")))
 
 
 @query("til5_tile_geometry", f"""{INSIDE_TILE}, {AREAS}, fg as (select f.*, r.year as fire_year, r.k % 5 + 1 as class from fa f join rec r using (id) join aa using (id) where z = 13 or aa.area >= power(360e0 / power(2, z) / 4096 * 100000e0, 2)),

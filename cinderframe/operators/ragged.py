@@ -154,6 +154,12 @@ def thinned(r: Rings, eps: np.ndarray) -> np.ndarray:
         a, b, e = np.concatenate((a[beyond], split)), np.concatenate((split, b[beyond])), np.concatenate((e[beyond], e[beyond]))
 
 
+def joined(parts: list[Rings]) -> Rings:
+    """Rings of several as one, in that order."""
+    sizes = np.concatenate([p.sizes for p in parts])
+    return Rings(np.concatenate([p.x for p in parts]), np.concatenate([p.y for p in parts]), np.concatenate(([0], np.cumsum(sizes))))
+
+
 def closed(r: Rings) -> Rings:
     """Each ring with its first point again at its end."""
     size = r.sizes + (r.sizes > 0)

@@ -70,3 +70,28 @@ def test_cut_areas_and_thinned_sums_send_no_ring_twice(spark):
     lines = [[(p["x"], p["y"]) for p in r["pts"]] for r in geom.closed_rings(e).collect()]
     got = {r["z"]: (r["n"], r["m"]) for r in tiles.thinned_sums(zs).collect()}
     assert got == {z: (20 * 41, sum(len(geom.thin(np.array(x), eps)) for x in lines)) for z, eps in ((2, 2000.0), (5, 100.0))}
+
+
+def test_features_are_those_of_the_pieces_of_all_zooms(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(30):
+        turn = np.sort(rng.random(40)) * 2 * np.pi
+        far = 0.3 + rng.random(40) * (30.0 if i == 0 else 0.02 if i % 3 else 0.4)
+        rows.append((f"f{i}", 0, 0, (-120 + i / 50 + far * np.cos(turn)).tolist(), (40 + far * np.sin(turn)).tolist()))
+        rows.append((f"f{i}", 0, 1, [-120.01, -120.01, -119.99], [40.0, 40.01, 40.0]))
+    rings = spark.createDataFrame(rows, "id string, part int, ring int, xs array<double>, ys array<double>")
+    pieces = quadtree.quadtree(rings, (2, 9), 3)
+    want = {(r["id"], r["z"], r["x"], r["y"]): r for r in quadtree.tile_features(pieces).collect()}
+    points = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    for held in (50, 200_000):
+        monkeypatch.setattr(quadtree, "HELD", held)
+        got = {(r["id"], r["z"], r["x"], r["y"]): r for r in quadtree.features(rings.withColumn("m2", F.abs(geom.ring_area(points))), (2, 9), 0.0).collect()}
+        assert got.keys() == want.keys() and len(want) > 1000
+        for k, w in want.items():
+            assert got[k]["area"] == pytest.approx(w["area"], abs=1e-9) and got[k]["bytes"] == w["bytes"] and got[k]["geom"] == w["geom"], k
+    whole = {r["id"]: abs(r["area"]) for r in rings.where("ring = 0").withColumn("area", geom.ring_area(points)).collect()}
+    hole = {r["id"]: abs(r["area"]) for r in rings.where("ring = 1").withColumn("area", geom.ring_area(points)).collect()}
+    few = {(r["id"], r["z"]) for r in quadtree.features(rings.withColumn("m2", F.abs(geom.ring_area(points))), (2, 9), 50.0).select("id", "z").collect()}
+    seen = {(k[0], k[1]) for k in want if k[1] == 9 or whole[k[0]] - hole[k[0]] >= (360.0 / 2.0 ** k[1] / 4096 * 50.0) ** 2}
+    assert few == seen and seen != {k[:2] for k in want}
