@@ -232,12 +232,12 @@ def til2_quadtree(t):
 
 def layer_rows(t, budget: int = 20_000):
     """Rows of both layers with their geometry: cut, thinned, without what is below a pixel, severity within its budget."""
-    rings = geom.open_rings(t.edges())
-    points = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
-    rings = rings.select("id", "part", "ring", F.transform("xs", lambda x: F.lit(-120.0) + x * 0.00001).alias("xs"), F.transform("ys", lambda y: F.lit(40.0) + y * 0.00001).alias("ys"), F.abs(geom.ring_area(points)).alias("m2"))
     kind = t.record().select("id", F.col("year").alias("fire_year"), (F.col("k") % 5 + 1).cast("int").alias("class"))
-    f = quadtree.features(rings, ZOOMS, DEGREE).withColumn("area", F.col("area") * DEGREE * DEGREE)
-    f = written(f.join(kind, "id"), "layer-features")
+    rings = geom.open_rings(t("fx_edges").join(kind, "id"), "fire_year", "class")
+    points = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    rings = rings.select("id", "part", "ring", "fire_year", "class", F.transform("xs", lambda x: F.lit(-120.0) + x * 0.00001).alias("xs"), F.transform("ys", lambda y: F.lit(40.0) + y * 0.00001).alias("ys"), F.abs(geom.ring_area(points)).alias("m2"))
+    f = quadtree.features(rings, ZOOMS, DEGREE, ("fire_year", "class"))
+    f = written(f.withColumn("area", F.col("area") * DEGREE * DEGREE), "layer-features")
     one = F.lit(1).cast("long").alias("fires")
     merged = f.select(F.lit("perimeters").alias("layer"), F.lit(0).alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", one, "geom", "bytes")
     severity = f.select(F.lit("severity").alias("layer"), F.col("fire_year").alias("year"), "z", "x", "y", "id", "fire_year", "class", "area", "bytes")

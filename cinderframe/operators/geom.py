@@ -35,11 +35,14 @@ def closed_rings(edges: DataFrame) -> DataFrame:
     return rings.select("id", "part", "ring", F.concat("r", F.slice("r", 1, 1)).alias("pts"))
 
 
-def open_rings(edges: DataFrame) -> DataFrame:
-    """(id, part, ring, xs, ys): each ring's points in order as two lists, the first not again at the end."""
+def open_rings(edges: DataFrame, *more: str) -> DataFrame:
+    """(id, part, ring, more, xs, ys): each ring's points in order as two lists, the first not again at the end.
+
+    more: columns that all edges of an id share.
+    """
     point = F.struct("seq", F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
-    rings = edges.groupBy("id", "part", "ring").agg(F.sort_array(F.collect_list(point)).alias("r"))
-    return rings.select("id", "part", "ring", F.col("r.x").alias("xs"), F.col("r.y").alias("ys"))
+    rings = edges.groupBy("id", "part", "ring", *more).agg(F.sort_array(F.collect_list(point)).alias("r"))
+    return rings.select("id", "part", "ring", *more, F.col("r.x").alias("xs"), F.col("r.y").alias("ys"))
 
 
 def ring_area(pts: Column) -> Column:

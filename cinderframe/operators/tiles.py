@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.operators import ragged
 from cinderframe.operators.geom import POINTS, thin
+from cinderframe.sources.scratch import written
 
 
 def tile_x(lon: Column, z: Column) -> Column:
@@ -148,7 +149,7 @@ def within_budget(features: DataFrame, budget: int, salts: int = 32) -> DataFram
     order = (F.desc("area"), "id")
     f = features.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     part = W.partitionBy(*TILE, "salt").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    f = f.withColumn("fits", F.sum("bytes").over(part) <= budget).drop("salt")
+    f = written(f.withColumn("fits", F.sum("bytes").over(part) <= budget).drop("salt"), "tile-fits")  # read twice
     out = f.where("not fits").groupBy(*TILE).agg(F.min(F.struct((-F.col("area")).alias("a"), "id")).alias("first"))
     upto = W.partitionBy(*TILE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     kept = f.where("fits").withColumn("sum", F.sum("bytes").over(upto)).join(out, list(TILE), "left")
