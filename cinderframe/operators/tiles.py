@@ -6,14 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinderframe.operators import ragged
-from cinderframe.operators.geom import POINTS, thin
 from cinderframe.sources.scratch import written
 
 
@@ -47,26 +45,6 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
     return ring
 
 
-@F.pandas_udf(POINTS)
-def clipped(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """Open rings cut to their tiles' boxes."""
-    out = []
-    for r, *box in zip(ring, x0, y0, x1, y1):
-        xy = np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2)
-        out.append([{"x": a, "y": b} for a, b in clip_ring(xy, tuple(box))])
-    return pd.Series(out, dtype=object)
-
-
-@F.pandas_udf(POINTS)
-def thinned(ring: pd.Series, eps: pd.Series) -> pd.Series:
-    """Rings thinned by the size of their zoom's pixel."""
-    out = []
-    for r, e in zip(ring, eps):
-        xy = np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2)
-        out.append([r[i] for i in thin(xy, float(e))])
-    return pd.Series(out, dtype=object)
-
-
 #: Points that are cut at a time.
 POINTS_HELD = 2_000_000
 
